@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxmill.llm import decontam, ngram_join, secret_scan
+from voxmill.llm import decontam, ngram_join, secret_scan, sentence_pieces
 from voxmill.llm.common import read
 
 
@@ -33,5 +33,9 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op5_ngram_jaccard, op6_secret_scan, op7_decontamination)}
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op5_ngram_jaccard, op6_secret_scan, op7_decontamination, op8_sentence_pieces)}
 ORACLES: dict[str, str] = {}

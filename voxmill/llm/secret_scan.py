@@ -6,7 +6,7 @@ union of all NFAs, restarted at every byte, and partition refinement give one
 minimal transition array. A text is scanned once, byte by byte, whatever the
 number of rules. Only for rules whose accepting state was seen, exact spans
 (leftmost, longest, non-overlapping) come from the rule's own anchored
-automaton, followed by the rule's check (lengths that the pattern leaves open).
+automaton, followed by the lengths that the pattern leaves open.
 
 Nulls: a null text is scanned as empty. A null ``doc_id`` stays null. Repeated
 rows are scanned each for itself. Columns other than the id and the text are
@@ -16,7 +16,6 @@ not read; ``redact`` keeps them.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -28,28 +27,32 @@ from voxmill.llm.common import small_batches
 
 @dataclass(frozen=True)
 class Rule:
+    """``shortest``: characters that a match must have; ``shortest_value``: characters of the value after the first ``:`` or ``=`` and a quote."""
+
     kind: str
     pattern: str
     ignore_case: bool = False
-    check: Callable[[str], bool] | None = None
-
+    shortest: int = 0
+    shortest_value: int = 0
 
-def _assigned_value_is_long(match: str) -> bool:
-    """The assigned value, after the first ``:`` or ``=`` and at most one quote, has six characters."""
-    cut = min(i for i in (match.find(":"), match.find("=")) if i >= 0)
-    value = match[cut + 1 :].lstrip(" ")
-    return len(value[1:] if value[:1] in "\"'" else value) >= 6
+    def holds(self, match: str) -> bool:
+        if self.shortest_value:
+            cut = min(i for i in (match.find(":"), match.find("=")) if i >= 0)
+            value = match[cut + 1 :].lstrip(" ")
+            if len(value[1:] if value[:1] in "\"'" else value) < self.shortest_value:
+                return False
+        return len(match) >= self.shortest
 
 
 # Kinds in the order in which spans at one start are listed. The first three are the contract's.
 RULES = (
-    Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=\-]+)""", True, _assigned_value_is_long),
+    Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=\-]+)""", True, shortest_value=6),
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("github", r"(ghp|gho|ghs|ghu|ghr)_[A-Za-z0-9]+", check=lambda m: len(m) >= 40),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9\-]+", check=lambda m: len(m) >= 20),
-    Rule("google", r"AIza[A-Za-z0-9_\-]+", check=lambda m: len(m) >= 39),
+    Rule("github", r"(ghp|gho|ghs|ghu|ghr)_[A-Za-z0-9]+", shortest=40),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9\-]+", shortest=20),
+    Rule("google", r"AIza[A-Za-z0-9_\-]+", shortest=39),
 )
 
 
@@ -281,7 +284,7 @@ class Scanner:
         return sorted(out)
 
     def _of(self, k: int, data: bytes):
-        (rows, masks), check, n = self.own[k], self.rules[k].check, len(data)
+        (rows, masks), check, n = self.own[k], self.rules[k].holds, len(data)
         first, at = rows[0], 0
         while at < n:
             if first[data[at]] < 0:
@@ -297,7 +300,7 @@ class Scanner:
             if end < 0:
                 at += 1
                 continue
-            if check is None or check(data[at:end].decode()):
+            if check(data[at:end].decode()):
                 yield at, end
             at = end
 
