@@ -26,7 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from voxmill.llm.common import LOWER_BYTES, Scratch, chunks, fold, hash_words, mix, small_batches, words
 
@@ -243,8 +243,10 @@ def similar(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float =
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """The documents, of each connected component the one with the smallest id; of repeated rows with that id, one. Rows without an id stay. All columns stay."""
+    """The documents, of each connected component the one with the smallest id; a row that occurs twice stays once. Rows without an id stay. All columns stay."""
     scratch = Scratch(docs.sparkSession)
     found = similar(docs, text=text, doc_id=doc_id, scratch=scratch, **how)
     lost = found.where(F.col("doc_id").isNotNull() & (F.col("class_id") != F.col("doc_id"))).select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(lost, doc_id, "left_anti")
+    rest = docs.join(lost, doc_id, "left_anti")
+    again = W.partitionBy(doc_id, F.xxhash64(text)).orderBy(F.lit(0))
+    return rest.withColumn("__vx_n", F.row_number().over(again)).where(F.col("__vx_n").eqNullSafe(1) | F.col(doc_id).isNull()).select(*(F.col(f"`{c}`") for c in docs.columns))
