@@ -5,8 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from voxmill.llm import decontam, ngram_join, quality_classifier, quality_rules, secret_scan, sentence_pieces
-from voxmill.llm.common import crc_mod, read
+from voxmill.llm import decontam, lang_id, lm_score, ngram_join, quality_classifier, quality_rules, secret_scan, sentence_pieces, toxicity
+from voxmill.llm.common import Scratch, crc_mod, read
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = read(spark, sf_dir, "documents"), F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = lang_id.train(docs.where(~held))
+    return lang_id.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out"))
+    scratch = Scratch(spark)
+    table, facts, automaton = lm_score.train(docs.where(~F.col("held_out")), scratch)
+    return lm_score.score(docs, table, facts, automaton, scratch, keep=("doc_id", "held_out"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +62,13 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_ngram_jaccard, op6_secret_scan, op7_decontamination, op8_sentence_pieces, op9_quality_classifier)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    chain = toxicity.train(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0))
+    rows = toxicity.score(docs, chain)
+    return rows.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), *(f"p_{c}" for c in toxicity.CATEGORIES), F.col("p_toxic").alias("score"), (F.col("p_toxic") >= 0.5).alias("toxic"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_lm_score, op4_quality_rules, op5_ngram_jaccard, op6_secret_scan, op7_decontamination, op8_sentence_pieces, op9_quality_classifier, op10_toxicity)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {}
