@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from voxmill.llm import decontam, lang_id, lm_score, ngram_join, quality_classifier, quality_rules, secret_scan, sentence_pieces, toxicity
+from voxmill.llm import decontam, lang_id, lm_score, ngram_join, quality_classifier, quality_rules, secret_scan, sentence_pieces, toxicity, url_filter
 from voxmill.llm.common import Scratch, crc_mod, read
+from voxmill.llm.oracles import ORACLES
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +16,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.page_outcome(pages["html"])).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out"))
     scratch = Scratch(spark)
@@ -69,6 +75,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), *(f"p_{c}" for c in toxicity.CATEGORIES), F.col("p_toxic").alias("score"), (F.col("p_toxic") >= 0.5).alias("toxic"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_lm_score, op4_quality_rules, op5_ngram_jaccard, op6_secret_scan, op7_decontamination, op8_sentence_pieces, op9_quality_classifier, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_lm_score, op4_quality_rules, op5_ngram_jaccard, op6_secret_scan, op7_decontamination, op8_sentence_pieces, op9_quality_classifier, op10_toxicity)}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLES: dict[str, str] = {}
