@@ -18,7 +18,7 @@ add("x01_srt_time", lambda d: d.utterances.select("task_id", "segment_index", "p
 add(
     "x02_character_spacing",
     lambda d: d.conversations.select("conv_id", "turn", fn.join_single_characters(F.when(F.col("turn") % 2 == 0, F.regexp_replace(F.substring("text", 1, 6), r"(\S)", "$1 ")).otherwise(F.col("text")), F.lit(".")).alias("t")),
-    "SELECT conv_id, turn, CASE WHEN contains(t, ' ') AND len(k) > 0 AND len(list_filter(k, x -> length(x) <> 1)) = 0 THEN array_to_string(k, '') ELSE t END || '.' AS t FROM (SELECT *, list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0B\\f\\r]+'), x -> x <> '') AS k FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN regexp_replace(substring(text, 1, 6), '([^ \\t\\n\\x0B\\f\\r])', '\\1 ', 'g') ELSE text END AS t FROM conversations))",
+    "SELECT conv_id, turn, CASE WHEN contains(t, ' ') AND len(k) > 0 AND len(list_filter(k, lambda x: length(x) <> 1)) = 0 THEN array_to_string(k, '') ELSE t END || '.' AS t FROM (SELECT *, list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS k FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN regexp_replace(substring(text, 1, 6), '([^ \\t\\n\\x0B\\f\\r])', '\\1 ', 'g') ELSE text END AS t FROM conversations))",
 )
 _LINES = F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "text")))
 
@@ -101,7 +101,7 @@ add(
 add("x15_sharded_path", lambda d: d.files.select("file_id", fn.sharded_path("results", F.lpad(F.col("file_id").cast("string"), 8, "0"), F.lit("result.json")).alias("path")), "SELECT file_id, 'results/' || left(lpad(file_id::VARCHAR, 8, '0'), 4) || '/' || lpad(file_id::VARCHAR, 8, '0') || '/result.json' AS path FROM d_files")
 _EXT = "lower(regexp_extract(original_name, '\\.[^.]+$', 0))"
 _RATE = f"CASE WHEN {_EXT} IN ('.wav','.pcm') THEN 32000 WHEN {_EXT} = '.flac' THEN 24000 WHEN {_EXT} IN ('.mp3','.m4a','.aac','.ogg','.wma') THEN 16000 WHEN {_EXT} IN ('.mp4','.mkv','.webm','.avi','.mov','.wmv') THEN 20000 END"
-add("x16_duration_estimate", lambda d: d.files.select("file_id", F.round(fn.duration_estimate(F.col("original_name"), F.col("size_bytes")), 3).alias("s")), f"SELECT file_id, round(CASE WHEN size_bytes > 0 THEN size_bytes / {_RATE}::DOUBLE END, 3) AS s FROM d_files")
+add("x16_duration_estimate", lambda d: d.files.select("file_id", F.floor(fn.duration_estimate(F.col("original_name"), F.col("size_bytes"))).cast("long").alias("s")), f"SELECT file_id, floor(CASE WHEN size_bytes > 0 THEN size_bytes / ({_RATE})::DOUBLE END)::BIGINT AS s FROM d_files")
 add(
     "x17_human",
     lambda d: d.files.select("file_id", fn.human_duration(F.coalesce("duration_sec", F.lit(0))).alias("duration"), fn.uptime(F.col("file_id") * 997).alias("uptime")),
@@ -129,8 +129,8 @@ add(
     "x21_preflight",
     _preflight,
     f"""SELECT file_id, e NOT IN ('.wav','.pcm') AS needs_conversion, c AS conversion_s, floor(s * 0.3::DOUBLE)::BIGINT + c AS processing_s,
-array_to_string(list_filter([CASE WHEN size_bytes = 0 THEN 'empty' END, CASE WHEN NOT m THEN 'unsupported' END, CASE WHEN duration_sec IS NULL THEN 'imprecise' END, CASE WHEN s > 3600 THEN 'long' END, CASE WHEN size_bytes > 524288000 THEN 'large' END, CASE WHEN e IN ('.mp4','.webm','.mkv','.avi','.mov') THEN 'video' END], x -> x IS NOT NULL), ',') AS warnings, m AND size_bytes > 0 AS ready
-FROM (SELECT *, {_EXT} AS e, {_EXT} IN ('.wav','.mp3','.mp4','.flac','.ogg','.webm','.m4a','.aac','.wma','.mkv','.avi','.mov','.pcm') AS m, CASE WHEN {_EXT} IN ('.wav','.pcm') THEN 0 ELSE size_bytes // 10485760 END::BIGINT AS c, coalesce(duration_sec::DOUBLE, CASE WHEN size_bytes > 0 THEN size_bytes / {_RATE}::DOUBLE END, 0) AS s FROM d_files)""",
+array_to_string(list_filter([CASE WHEN size_bytes = 0 THEN 'empty' END, CASE WHEN NOT m THEN 'unsupported' END, CASE WHEN duration_sec IS NULL THEN 'imprecise' END, CASE WHEN s > 3600 THEN 'long' END, CASE WHEN size_bytes > 524288000 THEN 'large' END, CASE WHEN e IN ('.mp4','.webm','.mkv','.avi','.mov') THEN 'video' END], lambda x: x IS NOT NULL), ',') AS warnings, m AND size_bytes > 0 AS ready
+FROM (SELECT *, {_EXT} AS e, {_EXT} IN ('.wav','.mp3','.mp4','.flac','.ogg','.webm','.m4a','.aac','.wma','.mkv','.avi','.mov','.pcm') AS m, CASE WHEN {_EXT} IN ('.wav','.pcm') THEN 0 ELSE size_bytes // 10485760 END::BIGINT AS c, coalesce(duration_sec::DOUBLE, CASE WHEN size_bytes > 0 THEN size_bytes / ({_RATE})::DOUBLE END, 0) AS s FROM d_files)""",
 )
 add(
     "x22_transcript_grade",
@@ -175,7 +175,7 @@ def _options(d):
 
 
 add("x29_recognition_options", _options, "SELECT task_id, CASE WHEN task_id % 3 = 0 THEN 'alpha beta' END AS hotwords, CASE WHEN task_id % 4 = 0 THEN 'offline' END AS mode, CASE task_id % 5 WHEN 0 THEN true WHEN 1 THEN false END AS use_itn, NULL::BOOLEAN AS use_punc FROM d_tasks")
-add("x30_mode_list", lambda d: d.servers.select("server_id", fn.mode_list(F.col("server_id") % 2 == 0, F.col("server_id") % 3 == 0, F.col("server_id") % 5 == 0).alias("modes")), "SELECT server_id, array_to_string(list_filter([CASE WHEN server_id % 2 = 0 THEN 'offline' END, CASE WHEN server_id % 3 = 0 THEN '2pass' END, CASE WHEN server_id % 5 = 0 THEN 'online' END], x -> x IS NOT NULL), ',') AS modes FROM d_servers")
+add("x30_mode_list", lambda d: d.servers.select("server_id", fn.mode_list(F.col("server_id") % 2 == 0, F.col("server_id") % 3 == 0, F.col("server_id") % 5 == 0).alias("modes")), "SELECT server_id, array_to_string(list_filter([CASE WHEN server_id % 2 = 0 THEN 'offline' END, CASE WHEN server_id % 3 = 0 THEN '2pass' END, CASE WHEN server_id % 5 = 0 THEN 'online' END], lambda x: x IS NOT NULL), ',') AS modes FROM d_servers")
 
 
 def _rtf(d):
