@@ -21,4 +21,4 @@ def add(name: str, plan: Callable[[Domain], DataFrame], sql: str | None = None)
         ORACLES[f"q_{name}"] = oracle(sql)
 
 
-from voxmill.plans import aggregates, filters, jobs, joins, replay, scalars, snapshots, sources, windows  # noqa: E402, F401
+from voxmill.plans import aggregates, filters, jobs, joins, replay, scalars, snapshots, sources, streams, windows  # noqa: E402, F401
