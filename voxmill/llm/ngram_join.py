@@ -110,12 +110,14 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     seen, turn = None, 0
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # written first: both sides of the join are then plain shuffles, and a vertex with very many neighbours can be split
+        low = scratch.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = scratch.table(large, f"{name}large")
+        low = scratch.table(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}low")
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         now = scratch.table(small, f"{name}{turn + 1}")
-        scratch.drop(f"{name}{turn}")
+        scratch.drop(f"{name}{turn}", f"{name}low", f"{name}large")
         turn += 1
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
         if state == seen:

@@ -65,7 +65,8 @@ def fences(groups: DataFrame, reach: float, least_rows: int, scratch: Scratch) -
     merged = [F.kll_merge_agg_double(n).alias(n) for n in names]
     by_lang = groups.groupBy("lang").agg(F.sum("rows").alias("rows"), *merged).select("lang", F.col("rows").alias("lang_rows"), *(F.col(n).alias(f"lang_{n}") for n in names))
     # one row, a few numbers: the fences of everything together
-    whole = groups.agg(*merged).select(*(of("", n).alias(n) for n in names)).head()
+    some = F.col("rows") > 0  # an empty sketch has no quantiles
+    whole = groups.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), *merged).select(*(F.when(some, of("", n)).alias(n) for n in names)).head()
     rows = groups.join(by_lang, "lang").select(
         "lang",
         "source",
