@@ -9,17 +9,18 @@ import hmac
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StringType
 
 from voxmill.functions.scalars import edit_similarity, squeezed
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def hmac_sha256(secret: pd.Series, payload: pd.Series) -> pd.Series:
     """Hex signature of a payload; null secret or payload: null."""
     return pd.Series([None if s is None or p is None else hmac.new(s.encode(), p.encode(), hashlib.sha256).hexdigest() for s, p in zip(secret, payload)], dtype=object)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of characters in matching blocks, 2 M / T."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b)])

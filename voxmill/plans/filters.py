@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from voxmill import constants as C
+from voxmill.functions import network as net
 from voxmill.operators import filters as op
 from voxmill.plans.registry import add
 
@@ -104,3 +105,11 @@ add(
 FROM (SELECT conv_id, turn, conv_id % 3 = 0 AS media, lower(CASE turn % 4 WHEN 0 THEN 'Please transcribe: ' || text WHEN 1 THEN 'subtitle, private: ' || text ELSE text END) AS low FROM conversations)""",
 )
 add("f22_segments_of_tasks", lambda d: op.segments_of(d.segments, "FAILED"), "SELECT task_id, segment_index, segment_id, status FROM d_segments WHERE status = 'FAILED'")
+
+
+def _addresses(d):
+    host = F.when(F.col("server_id") % 5 == 0, F.concat(F.lit("172."), (F.col("server_id") % 40).cast("string"), F.lit(".0.1"))).when(F.col("server_id") % 5 == 1, "db.internal").when(F.col("server_id") % 5 == 2, "8.8.8.8").otherwise(F.col("host"))
+    return d.servers.select("server_id", net.server_address_problem(host, F.when(F.col("server_id") % 10 == 2, 70000).otherwise(F.col("port"))).alias("problem"))
+
+
+add("f18_private_addresses", _addresses, "SELECT server_id, CASE WHEN server_id % 5 = 0 AND server_id % 40 BETWEEN 16 AND 31 THEN 'private' WHEN server_id % 5 = 1 OR server_id % 5 > 2 THEN 'private' WHEN server_id % 10 = 2 THEN 'port' END AS problem FROM d_servers")

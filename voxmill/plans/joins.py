@@ -84,3 +84,15 @@ add("u03_exhausted_available", lambda d: op.exhausted_and_available(plan_table(d
 add("u04_endpoints", lambda d: op.endpoints(d.servers.withColumn("host", F.concat(F.lit(" 10.0.0."), (F.col("server_id") % 40).cast("string")))), "SELECT server_id, '10.0.0.' || (server_id % 40) || ':' || port AS endpoint, row_number() OVER (PARTITION BY server_id % 40, port ORDER BY server_id) > 1 AS duplicate FROM d_servers")
 add("u05_task_servers", lambda d: op.task_servers(d.segments), "SELECT DISTINCT task_id, assigned_server_id FROM d_segments WHERE assigned_server_id IS NOT NULL")
 add("u06_plan_difference", lambda d: op.plan_difference(plan_table(d).select("item"), d.tasks.where("status in ('QUEUED', 'DISPATCHED')").select(F.col("task_id").alias("item"))), f"SELECT DISTINCT item, 'stale_plan' AS side FROM {PLAN} WHERE item NOT IN (SELECT task_id FROM d_tasks WHERE status IN ('QUEUED','DISPATCHED')) UNION ALL SELECT DISTINCT task_id, 'unplanned' FROM d_tasks WHERE status IN ('QUEUED','DISPATCHED') AND task_id NOT IN (SELECT item FROM {PLAN})")
+
+
+def _batches(d):
+    g = d.tasks.where("task_group_id is not null").groupBy(F.col("task_group_id").alias("batch")).agg(F.min("user_id").alias("user_id"), F.count("*").alias("n"), F.min("created_s").alias("created_s"), F.count_if(~F.col("status").isin("SUCCEEDED", "FAILED", "CANCELED")).alias("active"))
+    return g.withColumn("fingerprint", F.col("batch") % 2)
+
+
+add(
+    "j10_duplicate_batches",
+    lambda d: op.duplicate_batches(_batches(d), 86400 * 100),
+    "WITH b AS (SELECT task_group_id AS batch, min(user_id) AS user_id, count(*) AS n, min(created_s) AS created_s, count(*) FILTER (WHERE status NOT IN ('SUCCEEDED','FAILED','CANCELED')) AS active FROM d_tasks WHERE task_group_id IS NOT NULL GROUP BY 1) SELECT a.batch, e.batch AS earlier, a.user_id, a.n FROM b a JOIN b e ON a.user_id = e.user_id AND a.n = e.n AND a.batch % 2 = e.batch % 2 AND a.batch <> e.batch WHERE e.active > 0 AND e.created_s <= a.created_s AND a.created_s - e.created_s <= 8640000",
+)

@@ -184,3 +184,9 @@ def _rtf(d):
 
 
 add("x32_rtf", _rtf, "SELECT event_id, round(r, 6) AS rtf, CASE WHEN r > 0 THEN round(1 / r, 4) END AS acceleration FROM (SELECT event_id, actual_cs / 100.0::DOUBLE / audio_sec AS r FROM d_completions)")
+add(
+    "x03_utterances",
+    lambda d: d.conversations.select("conv_id", "turn", F.explode(tr.utterances(F.to_json(F.struct(F.col("role").alias("text"), F.array(F.array(F.col("turn"), F.col("turn") + 1), F.array(F.col("turn") + 1, F.col("turn") + 2)).alias("timestamp"))))).alias("u")).select("conv_id", "turn", "u.*"),
+    "SELECT conv_id, turn, turn + i AS start_ms, turn + i + 1 AS end_ms, substr(role, i + 1, 1) AS text FROM (SELECT *, unnest([0, 1]) AS i FROM conversations)",
+)
+add("x19_canonical_json", lambda d: d.events.select("event_id", fn.canonical_json(F.concat(F.lit('{"z": 1, "a": "'), F.col("event_type"), F.lit('"}'))).alias("options")), "SELECT event_id, '{\"a\":\"' || event_type || '\",\"z\":\"1\"}' AS options FROM events")

@@ -48,7 +48,7 @@ def read_results(spark: SparkSession, folder: str, fmt: str | None = None) -> Da
 def read_result_files(spark: SparkSession, folder: str) -> DataFrame:
     """Results stored as ``prefix/id/result.fmt`` files: (task_id, fmt, content)."""
     path = F.col("_metadata.file_path")
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder).select(path.alias("p"), F.col("value").alias("content"))
+    rows = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(path.alias("p"), F.col("value").alias("content"))
     return rows.select(F.regexp_extract("p", r"/([^/]+)/result\.(json|txt|srt)$", 1).alias("task_id"), F.regexp_extract("p", r"\.(json|txt|srt)$", 1).alias("fmt"), "content").where("task_id <> ''")
 
 
