@@ -194,7 +194,8 @@ def similar(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float =
     classes = scratch.table(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bytes").alias("bytes"), F.first("bands").alias("bands")), "classes")
 
     dealt = classes.select("key", F.explode("bands").alias("band"))
-    shared = dealt.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("low")).where("n > 1").drop("n")
+    # written first, so that the join below has a plain shuffle on both sides and a band that very many classes share can be split
+    shared = scratch.table(dealt.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("low")).where("n > 1").drop("n"), "shared")
     near = components(dealt.join(shared, "band").select(F.col("key").alias("u"), F.col("low").alias("v")), scratch, "near")
     near = scratch.table(near.unionByName(near.select(F.col("root").alias("v"), "root").distinct()), "groups")
 
@@ -235,7 +236,7 @@ def similar(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float =
     lowest = named.groupBy("root").agg(F.min("rep").alias("class_id"))
     linked = named.join(lowest, "root").join(links, "key").select("key", "class_id", "links")
     table = scratch.table(classes.select("key", "rep", "copies").join(linked, "key", "left"), "result")
-    scratch.drop("classes", "groups", "found")
+    scratch.drop("classes", "shared", "groups", "found")
     return signed.select("doc_id", "key").join(table, "key", "left").select(
         "doc_id",
         F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("class_id", "rep", "doc_id")).alias("class_id"),
