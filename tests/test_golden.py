@@ -235,7 +235,11 @@ def test_stream_twins(spark):
     done = {r.task_id for r in registry.QUERIES["q_t09_completed_tasks"](spark, data).collect()}
     seen = d.task_events.where("to_status in ('SUCCEEDED', 'FAILED')").groupBy("task_id").agg(F.count_distinct(F.col("event_id") % 3).alias("n")).where("n = 3").collect()
     assert done == {r.task_id for r in seen}
-    assert streams.event_stream(spark, f"{data}/events.parquet").isStreaming
+    stream = streams.event_stream(spark, f"{data}/events.parquet")
+    assert stream.isStreaming
+    to = streams.folder(spark, "sink")
+    streams.progress_sink(stream.select(F.col("user_id").alias("task_id"), "event_id", F.col("event_type").alias("status"), F.col("value").alias("progress")), f"{to}/out", f"{to}/state").awaitTermination()
+    assert spark.read.json(f"{to}/out").where("event_type = 'progress'").count() == d.events.count()
 
 
 def test_plan_shapes(spark):

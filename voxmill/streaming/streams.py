@@ -171,3 +171,9 @@ def fresh_results(results: DataFrame, tasks: DataFrame) -> DataFrame:
 def latest_state(events: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
     """T11, T12: newest value of each key, in update mode; twin: windows.latest."""
     return events.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value), F.max(F.struct(*order)).alias("version"))
+
+
+def progress_sink(changes: DataFrame, to: str, state: str):
+    """S16: progress events as JSON lines for later readers; returns the running query. changes: task_id, event_id, status, progress."""
+    events = changes.select("task_id", F.lit("progress").alias("event_type"), "status", "progress", "event_id")
+    return events.writeStream.format("json").option("path", to).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
