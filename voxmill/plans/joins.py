@@ -10,8 +10,8 @@ add("j01_tasks_files", lambda d: op.with_files(d.tasks, d.files.select("file_id"
 add("j02_zombies", lambda d: op.segments_with_parent(d.segments, d.tasks).select("segment_id", "status", "parent_status", "zombie"), "SELECT segment_id, s.status, t.status AS parent_status, s.status IN ('DISPATCHED','TRANSCRIBING') AND t.status IN ('SUCCEEDED','FAILED','CANCELED') AS zombie FROM d_segments s JOIN d_tasks t USING (task_id)")
 add(
     "j03_work_registry",
-    lambda d: op.work_against_registry(d.segments.where("status = 'TRANSCRIBING'"), d.servers.where("server_id % 10 <> 3")),
-    "SELECT server_id, coalesce(n, 0) AS n, coalesce(status, 'UNKNOWN') AS status, coalesce(max_concurrency, 0) AS slots FROM (SELECT assigned_server_id AS server_id, count(*) AS n FROM d_segments WHERE status = 'TRANSCRIBING' AND assigned_server_id IS NOT NULL GROUP BY 1) FULL JOIN (SELECT * FROM d_servers WHERE server_id % 10 <> 3) USING (server_id)",
+    lambda d: op.work_against_registry(d.segments.where("status = 'TRANSCRIBING'"), d.servers.where("enabled")),
+    "SELECT server_id, coalesce(n, 0) AS n, coalesce(status, 'UNKNOWN') AS status, coalesce(max_concurrency, 0) AS slots FROM (SELECT assigned_server_id AS server_id, count(*) AS n FROM d_segments WHERE status = 'TRANSCRIBING' AND assigned_server_id IS NOT NULL GROUP BY 1) FULL JOIN (SELECT * FROM d_servers WHERE enabled) USING (server_id)",
 )
 add("j04_semi_batches", lambda d: op.in_batches(d.segments, d.tasks, F.col("task_group_id").isNotNull()).select("segment_id", "task_id"), "SELECT segment_id, task_id FROM d_segments WHERE task_id IN (SELECT task_id FROM d_tasks WHERE task_group_id IS NOT NULL)")
 add("j05_whole_tasks", lambda d: op.whole_tasks(d.tasks, d.segments).select("task_id", "status"), "SELECT task_id, status FROM d_tasks t WHERE NOT EXISTS (SELECT 1 FROM d_segments s WHERE s.task_id = t.task_id)")
@@ -39,8 +39,8 @@ add(
 )
 add(
     "j09_dispatch_lookup",
-    lambda d: op.dispatch_lookup(d.segments.select((F.col("task_id") + F.when(F.col("segment_id") % 50 == 0, 10_000_000).otherwise(0)).alias("task_id"), "segment_id"), d.tasks, d.servers.where("server_id % 10 <> 3"), d.files.where("file_id % 20 <> 1")).select("segment_id", "reason"),
-    "SELECT segment_id, CASE WHEN t.task_id IS NULL THEN 'task_missing' WHEN f.file_id IS NULL THEN 'file_missing' WHEN v.server_id IS NULL THEN 'server_missing' ELSE 'ok' END AS reason FROM d_segments s LEFT JOIN d_tasks t ON t.task_id = s.task_id + CASE WHEN segment_id % 50 = 0 THEN 10000000 ELSE 0 END LEFT JOIN (SELECT * FROM d_files WHERE file_id % 20 <> 1) f ON f.file_id = t.file_id LEFT JOIN (SELECT * FROM d_servers WHERE server_id % 10 <> 3) v ON v.server_id = t.assigned_server_id",
+    lambda d: op.dispatch_lookup(d.segments.select((F.col("task_id") + F.when(F.col("segment_id") % 50 == 0, 10_000_000).otherwise(0)).alias("task_id"), "segment_id"), d.tasks, d.servers.where("enabled"), d.files.where("size_bytes > 0")).select("segment_id", "reason"),
+    "SELECT segment_id, CASE WHEN t.task_id IS NULL THEN 'task_missing' WHEN f.file_id IS NULL THEN 'file_missing' WHEN v.server_id IS NULL THEN 'server_missing' ELSE 'ok' END AS reason FROM d_segments s LEFT JOIN d_tasks t ON t.task_id = s.task_id + CASE WHEN segment_id % 50 = 0 THEN 10000000 ELSE 0 END LEFT JOIN (SELECT * FROM d_files WHERE size_bytes > 0) f ON f.file_id = t.file_id LEFT JOIN (SELECT * FROM d_servers WHERE enabled) v ON v.server_id = t.assigned_server_id",
 )
 add(
     "j11_resume",
@@ -80,7 +80,7 @@ add("l07_slot_order", lambda d: d.segments.where("status = 'TRANSCRIBING'").sele
 
 add("u01_busy_intervals", lambda d: op.busy_intervals(d.tasks, d.segments), "SELECT 'task' AS kind, task_id AS work_id, started_s, completed_s FROM d_tasks WHERE started_s IS NOT NULL AND completed_s IS NOT NULL UNION ALL SELECT 'segment', segment_id, started_s, completed_s FROM d_segments WHERE started_s IS NOT NULL AND completed_s IS NOT NULL")
 add("u02_unqueued_parents", lambda d: op.unqueued_parents(d.segments, d.tasks), "SELECT DISTINCT task_id FROM d_segments WHERE status = 'PENDING' AND task_id NOT IN (SELECT task_id FROM d_tasks WHERE status = 'QUEUED')")
-add("u03_exhausted_available", lambda d: op.exhausted_and_available(plan_table(d).where("item % 40 = 1"), d.servers), f"SELECT server_id FROM d_servers WHERE enabled AND status = 'ONLINE' AND max_concurrency > 0 AND server_id NOT IN (SELECT server_id FROM {PLAN} WHERE item % 40 = 1)")
+add("u03_exhausted_available", lambda d: op.exhausted_and_available(plan_table(d).where("start_s > 280"), d.servers), f"SELECT server_id FROM d_servers WHERE enabled AND status = 'ONLINE' AND max_concurrency > 0 AND server_id NOT IN (SELECT server_id FROM {PLAN} WHERE start_s > 280)")
 add("u04_endpoints", lambda d: op.endpoints(d.servers.withColumn("host", F.concat(F.lit(" 10.0.0."), (F.col("server_id") % 40).cast("string")))), "SELECT server_id, '10.0.0.' || (server_id % 40) || ':' || port AS endpoint, row_number() OVER (PARTITION BY server_id % 40, port ORDER BY server_id) > 1 AS duplicate FROM d_servers")
 add("u05_task_servers", lambda d: op.task_servers(d.segments), "SELECT DISTINCT task_id, assigned_server_id FROM d_segments WHERE assigned_server_id IS NOT NULL")
 add("u06_plan_difference", lambda d: op.plan_difference(plan_table(d).select("item"), d.tasks.where("status in ('QUEUED', 'DISPATCHED')").select(F.col("task_id").alias("item"))), f"SELECT DISTINCT item, 'stale_plan' AS side FROM {PLAN} WHERE item NOT IN (SELECT task_id FROM d_tasks WHERE status IN ('QUEUED','DISPATCHED')) UNION ALL SELECT DISTINCT task_id, 'unplanned' FROM d_tasks WHERE status IN ('QUEUED','DISPATCHED') AND task_id NOT IN (SELECT item FROM {PLAN})")

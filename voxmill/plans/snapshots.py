@@ -16,16 +16,16 @@ _ENDED = "('SUCCEEDED','FAILED','CANCELED')"
 
 
 def _moves(d):
-    return d.tasks.where("task_id % 3 = 0").select("task_id", F.expr(_TO).alias("to_status"), (F.col("created_s") + 999).alias("at_s"))
+    return d.tasks.select("task_id", F.expr(_TO).alias("to_status"), (F.col("created_s") + 999).alias("at_s"))
 
 
 add(
     "m01_transitions",
     lambda d: op.apply_transitions(d.tasks, _moves(d))[0].select("task_id", "status", "progress_bp", "completed_s"),
     f"""SELECT task_id, CASE WHEN ok THEN t ELSE status END AS status, CASE WHEN ok THEN greatest(progress_bp, CASE t WHEN 'QUEUED' THEN 1500 WHEN 'TRANSCRIBING' THEN 2000 WHEN 'SUCCEEDED' THEN 10000 ELSE 0 END) ELSE progress_bp END AS progress_bp,
-CASE WHEN ok THEN CASE WHEN t IN {_ENDED} THEN created_s + 999 END ELSE completed_s END AS completed_s FROM (SELECT *, {_TO} AS t, task_id % 3 = 0 AND (status, {_TO}) IN ({_LEGAL}) AS ok FROM d_tasks)""",
+CASE WHEN ok THEN CASE WHEN t IN {_ENDED} THEN created_s + 999 END ELSE completed_s END AS completed_s FROM (SELECT *, {_TO} AS t, (status, {_TO}) IN ({_LEGAL}) AS ok FROM d_tasks)""",
 )
-add("m01_rejected_moves", lambda d: op.apply_transitions(d.tasks, _moves(d))[1], f"SELECT task_id, status AS from_status, {_TO} AS to_status FROM d_tasks WHERE task_id % 3 = 0 AND (status, {_TO}) NOT IN ({_LEGAL})")
+add("m01_rejected_moves", lambda d: op.apply_transitions(d.tasks, _moves(d))[1], f"SELECT task_id, status AS from_status, {_TO} AS to_status FROM d_tasks WHERE (status, {_TO}) NOT IN ({_LEGAL})")
 
 
 def _cancel(d, wanted):
