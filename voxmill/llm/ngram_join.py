@@ -185,7 +185,7 @@ def verify(members: list[tuple], threshold: float, row_block: int = 256):
     return [(members[i][0], int(links[i]), least[find(i)]) for i in range(n)]
 
 
-def similar(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.9995, block: int = 512, block_bytes: int = 8 << 20, text: str = "text", doc_id: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
+def similar(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.9995, block: int = 192, block_bytes: int = 8 << 20, text: str = "text", doc_id: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
     """One row per document: its id, ``class_id`` (smallest id of its connected component), ``copy_of`` (smallest id with the same shingle set) and ``n_links`` (other documents at or above the threshold, copies included)."""
     scratch = scratch or Scratch(docs.sparkSession)
     bands, rows = band_plan(threshold, recall)
