@@ -253,3 +253,12 @@ def test_plan_shapes(spark):
 
     plan = registry.QUERIES["q_s01_typed_scan"](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(value,100.0)" in plan and "props" not in plan.split("ReadSchema")[1]
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 180 and len(e.oracle_sql()) > 170"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1]).returncode == 0

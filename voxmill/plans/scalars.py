@@ -20,11 +20,11 @@ add(
     lambda d: d.conversations.select("conv_id", "turn", fn.join_single_characters(F.when(F.col("turn") % 2 == 0, F.regexp_replace(F.substring("text", 1, 6), r"(\S)", "$1 ")).otherwise(F.col("text")), F.lit(".")).alias("t")),
     "SELECT conv_id, turn, CASE WHEN contains(t, ' ') AND len(k) > 0 AND len(list_filter(k, lambda x: length(x) <> 1)) = 0 THEN array_to_string(k, '') ELSE t END || '.' AS t FROM (SELECT *, list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS k FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN regexp_replace(substring(text, 1, 6), '([^ \\t\\n\\x0B\\f\\r])', '\\1 ', 'g') ELSE text END AS t FROM conversations))",
 )
-_LINES = F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "text")))
+_LINES = lambda: F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "text")))
 
 
 def _formats(d):
-    g = d.utterances.groupBy("task_id", "segment_index").agg(_LINES.alias("l"))
+    g = d.utterances.groupBy("task_id", "segment_index").agg(_LINES().alias("l"))
     return g.select("task_id", "segment_index", F.md5(tr.to_srt(F.col("l"))).alias("srt"), F.md5(tr.to_txt(F.col("l"))).alias("txt"))
 
 
@@ -92,10 +92,10 @@ def _backoff(d):
 
 
 add("x13_backoff", _backoff, "SELECT task_id, r AS delay, round(greatest(0.1::DOUBLE, r * 0.9::DOUBLE), 4) AS lowest, round(r * 1.1::DOUBLE, 4) AS highest FROM (SELECT task_id, least(pow(2.0::DOUBLE, retry_count * 2), 60.0::DOUBLE) AS r FROM d_tasks)")
-_PATHS = F.when(F.col("file_id") % 3 == 0, F.concat(F.lit("a/b/../"), "original_name")).when(F.col("file_id") % 3 == 1, F.concat(F.lit("x/..."), "original_name")).otherwise("/.../")
+_PATHS = lambda: F.when(F.col("file_id") % 3 == 0, F.concat(F.lit("a/b/../"), "original_name")).when(F.col("file_id") % 3 == 1, F.concat(F.lit("x/..."), "original_name")).otherwise("/.../")
 add(
     "x14_safe_names",
-    lambda d: d.files.select("file_id", fn.safe_name(_PATHS).alias("safe"), fn.stem(_PATHS).alias("stem")),
+    lambda d: d.files.select("file_id", fn.safe_name(_PATHS()).alias("safe"), fn.stem(_PATHS()).alias("stem")),
     "SELECT file_id, CASE WHEN file_id % 3 = 2 THEN 'unnamed' ELSE original_name END AS safe, CASE WHEN file_id % 3 = 2 THEN 'unnamed' ELSE regexp_replace(original_name, '\\.[^.]+$', '') END AS stem FROM d_files",
 )
 add("x15_sharded_path", lambda d: d.files.select("file_id", fn.sharded_path("results", F.lpad(F.col("file_id").cast("string"), 8, "0"), F.lit("result.json")).alias("path")), "SELECT file_id, 'results/' || left(lpad(file_id::VARCHAR, 8, '0'), 4) || '/' || lpad(file_id::VARCHAR, 8, '0') || '/result.json' AS path FROM d_files")

@@ -5,13 +5,13 @@ from pyspark.sql import functions as F
 from voxmill.plans.registry import add
 from voxmill.streaming import streams as op
 
-_STATUS = F.when(F.col("event_type") == "signup", "PREPROCESSING").when(F.col("event_type") == "view", "QUEUED").when(F.col("event_type") == "click", "DISPATCHED").when(F.col("event_type") == "purchase", "SUCCEEDED").otherwise("FAILED")
+_STATUS = lambda: F.when(F.col("event_type") == "signup", "PREPROCESSING").when(F.col("event_type") == "view", "QUEUED").when(F.col("event_type") == "click", "DISPATCHED").when(F.col("event_type") == "purchase", "SUCCEEDED").otherwise("FAILED")
 
 
 def _events(d):
     e = op.event_stream(d.spark, f"{d.sf_dir}/events.parquet")
     ts = F.col("ts").cast("timestamp")
-    return e.select("event_id", ts.alias("ts"), F.col("user_id").alias("task_id"), F.unix_micros(ts).alias("ts_us"), F.unix_seconds(ts).alias("at_s"), _STATUS.alias("status"), F.round(F.col("value") * 100).cast("long").alias("value"))
+    return e.select("event_id", ts.alias("ts"), F.col("user_id").alias("task_id"), F.unix_micros(ts).alias("ts_us"), F.unix_seconds(ts).alias("at_s"), _STATUS().alias("status"), F.round(F.col("value") * 100).cast("long").alias("value"))
 
 
 add("t01_progress_changes", lambda d: op.drain(op.progress_changes(_events(d).select("task_id", "at_s", "event_id", F.when(F.col("status") == "FAILED", "DISPATCHED").otherwise(F.col("status")).alias("status"), ((F.col("event_id") % 50) / 50.0).alias("progress"))), "t01"))
