@@ -23,7 +23,7 @@ from voxmill.llm import text_stats
 from voxmill.llm.common import Scratch
 
 # Metric -> smallest distance of the fence from the upper quartile.
-SLACK = {"symbols": 0.04, "capitals": 0.15, "dup_lines": 0.34, "repeats": 0.25, "word_length": 3.0, "bangs": 0.15}
+SLACK = {"symbols": 0.04, "capitals": 0.15, "dup_lines": 0.34, "repeats": 0.3, "word_length": 3.0, "bangs": 0.15, "stutter": 0.2}
 
 
 def counted(docs: DataFrame, text: str, doc_id: str, lang: str, source: str) -> DataFrame:
@@ -38,7 +38,7 @@ def counted(docs: DataFrame, text: str, doc_id: str, lang: str, source: str) ->
         text_stats.chars_in(body, r"\P{Lu}+").alias("upper"),
         text_stats.chars_in(body, r"[^!]+").alias("bang"),
     )
-    return rows.select("doc_id", "lang", "source", F.col("__words.n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("__words.r").cast("long").alias("n_repeat_words"), "lines", "upper", "bang")
+    return rows.select("doc_id", "lang", "source", F.col("__words.n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("__words.r").cast("long").alias("n_repeat_words"), "lines", "upper", "bang", F.col("__words.s").alias("same_as_before"))
 
 
 def metrics() -> dict[str, Column]:
@@ -50,6 +50,7 @@ def metrics() -> dict[str, Column]:
         "repeats": F.col("n_repeat_words") / words,
         "word_length": F.col("word_chars") / words,
         "bangs": F.col("bang") / words,
+        "stutter": F.col("same_as_before") / words,
     }
 
 

@@ -48,10 +48,15 @@ def repeat_words(ws: Column, width: int = 8) -> Column:
     return let(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(let(pairs(w), covered)))
 
 
+def stutter(ws: Column) -> Column:
+    """Words that equal the word before them."""
+    return F.size(F.filter(ws, lambda w, i: (i > 0) & (w == ws[F.greatest(i - 1, F.lit(0))])))
+
+
 def base_counts(text: Column) -> dict[str, Column]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
+    """Struct of n words, r words in repeated windows and s words like the one before; and word_chars, n_symbols and n_dup_lines."""
     text = F.coalesce(text, F.lit(""))
-    both = let(words(text), lambda w: F.struct(F.size(w).alias("n"), repeat_words(w).alias("r")))
+    both = let(words(text), lambda w: F.struct(F.size(w).alias("n"), repeat_words(w).alias("r"), stutter(w).alias("s")))
     return {
         "__words": both,
         "word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
