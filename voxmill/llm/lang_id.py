@@ -10,7 +10,8 @@ probabilities.
 Sample: at most ``per_language`` documents of each of the ``most_languages`` most
 frequent languages, by order of their hashed ids. Nulls: rows with a null language
 don't train; a null text, or one without a letter, is ``und`` with score 0. With no
-training row every text is ``und``. Language and source are not read for prediction.
+training row every text is ``und``. Repeated rows are predicted each. Prediction reads
+the id and the text only, so other columns may have any name.
 """
 
 from __future__ import annotations

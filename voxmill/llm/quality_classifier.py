@@ -8,7 +8,8 @@ expression, so that scoring is a native pass over the texts.
 Sample: at most ``most_rows`` labelled documents, those whose hashed ids come first.
 Labels with a null id or value are left out; an id with several labels counts by
 their mean. Nulls: a null text is scored as an empty one. With no usable label, or
-labels of one value only, every score is the smoothed share of ones.
+labels of one value only, every score is the smoothed share of ones. Repeated rows are
+scored each; ``scored`` replaces a column that already has the score's name.
 """
 
 from __future__ import annotations

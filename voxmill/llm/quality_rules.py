@@ -12,7 +12,8 @@ holds a third of all rows is summed up where its rows are. The counts are writte
 once to the shared folder and read for the sketches and for the join.
 
 Nulls: a null text has no words and fails the base rules; null languages and
-sources are groups of their own. Repeated rows are counted and judged each.
+sources are groups of their own. Repeated rows are counted and judged each. Only the
+four named columns are read.
 """
 
 from __future__ import annotations

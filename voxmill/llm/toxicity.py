@@ -13,7 +13,8 @@ against the label are kept, and each linear model is logistic with an L1 penalty
 Sample: at most ``most_toxic`` labelled toxic documents and ``most_clean`` others,
 those whose hashed ids come first. Nulls: labels with a null id or value are left
 out, an id with several labels is toxic if one of them says so; a null text is
-scored as empty. Rows are scored each for itself. With no toxic label or none
+scored as empty. Rows are scored each for itself; columns other than the id and the
+text are not read. With no toxic label or none
 other, probabilities are the smoothed share of the label.
 """
 

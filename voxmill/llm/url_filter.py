@@ -13,7 +13,7 @@ strength a level. Pages get their host's verdict by a join that can split a hot
 
 Nulls: a null url, or one without ``://``, has an empty host and path, fits no rule
 and is allowed; pages with a null outcome don't count. Repeated rows count and are
-judged each.
+judged each. Columns other than the id, the url and the outcome are not read.
 """
 
 from __future__ import annotations
