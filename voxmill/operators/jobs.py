@@ -48,9 +48,10 @@ def quotas(batches: DataFrame, servers: DataFrame) -> DataFrame:
 
     Shares are rounded half to even; what is missing goes to the fastest server, what
     is too much is taken from the slowest upward, from each at most its quota.
-    batches: batch, n; servers: server_id, speed (a registry, broadcast as a small table).
+    batches: batch, n; servers: server_id, speed (a registry, its size checked).
     """
-    both = batches.where("n > 0").crossJoin(F.broadcast(servers.where("speed > 0")))
+    every = joins.as_literal(servers.where("speed > 0").select("server_id", "speed"))
+    both = batches.where("n > 0").select("batch", "n", F.inline(every))
     by = W.partitionBy("batch")
     both = both.withColumn("quota", F.bround(F.col("n") * F.col("speed") / F.sum("speed").over(by), 0).cast("long"))
     both = both.withColumn("diff", F.col("n") - F.sum("quota").over(by))

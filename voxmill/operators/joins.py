@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import json
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from voxmill import constants as C
 
@@ -77,17 +79,21 @@ def stalled_finalisation(tasks: DataFrame, segments: DataFrame) -> DataFrame:
     return tasks.where(~F.col("status").isin(*C.TERMINAL)).join(g, "task_id").select("task_id", "status", "n")
 
 
-def best_server(items: DataFrame, servers: DataFrame, penalty: float = 0.1, most_servers: int = 10_000) -> DataFrame:
-    """For each item the available server with the smallest estimate. items: item, audio_s.
+def as_literal(rows: DataFrame, most: int = 10_000) -> Column:
+    """A small table, its size checked, as an array of structs inside an expression: what is compared with all of its rows then needs no join."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} rows")
+    return F.from_json(F.lit(json.dumps([r.asDict() for r in got])), T.ArrayType(rows.schema))
+
 
-    Every item is tried on every server, which is the question; the registry is the
-    small side and is broadcast after a check of its size.
-    """
+def best_server(items: DataFrame, servers: DataFrame, penalty: float = 0.1) -> DataFrame:
+    """For each item the available server with the smallest estimate; ties to the smaller id. items: item, audio_s. One row an item, no shuffle."""
     s = servers.where("enabled and status = 'ONLINE' and max_concurrency > 0").select("server_id", F.coalesce("rtf_baseline", F.lit(0.3)).alias("rtf"), "max_concurrency")
-    if s.limit(most_servers + 1).count() > most_servers:
-        raise ValueError(f"more than {most_servers} servers: rank them by rtf first")
-    est = F.col("audio_s") * F.col("rtf") * (1 + penalty * (F.col("server_id") % F.col("max_concurrency"))) + 5
-    return items.crossJoin(F.broadcast(s)).groupBy("item").agg(F.min_by("server_id", F.struct(est, "server_id")).alias("server_id"), F.round(F.min(est), 3).alias("estimate_s"))
+    est = lambda x: F.col("audio_s") * x["rtf"] * (1 + penalty * (x["server_id"] % x["max_concurrency"])) + 5
+    best = F.array_min(F.transform(as_literal(s), lambda x: F.struct(est(x).alias("e"), x["server_id"].alias("server_id"))))
+    rows = items.select("item", best.alias("b")).where("b is not null")
+    return rows.select("item", "b.server_id", F.round("b.e", 3).alias("estimate_s"))
 
 
 def inhibited(alerts: DataFrame) -> DataFrame:
