@@ -88,12 +88,21 @@ def as_literal(rows: DataFrame, most: int = 10_000) -> Column:
 
 
 def best_server(items: DataFrame, servers: DataFrame, penalty: float = 0.1) -> DataFrame:
-    """For each item the available server with the smallest estimate; ties to the smaller id. items: item, audio_s. One row an item, no shuffle."""
+    """For each item the available server with the smallest estimate; ties to the smaller id. items: item, audio_s (not negative).
+
+    All estimates are a slope times the audio plus the same overhead, so only the
+    servers of the smallest slope (to rounding) can win, or for no audio at all the
+    first one; these few are tried on each item, without a join.
+    """
     s = servers.where("enabled and status = 'ONLINE' and max_concurrency > 0").select("server_id", F.coalesce("rtf_baseline", F.lit(0.3)).alias("rtf"), "max_concurrency")
+    slope = F.col("rtf") * (1 + penalty * (F.col("server_id") % F.col("max_concurrency")))
+    low, first = s.agg(F.min(slope), F.min("server_id")).head()
+    if first is None:
+        return items.limit(0).select("item", F.lit(None).cast("long").alias("server_id"), F.lit(None).cast("double").alias("estimate_s"))
+    can_win = as_literal(s.where((slope <= low + 1e-9 * abs(low)) | (F.col("server_id") == first)))
     est = lambda x: F.col("audio_s") * x["rtf"] * (1 + penalty * (x["server_id"] % x["max_concurrency"])) + 5
-    best = F.array_min(F.transform(as_literal(s), lambda x: F.struct(est(x).alias("e"), x["server_id"].alias("server_id"))))
-    rows = items.select("item", best.alias("b")).where("b is not null")
-    return rows.select("item", "b.server_id", F.round("b.e", 3).alias("estimate_s"))
+    best = F.array_min(F.transform(can_win, lambda x: F.struct(est(x).alias("e"), x["server_id"].alias("server_id"))))
+    return items.select("item", best.alias("b")).select("item", "b.server_id", F.round("b.e", 3).alias("estimate_s"))
 
 
 def inhibited(alerts: DataFrame) -> DataFrame:
