@@ -50,16 +50,16 @@ def quotas(batches: DataFrame, servers: DataFrame) -> DataFrame:
     is too much is taken from the slowest upward, from each at most its quota.
     batches: batch, n; servers: server_id, speed (a registry, its size checked).
     """
-    every = joins.as_literal(servers.where("speed > 0").select("server_id", "speed"))
-    both = batches.where("n > 0").select("batch", "n", F.inline(every))
-    by = W.partitionBy("batch")
-    both = both.withColumn("quota", F.bround(F.col("n") * F.col("speed") / F.sum("speed").over(by), 0).cast("long"))
-    both = both.withColumn("diff", F.col("n") - F.sum("quota").over(by))
-    fastest = F.row_number().over(by.orderBy(F.desc("speed"), "server_id")) == 1
-    slower = F.coalesce(F.sum("quota").over(by.orderBy("speed", "server_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    fleet = servers.where("speed > 0").select("server_id", "speed")
+    # what is the same for every batch is worked out once, on the registry
+    total, best = fleet.agg(F.sum("speed"), F.min_by("server_id", F.struct(-F.col("speed"), "server_id"))).head()
+    both = batches.where("n > 0").select("batch", "n", F.inline(joins.as_literal(fleet)))
+    both = both.withColumn("quota", F.bround(F.col("n") * F.col("speed") / F.lit(total), 0).cast("long"))
+    by = W.partitionBy("batch").orderBy("speed", "server_id")
+    both = both.withColumn("slower", F.coalesce(F.sum("quota").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    both = both.withColumn("diff", F.col("n") - F.sum("quota").over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     taken = F.least("quota", F.greatest(F.lit(0), -F.col("diff") - F.col("slower")))
-    both = both.withColumns({"fastest": fastest, "slower": slower})
-    return both.select("batch", "server_id", F.when((F.col("diff") > 0) & F.col("fastest"), F.col("quota") + F.col("diff")).when(F.col("diff") < 0, F.col("quota") - taken).otherwise(F.col("quota")).alias("quota"))
+    return both.select("batch", "server_id", F.when((F.col("diff") > 0) & (F.col("server_id") == F.lit(best)), F.col("quota") + F.col("diff")).when(F.col("diff") < 0, F.col("quota") - taken).otherwise(F.col("quota")).alias("quota"))
 
 
 def heartbeat_states(probes: DataFrame, timeout_s: int = C.HEARTBEAT_TIMEOUT_S) -> DataFrame:
