@@ -140,6 +140,40 @@ def test_language_model_against_loops(spark, docs):
     assert lm_score.score(empty(spark), table, facts, auto, scratch).count() == 0
 
 
+@pytest.mark.parametrize("cached", [{}, {"cached_words": 3e-5, "cached": 4e-5}])
+def test_language_model_keeps_rare_ngrams(spark, cached):
+    # 250,000 tokens of filler: what occurs once or twice is rarer than 1e-5
+    rows = [(i, " ".join([*np.random.default_rng(i).choice(BASE, 12), f"only{i % 30}", "once"]), i % 4 != 0) for i in range(60)] + [(90, "word " * 250_000, True), (91, "unseen words the quick brown", False), (92, "", False)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(3)
+    scratch = common.Scratch(spark)
+    got = {r.doc_id: r.score for r in lm_score.score(data, *lm_score.train(data.where("train"), scratch, **cached), scratch).collect()}
+    c1, c2, c3 = collections.Counter(), collections.Counter(), collections.Counter()
+    for _, t, train in rows:
+        if train:
+            w = tokens(t)
+            c1.update(w), c2.update(zip(w, w[1:])), c3.update(zip(w, w[1:], w[2:]))
+    n, v = sum(c1.values()), len(c1)
+    d1 = min(max(sum(x == 1 for x in c1.values()) / v, 0.05), 0.95)
+    p1 = lambda w: (c1[w] - d1) / n if w in c1 else d1 * v / n
+
+    def backed(i, w):
+        if (i, w) in c2:
+            return (c2[i, w] - 0.75) / c1[i]
+        mine = [k for k in c2 if k[0] == i]
+        return p1(w) * ((1 - sum((c2[k] - 0.75) / c1[i] for k in mine)) / (1 - sum(p1(k[1]) for k in mine)) if mine else 1)
+
+    def p(i, j, w):
+        if (i, j, w) in c3:
+            return (c3[i, j, w] - 0.75) / c2[i, j]
+        mine = [k for k in c3 if k[:2] == (i, j)]
+        return backed(j, w) * ((1 - sum((c3[k] - 0.75) / c2[i, j] for k in mine)) / (1 - sum(backed(j, k[2]) for k in mine)) if mine else 1)
+
+    for i, t, _ in rows:
+        if i != 90:
+            w = tokens(t)
+            assert got[i] == pytest.approx(sum(math.log10(p1(x) if a == 0 else backed(w[0], x) if a == 1 else p(w[a - 2], w[a - 1], x)) for a, x in enumerate(w))), i
+
+
 # ---------------------------------------------------------------- quality rules
 
 

@@ -1,14 +1,15 @@
 """Language-model scores with a weighted backoff automaton.
 
-Training counts cover every training document. Word counts are shuffled and kept
-as a table, whatever its size. N-grams with a relative frequency of at least
-``common`` become the automaton: at most 1 / ``common`` of each order can have it,
-at any corpus size, which bounds what is broadcast. Its states are contexts, its arcs
-carry discounted log-probabilities, and a failure arc leads from each context to the
-next shorter one with its backoff weight. A text is read once from left to right: the
-traversal carries the state, follows failure arcs until a word has an arc, and adds
-up weights. Words too rare for the automaton take their failure arcs down to the root
-there; their own probabilities come from the table of all words by a join.
+Training counts cover every training document, and every word, pair and triple of
+words seen in them is kept, in shuffled tables. N-grams with a relative frequency of
+at least ``cached`` also become the automaton: at most 1 / ``cached`` of each order
+can have it, at any corpus size, which bounds what is broadcast. Its states are
+contexts, its arcs carry discounted log-probabilities, and a failure arc leads from
+each context to the next shorter one with its backoff weight. A text is read once from
+left to right: the traversal carries the state, follows failure arcs until a word has
+an arc, and adds up weights. A place is left open where the automaton can't tell: its
+context isn't a state, or a state that fails has more arcs in the tables. Open places
+are looked up in the tables by joins; none of their n-grams is frequent.
 
 Discounts: words by the share of words seen once, so that unseen words together get
 the probability of those (Good-Turing); longer n-grams by 0.75. Probabilities are over
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from voxmill.llm.common import LOWER_BYTES, Scratch, chunks, hash_words, small_batches, words
+from voxmill.llm.common import LOWER_BYTES, Scratch, chunks, fold, hash_words, small_batches, words
 
 END = np.uint64(0x5EED0000E11D0001)
 DISCOUNT = 0.75
@@ -86,6 +87,46 @@ def counts_of(docs: DataFrame, keys_of) -> DataFrame:
     return docs.mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+class Counter:
+    """Sums counts by 64-bit key and gives them out when there are many."""
+
+    def __init__(self, most: int = 1 << 21):
+        self.parts, self.size, self.most = [], 0, most
+
+    def add(self, keys: np.ndarray):
+        found, counts = np.unique(keys, return_counts=True)
+        self.parts.append((found, counts))
+        self.size += len(found)
+        if self.size > self.most:
+            self.parts = [self._merged()]
+            self.size = len(self.parts[0][0])
+            if self.size > self.most // 2:
+                yield self.take()
+
+    def _merged(self):
+        keys, counts = (np.concatenate(x) for x in zip(*self.parts))
+        found, which = np.unique(keys, return_inverse=True)
+        return found, np.bincount(which, counts).astype(np.int64)
+
+    def take(self) -> pa.RecordBatch:
+        keys, counts = self._merged() if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.parts, self.size = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["h", "c"])
+
+
+def counts_of(docs: DataFrame, keys_of) -> DataFrame:
+    """(h, c): how often each key occurs; ``keys_of(hashes, offsets)`` gives the keys of a chunk."""
+
+    def run(batches):
+        counter = Counter()
+        for b in batches:
+            for _, h, offs in token_hashes(b.column(0)):
+                yield from counter.add(keys_of(h, offs))
+        yield counter.take()
+
+    return docs.mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+
+
 @dataclass
 class Automaton:
     """Words are numbered by descending count; state 0 is the root."""
@@ -97,6 +138,8 @@ class Automaton:
     arcs: dict[int, tuple[int, float]] = field(default_factory=dict)  # state * words + word -> (next state, log-probability)
     fail: list[int] = field(default_factory=lambda: [0])
     backoff: list[float] = field(default_factory=lambda: [0.0])
+    depth: list[int] = field(default_factory=lambda: [0])
+    whole: list[bool] = field(default_factory=lambda: [True])  # all words after the context have an arc
 
     def numbered(self, h: np.ndarray) -> np.ndarray:
         """Word numbers; -1 for words outside the automaton."""
@@ -105,64 +148,123 @@ class Automaton:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.where(self.hashes[at] == h, self.numbers[at], -1)
 
-    def traverse(self, tokens: list[int]) -> float:
-        """One pass over the word numbers of a text. Rare words (-1) add only their backoff weights."""
+    def traverse(self, tokens: list[int]) -> tuple[float, list[int]]:
+        """One pass over the word numbers of a text (-1: rare): the sum over the places that the automaton can tell, and the open ones."""
         arcs, fail, backoff, n = self.arcs, self.fail, self.backoff, len(self.root_logp)
-        root_logp, root_next = self.root_logp, self.root_next
-        state, total = 0, 0.0
-        for w in tokens:
+        root_logp, root_next, depth, whole = self.root_logp, self.root_next, self.depth, self.whole
+        state, total, unsure = 0, 0.0, []
+        for place, w in enumerate(tokens):
+            sure, logp = depth[state] == (place if place < 2 else 2), 0.0
             while state:
                 arc = arcs.get(state * n + w) if w >= 0 else None
                 if arc:
                     break
-                total += backoff[state]
+                sure = sure and whole[state]
+                logp += backoff[state]
                 state = fail[state]
             if state:
-                state, logp = arc
-                total += logp
+                state, last = arc
+                logp += last
             elif w >= 0:
-                total += root_logp[w]
+                logp += root_logp[w]
                 state = root_next[w]
-        return total
+            else:
+                sure = False
+            if sure:
+                total += logp
+            else:
+                unsure.append(place)
+        return total, unsure
+
+
+@dataclass
+class Model:
+    """The automaton, and the tables of all words (id, p, back), pairs (u, v, p, back) and triples (u, v, w, p): log-probabilities and backoff weights."""
 
+    auto: Automaton
+    words: DataFrame | None = None
+    pairs: DataFrame | None = None
+    triples: DataFrame | None = None
 
-def build(hashes: np.ndarray, counts: np.ndarray, pairs: dict[tuple[int, int], int], triples: dict[tuple[int, int, int], int], total: int, discount: float) -> Automaton:
-    """hashes, counts: by number. pairs and triples: counts by word numbers."""
-    order = np.argsort(hashes)
-    auto = Automaton(hashes[order], np.arange(len(hashes))[order])
-    n = len(hashes)
-    p1 = [(int(c) - discount) / total for c in counts]
-    p2 = {k: (c - DISCOUNT) / int(counts[k[0]]) for k, c in pairs.items()}
-    p3 = {k: (c - DISCOUNT) / pairs[k[:2]] for k, c in triples.items()}
+
+def idents(auto: Automaton, h: np.ndarray) -> np.ndarray:
+    """The number of a word in the automaton, or the hash of another."""
+    w = auto.numbered(h)
+    return np.where(w >= 0, w, h.view(np.int64))
+
+
+def grams(texts: DataFrame, n: int, shared, usable: int | None, most: int = 1 << 20) -> DataFrame:
+    """(u, v[, w], c): how often each run of n words occurs; with ``usable``, only runs of words numbered below it."""
+    names = ["u", "v", "w"][:n]
+
+    def run(batches):
+        auto, parts, size = shared.value, [], 0
+
+        def counted():
+            h = np.concatenate(parts)
+            key = fold(h, n)
+            ok = np.ones(len(key), bool)
+            for j in range(n - 1):
+                ok &= h[j : j + len(key)] != END  # the end of a text isn't followed by the next one
+            word = idents(auto, h)
+            if usable is not None:
+                small = (word >= 0) & (word < usable)
+                for j in range(n):
+                    ok &= small[j : j + len(key)]
+            at = np.flatnonzero(ok)
+            _, first, c = np.unique(key[at], return_index=True, return_counts=True)
+            at = at[first]
+            return pa.RecordBatch.from_arrays([*(pa.array(word[at + j]) for j in range(n)), pa.array(c.astype(np.int64))], [*names, "c"])
+
+        for b in batches:
+            for _, h, _ in token_hashes(b.column(0)):
+                parts.append(h)
+                size += len(h)
+                if size > most:
+                    yield counted()
+                    parts, size = [], 0
+        if size >= n:
+            yield counted()
+
+    return texts.mapInArrow(run, ", ".join(f"{x} bigint" for x in [*names, "c"])).groupBy(*names).agg(F.sum("c").alias("c"))
+
+
+def weight(left, lower):
+    """Log backoff weight from the probabilities that the arcs leave, of a context and of the next shorter one."""
+    return F.log10(F.greatest(left, F.lit(1e-12)) / F.greatest(lower, F.lit(1e-12)))
+
+
+def build(auto: Automaton, uni, pairs, triples) -> Automaton:
+    """uni: rows (id, p, back, n) of all numbered words in order; pairs, triples: rows of the frequent n-grams. n: how many words follow a context."""
+    n = len(uni)
+    back, follow = {(r[0],): r[2] for r in uni}, {(r[0],): r[3] for r in uni}
+    back.update(((r.u, r.v), r.back) for r in pairs)
+    follow.update(((r.u, r.v), r.n) for r in pairs)
     state: dict[tuple, int] = {}
-    for k in sorted({(i,) for i, _ in p2} | {(i, j) for i, j, _ in p3}, key=lambda k: (len(k), k)):
+    arcs: dict[tuple, int] = {}
+    for k in [*((r.u,) for r in pairs), *((r.u, r.v) for r in triples)]:
+        arcs[k] = arcs.get(k, 0) + 1
+    for k in sorted(arcs, key=lambda k: (len(k), k)):
         state[k] = len(auto.fail)
         auto.fail.append(state.get(k[1:], 0) if len(k) == 2 else 0)
-        auto.backoff.append(0.0)
+        auto.backoff.append(back[k])
+        auto.depth.append(len(k))
+        auto.whole.append(arcs[k] == follow[k])
 
     def after(*context: int) -> int:
         return state.get(context[-2:]) or state.get(context[-1:]) or 0
 
-    auto.root_logp = [log10(p) for p in p1]
+    auto.root_logp = [r[1] for r in uni]
     auto.root_next = [after(i) for i in range(n)]
-    given: dict[tuple, list[float]] = {}
-    for (i, j), p in p2.items():
-        auto.arcs[state[(i,)] * n + j] = (after(i, j), log10(p))
-        mass = given.setdefault((i,), [1.0, 1.0])
-        mass[0] -= p
-        mass[1] -= p1[j]
-    for (i, j, k), p in p3.items():
-        auto.arcs[state[(i, j)] * n + k] = (after(i, j, k), log10(p))
-        mass = given.setdefault((i, j), [1.0, 1.0])
-        mass[0] -= p
-        mass[1] -= p2[(j, k)]
-    for k, (left, lower) in given.items():
-        auto.backoff[state[k]] = log10(max(left, 1e-12) / max(lower, 1e-12))
+    for r in pairs:
+        auto.arcs[state[r.u,] * n + r.v] = (after(r.u, r.v), r.p)
+    for r in triples:
+        auto.arcs[state[r.u, r.v] * n + r.w] = (after(r.v, r.w), r.p)
     return auto
 
 
-def train(docs: DataFrame, scratch: Scratch, common_words: float = 1e-6, common: float = 1e-5, text: str = "text"):
-    """(word table (h, c), {tokens, words, discount}, automaton) from all rows given."""
+def train(docs: DataFrame, scratch: Scratch, least_words: float = 0.0, least: float = 0.0, text: str = "text", cached_words: float = 1e-6, cached: float = 1e-5):
+    """(word table (h, c), {tokens, words, discount}, model) from all rows given. Words and n-grams below the relative frequencies ``least_words`` and ``least`` take no part in n-grams; by default all do."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(docs[text].cast("string").alias("t"))
@@ -170,49 +272,59 @@ def train(docs: DataFrame, scratch: Scratch, common_words: float = 1e-6, common:
     total, size, once = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).head()
     facts = {"tokens": int(total), "words": int(size), "discount": min(max(once / size, 0.05), 0.95) if size else 0.0}
     if not total:
-        return table, facts, Automaton(np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    # at most 1 / common_words rows have that relative frequency
-    top = table.where(F.col("c") >= common_words * total).orderBy(F.desc("c"), "h").toPandas()
+        return table, facts, Model(Automaton(np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    # at most 1 / cached_words rows have that relative frequency
+    top = table.where(F.col("c") >= cached_words * total).orderBy(F.desc("c"), "h").toPandas()
     hashes, counts = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     auto = Automaton(*(lambda o: (hashes[o], o))(np.argsort(hashes)))
     shared = spark.sparkContext.broadcast(auto)
-    least = common * total
-    usable, n = int((counts >= least).sum()), len(hashes)  # a pair is as frequent as each of its words at most
-
-    def pair_keys(h, offs):
-        w = shared.value.numbered(h)
-        ok = (w[:-1] >= 0) & (w[:-1] < usable) & (w[1:] >= 0) & (w[1:] < usable)
-        ok[offs[1:-1] - 1] = False  # the end of a text isn't followed by the next one
-        return (w[:-1][ok] * n + w[1:][ok]).astype(np.uint64)
-
-    # at most 1 / common pairs, and as many triples
-    pairs = {(int(k) // n, int(k) % n): int(c) for k, c in counts_of(texts, pair_keys).where(F.col("c") >= least).collect()}
-    kept = spark.sparkContext.broadcast(np.array(sorted(i * n + j for i, j in pairs), np.int64))
-
-    def triple_keys(h, offs):
-        w = shared.value.numbered(h)
-        known = kept.value
-        two = np.where((w[:-1] >= 0) & (w[1:] >= 0), w[:-1] * n + w[1:], -1)
-        two[offs[1:-1] - 1] = -1
-        at = np.searchsorted(known, two)
-        at[at == len(known)] = 0
-        found = (known[at] == two) & (two >= 0) if len(known) else np.zeros(len(two), bool)
-        at = at[:-1][found[:-1] & found[1:]] * n + w[2:][found[:-1] & found[1:]] if len(two) > 1 else np.zeros(0, np.int64)
-        return at.astype(np.uint64)
-
-    order = kept.value
-    triples = {}
-    for key, c in counts_of(texts, triple_keys).where(F.col("c") >= least).collect():
-        pair, k = int(order[int(key) // n]), int(key) % n
-        triples[(pair // n, pair % n, k)] = int(c)
-    return table, facts, build(hashes, counts, pairs, triples, facts["tokens"], facts["discount"])
-
-
-def score(docs: DataFrame, table: DataFrame, facts: dict, auto: Automaton, scratch: Scratch, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The kept columns, ``n_tokens``, ``n_known`` (tokens seen in training), ``base_score`` (add-0.1 unigrams) and ``score`` (the automaton) of every whole text."""
+    usable = int((counts >= least_words * total).sum()) if least_words else None
+
+    def named(batches):
+        for b in batches:
+            h = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(idents(shared.value, h)), b.column(1)], ["id", "c"])
+
+    enough = F.col("c") >= least * total
+    two = scratch.table(grams(texts, 2, shared, usable).where(enough), "two")
+    three = scratch.table(grams(texts, 3, shared, usable).where(enough), "three")
+    words = table.mapInArrow(named, "id bigint, c bigint")
+    p1 = (F.col("c") - facts["discount"]) / F.lit(float(total))
+    after = two.join(words.select(F.col("id").alias("v"), p1.alias("p1")), "v").groupBy("u").agg(F.sum(F.col("c") - DISCOUNT).alias("given"), F.sum("p1").alias("lower"), F.count("*").alias("n"))
+    uni = words.join(after.withColumnRenamed("u", "id"), "id", "left")
+    uni = scratch.table(uni.select("id", "c", F.log10(p1).alias("p"), weight(1 - F.col("given") / F.col("c"), 1 - F.col("lower")).alias("back"), "n"), "uni")
+    two = scratch.table(two.join(uni.select(F.col("id").alias("u"), F.col("c").alias("c1")), "u").select("u", "v", "c", ((F.col("c") - DISCOUNT) / F.col("c1")).alias("p2")), "two")
+    after = three.join(two.select(F.col("u").alias("v"), F.col("v").alias("w"), "p2"), ["v", "w"]).groupBy("u", "v").agg(F.sum(F.col("c") - DISCOUNT).alias("given"), F.sum("p2").alias("lower"), F.count("*").alias("n"))
+    pairs = scratch.table(two.join(after, ["u", "v"], "left").select("u", "v", "c", F.log10("p2").alias("p"), weight(1 - F.col("given") / F.col("c"), 1 - F.col("lower")).alias("back"), "n"), "pairs")
+    triples = scratch.table(three.join(pairs.select("u", "v", F.col("c").alias("c2")), ["u", "v"]).select("u", "v", "w", "c", F.log10((F.col("c") - DISCOUNT) / F.col("c2")).alias("p")), "triples")
+    scratch.drop("two", "three")
+    # at most 1 / cached pairs, and as many triples, of numbered words only
+    often, n = F.col("c") >= max(cached, cached_words) * total, len(hashes)
+    numbered = uni.where(F.col("id").between(0, n - 1)).select("id", "p", "back", "n").toPandas().sort_values("id")
+    rows = list(zip(*(numbered[c].tolist() for c in ("id", "p", "back", "n"))))
+    return table, facts, Model(build(auto, rows, pairs.where(often).collect(), triples.where(often).collect()), uni, pairs, triples)
+
+
+def looked_up(read: DataFrame, model: Model, unseen: float) -> DataFrame:
+    """(__row, more): the sum over the open places of each row, from the tables: the triple, else the pair after the backoff weight of the two words before, else the word after that of the one before."""
+    at = lambda a, back: F.coalesce(F.get("__ids", (a - back).cast("int")), F.lit(-1))
+    places = read.select("__row", F.explode(F.transform("__open", lambda a: F.struct(at(a, 2).alias("u"), at(a, 1).alias("v"), at(a, 0).alias("w")))).alias("g")).select("__row", "g.*")
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    rows = places.join(model.triples.select("u", "v", "w", F.col("p").alias("p3")), ["u", "v", "w"], "left")
+    done = rows.where("p3 is not null").groupBy("__row").agg(F.sum("p3").alias("more"))
+    left = rows.where("p3 is null").drop("p3")
+    left = left.join(model.pairs.where("back is not null").select("u", "v", F.col("back").alias("b2")), ["u", "v"], "left")
+    left = left.join(model.pairs.select(F.col("u").alias("v"), F.col("v").alias("w"), F.col("p").alias("p2")), ["v", "w"], "left")
+    left = left.join(model.words.select(F.col("id").alias("v"), F.col("back").alias("b1")), "v", "left").join(model.words.select(F.col("id").alias("w"), F.col("p").alias("p1")), "w", "left")
+    value = zero(F.col("b2")) + F.coalesce(F.col("p2"), zero(F.col("b1")) + F.coalesce(F.col("p1"), F.lit(unseen)))
+    return done.unionByName(left.groupBy("__row").agg(F.sum(value).alias("more"))).groupBy("__row").agg(F.sum("more").alias("more"))
+
+
+def score(docs: DataFrame, table: DataFrame, facts: dict, model: Model, scratch: Scratch, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The kept columns, ``n_tokens``, ``n_known`` (tokens seen in training), ``base_score`` (add-0.1 unigrams) and ``score`` (the automaton, and the tables where it leaves places open) of every whole text."""
     spark = docs.sparkSession
     small_batches(spark)
-    tokens, size, discount = facts["tokens"], facts["words"], facts["discount"]
+    auto, (tokens, size, discount) = model.auto, (facts["tokens"], facts["words"], facts["discount"])
     below, unseen = tokens + 0.1 * (size + 1), log10(discount * size / tokens) if tokens else 0.0
     base_of = np.array([log10((10**p * tokens + discount + 0.1) / below) for p in auto.root_logp]) if tokens else np.zeros(0)
     shared = spark.sparkContext.broadcast((auto, base_of))
@@ -227,33 +339,35 @@ def score(docs: DataFrame, table: DataFrame, facts: dict, auto: Automaton, scrat
                 w = machine.numbered(h)
                 known = w >= 0
                 sums = np.concatenate([[0.0], np.where(known, base[np.maximum(w, 0)] if len(base) else 0.0, 0.0).cumsum()])
-                listed = w.tolist()
+                listed, ids_of = w.tolist(), np.where(known, w, h.view(np.int64))
                 for i in range(len(offs) - 1):
                     a, e = int(offs[i]), int(offs[i + 1])
                     rare, times = np.unique(h[a:e][~known[a:e]], return_counts=True)
-                    out.append((e - a, int(known[a:e].sum()), float(sums[e] - sums[a]), machine.traverse(listed[a:e]), rare.view(np.int64), times))
-            sizes = np.concatenate([[0], np.cumsum([len(o[4]) for o in out])]).astype(np.int32)
-            flat = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (4, 5)]
+                    out.append((e - a, int(known[a:e].sum()), float(sums[e] - sums[a]), *machine.traverse(listed[a:e]), rare.view(np.int64), times, ids_of[a:e]))
+            lists = []
+            for k in (5, 6, 7, 4):
+                sizes = np.concatenate([[0], np.cumsum([len(o[k]) for o in out])]).astype(np.int32)
+                flat = np.concatenate([np.asarray(o[k], np.int64) for o in out]) if out else np.zeros(0, np.int64)
+                lists.append(pa.ListArray.from_arrays(sizes, pa.array(flat)))
             ids = np.arange(row_id, row_id + b.num_rows)
             row_id += b.num_rows
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:n_keep], pa.array(ids), *(pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))), *(pa.ListArray.from_arrays(sizes, pa.array(f)) for f in flat)],
-                [*keep, "__row", "__n", "__known", "__base", "__score", "__rare", "__times"],
+                [*b.columns[:n_keep], pa.array(ids), *(pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))), *lists],
+                [*keep, "__row", "__n", "__known", "__base", "__score", "__rare", "__times", "__ids", "__open"],
             )
 
     rows = docs.select(*(docs[c] for c in keep), docs[text].cast("string").alias("__t"))
     kept_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    read = scratch.table(rows.mapInArrow(run, f"{kept_schema}, __row bigint, __n bigint, __known bigint, __base double, __score double, __rare array<bigint>, __times array<bigint>"), "read")
+    read = scratch.table(rows.mapInArrow(run, f"{kept_schema}, __row bigint, __n bigint, __known bigint, __base double, __score double, __rare array<bigint>, __times array<bigint>, __ids array<bigint>, __open array<bigint>"), "read")
     rare = read.select("__row", F.explode(F.arrays_zip("__rare", "__times")).alias("r")).select("__row", F.col("r.__rare").alias("h"), F.col("r.__times").alias("m"))
-    c, one = F.coalesce("c", F.lit(0)), F.lit(float(max(tokens, 1)))
-    p = F.when(F.col("c").isNull(), F.lit(unseen)).otherwise(F.log10((c - discount) / one))
+    c = F.coalesce("c", F.lit(0))
     rest = rare.join(table, "h", "left").groupBy("__row").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("m")).otherwise(0)).alias("known"),
         F.sum(F.col("m") * F.log10((c + 0.1) / below)).alias("base"),
-        F.sum(F.col("m") * p).alias("more"),
     )
     zero = lambda x: F.coalesce(x, F.lit(0))
-    return read.drop("__rare", "__times").join(rest, "__row", "left").select(
+    more = looked_up(read, model, unseen) if tokens else read.select("__row", F.lit(0.0).alias("more")).limit(0)
+    return read.drop("__rare", "__times", "__ids", "__open").join(rest, "__row", "left").join(more, "__row", "left").select(
         *keep,
         F.col("__n").alias("n_tokens"),
         (F.col("__known") + zero("known")).cast("long").alias("n_known"),
