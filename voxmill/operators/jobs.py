@@ -48,12 +48,12 @@ def quotas(batches: DataFrame, servers: DataFrame) -> DataFrame:
 
     Shares are rounded half to even; what is missing goes to the fastest server, what
     is too much is taken from the slowest upward, from each at most its quota.
-    batches: batch, n; servers: server_id, speed (a registry, its size checked).
+    batches: batch, n; servers: server_id, speed. A row for each batch and server comes out.
     """
     fleet = servers.where("speed > 0").select("server_id", "speed")
     # what is the same for every batch is worked out once, on the registry
     total, best = fleet.agg(F.sum("speed"), F.min_by("server_id", F.struct(-F.col("speed"), "server_id"))).head()
-    both = batches.where("n > 0").select("batch", "n", F.inline(joins.as_literal(fleet)))
+    both = batches.where("n > 0").crossJoin(fleet).select("batch", "n", "server_id", "speed")
     both = both.withColumn("quota", F.bround(F.col("n") * F.col("speed") / F.lit(total), 0).cast("long"))
     by = W.partitionBy("batch").orderBy("speed", "server_id")
     both = both.withColumn("slower", F.coalesce(F.sum("quota").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from voxmill import constants as C
 
@@ -79,30 +77,24 @@ def stalled_finalisation(tasks: DataFrame, segments: DataFrame) -> DataFrame:
     return tasks.where(~F.col("status").isin(*C.TERMINAL)).join(g, "task_id").select("task_id", "status", "n")
 
 
-def as_literal(rows: DataFrame, most: int = 10_000) -> Column:
-    """A small table, its size checked, as an array of structs inside an expression: what is compared with all of its rows then needs no join."""
-    got = rows.limit(most + 1).collect()
-    if len(got) > most:
-        raise ValueError(f"more than {most} rows")
-    return F.from_json(F.lit(json.dumps([r.asDict() for r in got])), T.ArrayType(rows.schema))
-
-
 def best_server(items: DataFrame, servers: DataFrame, penalty: float = 0.1) -> DataFrame:
     """For each item the available server with the smallest estimate; ties to the smaller id. items: item, audio_s (not negative).
 
     All estimates are a slope times the audio plus the same overhead, so only the
     servers of the smallest slope (to rounding) can win, or for no audio at all the
-    first one; these few are tried on each item, without a join.
+    first one; of those with equal estimates only the smallest id is tried on each item.
     """
     s = servers.where("enabled and status = 'ONLINE' and max_concurrency > 0").select("server_id", F.coalesce("rtf_baseline", F.lit(0.3)).alias("rtf"), "max_concurrency")
     slope = F.col("rtf") * (1 + penalty * (F.col("server_id") % F.col("max_concurrency")))
     low, first = s.agg(F.min(slope), F.min("server_id")).head()
     if first is None:
         return items.limit(0).select("item", F.lit(None).cast("long").alias("server_id"), F.lit(None).cast("double").alias("estimate_s"))
-    can_win = as_literal(s.where((slope <= low + 1e-9 * abs(low)) | (F.col("server_id") == first)))
-    est = lambda x: F.col("audio_s") * x["rtf"] * (1 + penalty * (x["server_id"] % x["max_concurrency"])) + 5
-    best = F.array_min(F.transform(can_win, lambda x: F.struct(est(x).alias("e"), x["server_id"].alias("server_id"))))
-    return items.select("item", best.alias("b")).select("item", "b.server_id", F.round("b.e", 3).alias("estimate_s"))
+    load = F.col("server_id") % F.col("max_concurrency")
+    can_win = s.where((slope <= low + 1e-9 * abs(low)) | (F.col("server_id") == first)).groupBy("rtf", load.alias("load")).agg(F.min("server_id").alias("server_id"))
+    can_win = can_win.agg(F.collect_list(F.struct("rtf", "load", "server_id")).alias("can_win"))
+    est = lambda x: F.col("audio_s") * x["rtf"] * (1 + penalty * x["load"]) + 5
+    best = F.array_min(F.transform("can_win", lambda x: F.struct(est(x).alias("e"), x["server_id"].alias("server_id"))))
+    return items.crossJoin(F.broadcast(can_win)).select("item", best.alias("b")).select("item", "b.server_id", F.round("b.e", 3).alias("estimate_s"))
 
 
 def inhibited(alerts: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from voxmill import constants as C
-from voxmill.operators.joins import as_literal
 
 
 def _by_work() -> W:
@@ -130,14 +129,15 @@ def next_items(plan: DataFrame, k: int, later: bool = True) -> DataFrame:
 
 
 def rebalance(plan: DataFrame, servers: DataFrame, tail: int = 3, least_s: float = 3.0, share: float = 0.05) -> DataFrame:
-    """What an idle server would gain most by: of the last items of each queue, the one whose planned finish is latest against its estimate there. plan: server_id, item, audio_s, finish_s. The idle servers are a filtered registry, its size checked, tried against the queue ends only."""
+    """What an idle server would gain most by: of the last items of each queue, the one whose planned finish is latest against its estimate there. plan: server_id, item, audio_s, finish_s. Idle servers of one speed gain by the same item: each speed is tried against the queue ends only."""
     w = W.partitionBy("server_id").orderBy(F.desc("finish_s"), F.desc("item"))
     ends = plan.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= tail)
     busy = plan.select("server_id").distinct()
     idle = servers.where("enabled and status = 'ONLINE' and max_concurrency > 0").join(busy, "server_id", "left_anti").select(F.col("server_id").alias("idle_id"), F.coalesce("rtf_baseline", F.lit(0.3)).alias("rtf"))
-    tried = ends.select("item", "audio_s", "finish_s", F.inline(as_literal(idle))).withColumn("gain", F.col("finish_s") - (F.col("audio_s") * F.col("rtf") + 5))
+    tried = ends.select("item", "audio_s", "finish_s").crossJoin(idle.select("rtf").distinct()).withColumn("gain", F.col("finish_s") - (F.col("audio_s") * F.col("rtf") + 5))
     tried = tried.where(F.col("gain") >= F.greatest(F.lit(least_s), share * F.col("finish_s")))
-    return tried.groupBy("idle_id").agg(F.max_by("item", F.struct("gain", "item")).alias("item"), F.round(F.max("gain"), 3).alias("gain"))
+    best = tried.groupBy("rtf").agg(F.max_by("item", F.struct("gain", "item")).alias("item"), F.round(F.max("gain"), 3).alias("gain"))
+    return idle.join(best, "rtf").select("idle_id", "item", "gain")
 
 
 def history(samples: DataFrame, key: str, n: int = 60) -> DataFrame:
