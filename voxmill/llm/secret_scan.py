@@ -49,7 +49,7 @@ RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=\-]+)""", True, shortest_value=6),
     Rule("access", r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", r"[0-9a-f]{24,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(-?[A-Za-z0-9+/=:,\\\x20\x09\x0A\x0D])*(-----END [A-Z ]*PRIVATE KEY-----)?"),  # to the END line, or as far as a key's characters go
     Rule("github", r"(ghp|gho|ghs|ghu|ghr)_[A-Za-z0-9]+", shortest=40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9\-]+", shortest=20),
     Rule("google", r"AIza[A-Za-z0-9_\-]+", shortest=39),
