@@ -7,8 +7,9 @@ by follow-the-regularised-leader with an L1 and an L2 penalty, so most stay exac
 zero. A temperature fitted on examples left out of training calibrates the
 probabilities.
 
-Sample: at most ``per_language`` documents of each of the ``most_languages`` most
-frequent languages, by order of their hashed ids. Nulls: rows with a null language
+Sample: about ``per_language`` documents of each language, by order of their hashed
+ids; with many languages fewer of each, so that they share about ``most_rows``, and at
+least one. All languages are learned. The weights are kept and sent as their nonzeros. Nulls: rows with a null language
 don't train; a null text, or one without a letter, is ``und`` with score 0. With no
 training row every text is ``und``. Repeated rows are predicted each. Prediction reads
 the id and the text only, so other columns may have any name.
@@ -54,12 +55,23 @@ def tfidf(at: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 class Model:
     labels: list[str]
     idf: np.ndarray
-    weights: np.ndarray  # SIZE x languages, mostly zero
     bias: np.ndarray
+    begin: np.ndarray  # of each bucket's nonzero weights; one more at the end
+    column: np.ndarray  # their languages
+    value: np.ndarray
     temperature: float = 1.0
 
+    @property
+    def weights(self) -> np.ndarray:
+        """SIZE x languages, mostly zero."""
+        out = np.zeros((SIZE, len(self.labels)))
+        out[np.repeat(np.arange(SIZE), np.diff(self.begin)), self.column] = self.value
+        return out
+
     def logits(self, at: np.ndarray, v: np.ndarray) -> np.ndarray:
-        return v @ self.weights[at] + self.bias
+        start, n = self.begin[at], self.begin[at + 1] - self.begin[at]
+        place = np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)
+        return np.bincount(self.column[place], np.repeat(v, n) * self.value[place], len(self.bias)) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.labels or not text or not _LETTER.search(text):
@@ -75,19 +87,21 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray, epochs:
     """rows: (language, n-grams, counts) in an order that is not by language."""
     labels = sorted({r[0] for r in rows})
     k = len(labels)
-    model = Model(labels, idf, np.zeros((SIZE, k)), np.zeros(k))
+    model = Model(labels, idf, np.zeros(k), np.zeros(SIZE + 1, np.int64), np.zeros(0, np.int32), np.zeros(0))
     if k < 2:
         return model
     index = {x: i for i, x in enumerate(labels)}
     data = [(index[x], at, tfidf(at, counts, idf)) for x, at, counts in rows]
     cut = int(len(data) * (1 - left_out))
+    early = {y for y, _, _ in data[:cut]}
+    learned = data[:cut] + [r for r in data[cut:] if r[0] not in early]  # each language at least once
     z, n, zb, nb = np.zeros((SIZE, k)), np.zeros((SIZE, k)), np.zeros(k), np.zeros(k)
 
     def lazy(z, n, l1):
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
 
     for _ in range(epochs):
-        for y, at, v in data[:cut]:
+        for y, at, v in learned:
             w, b = lazy(z[at], n[at], l1), lazy(zb, nb, 0.0)
             s = v @ w + b
             p = np.exp(s - s.max())
@@ -100,7 +114,9 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], idf: np.ndarray, epochs:
             nb2 = nb + p * p
             zb += p - (np.sqrt(nb2) - np.sqrt(nb)) / alpha * b
             nb = nb2
-    model.weights, model.bias = lazy(z, n, l1), lazy(zb, nb, 0.0)
+    weights, model.bias = lazy(z, n, l1), lazy(zb, nb, 0.0)
+    bucket, column = np.nonzero(weights)
+    model.begin, model.column, model.value = np.searchsorted(bucket, np.arange(SIZE + 1)), column.astype(np.int32), weights[bucket, column]
     held = data[cut:] or data
     scores, truth = np.array([model.logits(at, v) for _, at, v in held]), np.array([y for y, _, _ in held])
 
@@ -133,27 +149,27 @@ def document_frequency(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     return out[:SIZE], int(out[SIZE])
 
 
-def train(docs: DataFrame, per_language: int = 1500, most_languages: int = 64, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", **how) -> Model:
+def train(docs: DataFrame, per_language: int = 1500, most_rows: int = 96_000, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", **how) -> Model:
     """Learns from the rows given; hold out by filtering them."""
     spark = docs.sparkSession
     small_batches(spark)
     known = docs.select(docs[doc_id].cast("string").alias("i"), docs[lang].cast("string").alias("y"), docs[text].cast("string").alias("t")).where("y is not null and t is not null")
     df, n = document_frequency(known, "t")
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
-    common = [(r[0], r[1]) for r in known.groupBy("y").count().orderBy(F.desc("count"), "y").limit(most_languages).collect()]
-    # a share of each language's rows by hashed id: about per_language, and exactly bounded below
-    share = F.lit(0.0)
-    for y, count in common:
-        share = F.when(F.col("y") == y, F.lit(min(1.0, per_language / count))).otherwise(share)
     place = F.pmod(F.xxhash64("i", F.lit(3)), F.lit(1 << 30))
-    sample = known.where(place < share * (1 << 30))
+    known = known.withColumn("place", place)
+    sizes = [(r[0], r[1], r[2]) for r in known.groupBy("y").agg(F.count("*"), F.min("place")).collect()]
+    each = min(per_language, max(1, most_rows // max(1, len(sizes))))
+    # a share of each language's rows by hashed id: about as many as each may have, and exactly bounded below
+    below = spark.createDataFrame([(y, max(int(min(1.0, each / n) * (1 << 30)), first + 1)) for y, n, first in sizes], "y string, below long")
+    sample = known.join(F.broadcast(below), "y").where("place < below")
 
     def run(batches):
         for b in batches:
             got = [ngram_counts(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0].tobytes() for g in got], pa.binary()), pa.array([g[1].astype(np.int32).tobytes() for g in got], pa.binary())], ["y", "o", "at", "counts"])
 
-    rows = sample.select("y", F.xxhash64("i", F.lit(9)).alias("o"), "t").mapInArrow(run, "y string, o bigint, at binary, counts binary").orderBy("o").limit(2 * per_language * len(common)).collect()
+    rows = sample.select("y", F.xxhash64("i", F.lit(9)).alias("o"), "t").mapInArrow(run, "y string, o bigint, at binary, counts binary").orderBy("o").limit(2 * each * len(sizes)).collect()
     return fit([(r[0], np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.int32)) for r in rows], idf, **how)
 
 
@@ -161,7 +177,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "do
     """doc_id, ``lang_pred`` and ``score`` (its calibrated probability) of every whole text."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # SIZE weights a language
+    shared = spark.sparkContext.broadcast(model)  # its nonzero weights
 
     def run(batches):
         m = shared.value
