@@ -3,23 +3,15 @@
 from __future__ import annotations
 
 import difflib
-import hashlib
-import hmac
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
 from voxmill.functions.scalars import edit_similarity, squeezed
 
 
-@pandas_udf(StringType())
-def hmac_sha256(secret: pd.Series, payload: pd.Series) -> pd.Series:
-    """Hex signature of a payload; null secret or payload: null."""
-    return pd.Series([None if s is None or p is None else hmac.new(s.encode(), p.encode(), hashlib.sha256).hexdigest() for s, p in zip(secret, payload)], dtype=object)
-
-
 @pandas_udf(DoubleType())
 def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of characters in matching blocks, 2 M / T."""
@@ -32,16 +24,3 @@ def similarity(pairs: DataFrame, a: str, b: str, longest: int = 5000) -> DataFra
     long = F.greatest(F.length(x), F.length(y)) > longest
     short = pairs.where(~F.coalesce(long, F.lit(False))).withColumn("similarity", edit_similarity(F.col(a), F.col(b))[1])
     return short.unionByName(pairs.where(long).withColumn("similarity", block_ratio(x, y)))
-
-
-def callback_payload(event_id: Column, task_id: Column, status: Column, result: Column, error: Column) -> Column:
-    """Body of a notice; keys without a value are left out."""
-    return F.to_json(F.struct(event_id.alias("event_id"), task_id.alias("task_id"), status.alias("status"), result.alias("result_path"), error.alias("error_message")), {"ignoreNullFields": "true"})
-
-
-def signed(outbox: DataFrame, payload: Column, secret: Column) -> DataFrame:
-    return outbox.withColumn("payload_json", payload).withColumn("signature", F.concat(F.lit("sha256="), hmac_sha256(secret, F.col("payload_json"))))
-
-
-def signature_valid(payload: Column, secret: Column, signature: Column) -> Column:
-    return F.coalesce(F.concat(F.lit("sha256="), hmac_sha256(secret, payload)) == signature, F.lit(False))

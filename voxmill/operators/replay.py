@@ -1,206 +1,216 @@
-"""Folds over ordered logs that no window expresses: each step needs what the last one decided.
+"""Replays of ordered logs.
 
-Rows are dealt out by key and sorted there; a task walks over its rows batch by batch
-with the state of one key at a time, so a long log needs no more memory than a short one.
+What a window or a column expression can say is said that way: percentiles,
+deviations, and segment plans (a file's silences folded by ``aggregate``). The rest
+is a walk: rows are dealt out by key and sorted there, and a task goes over them with
+one small state per key, so a long log needs no more memory than a short one. A null
+key is a key like any other, and values keep their exact types.
 """
 
 from __future__ import annotations
 
-import math
-from collections import deque
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from voxmill import constants as C
 
+_ARROW = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
 
-def fold(rows: DataFrame, keys: list[str], order: list[str], schema: str, start: Callable[[], object], step: Callable[[object, dict], Iterable[tuple]]) -> DataFrame:
-    """``step(state, row)`` changes the state and gives the rows of the result, without the keys; ``schema`` describes them."""
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = None, None
-        for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                key = tuple(row[k] for k in keys)
-                if key != now:
-                    now, state = key, start()
-                out += [(*key, *made) for made in step(state, row)]
-            yield pd.DataFrame(out, columns=[*keys, *names])
+def walk(rows: DataFrame, keys: list[str], order: list[str], values: list[str], schema: str, step: Callable) -> DataFrame:
+    """``step(state, *values)`` gives the next state (None before the first row of a key) and a row of ``schema``, or None for no row."""
+    made = [c.strip().split(" ") for c in schema.split(",")]
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
+    n = len(keys)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, f"{types}, {schema}")
+    def run(batches):
+        before, state = None, None
+        for b in batches:
+            columns = [c.to_pylist() for c in b.columns]
+            at, out = [], []
+            for i, key in enumerate(zip(*columns[:n])):
+                state, row = step(state if key == before else None, *(c[i] for c in columns[n:]))
+                before = key
+                if row is not None:
+                    at.append(i)
+                    out.append(row)
+            picked = [c.take(pa.array(at, pa.int64())) for c in b.columns[:n]]
+            yield pa.RecordBatch.from_arrays([*picked, *(pa.array([r[j] for r in out], _ARROW[t]) for j, (_, t) in enumerate(made))], [*keys, *(c for c, _ in made)])
+
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return dealt.select(*keys, *values).mapInArrow(run, f"{types}, {schema}")
 
 
 # --------------------------------------------------------- changes of samples
 
 
-def emitted_changes(samples: DataFrame, least: float = 0.01) -> DataFrame:
+def sent(state, at_s, event_id, status, progress, least: float, lifetime_s: int | None):
+    """State: (opened, status, progress, ended) of what a listener has got. After ``lifetime_s`` a new one listens. A null progress is no change of progress."""
+    if state is None or lifetime_s is not None and at_s - state[0] > lifetime_s:
+        opened = at_s
+    elif state[3]:
+        return state, None
+    elif status != state[1] or None not in (progress, state[2]) and abs(progress - state[2]) > least:
+        opened = state[0]
+    else:
+        return state, None
+    return (opened, status, progress, status in C.TERMINAL), (event_id, status, progress)
+
+
+def emitted_changes(samples: DataFrame, least: float = 0.01, lifetime_s: int | None = None) -> DataFrame:
     """Samples that a listener gets: the state changed, or progress moved by more than ``least`` since the last one sent; nothing after an end state. samples: task_id, at_s, event_id, status, progress."""
+    step = lambda s, *v: sent(s, *v, least, lifetime_s)
+    return walk(samples, ["task_id"], ["at_s", "event_id"], ["at_s", "event_id", "status", "progress"], "event_id bigint, status string, progress double", step)
 
-    def step(s: dict, r: dict):
-        if s.get("ended"):
-            return
-        if "status" not in s or r["status"] != s["status"] or abs(r["progress"] - s["progress"]) > least:
-            s.update(status=r["status"], progress=r["progress"], ended=r["status"] in C.TERMINAL)
-            yield r["event_id"], r["status"], r["progress"]
 
-    return fold(samples, ["task_id"], ["at_s", "event_id"], "event_id bigint, status string, progress double", dict, step)
+def spaced(state, at_s, every_s):
+    """State: the moment of the last one let through; another one only ``every_s`` later."""
+    return (at_s, True) if state is None or at_s - state >= every_s else (state, False)
 
 
 def grouped_alerts(alerts: DataFrame, repeat_s: dict[str, int] | None = None) -> DataFrame:
-    """Alerts that are sent on: the first of a name and severity, then one after each repeat interval (1 h critical, 4 h else). alerts: alertname, severity, at_s, event_id."""
-    every = repeat_s or {"critical": 3600}
+    """Alerts that are sent on: the first of a name and severity, then one after each repeat interval (1 h critical, 4 h else). alerts: alertname, severity, at_s, event_id.
 
-    def step(s: dict, r: dict):
-        if "at" not in s or r["at_s"] - s["at"] >= every.get(r["severity"], 14400):
-            s["at"] = r["at_s"]
-            yield r["event_id"], r["at_s"]
+    Of the alerts of one second only the first can be sent, so they are one row
+    before the shuffle: what a name holds grows with its time span, not its rows.
+    """
+    every = F.lit(14400)
+    for severity, seconds in (repeat_s or {"critical": 3600}).items():
+        every = F.when(F.col("severity") == severity, seconds).otherwise(every)
+    seconds = alerts.groupBy("alertname", "severity", "at_s").agg(F.min("event_id").alias("event_id")).withColumn("every_s", every)
 
-    return fold(alerts, ["alertname", "severity"], ["at_s", "event_id"], "event_id bigint, at_s bigint", dict, step)
+    def step(state, at_s, event_id, every_s):
+        state, through = spaced(state, at_s, every_s)
+        return state, ((event_id, at_s) if through else None)
 
+    return walk(seconds, ["alertname", "severity"], ["at_s"], ["at_s", "event_id", "every_s"], "event_id bigint, at_s bigint", step)
 
-# ---------------------------------------------------------------- calibration
 
+# ---------------------------------------------------------------- calibration
 
-def p90(values: Iterable[float], default: float) -> float:
-    ordered = sorted(values)
-    return ordered[math.ceil(0.9 * len(ordered)) - 1] if len(ordered) >= 3 else default
+START = (None, 1.0, 0.1, 0)
 
 
-def calibrate_one(s: dict, audio_s: float, actual_s: float, predicted_s: float | None, strict: bool = False) -> dict:
-    """One completion: ratio sample, 90th percentile, deviation, penalty and estimate factor.
+def tuned(state, actual, predicted, late: float = 1.3, early: float = 0.7):
+    """State: (ratio before, estimate factor, penalty, fast ones so far) after a completion.
 
-    The prediction is divided by the factor in force before its ratio counts. The
-    penalty grows by a fifth after a completion more than 30 % late and falls by a
-    tenth (not below 0.01) after ten fast ones; ``strict`` wants them in a row.
+    The ratio is actual to the prediction without the factor in force. The mean of two
+    ratios moves the factor, in tenths from 0.5 to 3, when it is off by more than 0.05.
     """
-    s["rtf"].append(actual_s / audio_s if audio_s > 0 else 0.3)
-    out = {"p90": p90(s["rtf"], 0.3), "deviation": None}
-    if predicted_s and predicted_s > 0:
-        if actual_s > 0:
-            s["pairs"].append(actual_s / (predicted_s / s["factor"]))
-            if len(s["pairs"]) == 2 and abs((mean := sum(s["pairs"]) / 2) - 1) > 0.05:
-                s["factor"] = min(3.0, max(0.5, round(round(mean / 0.1) * 0.1, 1)))
-        out["deviation"] = actual_s / predicted_s
-        if out["deviation"] > 1.3:
-            s["penalty"] *= 1.2
-            s["fast"] = 0 if strict else s["fast"]
-        elif out["deviation"] < 0.7:
-            s["fast"] += 1
-            if s["fast"] >= 10:
-                s["penalty"], s["fast"] = max(0.01, s["penalty"] * 0.9), 0
-        elif strict:
-            s["fast"] = 0
-    return out | {"penalty": s["penalty"], "factor": s["factor"]}
+    before, factor, penalty, fast = state or START
+    if not predicted or predicted < 0:
+        return before, factor, penalty, fast
+    share = actual / predicted
+    if actual > 0:
+        ratio = actual / (predicted / factor)
+        mean = 1.0 if before is None else (before + ratio) / 2
+        if abs(mean - 1.0) > 0.05:
+            factor = min(3.0, max(0.5, round(mean / 0.1) / 10))
+        before = ratio
+    if share > late:
+        penalty *= 1.2
+    elif share < early:
+        fast = (fast + 1) % 10
+        penalty = penalty if fast else max(0.01, penalty * 0.9)
+    return before, factor, penalty, fast
+
+
+def calibrate(done: DataFrame, size: int = 50, least: int = 3, default: float = 0.3) -> DataFrame:
+    """After each completion: 90th percentile of the last ``size`` ratios of work to audio time, deviation from the prediction, penalty and estimate factor. done: server_id, work_kind, ts_us, event_id, audio_sec, actual_cs, predicted_cs."""
+    actual, predicted = F.col("actual_cs") / 100, F.col("predicted_cs") / 100
+    frame = W.partitionBy("server_id", "work_kind").orderBy("ts_us", "event_id").rowsBetween(1 - size, 0)
+    seen = F.array_sort(F.collect_list(F.when(F.col("audio_sec") > 0, actual / F.col("audio_sec")).otherwise(F.lit(default))).over(frame))
+    n = F.size(seen)
+    p90 = F.when(n >= least, F.element_at(seen, F.ceil(n * 9 / 10).cast("int"))).otherwise(F.lit(default))
+    rows = done.select("server_id", "work_kind", "ts_us", "event_id", actual.alias("a"), predicted.alias("p"), p90.alias("p90"), F.when(predicted > 0, actual / predicted).alias("deviation"))
+
+    def step(state, event_id, a, p, p90, deviation):
+        state = tuned(state, a, p)
+        return state, (event_id, p90, deviation, state[2], state[1])
+
+    return walk(rows, ["server_id", "work_kind"], ["ts_us", "event_id"], ["event_id", "a", "p", "p90", "deviation"], "event_id bigint, p90 double, deviation double, penalty double, factor double", step)
 
 
-def calibration_state() -> dict:
-    return {"rtf": deque(maxlen=50), "pairs": deque(maxlen=2), "factor": 1.0, "penalty": 0.1, "fast": 0}
+# -------------------------------------------------------------------- breaker
 
 
-def calibrate(done: DataFrame, strict: bool = False) -> DataFrame:
-    """Calibration after each completion. done: server_id, work_kind, ts_us, event_id, audio_sec, actual_cs, predicted_cs."""
+def breaker_moves(failures: int, probes: int) -> list[tuple[str, int, int]]:
+    """The breaker as a table: state, next row after a success, next row after a failure. Rows: closed with 0, 1, ... failures in a row; open; half open with 1, 2, ... good probes."""
+    open_, half = failures, failures + 1
+    closed = [("CLOSED", 0, i + 1) for i in range(failures)]
+    good = [("HALF_OPEN", half + i, open_) for i in range(1, probes)]
+    moves = [*closed, ("OPEN", half, open_), *good]
+    return [(name, ok if ok < len(moves) else 0, failed) for name, ok, failed in moves]
 
-    def step(s: dict, r: dict):
-        o = calibrate_one(s, r["audio_sec"], r["actual_cs"] / 100, r["predicted_cs"] / 100 if r["predicted_cs"] else None, strict)
-        yield r["event_id"], o["p90"], o["deviation"], o["penalty"], o["factor"]
 
-    return fold(done, ["server_id", "work_kind"], ["ts_us", "event_id"], "event_id bigint, p90 double, deviation double, penalty double, factor double", calibration_state, step)
+def moved(state, at_s, ok, moves, timeout_s):
+    """State: (row, moment of the last failure); and whether the call is let through. An open breaker refuses for ``timeout_s`` after that failure. A call without an outcome has failed."""
+    row, failed_s = state or (0, None)
+    if moves[row][0] == "OPEN" and at_s - failed_s < timeout_s:
+        return (row, failed_s), False
+    return ((moves[row][1], failed_s) if ok else (moves[row][2], at_s)), True
 
 
-# -------------------------------------------------------------------- breaker
+def breaker(calls: DataFrame, failures: int = 5, timeout_s: float = 60, probes: int = 3) -> DataFrame:
+    """Time line of each server's breaker: whether a call is let through, and the state after it. calls: server_id, at_s, event_id, ok."""
+    moves = breaker_moves(failures, probes)
 
+    def step(state, at_s, event_id, ok):
+        state, through = moved(state, at_s, ok, moves, timeout_s)
+        return state, (event_id, through, moves[state[0]][0])
 
-def breaker_state() -> dict:
-    return {"state": "CLOSED", "failures": 0, "successes": 0, "probes": 0, "failed_s": None}
-
-
-def breaker_step(s: dict, at_s: float, ok: bool, failures: int = 5, timeout_s: float = 60, probes: int = 3) -> tuple[bool, str]:
-    """One call and its outcome: whether it is let through, and the state after it. A call that isn't let through has no outcome."""
-    if s["state"] == "OPEN" and at_s - s["failed_s"] >= timeout_s:
-        s.update(state="HALF_OPEN", probes=0, successes=0)
-    if s["state"] == "OPEN" or s["state"] == "HALF_OPEN" and s["probes"] >= probes:
-        return False, s["state"]
-    s["probes"] += s["state"] == "HALF_OPEN"
-    if ok:
-        if s["state"] == "HALF_OPEN":
-            s["successes"] += 1
-            if s["successes"] >= probes:
-                s.update(state="CLOSED", failures=0, successes=0)
-        else:
-            s["failures"] = 0
-    else:
-        s["failures"] += 1
-        s["failed_s"] = at_s
-        if s["state"] == "HALF_OPEN":
-            s.update(state="OPEN", probes=0, successes=0)
-        elif s["failures"] >= failures:
-            s["state"] = "OPEN"
-    return True, s["state"]
+    return walk(calls, ["server_id"], ["at_s", "event_id"], ["at_s", "event_id", "ok"], "event_id bigint, let_through boolean, state string", step)
 
 
-def breaker(calls: DataFrame, failures: int = 5, timeout_s: float = 60, probes: int = 3) -> DataFrame:
-    """Time line of each server's breaker. calls: server_id, at_s, event_id, ok."""
+# ------------------------------------------------------------- segment plans
 
-    def step(s: dict, r: dict):
-        through, state = breaker_step(s, r["at_s"], r["ok"], failures, timeout_s, probes)
-        yield r["event_id"], through, state
 
-    return fold(calls, ["server_id"], ["at_s", "event_id"], "event_id bigint, let_through boolean, state string", breaker_state, step)
+def best_cut(pos: Column, silences: Column, target: int, step: int, rounds: int, primary: int, fallback: int, longest: int, shortest: int) -> Column:
+    """Where to cut after ``pos``: the middle of the silence that comes first by search round, then length, then start.
 
+    Rounds go outwards from the target in rings of ``step``, each ring first after
+    and then before it, so a middle's round is twice its ring, and one more before
+    the target. A silence of ``primary`` or more counts in its round; any of
+    ``fallback`` or more counts in a last round, from the earliest ring to the hard
+    limit. Without one the cut is at the hard limit.
+    """
+    aim, hard = pos + target, pos + longest
 
-# ------------------------------------------------------------- segment plans
+    def placed(s: Column) -> Column:
+        middle, length = F.floor((s["start_ms"] + s["end_ms"]) / 2), s["end_ms"] - s["start_ms"]
+        off = middle - aim
+        turn = F.greatest(F.ceil(F.abs(off) / step) - 1, F.lit(0)) * 2 + F.when(off < 0, 1).otherwise(0)
+        inside = middle.between(pos + shortest, hard)
+        turn = F.when(inside & (length >= primary) & (turn < rounds), turn).when(inside & (length >= fallback) & (off >= -step * (rounds // 2)), F.lit(rounds))
+        return F.struct(turn.cast("long").alias("turn"), (-length).alias("length"), s["start_ms"].alias("start_ms"), middle.alias("middle"))
 
+    first = F.array_min(F.filter(F.transform(silences, placed), lambda x: x["turn"].isNotNull()))
+    return F.coalesce(first["middle"], hard)
 
-def best_cut(pos: int, silences: list[tuple[int, int]], target: int, step: int, rounds: int, primary: int, fallback: int, longest: int, shortest: int) -> int:
-    """Middle of the silence to cut at: windows after and before the target by turns, then everything with the lower threshold, then the hard limit."""
-
-    def longest_in(low: int, high: int, least: int) -> int | None:
-        inside = [(b - a, -i, (a + b) // 2) for i, (a, b) in enumerate(silences) if low <= (a + b) // 2 <= high and b - a >= least]
-        return max(inside)[2] if inside else None
-
-    ahead, back, aim = 0, 0, pos + target
-    for turn in range(rounds):
-        if turn % 2 == 0:
-            low, high = aim + ahead * step, min(aim + (ahead + 1) * step, pos + longest)
-            ahead += 1
-        else:
-            low, high = max(aim - (back + 1) * step, pos + shortest), aim - back * step
-            back += 1
-        if low < high and (cut := longest_in(low, high, primary)) is not None:
-            return cut
-    cut = longest_in(max(aim - back * step, pos + shortest), pos + longest, fallback)
-    return pos + longest if cut is None else cut
-
-
-def plan_file(total: int, silences: list[tuple[int, int]], target: int = 600_000, shortest: int = 120_000, longest: int = 720_000, overlap: int = 400, step: int = 60_000, rounds: int = 3, fallback: int = 300, primary: int = 800) -> list[tuple[int, int, int, int, int]]:
-    """(index, source start, source end, keep start, keep end) of a file's segments; a tail shorter than the shortest stays with the segment before."""
-    cuts, pos = [0], 0
-    while total - pos > longest:
-        pos = best_cut(pos, silences, target, step, rounds, primary, fallback, longest, shortest)
-        if total - pos < shortest:
-            break
-        cuts.append(pos)
-    ends = [*cuts[1:], total]
-    last = len(cuts) - 1
-    return [(i, max(0, a - overlap) if i else 0, min(total, b + overlap) if i < last else total, a, b) for i, (a, b) in enumerate(zip(cuts, ends))]
-
-
-def plan_segments(files: DataFrame, silences: DataFrame, **how) -> DataFrame:
-    """Segment plan of every file. files: file_id, total_ms; silences: file_id, start_ms, end_ms (open ones end at -1). A file's silences are bounded by its length and are gathered in one row."""
-    from pyspark.sql import functions as F
-
-    g = silences.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", "end_ms"))).alias("s"))
-    rows = files.join(g, "file_id", "left").select("file_id", "total_ms", "s")
-    id_type = files.schema["file_id"].dataType.simpleString()
 
-    def run(batches):
-        for batch in batches:
-            out = [(f, *p) for f, total, s in zip(batch["file_id"], batch["total_ms"], batch["s"]) for p in plan_file(int(total), [(int(x["start_ms"]), int(x["end_ms"])) for x in s] if s is not None else [], **how)]
-            yield pd.DataFrame(out, columns=["file_id", "segment_index", "source_start_ms", "source_end_ms", "keep_start_ms", "keep_end_ms"])
+def plan_segments(files: DataFrame, silences: DataFrame, target: int = 600_000, shortest: int = 120_000, longest: int = 720_000, overlap: int = 400, step: int = 60_000, rounds: int = 3, fallback: int = 300, primary: int = 800) -> DataFrame:
+    """Segment plan of every file; a tail shorter than ``shortest`` stays with the segment before. files: file_id, total_ms; silences: file_id, start_ms, end_ms (open ones end at -1, and are no place to cut).
 
-    return rows.mapInPandas(run, f"file_id {id_type}, segment_index bigint, source_start_ms bigint, source_end_ms bigint, keep_start_ms bigint, keep_end_ms bigint")
+    A file's silences are bounded by its length and are gathered in one row.
+    """
+    quiet = silences.where(F.col("end_ms") - F.col("start_ms") >= fallback).groupBy("file_id").agg(F.collect_list(F.struct("start_ms", "end_ms")).alias("quiet"))
+    rows = files.join(quiet, "file_id", "left").select("file_id", F.col("total_ms").cast("long").alias("total"), F.coalesce("quiet", F.array().cast("array<struct<start_ms:bigint,end_ms:bigint>>")).alias("quiet"))
+    least = max(shortest, target - step * (rounds // 2), 1)  # every cut is at least so far from the one before
+    begin = F.struct(F.lit(0).cast("long").alias("pos"), F.array(F.lit(0).cast("long")).alias("cuts"))
+
+    def further(done: Column, _: Column) -> Column:
+        at = F.transform(F.array(best_cut(done["pos"], F.col("quiet"), target, step, rounds, primary, fallback, longest, shortest)), lambda c: F.when(F.col("total") - c < shortest, F.struct(F.col("total").alias("pos"), done["cuts"].alias("cuts"))).otherwise(F.struct(c.alias("pos"), F.concat(done["cuts"], F.array(c)).alias("cuts"))))[0]
+        return F.when(F.col("total") - done["pos"] > longest, at).otherwise(done)
+
+    cuts = F.aggregate(F.sequence(F.lit(0).cast("long"), F.greatest(F.floor(F.col("total") / least), F.lit(0).cast("long"))), begin, further, lambda done: done["cuts"])
+    rows = rows.select("file_id", "total", cuts.alias("cuts")).select("file_id", "total", "cuts", F.posexplode("cuts")).select("file_id", "total", F.col("pos").cast("long").alias("segment_index"), F.col("col").alias("keep_start_ms"), F.get("cuts", F.col("pos") + 1).alias("next"))
+    return rows.select(
+        "file_id",
+        "segment_index",
+        F.greatest(F.col("keep_start_ms") - F.when(F.col("segment_index") > 0, overlap).otherwise(0), F.lit(0)).cast("long").alias("source_start_ms"),
+        F.least(F.coalesce(F.col("next") + overlap, "total"), "total").cast("long").alias("source_end_ms"),
+        "keep_start_ms",
+        F.coalesce("next", "total").alias("keep_end_ms"),
+    )

@@ -145,6 +145,7 @@ def oracle(sql: str) -> str:
     """``sql`` with the derived views that it names put before it."""
     used = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]
     views = ",\n".join(f"{n} AS ({_text(VIEWS[n], False)})" for n in used)
+    own = re.match(r"\s*WITH (RECURSIVE )?", sql)
     if not used:
         return sql
-    return f"WITH {views}" + (",\n" + re.sub(r"^\s*WITH\s", "", sql) if re.match(r"\s*WITH\s", sql) else "\n" + sql)
+    return f"WITH {own and own[1] or ''}{views}" + (",\n" + sql[own.end() :] if own else "\n" + sql)

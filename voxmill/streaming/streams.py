@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -59,32 +58,45 @@ def drain_latest(stream: DataFrame, name: str, keys: list[str], version: str) ->
     return rows.groupBy(*keys).agg(*(F.max_by(c, F.struct("__batch", version)).alias(c) for c in others))
 
 
-def _stateful(rows: DataFrame, keys: list[str], order: list[str], schema: str, start, step, to_text, from_text) -> DataFrame:
-    """The fold of a batch twin, with its state kept as text between micro-batches."""
+def _stateful(rows: DataFrame, keys: list[str], order: list[str], schema: str, step, expires=None, ended=None) -> DataFrame:
+    """The walk of a batch twin, with its state kept as text between micro-batches.
+
+    ``step(state, row)`` gives the next state (None before a key's first row) and the
+    values of an output row, or None. ``expires(state)``: event time in seconds (None:
+    never) of a timer; it frees the state, or, with ``ended``, puts out the row
+    ``ended(state)`` and leaves the state as it is.
+    """
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = from_text(state.get[0]) if state.exists else start()
-        batch = pd.concat(list(parts)).sort_values(order)
-        out = [(*key, *made) for row in batch.to_dict("records") for made in step(s, row)]
-        state.update((to_text(s),))
-        yield pd.DataFrame(out, columns=[*keys, *names])
+        s = json.loads(state.get[0]) if state.exists else None
+        if state.hasTimedOut:
+            out = [(*key, *ended(s))] if ended else []
+            if not ended:
+                state.remove()
+        else:
+            out = []
+            for row in pd.concat(list(parts)).sort_values(order).to_dict("records"):
+                s, made = step(s, row)
+                out += [(*key, *made)] if made is not None else []
+            state.update((json.dumps(s),))
+            if expires and (until := expires(s)) is not None:
+                state.setTimeoutTimestamp(max(int(until * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[*keys, *names]).astype(object)
 
-    return rows.groupBy(*keys).applyInPandasWithState(run, f"{types}, {schema}", "s string", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if expires else GroupStateTimeout.NoTimeout
+    return rows.groupBy(*keys).applyInPandasWithState(run, f"{types}, {schema}", "s string", "append", timeout)
 
 
-def progress_changes(samples: DataFrame, least: float = 0.01) -> DataFrame:
-    """T01; twin: replay.emitted_changes. An ended key stays known, so that late samples aren't sent."""
+def progress_changes(samples: DataFrame, least: float = 0.01, lifetime_s: int = 3600, late: str = "10 minutes") -> DataFrame:
+    """T01; twin: replay.emitted_changes with the same lifetime. A listener hears a task for ``lifetime_s``; then its state is freed, and a later sample opens a new one. samples: ts and those of the twin."""
 
-    def step(s: dict, r: dict):
-        if s.get("ended"):
-            return
-        if "status" not in s or r["status"] != s["status"] or abs(r["progress"] - s["progress"]) > least:
-            s.update(status=r["status"], progress=r["progress"], ended=r["status"] in C.TERMINAL)
-            yield r["event_id"], r["status"], r["progress"]
+    def step(s, r: dict):
+        return replay.sent(s, r["at_s"], r["event_id"], r["status"], r["progress"], least, lifetime_s)
 
-    return _stateful(samples, ["task_id"], ["at_s", "event_id"], "event_id bigint, status string, progress double", dict, step, json.dumps, json.loads)
+    schema = "event_id bigint, status string, progress double"
+    return _stateful(samples.withWatermark("ts", late), ["task_id"], ["at_s", "event_id"], schema, step, lambda s: s[0] + lifetime_s)
 
 
 def window_counts(events: DataFrame, length: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
@@ -98,29 +110,38 @@ def sliding_bytes(uploads: DataFrame, length: str = "60 seconds", slide: str = "
     return uploads.withWatermark("ts", late).groupBy("user_id", F.window("ts", length, slide)).agg(F.sum("bytes").alias("bytes")).select("user_id", F.unix_seconds(F.col("window.start")).alias("window_s"), "bytes")
 
 
-def first_submissions(batches: DataFrame, within: str = "30 minutes") -> DataFrame:
-    """T04: batches whose fingerprint hasn't come from the same user within the time; twin: the exact joins.duplicate_batches. batches: ts, user_id, fingerprint, ..."""
-    return batches.withWatermark("ts", within).dropDuplicatesWithinWatermark(["user_id", "fingerprint"])
+def first_submissions(batches: DataFrame, within_s: int = 1800, late: str = "10 minutes") -> DataFrame:
+    """T04: batches that aren't a copy of one let through less than ``within_s`` before, by user and fingerprint; twin: replay.grouped_alerts with that interval. State is freed after the interval. batches: ts, at_s, event_id, user_id, fingerprint."""
+
+    def step(s, r: dict):
+        s, through = replay.spaced(s, int(r["at_s"]), within_s)
+        return s, ((r["event_id"], r["at_s"]) if through else None)
+
+    return _stateful(batches.withWatermark("ts", late), ["user_id", "fingerprint"], ["at_s", "event_id"], "event_id bigint, at_s bigint", step, lambda s: s + within_s)
+
 
+def rolling_p90(done: DataFrame, size: int = 50, least: int = 3) -> DataFrame:
+    """T05; twin: windows.rolling_p90. State: ``size`` values of each server and kind. done: server_id, work_kind, ts_us, event_id, value."""
 
-def rolling_p90(done: DataFrame, size: int = 50) -> DataFrame:
-    """T05; twin: windows.rolling_p90. done: server_id, work_kind, ts_us, event_id, value."""
+    def step(s, r: dict):
+        s = [*(s or []), int(r["value"])][-size:]
+        return s, (r["event_id"], sorted(s)[(len(s) * 9 + 9) // 10 - 1] if len(s) >= least else None)
 
-    def step(s: deque, r: dict):
-        s.append(int(r["value"]))
-        yield r["event_id"], replay.p90(s, None)
+    return _stateful(done, ["server_id", "work_kind"], ["ts_us", "event_id"], "event_id bigint, p90 bigint", step)
 
-    return _stateful(done, ["server_id", "work_kind"], ["ts_us", "event_id"], "event_id bigint, p90 bigint", lambda: deque(maxlen=size), step, lambda s: json.dumps(list(s)), lambda t: deque(json.loads(t), maxlen=size))
 
+def breaker(calls: DataFrame, failures: int = 5, timeout_s: float = 60, probes: int = 3, late: str = "0 seconds") -> DataFrame:
+    """T06; twin: replay.breaker. A breaker that is still open when its recovery time is over, by the stream's event time, is reported half open by a timer, in a row without an event. calls: ts, server_id, at_s, event_id, ok."""
+    moves = replay.breaker_moves(failures, probes)
 
-def breaker(calls: DataFrame, failures: int = 5, timeout_s: float = 60, probes: int = 3) -> DataFrame:
-    """T06; twin: replay.breaker. calls: server_id, at_s, event_id, ok. The recovery time is judged at the next call, by the calls' own times."""
+    def step(s, r: dict):
+        s, through = replay.moved(s, int(r["at_s"]), bool(r["ok"]), moves, timeout_s)
+        return s, (r["event_id"], through, moves[s[0]][0])
 
-    def step(s: dict, r: dict):
-        through, state = replay.breaker_step(s, int(r["at_s"]), bool(r["ok"]), failures, timeout_s, probes)
-        yield r["event_id"], through, state
+    def expires(s):
+        return s[1] + timeout_s if moves[s[0]][0] == "OPEN" else None
 
-    return _stateful(calls, ["server_id"], ["at_s", "event_id"], "event_id bigint, let_through boolean, state string", replay.breaker_state, step, json.dumps, json.loads)
+    return _stateful(calls.withWatermark("ts", late), ["server_id"], ["at_s", "event_id"], "event_id bigint, let_through boolean, state string", step, expires, lambda s: (None, None, "HALF_OPEN"))
 
 
 def heartbeat_timeouts(beats: DataFrame, timeout_s: int = C.HEARTBEAT_TIMEOUT_S, late: str = "0 seconds") -> DataFrame:
@@ -147,19 +168,19 @@ def activity_sessions(events: DataFrame, gap: str = "5 minutes", late: str = "10
     return events.withWatermark("ts", late).groupBy("server_id", F.session_window("ts", gap)).agg(F.count("*").alias("n")).select("server_id", F.unix_seconds(F.col("session_window.start")).alias("start_s"), "n")
 
 
-def completed_tasks(segments: DataFrame) -> DataFrame:
-    """T09: a task once, when all its segments have ended. segments: task_id, segment_index, n_segments, status, event_id."""
+def completed_tasks(segments: DataFrame, keep_s: int = 604_800, late: str = "10 minutes") -> DataFrame:
+    """T09: a task once, when all its segments have ended. A task without a row for ``keep_s`` is forgotten, its state freed; rows after that are a new run. segments: ts, at_s, task_id, segment_index, n_segments, status, event_id."""
 
-    def step(s: dict, r: dict):
-        if r["status"] in ("SUCCEEDED", "FAILED") and not s.get("sent"):
-            s[str(r["segment_index"])] = r["status"]
-            if len(s) >= int(r["n_segments"]):
-                ok = all(v == "SUCCEEDED" for v in s.values())
-                s.clear()
-                s["sent"] = "yes"
-                yield r["event_id"], ok
+    def step(s, r: dict):
+        last, done = s if s is not None and r["at_s"] - s[0] <= keep_s else (0, {})
+        made = None
+        if done != "sent" and r["status"] in ("SUCCEEDED", "FAILED"):
+            done = {**done, str(r["segment_index"]): r["status"]}
+            if len(done) >= int(r["n_segments"]):
+                made, done = (r["event_id"], set(done.values()) == {"SUCCEEDED"}), "sent"
+        return (int(r["at_s"]), done), made
 
-    return _stateful(segments, ["task_id"], ["event_id"], "event_id bigint, succeeded boolean", dict, step, json.dumps, json.loads)
+    return _stateful(segments.withWatermark("ts", late), ["task_id"], ["at_s", "event_id"], "event_id bigint, succeeded boolean", step, lambda s: s[0] + keep_s)
 
 
 def fresh_results(results: DataFrame, tasks: DataFrame) -> DataFrame:
