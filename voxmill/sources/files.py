@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from voxmill import constants as C
 from voxmill.operators.filters import extension
@@ -24,19 +27,29 @@ PROBE = "format struct<duration:string,format_name:string>, streams array<struct
 MIME = (("wav", "audio/wav"), ("mp3", "audio/mpeg"), ("flac", "audio/flac"), ("ogg", "audio/ogg"), ("mp4", "video/mp4"), ("matroska", "video/x-matroska"), ("webm", "video/webm"))
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder where executors and driver both write, under the session's spark.checkpoint.dir; only a local master may go without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def media_inventory(spark: SparkSession, folders: list[str], chunk: int, extensions=C.MEDIA_EXTENSIONS) -> DataFrame:
     """Media files under the folders with size, time and chunk number; contents are not read."""
-    from pyspark.sql import Window as W
-
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folders).select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("mtime"))
     files = files.where(extension(F.col("path")).isin(*extensions)).withColumn("folder", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
     return files.withColumn("chunk", F.floor((F.row_number().over(W.partitionBy("folder").orderBy("path")) - 1) / chunk).cast("long"))
 
 
-def write_results(results: DataFrame, folder: str) -> None:
-    """results: task_id, fmt (json, txt, srt), content. One folder a format and id prefix."""
-    rows = results.select("task_id", "fmt", F.substring(F.col("task_id").cast("string"), 1, 4).alias("prefix"), "content")
-    rows.repartition("fmt", "prefix").write.partitionBy("fmt", "prefix").parquet(folder)
+def write_results(results: DataFrame, folder: str, files: int = 16) -> None:
+    """results: task_id, fmt (json, txt, srt), content. One folder a format and id prefix, with up to ``files`` files: ids of one time may all have one prefix."""
+    prefix = F.substring(F.col("task_id").cast("string"), 1, 4)
+    rows = results.select("task_id", "fmt", prefix.alias("prefix"), "content")
+    rows.repartition("fmt", "prefix", F.pmod(F.xxhash64("task_id"), F.lit(files))).write.partitionBy("fmt", "prefix").parquet(folder)
 
 
 def read_results(spark: SparkSession, folder: str, fmt: str | None = None) -> DataFrame:
@@ -52,10 +65,10 @@ def read_result_files(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.regexp_extract("p", r"/([^/]+)/result\.(json|txt|srt)$", 1).alias("task_id"), F.regexp_extract("p", r"\.(json|txt|srt)$", 1).alias("fmt"), "content").where("task_id <> ''")
 
 
-def schema_drift(spark: SparkSession, tables: dict[str, DataFrame], legacy: dict[str, list[str]] | None = None) -> DataFrame:
+def schema_drift(spark: SparkSession, tables: dict[str, DataFrame], legacy: dict[str, list[str]] | None = None, expected: dict[str, str] = STATE_TABLES) -> DataFrame:
     """(table, level, problem): missing tables and columns are errors, legacy columns still there too; a table in order has one ok row."""
     rows = []
-    for name, schema in STATE_TABLES.items():
+    for name, schema in expected.items():
         if name not in tables:
             rows.append((name, "error", "table missing"))
             continue
@@ -68,8 +81,9 @@ def schema_drift(spark: SparkSession, tables: dict[str, DataFrame], legacy: dict
     return spark.createDataFrame(rows, "table string, level string, problem string")
 
 
-def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MANIFEST).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+def read_manifests(spark: SparkSession, path: str, one_a_line: bool = False) -> DataFrame:
+    """Manifests, one (or an array of them) a file, or ``one_a_line``."""
+    return spark.read.schema(MANIFEST).option("multiLine", not one_a_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
 def manifest_violations(manifests: DataFrame) -> DataFrame:
@@ -132,8 +146,6 @@ def probe_metadata(probe: Column) -> Column:
 
 def silence_intervals(log: DataFrame) -> DataFrame:
     """Silences from the lines of a detection log. log: file_id, line_no, line. A start without an end runs to -1 at the end of the file; a later start replaces it; an end without a start is ignored."""
-    from pyspark.sql import Window as W
-
     number = lambda what: F.nullif(F.regexp_extract("line", rf"silence_{what}:\s*([\d.]+)", 1), F.lit("")).try_cast("double")
     rows = log.select("file_id", "line_no", number("start").alias("s"), number("end").alias("e")).where("s is not null or e is not null")
     nxt = W.partitionBy("file_id").orderBy("line_no")

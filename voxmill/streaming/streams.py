@@ -9,8 +9,6 @@ the files.
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from voxmill import constants as C
 from voxmill.operators import replay
+from voxmill.sources.files import shared_folder
 from voxmill.sources.tables import SCHEMAS
 
 
@@ -28,14 +27,7 @@ def event_stream(spark: SparkSession, path: str, files_at_once: int = 1) -> Data
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder where executors and driver both write."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    return shared_folder(spark, f"stream-{name}")
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:
