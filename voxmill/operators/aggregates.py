@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from voxmill import constants as C
 
@@ -144,12 +144,13 @@ def slot_use(tasks: DataFrame, segments: DataFrame, servers: DataFrame) -> DataF
 
 
 def slot_report(tasks: DataFrame, segments: DataFrame) -> DataFrame:
-    """Per server: work ids in order, and zombies (segments at work whose task has ended)."""
+    """Work on each server's slots, and whether it is a zombie (a segment at work whose task has ended); beside it the server's numbers of both. A row for each piece of work, however many a server has."""
     parents = segments.select("task_id").distinct()
     whole = tasks.where(is_(*C.ACTIVE_SLOT)).join(parents, "task_id", "left_anti").select("assigned_server_id", F.concat(F.lit("t"), "task_id").alias("work"), F.lit(0).alias("zombie"))
     seg = segments.where(is_(*C.ACTIVE_SLOT)).join(tasks.select("task_id", F.col("status").alias("parent")), "task_id")
     seg = seg.select("assigned_server_id", F.concat(F.lit("s"), "segment_id").alias("work"), F.col("parent").isin(*C.TERMINAL).cast("int").alias("zombie"))
-    return whole.unionByName(seg).where("assigned_server_id is not null").groupBy("assigned_server_id").agg(F.count("*").alias("n"), F.sum("zombie").alias("zombies"), F.array_join(F.array_sort(F.collect_list("work")), ",").alias("work"))
+    rows = whole.unionByName(seg).where("assigned_server_id is not null")
+    return rows.join(rows.groupBy("assigned_server_id").agg(F.count("*").alias("n"), F.sum("zombie").alias("zombies")), "assigned_server_id")
 
 
 def cancel_preview(tasks: DataFrame, segments: DataFrame) -> DataFrame:
@@ -193,13 +194,20 @@ def speed() -> Column:
     return F.col("max_concurrency") / F.greatest(F.coalesce("rtf_baseline", F.lit(0.3)), F.lit(0.01))
 
 
-def capacity_ranking(servers: DataFrame) -> DataFrame:
-    """Servers by speed, relative to the fastest; ties by id. A registry is a small table: it is ranked in one task."""
-    from pyspark.sql import Window as W
+def capacity_ranking(servers: DataFrame, spans: int = 64) -> DataFrame:
+    """Servers by speed, relative to the fastest; ties by id.
 
+    Ranks are counted within spans of speed, bounded by approximate quantiles, and
+    what the faster spans hold is added: no task sees the whole registry.
+    """
     s = servers.withColumn("speed", speed())
-    top = F.max("speed").over(W.partitionBy(F.lit(1)))
-    return s.select("server_id", F.round("speed", 4).alias("speed"), F.when(top > 0, F.round(F.col("speed") / top, 4)).otherwise(0.0).alias("relative"), F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("speed"), "server_id")).alias("rank"))
+    top, bounds = s.agg(F.max("speed"), F.percentile_approx("speed", [i / spans for i in range(1, spans)], 1000)).head()
+    s = s.withColumn("span", F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds or [])))).cast("array<double>"), lambda b: b > F.col("speed"))))
+    sizes, before, seen = sorted((r[0], r[1]) for r in s.groupBy("span").count().collect()), F.lit(0), 0
+    for span, n in sizes:
+        before, seen = F.when(F.col("span") == span, seen).otherwise(before), seen + n
+    place = F.row_number().over(W.partitionBy("span").orderBy(F.desc("speed"), "server_id"))
+    return s.select("server_id", F.round("speed", 4).alias("speed"), F.round(F.col("speed") / top, 4).alias("relative") if top else F.lit(0.0).alias("relative"), (before + place).cast("int").alias("rank"))
 
 
 def plan_load(plan: DataFrame) -> DataFrame:

@@ -60,10 +60,19 @@ def dispatch_lookup(results: DataFrame, tasks: DataFrame, servers: DataFrame, fi
 
 
 def duplicate_batches(batches: DataFrame, window_s: int = 1800) -> DataFrame:
-    """Pairs of a batch and an earlier active one of the same owner and fingerprint at most ``window_s`` before. batches: batch, user_id, fingerprint, n, created_s, active."""
-    a = batches.select("user_id", "fingerprint", "n", F.col("batch").alias("batch"), F.col("created_s").alias("at"))
-    b = batches.where("active > 0").select("user_id", "fingerprint", "n", F.col("batch").alias("earlier"), F.col("created_s").alias("before"))
-    return a.join(b, ["user_id", "fingerprint", "n"]).where(f"batch <> earlier and before <= at and at - before <= {window_s}").select("batch", "earlier", "user_id", "n")
+    """Batches that repeat an earlier active one of the same owner, size and fingerprint, at most ``window_s`` before; with the newest such one. batches: batch, user_id, fingerprint, n, created_s, active.
+
+    Time is cut into spans of the window: a match is in the batch's own span or the
+    one before, of which only the last is needed. A fingerprint that holds a third of
+    all batches is spread over its spans, and no pairs are made.
+    """
+    keys = ["user_id", "fingerprint", "n", "span"]
+    rows = batches.withColumn("span", F.floor(F.col("created_s") / window_s))
+    one = F.when(F.col("active") > 0, F.struct("created_s", "batch"))
+    before = F.last(one, True).over(W.partitionBy(*keys).orderBy("created_s", "batch").rowsBetween(W.unboundedPreceding, -1))
+    ends = rows.where("active > 0").groupBy(*keys).agg(F.max(one).alias("end")).withColumn("span", F.col("span") + 1)
+    found = rows.withColumn("before", before).join(ends, keys, "left").withColumn("match", F.coalesce("before", "end"))
+    return found.where(F.col("created_s") - F.col("match.created_s") <= window_s).select("batch", F.col("match.batch").alias("earlier"), "user_id", "n")
 
 
 def resume(candidates: DataFrame, done: DataFrame) -> DataFrame:

@@ -58,9 +58,9 @@ add(
 add(
     "a14_slot_report",
     lambda d: op.slot_report(d.tasks, d.segments),
-    """SELECT assigned_server_id, count(*) AS n, sum(zombie)::BIGINT AS zombies, string_agg(work, ',' ORDER BY work) AS work FROM (
+    """SELECT *, count(*) OVER (PARTITION BY assigned_server_id) AS n, sum(zombie) OVER (PARTITION BY assigned_server_id)::BIGINT AS zombies FROM (
   SELECT assigned_server_id, 't' || task_id AS work, 0 AS zombie FROM d_tasks WHERE status IN ('DISPATCHED','TRANSCRIBING') AND task_id NOT IN (SELECT task_id FROM d_segments)
-  UNION ALL SELECT s.assigned_server_id, 's' || s.segment_id, (t.status IN ('SUCCEEDED','FAILED','CANCELED'))::INT FROM d_segments s JOIN d_tasks t USING (task_id) WHERE s.status IN ('DISPATCHED','TRANSCRIBING')) WHERE assigned_server_id IS NOT NULL GROUP BY 1""",
+  UNION ALL SELECT s.assigned_server_id, 's' || s.segment_id, (t.status IN ('SUCCEEDED','FAILED','CANCELED'))::INT FROM d_segments s JOIN d_tasks t USING (task_id) WHERE s.status IN ('DISPATCHED','TRANSCRIBING')) WHERE assigned_server_id IS NOT NULL""",
 )
 add("a15_cancel_preview", lambda d: op.cancel_preview(d.tasks, d.segments), "SELECT task_group_id, count(*) AS tasks, coalesce(sum(n), 0)::BIGINT AS segments FROM d_tasks LEFT JOIN (SELECT task_id, count(*) AS n FROM d_segments WHERE status IN ('PENDING','DISPATCHED','TRANSCRIBING') GROUP BY 1) USING (task_id) WHERE status NOT IN ('SUCCEEDED','FAILED','CANCELED') GROUP BY 1")
 
@@ -94,6 +94,14 @@ def plan_table(d):
 
 
 PLAN = "(SELECT task_group_id AS batch, assigned_server_id AS server_id, task_id % 3 AS slot, task_id AS item, task_id % 97 + 1 AS est_s, (task_id * 13) % 300 AS start_s, (task_id * 13) % 300 + task_id % 97 + 1 AS finish_s FROM d_tasks WHERE task_group_id IS NOT NULL AND assigned_server_id IS NOT NULL)"
+CROWDED = f"(SELECT * REPLACE (server_id - server_id % 3 AS server_id) FROM {PLAN})"
+
+
+def crowded(plan):
+    """The plan with all work on every third server, so that others are idle."""
+    return plan.withColumn("server_id", F.col("server_id") - F.col("server_id") % 3)
+
+
 add("a20_plan_load", lambda d: op.plan_load(plan_table(d)), f"SELECT *, max(finish_s) OVER (PARTITION BY batch) AS makespan_s FROM (SELECT batch, server_id, count(*) AS items, max(finish_s) AS finish_s FROM {PLAN} GROUP BY 1, 2)")
 add("a21_queue_left", lambda d: op.queue_left(plan_table(d)), f"SELECT server_id, sum(est_s)::BIGINT AS left_s, max(finish_s) AS last_finish_s, (list(item ORDER BY finish_s DESC, item DESC))[1] AS last_item FROM {PLAN} GROUP BY 1")
 add(

@@ -47,8 +47,10 @@ FROM (SELECT *, {EPOCH_S(o_orderdate)} + (o_orderkey * 7919) % 86400 AS created_
 LEFT JOIN (SELECT l_orderkey, min(l_partkey) AS file_id, min(l_suppkey) AS server_id FROM lineitem GROUP BY l_orderkey) l
   ON l.l_orderkey = o.o_orderkey
 """,
+    # a task of one part is not segmented; the hint deals the lines out once, by task
     "d_segments": """
-SELECT l_orderkey * 10 + l_linenumber AS segment_id, l_orderkey AS task_id, cast(l_linenumber AS BIGINT) - 1 AS segment_index,
+SELECT segment_id, task_id, segment_index, keep_start_ms, keep_end_ms, source_start_ms, source_end_ms, status, assigned_server_id, retry_count, started_s, completed_s
+FROM (SELECT count(*) OVER (PARTITION BY l_orderkey) AS parts, l_orderkey * 10 + l_linenumber AS segment_id, l_orderkey AS task_id, cast(l_linenumber AS BIGINT) - 1 AS segment_index,
   (cast(l_linenumber AS BIGINT) - 1) * 600000 AS keep_start_ms, cast(l_linenumber AS BIGINT) * 600000 AS keep_end_ms,
   greatest((cast(l_linenumber AS BIGINT) - 1) * 600000 - 400, 0) AS source_start_ms,
   cast(l_linenumber AS BIGINT) * 600000 + 400 AS source_end_ms,
@@ -59,7 +61,7 @@ SELECT l_orderkey * 10 + l_linenumber AS segment_id, l_orderkey AS task_id, cast
   CASE WHEN (l_orderkey + 3 * l_linenumber) % 8 IN (4, 6) THEN NULL ELSE {EPOCH_S(min(l_shipdate))} END AS started_s,
   CASE WHEN (l_orderkey + 3 * l_linenumber) % 8 IN (4, 6, 7) THEN NULL
        ELSE {EPOCH_S(min(l_shipdate))} + cast(max(l_quantity) AS BIGINT) END AS completed_s
-FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY l_orderkey, l_linenumber
+FROM (SELECT /*+ REPARTITION(l_orderkey) */ l_orderkey, l_linenumber, l_suppkey, l_shipdate, l_quantity FROM lineitem) l GROUP BY l_orderkey, l_linenumber) s WHERE parts > 1
 """,
     "d_servers": """
 SELECT s_suppkey AS server_id, concat('10.0.0.', cast(s_suppkey % 250 AS STRING)) AS host, 10095 + s_suppkey % 3 AS port,

@@ -7,6 +7,7 @@ from voxmill.functions import scalars as fn
 from voxmill.operators import aggregates, jobs as op, windows as win
 from voxmill.operators.filters import extension
 from voxmill.plans.aggregates import FAILURES, IDLE, SPEED, _HIST, _hist
+from voxmill.plans.joins import newest_earlier
 from voxmill.plans.registry import add
 from voxmill.plans.scalars import FINGERPRINTS, SIMILARITY, fingerprints
 from voxmill.plans.snapshots import APPLIED, applied
@@ -69,7 +70,7 @@ def _coarse(d):
     return fingerprints(d).select("batch", F.concat(F.lit("k"), (F.col("batch") % 3).cast("string")).alias("fingerprint"))
 
 
-add("c06_duplicate_batches", lambda d: op.duplicate_report(d.tasks, _coarse(d), 86400 * 400), f"WITH b AS (SELECT *, batch % 3 AS k FROM {_BATCH} WHERE batch IN (SELECT batch FROM {FINGERPRINTS})) SELECT a.batch, e.batch AS earlier, a.user_id, a.n FROM b a JOIN b e ON a.user_id = e.user_id AND a.k = e.k AND a.n = e.n WHERE e.active > 0 AND a.batch <> e.batch AND e.created_s <= a.created_s AND a.created_s - e.created_s <= 34560000")
+add("c06_duplicate_batches", lambda d: op.duplicate_report(d.tasks, _coarse(d), 86400 * 400), f"WITH b AS (SELECT * FROM {_BATCH} WHERE batch IN (SELECT batch FROM {FINGERPRINTS})) " + newest_earlier("b", "a.batch % 3 = e.batch % 3", 34_560_000))
 add("c07_benchmark_report", lambda d: aggregates.capacity_ranking(applied(d)), f"SELECT server_id, round(s, 4) AS speed, CASE WHEN max(s) OVER () > 0 THEN round(s / max(s) OVER (), 4) ELSE 0.0 END::DOUBLE AS relative, row_number() OVER (ORDER BY s DESC, server_id)::INT AS rank FROM (SELECT server_id, {SPEED} AS s FROM {APPLIED})")
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from voxmill.operators import joins as op
-from voxmill.plans.aggregates import PLAN, plan_table
+from voxmill.plans.aggregates import CROWDED, PLAN, crowded, plan_table
 from voxmill.plans.registry import add
 
 add("j01_tasks_files", lambda d: op.with_files(d.tasks, d.files.select("file_id", "original_name", "size_bytes")).select("task_id", "file_id", "original_name", "size_bytes"), "SELECT task_id, file_id, original_name, size_bytes FROM d_tasks JOIN d_files USING (file_id)")
@@ -80,7 +80,7 @@ add("l07_slot_order", lambda d: d.segments.where("status = 'TRANSCRIBING'").sele
 
 add("u01_busy_intervals", lambda d: op.busy_intervals(d.tasks, d.segments), "SELECT 'task' AS kind, task_id AS work_id, started_s, completed_s FROM d_tasks WHERE started_s IS NOT NULL AND completed_s IS NOT NULL UNION ALL SELECT 'segment', segment_id, started_s, completed_s FROM d_segments WHERE started_s IS NOT NULL AND completed_s IS NOT NULL")
 add("u02_unqueued_parents", lambda d: op.unqueued_parents(d.segments, d.tasks), "SELECT DISTINCT task_id FROM d_segments WHERE status = 'PENDING' AND task_id NOT IN (SELECT task_id FROM d_tasks WHERE status = 'QUEUED')")
-add("u03_exhausted_available", lambda d: op.exhausted_and_available(plan_table(d).where("start_s > 280"), d.servers), f"SELECT server_id FROM d_servers WHERE enabled AND status = 'ONLINE' AND max_concurrency > 0 AND server_id NOT IN (SELECT server_id FROM {PLAN} WHERE start_s > 280)")
+add("u03_exhausted_available", lambda d: op.exhausted_and_available(crowded(plan_table(d)), d.servers), f"SELECT server_id FROM d_servers WHERE enabled AND status = 'ONLINE' AND max_concurrency > 0 AND server_id NOT IN (SELECT server_id FROM {CROWDED})")
 add("u04_endpoints", lambda d: op.endpoints(d.servers.withColumn("host", F.concat(F.lit(" 10.0.0."), (F.col("server_id") % 40).cast("string")))), "SELECT server_id, '10.0.0.' || (server_id % 40) || ':' || port AS endpoint, row_number() OVER (PARTITION BY server_id % 40, port ORDER BY server_id) > 1 AS duplicate FROM d_servers")
 add("u05_task_servers", lambda d: op.task_servers(d.segments), "SELECT DISTINCT task_id, assigned_server_id FROM d_segments WHERE assigned_server_id IS NOT NULL")
 add("u06_plan_difference", lambda d: op.plan_difference(plan_table(d).select("item"), d.tasks.where("status in ('QUEUED', 'DISPATCHED')").select(F.col("task_id").alias("item"))), f"SELECT DISTINCT item, 'stale_plan' AS side FROM {PLAN} WHERE item NOT IN (SELECT task_id FROM d_tasks WHERE status IN ('QUEUED','DISPATCHED')) UNION ALL SELECT DISTINCT task_id, 'unplanned' FROM d_tasks WHERE status IN ('QUEUED','DISPATCHED') AND task_id NOT IN (SELECT item FROM {PLAN})")
@@ -91,8 +91,13 @@ def _batches(d):
     return g.withColumn("fingerprint", F.col("batch") % 2)
 
 
+def newest_earlier(batches: str, same: str, window_s: int) -> str:
+    """Of each batch a of ``batches`` the newest active one before it that is the ``same`` and at most ``window_s`` older."""
+    return f"SELECT batch, earlier, user_id, n FROM (SELECT a.batch, e.batch AS earlier, a.user_id, a.n, row_number() OVER (PARTITION BY a.batch ORDER BY e.created_s DESC, e.batch DESC) AS rn FROM {batches} a JOIN {batches} e ON a.user_id = e.user_id AND a.n = e.n AND {same} WHERE e.active > 0 AND (e.created_s, e.batch) < (a.created_s, a.batch) AND a.created_s - e.created_s <= {window_s}) WHERE rn = 1"
+
+
 add(
     "j10_duplicate_batches",
     lambda d: op.duplicate_batches(_batches(d), 86400 * 100),
-    "WITH b AS (SELECT task_group_id AS batch, min(user_id) AS user_id, count(*) AS n, min(created_s) AS created_s, count(*) FILTER (WHERE status NOT IN ('SUCCEEDED','FAILED','CANCELED')) AS active FROM d_tasks WHERE task_group_id IS NOT NULL GROUP BY 1) SELECT a.batch, e.batch AS earlier, a.user_id, a.n FROM b a JOIN b e ON a.user_id = e.user_id AND a.n = e.n AND a.batch % 2 = e.batch % 2 AND a.batch <> e.batch WHERE e.active > 0 AND e.created_s <= a.created_s AND a.created_s - e.created_s <= 8640000",
+    "WITH b AS (SELECT task_group_id AS batch, min(user_id) AS user_id, count(*) AS n, min(created_s) AS created_s, count(*) FILTER (WHERE status NOT IN ('SUCCEEDED','FAILED','CANCELED')) AS active FROM d_tasks WHERE task_group_id IS NOT NULL GROUP BY 1) " + newest_earlier("b", "a.batch % 2 = e.batch % 2", 8_640_000),
 )

@@ -17,8 +17,8 @@ _TF = "(SELECT t.*, f.duration_sec, f.original_name, f.size_bytes FROM d_tasks t
 add("x01_srt_time", lambda d: d.utterances.select("task_id", "segment_index", "pos", fn.srt_time(F.col("source_start_ms") + F.col("start_ms") + F.col("task_id") * 977_777).alias("at")), f"SELECT task_id, segment_index, pos, {_SRT.format(c='x')} AS \"at\" FROM (SELECT *, source_start_ms + start_ms + task_id * 977777 AS x FROM d_utterances)")
 add(
     "x02_character_spacing",
-    lambda d: d.conversations.select("conv_id", "turn", fn.join_single_characters(F.when(F.col("turn") % 2 == 0, F.regexp_replace(F.substring("text", 1, 6), r"(\S)", "$1 ")).otherwise(F.col("text")), F.lit(".")).alias("t")),
-    "SELECT conv_id, turn, CASE WHEN contains(t, ' ') AND len(k) > 0 AND len(list_filter(k, lambda x: length(x) <> 1)) = 0 THEN array_to_string(k, '') ELSE t END || '.' AS t FROM (SELECT *, list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS k FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN regexp_replace(substring(text, 1, 6), '([^ \\t\\n\\x0B\\f\\r])', '\\1 ', 'g') ELSE text END AS t FROM conversations))",
+    lambda d: d.conversations.select("conv_id", "turn", fn.join_single_characters(F.when(F.col("turn") % 2 == 0, F.regexp_replace("text", r"(\S)", "$1 ")).otherwise(F.col("text")), F.lit(".")).alias("t")),
+    "SELECT conv_id, turn, CASE WHEN contains(t, ' ') AND len(k) > 0 AND len(list_filter(k, lambda x: length(x) <> 1)) = 0 THEN array_to_string(k, '') ELSE t END || '.' AS t FROM (SELECT *, list_filter(regexp_split_to_array(t, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS k FROM (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN regexp_replace(text, '([^ \\t\\n\\x0B\\f\\r])', '\\1 ', 'g') ELSE text END AS t FROM conversations))",
 )
 _LINES = lambda: F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "text")))
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from voxmill.operators import filters, windows as op
 from voxmill.operators.aggregates import benchmark_levels, lower_median
 from voxmill.operators.joins import kept_utterances
-from voxmill.plans.aggregates import LEVELS, PLAN, _runs, plan_table
+from voxmill.plans.aggregates import CROWDED, LEVELS, PLAN, _runs, crowded, plan_table
 from voxmill.plans.registry import add
 
 _W = "PARTITION BY server_id, work_kind ORDER BY ts_us, event_id"
@@ -19,8 +19,8 @@ add(
 add("w05_dwell", lambda d: op.dwell(d.task_events), "SELECT task_id, to_status AS status, sum(stay)::BIGINT AS dwell_us, count(stay) AS stays FROM (SELECT *, lead(ts_us) OVER (PARTITION BY task_id ORDER BY ts_us, event_id) - ts_us AS stay FROM d_events) GROUP BY 1, 2")
 add(
     "w06_broken_chain",
-    lambda d: op.broken_chain(d.task_events.where("payload_json not like '%9}'")),
-    "SELECT event_id, task_id, from_status, expected FROM (SELECT *, lag(to_status) OVER (PARTITION BY task_id ORDER BY ts_us, event_id) AS expected FROM d_events WHERE payload_json NOT LIKE '%9}') WHERE from_status IS NOT NULL AND expected IS NOT NULL AND from_status <> expected",
+    lambda d: op.broken_chain(d.task_events.withColumn("from_status", F.when(F.col("event_id") % 97 == 0, F.when(F.col("from_status").isNotNull(), "PENDING")).otherwise(F.col("from_status")))),
+    "SELECT event_id, task_id, from_status, expected FROM (SELECT * REPLACE (CASE WHEN event_id % 97 = 0 AND from_status IS NOT NULL THEN 'PENDING' ELSE from_status END AS from_status), lag(to_status) OVER (PARTITION BY task_id ORDER BY ts_us, event_id) AS expected FROM d_events) WHERE from_status IS NOT NULL AND expected IS NOT NULL AND from_status <> expected",
 )
 add(
     "w07_order_violations",
@@ -65,8 +65,8 @@ add("w16_slot_queues", lambda d: op.slot_queues(plan_table(d)), f"SELECT server_
 add("w17_next_items", lambda d: op.next_items(plan_table(d), 4), f"SELECT server_id, item, rn::INT AS rn FROM (SELECT *, row_number() OVER (PARTITION BY server_id ORDER BY start_s <= 0 DESC, start_s, item) AS rn FROM {PLAN}) WHERE rn <= 4")
 add(
     "w18_rebalance",
-    lambda d: op.rebalance(plan_table(d).where("start_s > 280").withColumn("audio_s", F.col("est_s") * 3), d.servers),
-    f"""WITH p AS (SELECT *, est_s * 3 AS audio_s FROM {PLAN} WHERE start_s > 280), e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY server_id ORDER BY finish_s DESC, item DESC) AS rn FROM p) WHERE rn <= 3),
+    lambda d: op.rebalance(crowded(plan_table(d)).withColumn("audio_s", F.col("est_s") * 3), d.servers),
+    f"""WITH p AS (SELECT *, est_s * 3 AS audio_s FROM {CROWDED}), e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY server_id ORDER BY finish_s DESC, item DESC) AS rn FROM p) WHERE rn <= 3),
 i AS (SELECT server_id AS idle_id, coalesce(rtf_baseline, 0.3::DOUBLE) AS rtf FROM d_servers WHERE enabled AND status = 'ONLINE' AND max_concurrency > 0 AND server_id NOT IN (SELECT server_id FROM p)),
 t AS (SELECT idle_id, item, finish_s, finish_s - (audio_s * rtf + 5) AS gain FROM e, i)
 SELECT idle_id, (list(item ORDER BY gain DESC, item DESC))[1] AS item, round(max(gain), 3) AS gain FROM t WHERE gain >= greatest(3.0::DOUBLE, 0.05::DOUBLE * finish_s) GROUP BY 1""",
