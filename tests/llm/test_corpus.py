@@ -94,84 +94,54 @@ def tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)})) + ["</e>"]
 
 
-def test_language_model_against_loops(spark, docs):
-    rows = [(i, " ".join(np.random.default_rng(i).choice(BASE, 12)), i % 4 != 0) for i in range(40)] + [(99, None, False), (98, "", True), (97, "unseen words here", False)]
-    data = spark.createDataFrame(rows, "doc_id long, text string, train boolean")
-    scratch = common.Scratch(spark)
-    common_words, common_pairs = 0.02, 0.004
-    table, facts, auto = lm_score.train(data.where("train"), scratch, common_words, common_pairs)
-    got = {r.doc_id: r for r in lm_score.score(data, table, facts, auto, scratch).collect()}
+def plain_scores(rows, often_words, priors):
+    """rows: (id, text, train). Scores by the smoothing formula, context by context."""
     c1, c2, c3 = collections.Counter(), collections.Counter(), collections.Counter()
     for _, t, train in rows:
         if train:
             w = tokens(t)
             c1.update(w), c2.update(zip(w, w[1:])), c3.update(zip(w, w[1:], w[2:]))
     n, v = sum(c1.values()), len(c1)
-    d1 = min(max(sum(x == 1 for x in c1.values()) / v, 0.05), 0.95)
-    top, least = {w for w, x in c1.items() if x >= common_words * n}, common_pairs * n
-    k2 = {k: x for k, x in c2.items() if x >= least and set(k) <= top}
-    k3 = {k: x for k, x in c3.items() if x >= least and k[:2] in k2 and k[1:] in k2}
-    p1 = lambda w: (c1[w] - d1) / n if w in c1 else d1 * v / n
-    p2, p3 = {k: (x - 0.75) / c1[k[0]] for k, x in k2.items()}, {k: (x - 0.75) / k2[k[:2]] for k, x in k3.items()}
-
-    def backed(i, w):
-        if (i, w) in p2:
-            return p2[i, w]
-        mine = [k for k in p2 if k[0] == i]
-        return p1(w) * ((1 - sum(p2[k] for k in mine)) / (1 - sum(p1(k[1]) for k in mine)) if mine else 1)
-
-    def p(i, j, w):
-        if (i, j, w) in p3:
-            return p3[i, j, w]
-        mine = [k for k in p3 if k[:2] == (i, j)]
-        return backed(j, w) * ((1 - sum(p3[k] for k in mine)) / (1 - sum(p2[k[1:]] for k in mine)) if mine else 1)
-
-    assert k3 and k2
+    d = min(max(sum(x == 1 for x in c1.values()) / v, 0.05), 0.95)
+    rare = [x for x in c1.values() if x < often_words * n]
+    shared = (sum(rare) - d * len(rare)) / (n * len(rare)) if rare else None
+
+    def p(*gram):
+        w, context = gram[-1], gram[:-1]
+        if not context:
+            return d * v / n if w not in c1 else shared if c1[w] < often_words * n else (c1[w] - d) / n
+        prior, seen, all_ = priors[len(context) - 1], (c2, c3)[len(context) - 1][gram], (c1[context[0]], c2[context])[len(context) - 1]
+        return (seen + prior * p(*gram[1:])) / (all_ + prior)
+
+    assert sum(p(w) for w in c1) + d * v / n == pytest.approx(1)
+    for context in list(c2)[:20]:
+        if context[1] != "</e>":
+            assert sum(p(*context, w) for w in c1) + p(*context, "never seen") == pytest.approx(1)
+    out = {}
     for i, t, _ in rows:
         w = tokens(t)
-        s = sum(math.log10(p1(x) if a == 0 else backed(w[0], x) if a == 1 else p(w[a - 2], w[a - 1], x)) for a, x in enumerate(w))
         base = sum(math.log10((c1[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
-        assert got[i].n_tokens == len(w) and got[i].n_known == sum(x in c1 for x in w) and got[i].train_tokens == n
-        assert got[i].score == pytest.approx(s) and got[i].base_score == pytest.approx(base)
-    assert sum(p1(w) for w in c1) + d1 * v / n == pytest.approx(1)
-    none = lm_score.train(empty(spark), scratch)
-    out = lm_score.score(docs, *none, scratch).collect()
-    assert len(out) == 13 and all(r.score == 0 and r.base_score == 0 and r.n_known == 0 for r in out)
-    assert lm_score.score(empty(spark), table, facts, auto, scratch).count() == 0
+        out[i] = len(w), sum(x in c1 for x in w), n, base, sum(math.log10(p(*w[max(0, a - 2) : a + 1])) for a in range(len(w)))
+    return out
 
 
-@pytest.mark.parametrize("cached", [{}, {"cached_words": 3e-5, "cached": 4e-5}])
-def test_language_model_keeps_rare_ngrams(spark, cached):
-    # 250,000 tokens of filler: what occurs once or twice is rarer than 1e-5
-    rows = [(i, " ".join([*np.random.default_rng(i).choice(BASE, 12), f"only{i % 30}", "once"]), i % 4 != 0) for i in range(60)] + [(90, "word " * 250_000, True), (91, "unseen words the quick brown", False), (92, "", False)]
+@pytest.mark.parametrize(
+    "how",
+    [{}, {"often_words": 0.02, "often": 0.004, "parts": 3, "bucket_tokens": 50}, {"often_words": 1.1, "often": 1.1, "parts": 1, "bucket_tokens": 100}, {"often_words": 0.001, "often": 1e-9, "parts": 2, "priors": (5.0, 0.5)}],
+)
+def test_language_model_against_loops(spark, docs, how):
+    rows = [(i, " ".join([*np.random.default_rng(i).choice(BASE, 12), f"only{i % 30}", "once"]), i % 4 != 0) for i in range(60)] + [(99, None, False), (98, "", True), (97, "unseen words here", False), (96, "word " * 3000, True), (95, "a", False)]
     data = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(3)
     scratch = common.Scratch(spark)
-    got = {r.doc_id: r.score for r in lm_score.score(data, *lm_score.train(data.where("train"), scratch, **cached), scratch).collect()}
-    c1, c2, c3 = collections.Counter(), collections.Counter(), collections.Counter()
-    for _, t, train in rows:
-        if train:
-            w = tokens(t)
-            c1.update(w), c2.update(zip(w, w[1:])), c3.update(zip(w, w[1:], w[2:]))
-    n, v = sum(c1.values()), len(c1)
-    d1 = min(max(sum(x == 1 for x in c1.values()) / v, 0.05), 0.95)
-    p1 = lambda w: (c1[w] - d1) / n if w in c1 else d1 * v / n
-
-    def backed(i, w):
-        if (i, w) in c2:
-            return (c2[i, w] - 0.75) / c1[i]
-        mine = [k for k in c2 if k[0] == i]
-        return p1(w) * ((1 - sum((c2[k] - 0.75) / c1[i] for k in mine)) / (1 - sum(p1(k[1]) for k in mine)) if mine else 1)
-
-    def p(i, j, w):
-        if (i, j, w) in c3:
-            return (c3[i, j, w] - 0.75) / c2[i, j]
-        mine = [k for k in c3 if k[:2] == (i, j)]
-        return backed(j, w) * ((1 - sum((c3[k] - 0.75) / c2[i, j] for k in mine)) / (1 - sum(backed(j, k[2]) for k in mine)) if mine else 1)
-
-    for i, t, _ in rows:
-        if i != 90:
-            w = tokens(t)
-            assert got[i] == pytest.approx(sum(math.log10(p1(x) if a == 0 else backed(w[0], x) if a == 1 else p(w[a - 2], w[a - 1], x)) for a, x in enumerate(w))), i
+    model = lm_score.train(data.where("train"), scratch, **how)
+    got = {r.doc_id: r for r in lm_score.score(data, *model, scratch).collect()}
+    for i, want in plain_scores(rows, how.get("often_words", 1e-6), how.get("priors", lm_score.PRIORS)).items():
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == want[:3], i
+        assert got[i].base_score == pytest.approx(want[3]) and got[i].score == pytest.approx(want[4]), i
+    none = lm_score.train(empty(spark), scratch)
+    out = lm_score.score(docs, *none, scratch).collect()
+    assert len(out) == 13 and all(r.score == 0 and r.base_score == 0 and r.n_known == 0 for r in out)
+    assert lm_score.score(empty(spark), *model, scratch).count() == 0
 
 
 # ---------------------------------------------------------------- quality rules

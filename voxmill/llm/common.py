@@ -56,8 +56,14 @@ class Scratch:
         self.spark, self.base, self.paths = spark, f"{base.rstrip('/')}/voxmill-{uuid.uuid4().hex}", {}
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.base}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
+        """Writes the table; the shuffle files of the write go when it is done."""
+        path, cleanup = f"{self.base}/{name}-{uuid.uuid4().hex[:8]}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(cleanup, None)
+        self.spark.conf.set(cleanup, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(cleanup) if before is None else self.spark.conf.set(cleanup, before)
         self.paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -158,11 +164,6 @@ def hash_text(word: str) -> int:
     return int(hash_words(b, np.array([0]), np.array([len(b)]))[0])
 
 
-def row_slices(batch_rows: int, first: np.ndarray):
-    for i in range(batch_rows):
-        yield i, first[i], first[i + 1]
-
-
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Keeps the Arrow batches of whole texts small: a batch is bounded by rows, not bytes."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

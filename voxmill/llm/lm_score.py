@@ -1,28 +1,40 @@
 """Language-model scores with a weighted backoff automaton.
 
-Training counts cover every training document, and every word, pair and triple of
-words seen in them is kept, in shuffled tables. N-grams with a relative frequency of
-at least ``cached`` also become the automaton: at most 1 / ``cached`` of each order
-can have it, at any corpus size, which bounds what is broadcast. Its states are
-contexts, its arcs carry discounted log-probabilities, and a failure arc leads from
-each context to the next shorter one with its backoff weight. A text is read once from
-left to right: the traversal carries the state, follows failure arcs until a word has
-an arc, and adds up weights. A place is left open where the automaton can't tell: its
-context isn't a state, or a state that fails has more arcs in the tables. Open places
-are looked up in the tables by joins; none of their n-grams is frequent.
-
-Discounts: words by the share of words seen once, so that unseen words together get
-the probability of those (Good-Turing); longer n-grams by 0.75. Probabilities are over
-the words seen in training, the end of the text, and one class for all unseen words.
+States are contexts of up to two words, smoothed hierarchically: a context that was
+seen c times adds ``prior`` times the probabilities of the next shorter context to
+its own counts (MacKay and Peto's Dirichlet smoothing), so
+
+    p(w | s) = (c(s w) + prior p(w | shorter s)) / (c(s) + prior).
+
+A failure arc leads from each state to the next shorter context, with the weight
+log(prior / (c(s) + prior)); an arc exists for every word seen after the context. It
+carries what it gains over failing, log(1 + c(s w) / (prior p(w | shorter s))), so the
+weight of a step is the sum of the failure weights of the states that end at its
+place, of the gains of the arcs there are, and of the word's own log-probability. An
+n-gram that isn't in the model adds nothing. That makes the weight of a text a plain
+sum, over one left-to-right pass that carries the state along.
+
+The model has every word, pair and triple of the training texts; none is cut off by
+count or rank. N-grams with a relative frequency of ``often`` or more, which are at
+most 1 / ``often`` of each order at any corpus size, are broadcast, and a pass adds up
+their weights where the text is read. All others are in tables dealt out by hash, and
+what a text needs of them goes there: no key of these is frequent, so none is hot.
+The tables are built and used in ``parts`` parts by hash, one after another, so that
+only that share of them, and of what looks them up, is on disk at a time.
+
+Words: those rarer than ``often_words`` (one in a million) share one probability, so
+that a reader needs only the others' counts; all unseen words together have the
+probability of those seen once (Good-Turing). The end of a text counts as a word.
 
 Nulls: a null text is read as empty (one end token). Repeated rows count and are
-scored each. Rows with a null training flag don't train. Columns besides the text and
-those to keep are not read.
+scored each. Rows with a null training flag don't train. An empty training table
+gives scores of 0. Columns besides the text and those to keep are not read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from math import log10
 
 import numpy as np
@@ -30,10 +42,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from voxmill.llm.common import LOWER_BYTES, Scratch, chunks, fold, hash_words, small_batches, words
+from voxmill.llm.common import LOWER_BYTES, Scratch, chunks, fold, hash_words, mix, small_batches, words
 
 END = np.uint64(0x5EED0000E11D0001)
-DISCOUNT = 0.75
+PRIORS = (3000.0, 3.0)  # of one word of context and of two; by the held-out scores at sf0.01 and sf0.1
+_DEALT = np.uint64(0xA0761D6478BD642F)
 
 
 def token_hashes(col):
@@ -87,291 +100,315 @@ def counts_of(docs: DataFrame, keys_of) -> DataFrame:
     return docs.mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-class Counter:
-    """Sums counts by 64-bit key and gives them out when there are many."""
+def found_at(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each asked key its place among ``keys`` (ascending), and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
 
-    def __init__(self, most: int = 1 << 21):
-        self.parts, self.size, self.most = [], 0, most
 
-    def add(self, keys: np.ndarray):
-        found, counts = np.unique(keys, return_counts=True)
-        self.parts.append((found, counts))
-        self.size += len(found)
-        if self.size > self.most:
-            self.parts = [self._merged()]
-            self.size = len(self.parts[0][0])
-            if self.size > self.most // 2:
-                yield self.take()
+@dataclass
+class Unigrams:
+    """Counts of the words that aren't rare, by hash, and what the others have in common."""
 
-    def _merged(self):
-        keys, counts = (np.concatenate(x) for x in zip(*self.parts))
-        found, which = np.unique(keys, return_inverse=True)
-        return found, np.bincount(which, counts).astype(np.int64)
+    hashes: np.ndarray
+    counts: np.ndarray
+    tokens: int
+    words: int
+    discount: float
 
-    def take(self) -> pa.RecordBatch:
-        keys, counts = self._merged() if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.parts, self.size = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["h", "c"])
+    @property
+    def rare(self) -> float:
+        """Probability of each rare word."""
+        n = self.words - len(self.hashes)
+        return (self.tokens - int(self.counts.sum()) - self.discount * n) / (self.tokens * n) if n else 1.0
 
+    @property
+    def unseen(self) -> float:
+        return self.discount * self.words / self.tokens
 
-def counts_of(docs: DataFrame, keys_of) -> DataFrame:
-    """(h, c): how often each key occurs; ``keys_of(hashes, offsets)`` gives the keys of a chunk."""
+    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count (0: rare or unseen) and probability (that of a rare word then)."""
+        at, known = found_at(self.hashes, h)
+        c = np.where(known, self.counts[at], 0) if len(self.hashes) else np.zeros(len(h), np.int64)
+        return c, np.where(known, (c - self.discount) / self.tokens, self.rare)
 
-    def run(batches):
-        counter = Counter()
-        for b in batches:
-            for _, h, offs in token_hashes(b.column(0)):
-                yield from counter.add(keys_of(h, offs))
-        yield counter.take()
 
-    return docs.mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+@dataclass
+class Model:
+    """``dealt``: how many buckets each of the ``parts`` has, by the number of training tokens."""
+
+    uni: Unigrams
+    train: DataFrame | None = None
+    parts: int = 1
+    dealt: int = 1
+    often: float = 1.0
+    priors: tuple[float, float] = PRIORS
 
 
 @dataclass
-class Automaton:
-    """Words are numbered by descending count; state 0 is the root."""
-
-    hashes: np.ndarray  # of the words, ascending
-    numbers: np.ndarray  # number of each
-    root_logp: list[float] = field(default_factory=list)
-    root_next: list[int] = field(default_factory=list)
-    arcs: dict[int, tuple[int, float]] = field(default_factory=dict)  # state * words + word -> (next state, log-probability)
-    fail: list[int] = field(default_factory=lambda: [0])
-    backoff: list[float] = field(default_factory=lambda: [0.0])
-    depth: list[int] = field(default_factory=lambda: [0])
-    whole: list[bool] = field(default_factory=lambda: [True])  # all words after the context have an arc
-
-    def numbered(self, h: np.ndarray) -> np.ndarray:
-        """Word numbers; -1 for words outside the automaton."""
-        if not len(self.hashes):
-            return np.full(len(h), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, self.numbers[at], -1)
-
-    def traverse(self, tokens: list[int]) -> tuple[float, list[int]]:
-        """One pass over the word numbers of a text (-1: rare): the sum over the places that the automaton can tell, and the open ones."""
-        arcs, fail, backoff, n = self.arcs, self.fail, self.backoff, len(self.root_logp)
-        root_logp, root_next, depth, whole = self.root_logp, self.root_next, self.depth, self.whole
-        state, total, unsure = 0, 0.0, []
-        for place, w in enumerate(tokens):
-            sure, logp = depth[state] == (place if place < 2 else 2), 0.0
-            while state:
-                arc = arcs.get(state * n + w) if w >= 0 else None
-                if arc:
-                    break
-                sure = sure and whole[state]
-                logp += backoff[state]
-                state = fail[state]
-            if state:
-                state, last = arc
-                logp += last
-            elif w >= 0:
-                logp += root_logp[w]
-                state = root_next[w]
-            else:
-                sure = False
-            if sure:
-                total += logp
-            else:
-                unsure.append(place)
-        return total, unsure
+class Arcs:
+    """Frequent n-grams: weights by hash, ascending."""
 
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+
+def places(h: np.ndarray, offs: np.ndarray, model_uni: Unigrams, parts: int, dealt: int, part: int):
+    """What the pass over a chunk meets in one part: for each place from a text's second word on, (place, hash of the last two words, hash of the last three or 0 where there are but two, bucket).
+
+    The last two words decide on part and bucket. Where the first of them is rare, it
+    does so alone: all that follows it is in one bucket, which then knows its count.
+    """
+    first = np.repeat(offs[:-1], np.diff(offs))
+    at = np.flatnonzero(np.arange(len(h)) > first)
+    if not len(at):
+        return at, h[:0], h[:0], at
+    two = fold(h, 2)[at - 1]
+    three = np.zeros(len(at), np.uint64)
+    third = at - first[at] > 1
+    three[third] = fold(h, 3)[at[third] - 2]
+    _, known = found_at(model_uni.hashes, h[at - 1])
+    way = mix(np.where(known, two, h[at - 1]) ^ _DEALT) % np.uint64(parts * dealt)
+    mine = way % np.uint64(parts) == part
+    return at[mine], two[mine], three[mine], (way[mine] // np.uint64(parts)).astype(np.int64)
 
-@dataclass
-class Model:
-    """The automaton, and the tables of all words (id, p, back), pairs (u, v, p, back) and triples (u, v, w, p): log-probabilities and backoff weights."""
 
-    auto: Automaton
-    words: DataFrame | None = None
-    pairs: DataFrame | None = None
-    triples: DataFrame | None = None
+def cut(*columns: np.ndarray, at: np.ndarray) -> list[pa.ListArray]:
+    """Each column as lists that end where the next one begins."""
+    return [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(c)) for c in columns]
 
 
-def idents(auto: Automaton, h: np.ndarray) -> np.ndarray:
-    """The number of a word in the automaton, or the hash of another."""
-    w = auto.numbered(h)
-    return np.where(w >= 0, w, h.view(np.int64))
+def starts_of(sorted_keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
 
 
-def grams(texts: DataFrame, n: int, shared, usable: int | None, most: int = 1 << 20) -> DataFrame:
-    """(u, v[, w], c): how often each run of n words occurs; with ``usable``, only runs of words numbered below it."""
-    names = ["u", "v", "w"][:n]
+class Gathered:
+    """Runs of texts put together to about ``most`` tokens, so that what repeats within them is one entry."""
+
+    def __init__(self, most: int):
+        self.most, self.parts, self.size = most, [], 0
+
+    def add(self, h, offs):
+        self.parts.append((h, np.diff(offs)))
+        self.size += len(h)
+        return self.size >= self.most
+
+    def take(self):
+        h, n = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts, self.size = [], 0
+        return h, np.concatenate([[0], np.cumsum(n)])
+
+
+COUNTED = "bucket bigint, two array<bigint>, first array<bigint>, count array<bigint>, p array<double>, size array<int>, three array<bigint>, c array<int>"
+
+
+def counted(texts: DataFrame, shared, parts: int, dealt: int, part: int, most: int = 1 << 20) -> DataFrame:
+    """One part's n-grams with their counts, a row for each bucket and run of texts.
+
+    By pair: its hash; the first word, if rare; else that word's count; the
+    probability of the second, negative for the end; the number of its triples. By
+    triple: its hash (0: the pair begins a text), and how often it occurs.
+    """
+
+    def rows(uni, h, offs):
+        at, two, three, bucket = places(h, offs, uni, parts, dealt, part)
+        _, where, times = np.unique(np.where(three > 0, three, ~two), return_index=True, return_counts=True)
+        order = np.lexsort((two[where], bucket[where]))
+        where, times = where[order], times[order]
+        at, two, three, bucket = at[where], two[where], three[where], bucket[where]
+        pair = starts_of(two)
+        v, w = h[at[pair] - 1], h[at[pair]]
+        c, p = uni.of(v)[0], uni.of(w)[1]
+        row = starts_of(bucket)
+        by_pair = np.append(np.searchsorted(pair, row), len(pair))
+        by_triple = np.append(row, len(at))
+        lists = cut(two[pair].view(np.int64), np.where(c > 0, np.uint64(0), v).view(np.int64), c, np.where(w == END, -p, p), np.diff(np.append(pair, len(at))).astype(np.int32), at=by_pair)
+        return pa.RecordBatch.from_arrays([pa.array(bucket[row]), *lists, *cut(three.view(np.int64), times.astype(np.int32), at=by_triple)], [c.split(" ")[0] for c in COUNTED.split(", ")])
 
     def run(batches):
-        auto, parts, size = shared.value, [], 0
-
-        def counted():
-            h = np.concatenate(parts)
-            key = fold(h, n)
-            ok = np.ones(len(key), bool)
-            for j in range(n - 1):
-                ok &= h[j : j + len(key)] != END  # the end of a text isn't followed by the next one
-            word = idents(auto, h)
-            if usable is not None:
-                small = (word >= 0) & (word < usable)
-                for j in range(n):
-                    ok &= small[j : j + len(key)]
-            at = np.flatnonzero(ok)
-            _, first, c = np.unique(key[at], return_index=True, return_counts=True)
-            at = at[first]
-            return pa.RecordBatch.from_arrays([*(pa.array(word[at + j]) for j in range(n)), pa.array(c.astype(np.int64))], [*names, "c"])
+        uni, held = shared.value, Gathered(most)
+        for b in batches:
+            for _, h, offs in token_hashes(b.column(0)):
+                if held.add(h, offs):
+                    yield rows(uni, *held.take())
+        if held.size:
+            yield rows(uni, *held.take())
+
+    return texts.mapInArrow(run, COUNTED)
+
+
+def flat(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+
+def weighed(found: DataFrame, frequent: float, priors: tuple[float, float]) -> DataFrame:
+    """The weights of one part, a row for each bucket: n-grams by hash, ascending, with a weight each; a pair's has its gain and, as it is a state as well, its failure weight. The frequent ones stand apart."""
+
+    def of(table: pa.Table) -> pa.Table:
+        size = flat(table, "size")
+        two, which = np.unique(flat(table, "two").view(np.uint64), return_inverse=True)
+        pair_of, times = np.repeat(which, size), flat(table, "c").astype(np.int64)
+        c2 = np.bincount(pair_of, times, len(two))
+        p, given, v = np.zeros(len(two)), np.zeros(len(two)), np.zeros(len(two), np.uint64)
+        p[which], given[which], v[which] = flat(table, "p"), flat(table, "count"), flat(table, "first").view(np.uint64)
+        # a rare first word occurs as often as it is followed by anything
+        rare, word = np.unique(v, return_inverse=True)
+        given = np.where(v > 0, np.bincount(word, c2, len(rare))[word], given)
+        three, seen = flat(table, "three").view(np.uint64), flat(table, "three") != 0
+        keys, first, inverse = np.unique(three[seen], return_index=True, return_inverse=True)
+        c3 = np.bincount(inverse, times[seen], len(keys))
+        one = np.abs(p)
+        after = (c2 + priors[0] * one) / (given + priors[0])
+        two_weight = np.log10(1 + c2 / (priors[0] * one)) + np.where(p < 0, 0.0, np.log10(priors[1] / (c2 + priors[1])))
+        three_weight = np.log10(1 + c3 / (priors[1] * after[pair_of[seen][first]]))
+        h, weight, c = np.concatenate([two, keys]), np.concatenate([two_weight, three_weight]), np.concatenate([c2, c3])
+        order = np.argsort(h)
+        h, weight, c = h[order].view(np.int64), weight[order], c[order]
+        top = c >= frequent
+        ends = lambda n: np.array([0, n])
+        return pa.table([table.column("bucket")[:1], *cut(h[~top], weight[~top], at=ends((~top).sum())), *cut(h[top], weight[top], at=ends(top.sum()))], names=["bucket", "h", "weight", "often_h", "often_weight"])
+
+    return found.groupBy("bucket").applyInArrow(of, "bucket bigint, h array<bigint>, weight array<double>, often_h array<bigint>, often_weight array<double>")
+
+
+def read_part(rows: DataFrame, shared, parts: int, dealt: int, part: int, most: int = 1 << 20) -> DataFrame:
+    """The pass over the texts of (__row, __t) for one part: frequent arcs are added up on the way (a row with bucket -1), the others are to be looked up (rows by bucket: row and hash of each)."""
+
+    def asked(uni, arcs, ids, h, offs):
+        at, two, three, bucket = places(h, offs, uni, parts, dealt, part)
+        row = ids[np.searchsorted(offs, at, "right") - 1]
+        third = three > 0
+        row, key, bucket = np.concatenate([row, row[third]]), np.concatenate([two, three[third]]), np.concatenate([bucket, bucket[third]])
+        place, known = found_at(arcs.keys, key)
+        ours, which = np.unique(row[known], return_inverse=True)
+        sums = np.bincount(which, arcs.weights[place[known]], len(ours)).astype(np.float64)
+        order = np.lexsort((row[~known], bucket[~known]))
+        row, key, bucket = row[~known][order], key[~known][order], bucket[~known][order]
+        begin = starts_of(bucket)
+        lists = cut(np.concatenate([ours, row]), np.concatenate([np.zeros(len(ours), np.int64), key.view(np.int64)]), at=np.concatenate([[0], begin + len(ours), [len(ours) + len(row)]]))
+        weights = cut(sums, at=np.concatenate([[0], np.full(len(begin) + 1, len(ours))]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], bucket[begin]])), *lists, *weights], ["bucket", "row", "h", "sum"])
 
+    def run(batches):
+        (uni, arcs), held, ids = shared.value, Gathered(most), []
         for b in batches:
-            for _, h, _ in token_hashes(b.column(0)):
-                parts.append(h)
-                size += len(h)
-                if size > most:
-                    yield counted()
-                    parts, size = [], 0
-        if size >= n:
-            yield counted()
-
-    return texts.mapInArrow(run, ", ".join(f"{x} bigint" for x in [*names, "c"])).groupBy(*names).agg(F.sum("c").alias("c"))
-
-
-def weight(left, lower):
-    """Log backoff weight from the probabilities that the arcs leave, of a context and of the next shorter one."""
-    return F.log10(F.greatest(left, F.lit(1e-12)) / F.greatest(lower, F.lit(1e-12)))
-
-
-def build(auto: Automaton, uni, pairs, triples) -> Automaton:
-    """uni: rows (id, p, back, n) of all numbered words in order; pairs, triples: rows of the frequent n-grams. n: how many words follow a context."""
-    n = len(uni)
-    back, follow = {(r[0],): r[2] for r in uni}, {(r[0],): r[3] for r in uni}
-    back.update(((r.u, r.v), r.back) for r in pairs)
-    follow.update(((r.u, r.v), r.n) for r in pairs)
-    state: dict[tuple, int] = {}
-    arcs: dict[tuple, int] = {}
-    for k in [*((r.u,) for r in pairs), *((r.u, r.v) for r in triples)]:
-        arcs[k] = arcs.get(k, 0) + 1
-    for k in sorted(arcs, key=lambda k: (len(k), k)):
-        state[k] = len(auto.fail)
-        auto.fail.append(state.get(k[1:], 0) if len(k) == 2 else 0)
-        auto.backoff.append(back[k])
-        auto.depth.append(len(k))
-        auto.whole.append(arcs[k] == follow[k])
-
-    def after(*context: int) -> int:
-        return state.get(context[-2:]) or state.get(context[-1:]) or 0
-
-    auto.root_logp = [r[1] for r in uni]
-    auto.root_next = [after(i) for i in range(n)]
-    for r in pairs:
-        auto.arcs[state[r.u,] * n + r.v] = (after(r.u, r.v), r.p)
-    for r in triples:
-        auto.arcs[state[r.u, r.v] * n + r.w] = (after(r.v, r.w), r.p)
-    return auto
-
-
-def train(docs: DataFrame, scratch: Scratch, least_words: float = 0.0, least: float = 0.0, text: str = "text", cached_words: float = 1e-6, cached: float = 1e-5):
-    """(word table (h, c), {tokens, words, discount}, model) from all rows given. Words and n-grams below the relative frequencies ``least_words`` and ``least`` take no part in n-grams; by default all do."""
-    spark = docs.sparkSession
-    small_batches(spark)
+            row = b.column(0).to_numpy(zero_copy_only=False)
+            for at, h, offs in token_hashes(b.column(1)):
+                ids.append(row[at : at + len(offs) - 1])
+                if held.add(h, offs):
+                    yield asked(uni, arcs, np.concatenate(ids), *held.take())
+                    ids = []
+        if ids:
+            yield asked(uni, arcs, np.concatenate(ids), *held.take())
+
+    return rows.mapInArrow(run, "bucket bigint, row array<bigint>, h array<bigint>, sum array<double>")
+
+
+def looked_up(asked: DataFrame, weights: DataFrame) -> DataFrame:
+    """(__row, more): what the asked n-grams that exist weigh, summed by row within each bucket."""
+
+    def of(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64())], names=["__row", "more"])
+        rows, which = np.unique(flat(left, "row"), return_inverse=True)
+        if left.column("bucket")[0].as_py() < 0:
+            sums = np.bincount(which, flat(left, "sum"), len(rows))
+        else:
+            keys = flat(right, "h") if right.num_rows else np.zeros(0, np.int64)
+            at, known = found_at(keys.view(np.uint64), flat(left, "h").view(np.uint64))
+            sums = np.bincount(which, np.where(known, flat(right, "weight")[at], 0.0) if len(keys) else np.zeros(len(known)), len(rows))
+        return pa.table([rows, sums.astype(np.float64)], names=["__row", "more"])
+
+    return asked.groupBy("bucket").cogroup(weights.groupBy("bucket")).applyInArrow(of, "__row bigint, more double")
+
+
+def train(docs: DataFrame, scratch: Scratch, text: str = "text", often_words: float = 1e-6, often: float = 1e-5, parts: int = 4, bucket_tokens: int = 1 << 22, priors: tuple[float, float] = PRIORS):
+    """(word table (h, c), {tokens, words, discount}, model) from all rows given; the model's n-grams are counted part by part as they are used."""
+    small_batches(docs.sparkSession)
     texts = docs.select(docs[text].cast("string").alias("t"))
     table = scratch.table(counts_of(texts, lambda h, offs: h), "words")
     total, size, once = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).head()
     facts = {"tokens": int(total), "words": int(size), "discount": min(max(once / size, 0.05), 0.95) if size else 0.0}
-    if not total:
-        return table, facts, Model(Automaton(np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-    # at most 1 / cached_words rows have that relative frequency
-    top = table.where(F.col("c") >= cached_words * total).orderBy(F.desc("c"), "h").toPandas()
-    hashes, counts = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
-    auto = Automaton(*(lambda o: (hashes[o], o))(np.argsort(hashes)))
-    shared = spark.sparkContext.broadcast(auto)
-    usable = int((counts >= least_words * total).sum()) if least_words else None
-
-    def named(batches):
-        for b in batches:
-            h = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(idents(shared.value, h)), b.column(1)], ["id", "c"])
-
-    enough = F.col("c") >= least * total
-    two = scratch.table(grams(texts, 2, shared, usable).where(enough), "two")
-    three = scratch.table(grams(texts, 3, shared, usable).where(enough), "three")
-    words = table.mapInArrow(named, "id bigint, c bigint")
-    p1 = (F.col("c") - facts["discount"]) / F.lit(float(total))
-    after = two.join(words.select(F.col("id").alias("v"), p1.alias("p1")), "v").groupBy("u").agg(F.sum(F.col("c") - DISCOUNT).alias("given"), F.sum("p1").alias("lower"), F.count("*").alias("n"))
-    uni = words.join(after.withColumnRenamed("u", "id"), "id", "left")
-    uni = scratch.table(uni.select("id", "c", F.log10(p1).alias("p"), weight(1 - F.col("given") / F.col("c"), 1 - F.col("lower")).alias("back"), "n"), "uni")
-    two = scratch.table(two.join(uni.select(F.col("id").alias("u"), F.col("c").alias("c1")), "u").select("u", "v", "c", ((F.col("c") - DISCOUNT) / F.col("c1")).alias("p2")), "two")
-    after = three.join(two.select(F.col("u").alias("v"), F.col("v").alias("w"), "p2"), ["v", "w"]).groupBy("u", "v").agg(F.sum(F.col("c") - DISCOUNT).alias("given"), F.sum("p2").alias("lower"), F.count("*").alias("n"))
-    pairs = scratch.table(two.join(after, ["u", "v"], "left").select("u", "v", "c", F.log10("p2").alias("p"), weight(1 - F.col("given") / F.col("c"), 1 - F.col("lower")).alias("back"), "n"), "pairs")
-    triples = scratch.table(three.join(pairs.select("u", "v", F.col("c").alias("c2")), ["u", "v"]).select("u", "v", "w", "c", F.log10((F.col("c") - DISCOUNT) / F.col("c2")).alias("p")), "triples")
-    scratch.drop("two", "three")
-    # at most 1 / cached pairs, and as many triples, of numbered words only
-    often, n = F.col("c") >= max(cached, cached_words) * total, len(hashes)
-    numbered = uni.where(F.col("id").between(0, n - 1)).select("id", "p", "back", "n").toPandas().sort_values("id")
-    rows = list(zip(*(numbered[c].tolist() for c in ("id", "p", "back", "n"))))
-    return table, facts, Model(build(auto, rows, pairs.where(often).collect(), triples.where(often).collect()), uni, pairs, triples)
-
-
-def looked_up(read: DataFrame, model: Model, unseen: float) -> DataFrame:
-    """(__row, more): the sum over the open places of each row, from the tables: the triple, else the pair after the backoff weight of the two words before, else the word after that of the one before."""
-    at = lambda a, back: F.coalesce(F.get("__ids", (a - back).cast("int")), F.lit(-1))
-    places = read.select("__row", F.explode(F.transform("__open", lambda a: F.struct(at(a, 2).alias("u"), at(a, 1).alias("v"), at(a, 0).alias("w")))).alias("g")).select("__row", "g.*")
-    zero = lambda x: F.coalesce(x, F.lit(0.0))
-    rows = places.join(model.triples.select("u", "v", "w", F.col("p").alias("p3")), ["u", "v", "w"], "left")
-    done = rows.where("p3 is not null").groupBy("__row").agg(F.sum("p3").alias("more"))
-    left = rows.where("p3 is null").drop("p3")
-    left = left.join(model.pairs.where("back is not null").select("u", "v", F.col("back").alias("b2")), ["u", "v"], "left")
-    left = left.join(model.pairs.select(F.col("u").alias("v"), F.col("v").alias("w"), F.col("p").alias("p2")), ["v", "w"], "left")
-    left = left.join(model.words.select(F.col("id").alias("v"), F.col("back").alias("b1")), "v", "left").join(model.words.select(F.col("id").alias("w"), F.col("p").alias("p1")), "w", "left")
-    value = zero(F.col("b2")) + F.coalesce(F.col("p2"), zero(F.col("b1")) + F.coalesce(F.col("p1"), F.lit(unseen)))
-    return done.unionByName(left.groupBy("__row").agg(F.sum(value).alias("more"))).groupBy("__row").agg(F.sum("more").alias("more"))
+    # at most 1 / often_words rows have that relative frequency
+    top = table.where(F.col("c") >= often_words * total).toPandas() if total else None
+    hashes = top["h"].to_numpy(np.int64).view(np.uint64) if total else np.zeros(0, np.uint64)
+    order = np.argsort(hashes)
+    uni = Unigrams(hashes[order], top["c"].to_numpy(np.int64)[order] if total else np.zeros(0, np.int64), facts["tokens"], facts["words"], facts["discount"])
+    return table, facts, Model(uni, texts, parts, max(1, -(-facts["tokens"] // (parts * bucket_tokens))), often, priors)
 
 
 def score(docs: DataFrame, table: DataFrame, facts: dict, model: Model, scratch: Scratch, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The kept columns, ``n_tokens``, ``n_known`` (tokens seen in training), ``base_score`` (add-0.1 unigrams) and ``score`` (the automaton, and the tables where it leaves places open) of every whole text."""
+    """The kept columns, ``n_tokens``, ``n_known`` (tokens seen in training), ``base_score`` (add-0.1 unigrams) and ``score`` (the automaton) of every whole text."""
     spark = docs.sparkSession
     small_batches(spark)
-    auto, (tokens, size, discount) = model.auto, (facts["tokens"], facts["words"], facts["discount"])
-    below, unseen = tokens + 0.1 * (size + 1), log10(discount * size / tokens) if tokens else 0.0
-    base_of = np.array([log10((10**p * tokens + discount + 0.1) / below) for p in auto.root_logp]) if tokens else np.zeros(0)
-    shared = spark.sparkContext.broadcast((auto, base_of))
+    uni, tokens, size = model.uni, facts["tokens"], facts["words"]
+    below, prior = tokens + 0.1 * (size + 1), model.priors[0]
+    shared = spark.sparkContext.broadcast(uni)
     n_keep = len(keep)
 
     def run(batches):
-        machine, base = shared.value
+        known_words = shared.value
         row_id = TaskContext.get().partitionId() << 33
         for b in batches:
-            out = []
-            for _, h, offs in token_hashes(b.column(n_keep)):
-                w = machine.numbered(h)
-                known = w >= 0
-                sums = np.concatenate([[0.0], np.where(known, base[np.maximum(w, 0)] if len(base) else 0.0, 0.0).cumsum()])
-                listed, ids_of = w.tolist(), np.where(known, w, h.view(np.int64))
-                for i in range(len(offs) - 1):
-                    a, e = int(offs[i]), int(offs[i + 1])
-                    rare, times = np.unique(h[a:e][~known[a:e]], return_counts=True)
-                    out.append((e - a, int(known[a:e].sum()), float(sums[e] - sums[a]), *machine.traverse(listed[a:e]), rare.view(np.int64), times, ids_of[a:e]))
-            lists = []
-            for k in (5, 6, 7, 4):
-                sizes = np.concatenate([[0], np.cumsum([len(o[k]) for o in out])]).astype(np.int32)
-                flat = np.concatenate([np.asarray(o[k], np.int64) for o in out]) if out else np.zeros(0, np.int64)
-                lists.append(pa.ListArray.from_arrays(sizes, pa.array(flat)))
             ids = np.arange(row_id, row_id + b.num_rows)
             row_id += b.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:n_keep], pa.array(ids), *(pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))), *lists],
-                [*keep, "__row", "__n", "__known", "__base", "__score", "__rare", "__times", "__ids", "__open"],
-            )
+            n, known, base, total = (np.zeros(b.num_rows, t) for t in (np.int64, np.int64, np.float64, np.float64))
+            rare, times, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], np.zeros(b.num_rows, np.int64)
+            for at, h, offs in token_hashes(b.column(n_keep)):
+                rows = np.arange(at, at + len(offs) - 1)
+                n[rows] = np.diff(offs)
+                if not tokens:
+                    continue
+                c, p = known_words.of(h)
+                seen = c > 0
+                by_row = lambda x: np.add.reduceat(x, offs[:-1])  # noqa: E731  every row has its end token
+                known[rows] = by_row(seen.astype(np.int64))
+                base[rows] = by_row(np.where(seen, np.log10((c + 0.1) / below), 0.0))
+                total[rows] = by_row(np.where(seen, np.log10(p) + np.where(h == END, 0.0, np.log10(prior / (c + prior))), 0.0))
+                owner, other = np.repeat(rows, np.diff(offs))[~seen], h[~seen]
+                order = np.lexsort((other, owner))
+                owner, other = owner[order], other[order]
+                first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])])) if len(owner) else np.zeros(0, np.int64)
+                rare.append(other[first])
+                times.append(np.diff(np.append(first, len(owner))))
+                sizes += np.bincount(owner[first], minlength=b.num_rows)
+            lists = cut(np.concatenate(rare).view(np.int64), np.concatenate(times), at=np.concatenate([[0], np.cumsum(sizes)]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids), pa.array(n), pa.array(known), pa.array(base), pa.array(total), *lists], [*keep, "__t", "__row", "__n", "__known", "__base", "__score", "__rare", "__times"])
 
     rows = docs.select(*(docs[c] for c in keep), docs[text].cast("string").alias("__t"))
-    kept_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    read = scratch.table(rows.mapInArrow(run, f"{kept_schema}, __row bigint, __n bigint, __known bigint, __base double, __score double, __rare array<bigint>, __times array<bigint>, __ids array<bigint>, __open array<bigint>"), "read")
+    kept_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    # written, as every part goes over the same rows with the same numbers
+    read = scratch.table(rows.mapInArrow(run, f"{kept_schema}, __row bigint, __n bigint, __known bigint, __base double, __score double, __rare array<bigint>, __times array<bigint>"), "read")
     rare = read.select("__row", F.explode(F.arrays_zip("__rare", "__times")).alias("r")).select("__row", F.col("r.__rare").alias("h"), F.col("r.__times").alias("m"))
     c = F.coalesce("c", F.lit(0))
+    seen_rare = F.log10(F.lit(uni.rare)) + F.when(F.col("h") == int(END.view(np.int64)), 0.0).otherwise(F.log10(prior / (c + prior)))
     rest = rare.join(table, "h", "left").groupBy("__row").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("m")).otherwise(0)).alias("known"),
         F.sum(F.col("m") * F.log10((c + 0.1) / below)).alias("base"),
+        F.sum(F.col("m") * F.when(F.col("c").isNotNull(), seen_rare).otherwise(log10(uni.unseen) if tokens else 0.0)).alias("words"),
     )
+    rest = scratch.table(rest, "rest")
+    sums = []
+    for part in range(model.parts if tokens else 0):
+        found = counted(model.train, shared, model.parts, model.dealt, part)
+        weights = scratch.table(weighed(found, model.often * tokens, model.priors), "weights")
+        # at most 1 / often n-grams of each order over all parts
+        top = weights.select(F.explode(F.arrays_zip("often_h", "often_weight")).alias("x")).select("x.*").toPandas()
+        keys = top["often_h"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        arcs = spark.sparkContext.broadcast((uni, Arcs(keys[order], top["often_weight"].to_numpy(np.float64)[order])))
+        asked = read_part(read.select("__row", "__t"), arcs, model.parts, model.dealt, part)
+        sums.append(scratch.table(looked_up(asked, weights.select("bucket", "h", "weight")).groupBy("__row").agg(F.sum("more").alias("more")), f"sums{part}"))
+        scratch.drop("weights")
+    more = reduce(DataFrame.unionByName, sums).groupBy("__row").agg(F.sum("more").alias("more")) if sums else read.select("__row", F.lit(0.0).alias("more")).limit(0)
     zero = lambda x: F.coalesce(x, F.lit(0))
-    more = looked_up(read, model, unseen) if tokens else read.select("__row", F.lit(0.0).alias("more")).limit(0)
-    return read.drop("__rare", "__times", "__ids", "__open").join(rest, "__row", "left").join(more, "__row", "left").select(
+    return read.drop("__t", "__rare", "__times").join(rest, "__row", "left").join(more, "__row", "left").select(
         *keep,
         F.col("__n").alias("n_tokens"),
         (F.col("__known") + zero("known")).cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("__base") + zero("base")).cast("double").alias("base_score"),
-        (F.col("__score") + zero("more")).cast("double").alias("score"),
+        (F.col("__score") + zero("words") + zero("more")).cast("double").alias("score"),
     )

@@ -10,10 +10,15 @@ from voxmill.llm.common import Scratch, crc_mod, read
 from voxmill.llm.oracles import ORACLES
 
 
+def held_out(n: int, remainder: int = 0):
+    """Whether an id is left out of training; a null id is not."""
+    return F.coalesce(crc_mod(F.col("doc_id"), n) == remainder, F.lit(False)).alias("held_out")
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held = read(spark, sf_dir, "documents"), F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
-    model = lang_id.train(docs.where(~held))
-    return lang_id.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    docs = read(spark, sf_dir, "documents")
+    model = lang_id.train(docs.where(~held_out(4, 2)))
+    return lang_id.predict(docs, model).select("doc_id", held_out(4, 2), "lang_pred", "score")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +27,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod(F.col("doc_id"), 10) == 0).alias("held_out"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", held_out(10))
     scratch = Scratch(spark)
-    table, facts, automaton = lm_score.train(docs.where(~F.col("held_out")), scratch)
-    return lm_score.score(docs, table, facts, automaton, scratch, keep=("doc_id", "held_out"))
+    model = lm_score.train(docs.where(~F.col("held_out")), scratch)
+    return lm_score.score(docs, *model, scratch, keep=("doc_id", "held_out"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,14 +70,14 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = quality_classifier.train(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0))
     rows = quality_classifier.scored(docs.select("doc_id", "text"), model)
-    return rows.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return rows.select("doc_id", held_out(5), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     chain = toxicity.train(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0))
     rows = toxicity.score(docs, chain)
-    return rows.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), *(f"p_{c}" for c in toxicity.CATEGORIES), F.col("p_toxic").alias("score"), (F.col("p_toxic") >= 0.5).alias("toxic"))
+    return rows.select("doc_id", held_out(5), *(f"p_{c}" for c in toxicity.CATEGORIES), F.col("p_toxic").alias("score"), (F.col("p_toxic") >= 0.5).alias("toxic"))
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_lm_score, op4_quality_rules, op5_ngram_jaccard, op6_secret_scan, op7_decontamination, op8_sentence_pieces, op9_quality_classifier, op10_toxicity)}
