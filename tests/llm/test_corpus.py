@@ -133,15 +133,21 @@ def test_language_model_against_loops(spark, docs, how):
     rows = [(i, " ".join([*np.random.default_rng(i).choice(BASE, 12), f"only{i % 30}", "once"]), i % 4 != 0) for i in range(60)] + [(99, None, False), (98, "", True), (97, "unseen words here", False), (96, "word " * 3000, True), (95, "a", False)]
     data = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(3)
     scratch = common.Scratch(spark)
-    model = lm_score.train(data.where("train"), scratch, **how)
-    got = {r.doc_id: r for r in lm_score.score(data, *model, scratch).collect()}
+    got = {r.doc_id: r for r in lm_score.score(data, scratch, **how).collect()}
     for i, want in plain_scores(rows, how.get("often_words", 1e-6), how.get("priors", lm_score.PRIORS)).items():
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == want[:3], i
         assert got[i].base_score == pytest.approx(want[3]) and got[i].score == pytest.approx(want[4]), i
-    none = lm_score.train(empty(spark), scratch)
-    out = lm_score.score(docs, *none, scratch).collect()
+
+
+def test_language_model_odd_rows(spark, docs):
+    scratch = common.Scratch(spark)
+    out = lm_score.score(docs.withColumn("train", F.lit(None).cast("boolean")), scratch).collect()
     assert len(out) == 13 and all(r.score == 0 and r.base_score == 0 and r.n_known == 0 for r in out)
-    assert lm_score.score(empty(spark), *model, scratch).count() == 0
+    assert lm_score.score(empty(spark).withColumn("train", F.lit(True)), scratch).count() == 0
+    odd = [(i, t) for i, t, *_ in odd_rows()]
+    want = plain_scores([(k, t, True) for k, (_, t) in enumerate(odd)], 1e-6, lm_score.PRIORS)
+    out = lm_score.score(docs.withColumn("train", F.lit(True)), scratch).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, round(r.score, 4)) for r in out) == sorted((str(i), want[k][0], round(want[k][4], 4)) for k, (i, _) in enumerate(odd))
 
 
 # ---------------------------------------------------------------- quality rules

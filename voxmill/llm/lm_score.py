@@ -15,12 +15,14 @@ n-gram that isn't in the model adds nothing. That makes the weight of a text a p
 sum, over one left-to-right pass that carries the state along.
 
 The model has every word, pair and triple of the training texts; none is cut off by
-count or rank. N-grams with a relative frequency of ``often`` or more, which are at
-most 1 / ``often`` of each order at any corpus size, are broadcast, and a pass adds up
-their weights where the text is read. All others are in tables dealt out by hash, and
-what a text needs of them goes there: no key of these is frequent, so none is hot.
-The tables are built and used in ``parts`` parts by hash, one after another, so that
-only that share of them, and of what looks them up, is on disk at a time.
+count or rank. Its n-grams are dealt out by hash, and so is what a text needs of them:
+a bucket gets the counts and the questions about the same n-grams, works out the
+weights and answers. This is done in ``parts`` parts by hash, one after another, so
+that only that share is on disk at a time. N-grams that look frequent in a sample of
+the text (a relative frequency of ``often`` or more, so at most 1 / ``often`` of each
+order) are not asked for: a bucket only says their weights, which are broadcast, and
+the pass over the texts adds them up itself. So no key is hot, whatever the sample
+missed costs time only, and what it holds is bounded at any corpus size.
 
 Words: those rarer than ``often_words`` (one in a million) share one probability, so
 that a reader needs only the others' counts; all unseen words together have the
@@ -33,7 +35,7 @@ gives scores of 0. Columns besides the text and those to keep are not read.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 from math import log10
 
@@ -81,23 +83,34 @@ class Counter:
         found, which = np.unique(keys, return_inverse=True)
         return found, np.bincount(which, counts).astype(np.int64)
 
-    def take(self) -> pa.RecordBatch:
+    def take(self):
         keys, counts = self._merged() if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         self.parts, self.size = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["h", "c"])
+        return keys, counts
+
 
+def counted_words(texts: DataFrame, often: float, each: int = 8) -> DataFrame:
+    """(kind, h, c): how often each word occurs (kind 1), and n-grams that are frequent in a task's share of the sample, every ``each``-th batch (kind 2); and the size of the sample (kind 0)."""
 
-def counts_of(docs: DataFrame, keys_of) -> DataFrame:
-    """(h, c): how often each key occurs; ``keys_of(hashes, offsets)`` gives the keys of a chunk."""
+    def rows(kind, keys, counts):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["kind", "h", "c"])
 
     def run(batches):
-        counter = Counter()
-        for b in batches:
+        counter, seen, sampled = Counter(), [], 0
+        for k, b in enumerate(batches):
             for _, h, offs in token_hashes(b.column(0)):
-                yield from counter.add(keys_of(h, offs))
-        yield counter.take()
+                for full in counter.add(h):
+                    yield rows(1, *full)
+                if k % each == 0 and sampled < 1 << 20:
+                    sampled += len(h)
+                    seen += ngrams(h, offs)[1:]
+        yield rows(1, *counter.take())
+        keys, counts = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        top = (counts >= max(2, often * sampled)) & (keys > 0)
+        yield rows(2, keys[top], counts[top])
+        yield rows(0, np.zeros(1, np.uint64), np.array([sampled]))
 
-    return docs.mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(run, "kind int, h bigint, c bigint").groupBy("kind", "h").agg(F.sum("c").alias("c"))
 
 
 def found_at(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,11 +121,35 @@ def found_at(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, keys[at] == asked
 
 
+class Index:
+    """Places of a bounded number of 64-bit keys: a table by their first bits, and a search for the few that share them."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.sort(keys)
+        self.shift = np.uint64(64 - max(10, len(keys).bit_length() + 3))
+        slot = (self.keys >> self.shift).astype(np.int64)
+        self.table = np.full(1 << (64 - int(self.shift)), -1, np.int32)
+        self.table[slot[::-1]] = np.arange(len(keys), dtype=np.int32)[::-1]  # the first of a slot
+        self.many = np.zeros(len(self.table), bool)
+        self.many[slot[1:][slot[1:] == slot[:-1]]] = True
+
+    def find(self, asked: np.ndarray) -> np.ndarray:
+        """Place among the ascending keys, or -1."""
+        slot = (asked >> self.shift).astype(np.int64)
+        at = self.table[slot]
+        at = np.where((at >= 0) & (self.keys[at] == asked), at, -1) if len(self.keys) else at
+        rest = np.flatnonzero(self.many[slot] & (at < 0))
+        if len(rest):
+            place, there = found_at(self.keys, asked[rest])
+            at[rest] = np.where(there, place, -1)
+        return at
+
+
 @dataclass
 class Unigrams:
-    """Counts of the words that aren't rare, by hash, and what the others have in common."""
+    """Counts of the words that aren't rare, in the order of the index, and what the others have in common."""
 
-    hashes: np.ndarray
+    index: Index
     counts: np.ndarray
     tokens: int
     words: int
@@ -121,7 +158,7 @@ class Unigrams:
     @property
     def rare(self) -> float:
         """Probability of each rare word."""
-        n = self.words - len(self.hashes)
+        n = self.words - len(self.counts)
         return (self.tokens - int(self.counts.sum()) - self.discount * n) / (self.tokens * n) if n else 1.0
 
     @property
@@ -130,49 +167,26 @@ class Unigrams:
 
     def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Count (0: rare or unseen) and probability (that of a rare word then)."""
-        at, known = found_at(self.hashes, h)
-        c = np.where(known, self.counts[at], 0) if len(self.hashes) else np.zeros(len(h), np.int64)
-        return c, np.where(known, (c - self.discount) / self.tokens, self.rare)
-
-
-@dataclass
-class Model:
-    """``dealt``: how many buckets each of the ``parts`` has, by the number of training tokens."""
+        at = self.index.find(h)
+        c = np.where(at >= 0, self.counts[at], 0) if len(self.counts) else np.zeros(len(h), np.int64)
+        return c, np.where(at >= 0, (c - self.discount) / self.tokens, self.rare)
 
-    uni: Unigrams
-    train: DataFrame | None = None
-    parts: int = 1
-    dealt: int = 1
-    often: float = 1.0
-    priors: tuple[float, float] = PRIORS
 
-
-@dataclass
-class Arcs:
-    """Frequent n-grams: weights by hash, ascending."""
-
-    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
-
-
-def places(h: np.ndarray, offs: np.ndarray, model_uni: Unigrams, parts: int, dealt: int, part: int):
-    """What the pass over a chunk meets in one part: for each place from a text's second word on, (place, hash of the last two words, hash of the last three or 0 where there are but two, bucket).
-
-    The last two words decide on part and bucket. Where the first of them is rare, it
-    does so alone: all that follows it is in one bucket, which then knows its count.
-    """
+def ngrams(h: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash of the last two words, hash of the last three, 0 where there are but two) of each word but a text's first."""
     first = np.repeat(offs[:-1], np.diff(offs))
     at = np.flatnonzero(np.arange(len(h)) > first)
-    if not len(at):
-        return at, h[:0], h[:0], at
-    two = fold(h, 2)[at - 1]
-    three = np.zeros(len(at), np.uint64)
-    third = at - first[at] > 1
-    three[third] = fold(h, 3)[at[third] - 2]
-    _, known = found_at(model_uni.hashes, h[at - 1])
-    way = mix(np.where(known, two, h[at - 1]) ^ _DEALT) % np.uint64(parts * dealt)
-    mine = way % np.uint64(parts) == part
-    return at[mine], two[mine], three[mine], (way[mine] // np.uint64(parts)).astype(np.int64)
+    three = np.zeros(len(h), np.uint64)
+    if len(h) > 2:
+        three[2:] = fold(h, 3)
+    two = fold(h, 2)[at - 1] if len(at) else h[:0]
+    return at, two, np.where(at - first[at] > 1, three[at], np.uint64(0))
+
+
+def placed(h: np.ndarray, at: np.ndarray, two: np.ndarray, uni: Unigrams, parts: int, dealt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Part and bucket of each place, by its last two words. Where the first of them is rare, by that alone: all that follows it is in one bucket, which then knows its count."""
+    way = mix(np.where(uni.index.find(h[at - 1]) >= 0, two, h[at - 1]) ^ _DEALT) % np.uint64(parts * dealt)
+    return way % np.uint64(parts), (way // np.uint64(parts)).astype(np.int64)
 
 
 def cut(*columns: np.ndarray, at: np.ndarray) -> list[pa.ListArray]:
@@ -184,36 +198,21 @@ def starts_of(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
 
 
-class Gathered:
-    """Runs of texts put together to about ``most`` tokens, so that what repeats within them is one entry."""
+MET = "bucket bigint, two array<bigint>, first array<bigint>, count array<bigint>, p array<double>, size array<int>, three array<bigint>, c array<int>, row array<bigint>, h array<bigint>"
 
-    def __init__(self, most: int):
-        self.most, self.parts, self.size = most, [], 0
 
-    def add(self, h, offs):
-        self.parts.append((h, np.diff(offs)))
-        self.size += len(h)
-        return self.size >= self.most
+def met(rows: DataFrame, shared, parts: int, dealt: int, part: int, most: int = 1 << 20) -> DataFrame:
+    """What the pass over rows (__row, __train, __t) meets in one part, a row for each bucket and run of about ``most`` tokens.
 
-    def take(self):
-        h, n = (np.concatenate(x) for x in zip(*self.parts))
-        self.parts, self.size = [], 0
-        return h, np.concatenate([[0], np.cumsum(n)])
-
-
-COUNTED = "bucket bigint, two array<bigint>, first array<bigint>, count array<bigint>, p array<double>, size array<int>, three array<bigint>, c array<int>"
-
-
-def counted(texts: DataFrame, shared, parts: int, dealt: int, part: int, most: int = 1 << 20) -> DataFrame:
-    """One part's n-grams with their counts, a row for each bucket and run of texts.
-
-    By pair: its hash; the first word, if rare; else that word's count; the
-    probability of the second, negative for the end; the number of its triples. By
-    triple: its hash (0: the pair begins a text), and how often it occurs.
+    Counts, from training texts. By pair: its hash; the first word, if rare; else
+    that word's count; the probability of the second, negative for the end; the
+    number of its triples. By triple: its hash (0: the pair begins a text), and how
+    often it occurs. Questions, from all texts: row and hash of each n-gram that isn't
+    taken for frequent.
     """
+    names = [c.split(" ")[0] for c in MET.split(", ")]
 
-    def rows(uni, h, offs):
-        at, two, three, bucket = places(h, offs, uni, parts, dealt, part)
+    def counts(uni, h, at, two, three, bucket):
         _, where, times = np.unique(np.where(three > 0, three, ~two), return_index=True, return_counts=True)
         order = np.lexsort((two[where], bucket[where]))
         where, times = where[order], times[order]
@@ -221,152 +220,148 @@ def counted(texts: DataFrame, shared, parts: int, dealt: int, part: int, most: i
         pair = starts_of(two)
         v, w = h[at[pair] - 1], h[at[pair]]
         c, p = uni.of(v)[0], uni.of(w)[1]
-        row = starts_of(bucket)
-        by_pair = np.append(np.searchsorted(pair, row), len(pair))
-        by_triple = np.append(row, len(at))
-        lists = cut(two[pair].view(np.int64), np.where(c > 0, np.uint64(0), v).view(np.int64), c, np.where(w == END, -p, p), np.diff(np.append(pair, len(at))).astype(np.int32), at=by_pair)
-        return pa.RecordBatch.from_arrays([pa.array(bucket[row]), *lists, *cut(three.view(np.int64), times.astype(np.int32), at=by_triple)], [c.split(" ")[0] for c in COUNTED.split(", ")])
+        begin = starts_of(bucket)
+        by_pair, by_triple = np.append(np.searchsorted(pair, begin), len(pair)), np.append(begin, len(at))
+        of_pair = cut(two[pair].view(np.int64), np.where(c > 0, np.uint64(0), v).view(np.int64), c, np.where(w == END, -p, p), np.diff(np.append(pair, len(at))).astype(np.int32), at=by_pair)
+        none = cut(np.zeros(0, np.int64), np.zeros(0, np.int64), at=np.zeros(len(begin) + 1))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[begin]), *of_pair, *cut(three.view(np.int64), times.astype(np.int32), at=by_triple), *none], names)
+
+    def questions(frequent, row, two, three, bucket):
+        row, key, bucket = np.concatenate([row, row]), np.concatenate([two, three]), np.concatenate([bucket, bucket])
+        mine = (key > 0) & (frequent.find(key) < 0)
+        row, key, bucket = row[mine], key[mine], bucket[mine]
+        order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
+        row, key, bucket = row[order], key[order], bucket[order]
+        begin = starts_of(bucket)
+        none = [cut(np.zeros(0, t), at=np.zeros(len(begin) + 1))[0] for t in (np.int64, np.int64, np.int64, np.float64, np.int32, np.int64, np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[begin]), *none, *cut(row, key.view(np.int64), at=np.append(begin, len(row)))], names)
+
+    def of_run(h, n, row, train):
+        uni, frequent = shared.value
+        offs = np.concatenate([[0], np.cumsum(n)])
+        at, two, three = ngrams(h, offs)
+        its_part, bucket = placed(h, at, two, uni, parts, dealt)
+        mine = its_part == part
+        at, two, three, bucket = at[mine], two[mine], three[mine], bucket[mine]
+        text = np.searchsorted(offs, at, "right") - 1
+        yield questions(frequent, row[text], two, three, bucket)
+        known = train[text]
+        yield counts(uni, h, at[known], two[known], three[known], bucket[known])
 
     def run(batches):
-        uni, held = shared.value, Gathered(most)
+        held, size = [], 0
         for b in batches:
-            for _, h, offs in token_hashes(b.column(0)):
-                if held.add(h, offs):
-                    yield rows(uni, *held.take())
-        if held.size:
-            yield rows(uni, *held.take())
+            row, train = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for at, h, offs in token_hashes(b.column(2)):
+                held.append((h, np.diff(offs), row[at : at + len(offs) - 1], train[at : at + len(offs) - 1]))
+                size += len(h)
+                if size >= most:
+                    yield from of_run(*(np.concatenate(x) for x in zip(*held)))
+                    held, size = [], 0
+        if held:
+            yield from of_run(*(np.concatenate(x) for x in zip(*held)))
 
-    return texts.mapInArrow(run, COUNTED)
+    return rows.select("__row", "__train", "__t").mapInArrow(run, MET)
 
 
 def flat(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
 
-def weighed(found: DataFrame, frequent: float, priors: tuple[float, float]) -> DataFrame:
-    """The weights of one part, a row for each bucket: n-grams by hash, ascending, with a weight each; a pair's has its gain and, as it is a state as well, its failure weight. The frequent ones stand apart."""
+def weights(table: pa.Table, priors: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams of a bucket by hash, ascending, and their weights; a pair's has its gain and, as it is a state as well, its failure weight."""
+    two, which = np.unique(flat(table, "two").view(np.uint64), return_inverse=True)
+    pair_of, times = np.repeat(which, flat(table, "size")), flat(table, "c").astype(np.int64)
+    c2 = np.bincount(pair_of, times, len(two))
+    p, given, v = np.zeros(len(two)), np.zeros(len(two)), np.zeros(len(two), np.uint64)
+    p[which], given[which], v[which] = flat(table, "p"), flat(table, "count"), flat(table, "first").view(np.uint64)
+    # a rare first word occurs as often as it is followed by anything
+    rare, word = np.unique(v, return_inverse=True)
+    given = np.where(v > 0, np.bincount(word, c2, len(rare))[word], given)
+    three = flat(table, "three").view(np.uint64)
+    seen = three > 0
+    keys, first, inverse = np.unique(three[seen], return_index=True, return_inverse=True)
+    c3, one = np.bincount(inverse, times[seen], len(keys)), np.abs(p)
+    after = (c2 + priors[0] * one) / (given + priors[0])
+    of_two = np.log10(1 + c2 / (priors[0] * one)) + np.where(p < 0, 0.0, np.log10(priors[1] / (c2 + priors[1])))
+    of_three = np.log10(1 + c3 / (priors[1] * after[pair_of[seen][first]]))
+    h, weight = np.concatenate([two, keys]), np.concatenate([of_two, of_three])
+    order = np.argsort(h)
+    return h[order], weight[order]
+
+
+def answered(found: DataFrame, shared, priors: tuple[float, float]) -> DataFrame:
+    """(frequent, id, more): for each row what its n-grams weigh, summed by bucket; and the weight of each frequent n-gram, by hash."""
 
     def of(table: pa.Table) -> pa.Table:
-        size = flat(table, "size")
-        two, which = np.unique(flat(table, "two").view(np.uint64), return_inverse=True)
-        pair_of, times = np.repeat(which, size), flat(table, "c").astype(np.int64)
-        c2 = np.bincount(pair_of, times, len(two))
-        p, given, v = np.zeros(len(two)), np.zeros(len(two)), np.zeros(len(two), np.uint64)
-        p[which], given[which], v[which] = flat(table, "p"), flat(table, "count"), flat(table, "first").view(np.uint64)
-        # a rare first word occurs as often as it is followed by anything
-        rare, word = np.unique(v, return_inverse=True)
-        given = np.where(v > 0, np.bincount(word, c2, len(rare))[word], given)
-        three, seen = flat(table, "three").view(np.uint64), flat(table, "three") != 0
-        keys, first, inverse = np.unique(three[seen], return_index=True, return_inverse=True)
-        c3 = np.bincount(inverse, times[seen], len(keys))
-        one = np.abs(p)
-        after = (c2 + priors[0] * one) / (given + priors[0])
-        two_weight = np.log10(1 + c2 / (priors[0] * one)) + np.where(p < 0, 0.0, np.log10(priors[1] / (c2 + priors[1])))
-        three_weight = np.log10(1 + c3 / (priors[1] * after[pair_of[seen][first]]))
-        h, weight, c = np.concatenate([two, keys]), np.concatenate([two_weight, three_weight]), np.concatenate([c2, c3])
-        order = np.argsort(h)
-        h, weight, c = h[order].view(np.int64), weight[order], c[order]
-        top = c >= frequent
-        ends = lambda n: np.array([0, n])
-        return pa.table([table.column("bucket")[:1], *cut(h[~top], weight[~top], at=ends((~top).sum())), *cut(h[top], weight[top], at=ends(top.sum()))], names=["bucket", "h", "weight", "often_h", "often_weight"])
-
-    return found.groupBy("bucket").applyInArrow(of, "bucket bigint, h array<bigint>, weight array<double>, often_h array<bigint>, often_weight array<double>")
-
-
-def read_part(rows: DataFrame, shared, parts: int, dealt: int, part: int, most: int = 1 << 20) -> DataFrame:
-    """The pass over the texts of (__row, __t) for one part: frequent arcs are added up on the way (a row with bucket -1), the others are to be looked up (rows by bucket: row and hash of each)."""
-
-    def asked(uni, arcs, ids, h, offs):
-        at, two, three, bucket = places(h, offs, uni, parts, dealt, part)
-        row = ids[np.searchsorted(offs, at, "right") - 1]
-        third = three > 0
-        row, key, bucket = np.concatenate([row, row[third]]), np.concatenate([two, three[third]]), np.concatenate([bucket, bucket[third]])
-        place, known = found_at(arcs.keys, key)
-        ours, which = np.unique(row[known], return_inverse=True)
-        sums = np.bincount(which, arcs.weights[place[known]], len(ours)).astype(np.float64)
-        order = np.lexsort((row[~known], bucket[~known]))
-        row, key, bucket = row[~known][order], key[~known][order], bucket[~known][order]
-        begin = starts_of(bucket)
-        lists = cut(np.concatenate([ours, row]), np.concatenate([np.zeros(len(ours), np.int64), key.view(np.int64)]), at=np.concatenate([[0], begin + len(ours), [len(ours) + len(row)]]))
-        weights = cut(sums, at=np.concatenate([[0], np.full(len(begin) + 1, len(ours))]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], bucket[begin]])), *lists, *weights], ["bucket", "row", "h", "sum"])
-
-    def run(batches):
-        (uni, arcs), held, ids = shared.value, Gathered(most), []
-        for b in batches:
-            row = b.column(0).to_numpy(zero_copy_only=False)
-            for at, h, offs in token_hashes(b.column(1)):
-                ids.append(row[at : at + len(offs) - 1])
-                if held.add(h, offs):
-                    yield asked(uni, arcs, np.concatenate(ids), *held.take())
-                    ids = []
-        if ids:
-            yield asked(uni, arcs, np.concatenate(ids), *held.take())
-
-    return rows.mapInArrow(run, "bucket bigint, row array<bigint>, h array<bigint>, sum array<double>")
-
-
-def looked_up(asked: DataFrame, weights: DataFrame) -> DataFrame:
-    """(__row, more): what the asked n-grams that exist weigh, summed by row within each bucket."""
-
-    def of(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64())], names=["__row", "more"])
-        rows, which = np.unique(flat(left, "row"), return_inverse=True)
-        if left.column("bucket")[0].as_py() < 0:
-            sums = np.bincount(which, flat(left, "sum"), len(rows))
-        else:
-            keys = flat(right, "h") if right.num_rows else np.zeros(0, np.int64)
-            at, known = found_at(keys.view(np.uint64), flat(left, "h").view(np.uint64))
-            sums = np.bincount(which, np.where(known, flat(right, "weight")[at], 0.0) if len(keys) else np.zeros(len(known)), len(rows))
-        return pa.table([rows, sums.astype(np.float64)], names=["__row", "more"])
-
-    return asked.groupBy("bucket").cogroup(weights.groupBy("bucket")).applyInArrow(of, "__row bigint, more double")
-
-
-def train(docs: DataFrame, scratch: Scratch, text: str = "text", often_words: float = 1e-6, often: float = 1e-5, parts: int = 4, bucket_tokens: int = 1 << 22, priors: tuple[float, float] = PRIORS):
-    """(word table (h, c), {tokens, words, discount}, model) from all rows given; the model's n-grams are counted part by part as they are used."""
-    small_batches(docs.sparkSession)
-    texts = docs.select(docs[text].cast("string").alias("t"))
-    table = scratch.table(counts_of(texts, lambda h, offs: h), "words")
-    total, size, once = table.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1)).head()
-    facts = {"tokens": int(total), "words": int(size), "discount": min(max(once / size, 0.05), 0.95) if size else 0.0}
-    # at most 1 / often_words rows have that relative frequency
-    top = table.where(F.col("c") >= often_words * total).toPandas() if total else None
-    hashes = top["h"].to_numpy(np.int64).view(np.uint64) if total else np.zeros(0, np.uint64)
-    order = np.argsort(hashes)
-    uni = Unigrams(hashes[order], top["c"].to_numpy(np.int64)[order] if total else np.zeros(0, np.int64), facts["tokens"], facts["words"], facts["discount"])
-    return table, facts, Model(uni, texts, parts, max(1, -(-facts["tokens"] // (parts * bucket_tokens))), often, priors)
-
-
-def score(docs: DataFrame, table: DataFrame, facts: dict, model: Model, scratch: Scratch, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The kept columns, ``n_tokens``, ``n_known`` (tokens seen in training), ``base_score`` (add-0.1 unigrams) and ``score`` (the automaton) of every whole text."""
+        keys, weight = weights(table, priors)
+        asked, row = flat(table, "h").view(np.uint64), flat(table, "row")
+        order = np.argsort(asked)
+        at, known = found_at(keys, asked[order])
+        value = np.zeros(len(asked))
+        value[order] = np.where(known, weight[at], 0.0) if len(keys) else 0.0
+        begin = starts_of(row)
+        sums = np.add.reduceat(value, begin) if len(row) else value
+        often = shared.value[1].find(keys) >= 0
+        return pa.table([np.concatenate([np.zeros(len(begin), bool), np.ones(often.sum(), bool)]), np.concatenate([row[begin], keys[often].view(np.int64)]), np.concatenate([sums, weight[often]])], names=["frequent", "id", "more"])
+
+    return found.groupBy("bucket").applyInArrow(of, "frequent boolean, id bigint, more double")
+
+
+def score(docs: DataFrame, scratch: Scratch, train: str = "train", keep: tuple[str, ...] = ("doc_id",), text: str = "text", often_words: float = 1e-6, often: float = 1e-5, parts: int = 4, bucket_tokens: int = 1 << 20, priors: tuple[float, float] = PRIORS) -> DataFrame:
+    """Trains on the rows whose ``train`` is true and scores all: the kept columns, ``n_tokens``, ``n_known`` (tokens seen in training), ``train_tokens``, ``base_score`` (add-0.1 unigrams) and ``score`` (the automaton) of every whole text."""
     spark = docs.sparkSession
     small_batches(spark)
-    uni, tokens, size = model.uni, facts["tokens"], facts["words"]
-    below, prior = tokens + 0.1 * (size + 1), model.priors[0]
-    shared = spark.sparkContext.broadcast(uni)
     n_keep = len(keep)
 
+    def number(batches):
+        row = TaskContext.get().partitionId() << 33
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + b.num_rows)), *b.columns], ["__row", *b.schema.names])
+            row += b.num_rows
+
+    rows = docs.select(*(docs[c] for c in keep), F.coalesce(docs[train], F.lit(False)).alias("__train"), docs[text].cast("string").alias("__t"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    # written, as every part goes over the same rows with the same numbers
+    rows = scratch.table(rows.mapInArrow(number, f"__row bigint, {schema}"), "rows")
+
+    table = scratch.table(counted_words(rows.where("__train").select("__t"), often), "words")
+    total, size, once, sampled = table.agg(F.coalesce(F.sum(F.when(F.col("kind") == 1, F.col("c"))), F.lit(0)), F.count_if(F.col("kind") == 1), F.count_if((F.col("kind") == 1) & (F.col("c") == 1)), F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("c"))), F.lit(0))).head()
+    tokens, size, discount = int(total), int(size), min(max(once / size, 0.05), 0.95) if size else 0.0
+    # relative frequencies bound both: at most 1 / often_words words, 1 / often n-grams of each order
+    top = table.where((F.col("kind") == 1) & (F.col("c") >= often_words * tokens) | (F.col("kind") == 2) & (F.col("c") >= often * int(sampled))).toPandas()
+    of_kind = lambda k: (top["h"].to_numpy(np.int64).view(np.uint64)[top["kind"] == k], top["c"].to_numpy(np.int64)[top["kind"] == k])
+    (hashes, counts), table = of_kind(1), table.where("kind = 1").drop("kind")
+    uni = Unigrams(Index(hashes), counts[np.argsort(hashes)], tokens, size, discount)
+    shared = spark.sparkContext.broadcast((uni, Index(of_kind(2)[0])))
+    dealt = max(1, -(-tokens // (parts * bucket_tokens)))
+    sums = [scratch.table(answered(met(rows, shared, parts, dealt, part), shared, priors).groupBy("frequent", "id").agg(F.sum("more").alias("more")), f"sums{part}") for part in range(parts if tokens else 0)]
+    sums = reduce(DataFrame.unionByName, sums) if sums else spark.createDataFrame([], "frequent boolean, id bigint, more double")
+
+    arcs = sums.where("frequent").toPandas()
+    keys = arcs["id"].to_numpy(np.int64).view(np.uint64)
+    below, prior = tokens + 0.1 * (size + 1), priors[0]
+    machine = spark.sparkContext.broadcast((uni, Index(keys), arcs["more"].to_numpy(np.float64)[np.argsort(keys)]))
+
     def run(batches):
-        known_words = shared.value
-        row_id = TaskContext.get().partitionId() << 33
+        uni, index, weight = machine.value
         for b in batches:
-            ids = np.arange(row_id, row_id + b.num_rows)
-            row_id += b.num_rows
             n, known, base, total = (np.zeros(b.num_rows, t) for t in (np.int64, np.int64, np.float64, np.float64))
             rare, times, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], np.zeros(b.num_rows, np.int64)
-            for at, h, offs in token_hashes(b.column(n_keep)):
+            for at, h, offs in token_hashes(b.column(n_keep + 1)):
                 rows = np.arange(at, at + len(offs) - 1)
                 n[rows] = np.diff(offs)
                 if not tokens:
                     continue
-                c, p = known_words.of(h)
+                c, p = uni.of(h)
                 seen = c > 0
+                gain = np.where(seen, np.log10(p) + np.where(h == END, 0.0, np.log10(prior / (c + prior))), 0.0)
+                places, two, three = ngrams(h, offs)
+                for key in (two, three):
+                    arc = index.find(key)
+                    gain[places] += np.where(arc >= 0, weight[arc], 0.0) if len(weight) else 0.0
                 by_row = lambda x: np.add.reduceat(x, offs[:-1])  # noqa: E731  every row has its end token
-                known[rows] = by_row(seen.astype(np.int64))
-                base[rows] = by_row(np.where(seen, np.log10((c + 0.1) / below), 0.0))
-                total[rows] = by_row(np.where(seen, np.log10(p) + np.where(h == END, 0.0, np.log10(prior / (c + prior))), 0.0))
+                known[rows], base[rows], total[rows] = by_row(seen.astype(np.int64)), by_row(np.where(seen, np.log10((c + 0.1) / below), 0.0)), by_row(gain)
                 owner, other = np.repeat(rows, np.diff(offs))[~seen], h[~seen]
                 order = np.lexsort((other, owner))
                 owner, other = owner[order], other[order]
@@ -375,12 +370,11 @@ def score(docs: DataFrame, table: DataFrame, facts: dict, model: Model, scratch:
                 times.append(np.diff(np.append(first, len(owner))))
                 sizes += np.bincount(owner[first], minlength=b.num_rows)
             lists = cut(np.concatenate(rare).view(np.int64), np.concatenate(times), at=np.concatenate([[0], np.cumsum(sizes)]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids), pa.array(n), pa.array(known), pa.array(base), pa.array(total), *lists], [*keep, "__t", "__row", "__n", "__known", "__base", "__score", "__rare", "__times"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: n_keep + 1], pa.array(n), pa.array(known), pa.array(base), pa.array(total), *lists], ["__row", *keep, "__n", "__known", "__base", "__score", "__rare", "__times"])
 
-    rows = docs.select(*(docs[c] for c in keep), docs[text].cast("string").alias("__t"))
-    kept_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    # written, as every part goes over the same rows with the same numbers
-    read = scratch.table(rows.mapInArrow(run, f"{kept_schema}, __row bigint, __n bigint, __known bigint, __base double, __score double, __rare array<bigint>, __times array<bigint>"), "read")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1 : n_keep + 1])
+    read = scratch.table(rows.drop("__train").mapInArrow(run, f"__row bigint, {kept + ', ' if kept else ''}__n bigint, __known bigint, __base double, __score double, __rare array<bigint>, __times array<bigint>"), "read")
+    scratch.drop("rows")
     rare = read.select("__row", F.explode(F.arrays_zip("__rare", "__times")).alias("r")).select("__row", F.col("r.__rare").alias("h"), F.col("r.__times").alias("m"))
     c = F.coalesce("c", F.lit(0))
     seen_rare = F.log10(F.lit(uni.rare)) + F.when(F.col("h") == int(END.view(np.int64)), 0.0).otherwise(F.log10(prior / (c + prior)))
@@ -389,22 +383,9 @@ def score(docs: DataFrame, table: DataFrame, facts: dict, model: Model, scratch:
         F.sum(F.col("m") * F.log10((c + 0.1) / below)).alias("base"),
         F.sum(F.col("m") * F.when(F.col("c").isNotNull(), seen_rare).otherwise(log10(uni.unseen) if tokens else 0.0)).alias("words"),
     )
-    rest = scratch.table(rest, "rest")
-    sums = []
-    for part in range(model.parts if tokens else 0):
-        found = counted(model.train, shared, model.parts, model.dealt, part)
-        weights = scratch.table(weighed(found, model.often * tokens, model.priors), "weights")
-        # at most 1 / often n-grams of each order over all parts
-        top = weights.select(F.explode(F.arrays_zip("often_h", "often_weight")).alias("x")).select("x.*").toPandas()
-        keys = top["often_h"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        arcs = spark.sparkContext.broadcast((uni, Arcs(keys[order], top["often_weight"].to_numpy(np.float64)[order])))
-        asked = read_part(read.select("__row", "__t"), arcs, model.parts, model.dealt, part)
-        sums.append(scratch.table(looked_up(asked, weights.select("bucket", "h", "weight")).groupBy("__row").agg(F.sum("more").alias("more")), f"sums{part}"))
-        scratch.drop("weights")
-    more = reduce(DataFrame.unionByName, sums).groupBy("__row").agg(F.sum("more").alias("more")) if sums else read.select("__row", F.lit(0.0).alias("more")).limit(0)
+    more = sums.where("not frequent").groupBy(F.col("id").alias("__row")).agg(F.sum("more").alias("more"))
     zero = lambda x: F.coalesce(x, F.lit(0))
-    return read.drop("__t", "__rare", "__times").join(rest, "__row", "left").join(more, "__row", "left").select(
+    return read.drop("__rare", "__times").join(rest, "__row", "left").join(more, "__row", "left").select(
         *keep,
         F.col("__n").alias("n_tokens"),
         (F.col("__known") + zero("known")).cast("long").alias("n_known"),

@@ -28,9 +28,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", held_out(10))
-    scratch = Scratch(spark)
-    model = lm_score.train(docs.where(~F.col("held_out")), scratch)
-    return lm_score.score(docs, *model, scratch, keep=("doc_id", "held_out"))
+    return lm_score.score(docs.withColumn("train", ~F.col("held_out")), Scratch(spark), keep=("doc_id", "held_out"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
