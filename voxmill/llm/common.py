@@ -164,8 +164,9 @@ def hash_text(word: str) -> int:
     return int(hash_words(b, np.array([0]), np.array([len(b)]))[0])
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keeps the Arrow batches of whole texts small: a batch is bounded by rows, not bytes."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -> None:
+    """Keeps the Arrow batches of whole texts small, by rows and by bytes; a smaller setting of the session stays."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key)
+        if not now.isdigit() or int(now) > most or int(now) <= 0:
+            spark.conf.set(key, str(most))

@@ -308,7 +308,7 @@ def answered(found: DataFrame, shared, priors: tuple[float, float]) -> DataFrame
     return found.groupBy("bucket").applyInArrow(of, "frequent boolean, id bigint, more double")
 
 
-def score(docs: DataFrame, scratch: Scratch, train: str = "train", keep: tuple[str, ...] = ("doc_id",), text: str = "text", often_words: float = 1e-6, often: float = 1e-5, parts: int = 4, bucket_tokens: int = 1 << 20, priors: tuple[float, float] = PRIORS) -> DataFrame:
+def score(docs: DataFrame, scratch: Scratch, train: str = "train", keep: tuple[str, ...] = ("doc_id",), text: str = "text", often_words: float = 1e-6, often: float = 1e-5, parts: int = 4, bucket_tokens: int = 1 << 19, priors: tuple[float, float] = PRIORS) -> DataFrame:
     """Trains on the rows whose ``train`` is true and scores all: the kept columns, ``n_tokens``, ``n_known`` (tokens seen in training), ``train_tokens``, ``base_score`` (add-0.1 unigrams) and ``score`` (the automaton) of every whole text."""
     spark = docs.sparkSession
     small_batches(spark)
