@@ -291,7 +291,12 @@ def weights(table: pa.Table, priors: tuple[float, float]) -> tuple[np.ndarray, n
 
 
 def answered(found: DataFrame, shared, priors: tuple[float, float]) -> DataFrame:
-    """(frequent, id, more): for each row what its n-grams weigh, summed by bucket; and the weight of each frequent n-gram, by hash."""
+    """(frequent, id, more): for each row what its n-grams of this part weigh; and the weight of each frequent n-gram, by hash.
+
+    A bucket answers in lists, one for each 256 rows with consecutive numbers, and
+    those are summed up: what leaves the buckets is a list a bucket and block, not a
+    row for every bucket that a text has n-grams in.
+    """
 
     def of(table: pa.Table) -> pa.Table:
         keys, weight = weights(table, priors)
@@ -300,12 +305,21 @@ def answered(found: DataFrame, shared, priors: tuple[float, float]) -> DataFrame
         at, known = found_at(keys, asked[order])
         value = np.zeros(len(asked))
         value[order] = np.where(known, weight[at], 0.0) if len(keys) else 0.0
-        begin = starts_of(row)
-        sums = np.add.reduceat(value, begin) if len(row) else value
+        rows, which = np.unique(row, return_inverse=True)
+        sums = np.bincount(which, value, len(rows)).astype(np.float64)
         often = shared.value[1].find(keys) >= 0
-        return pa.table([np.concatenate([np.zeros(len(begin), bool), np.ones(often.sum(), bool)]), np.concatenate([row[begin], keys[often].view(np.int64)]), np.concatenate([sums, weight[often]])], names=["frequent", "id", "more"])
+        ids, more = np.concatenate([keys[often].view(np.int64), rows]), np.concatenate([weight[often], sums])
+        block = np.concatenate([np.full(often.sum(), -1), rows >> 8])
+        begin = starts_of(block)
+        return pa.table([pa.array(block[begin], pa.int64()), *cut(ids, more, at=np.append(begin, len(ids)))], names=["block", "id", "more"])
+
+    def summed(table: pa.Table) -> pa.Table:
+        ids, which = np.unique(flat(table, "id"), return_inverse=True)
+        often = table.column("block")[0].as_py() < 0
+        return pa.table([np.full(len(ids), often), ids, np.bincount(which, flat(table, "more"), len(ids))], names=["frequent", "id", "more"])
 
-    return found.groupBy("bucket").applyInArrow(of, "frequent boolean, id bigint, more double")
+    lists = found.groupBy("bucket").applyInArrow(of, "block bigint, id array<bigint>, more array<double>")
+    return lists.groupBy("block").applyInArrow(summed, "frequent boolean, id bigint, more double")
 
 
 def score(docs: DataFrame, scratch: Scratch, train: str = "train", keep: tuple[str, ...] = ("doc_id",), text: str = "text", often_words: float = 1e-6, often: float = 1e-5, parts: int = 4, bucket_tokens: int = 1 << 19, priors: tuple[float, float] = PRIORS) -> DataFrame:
@@ -335,7 +349,7 @@ def score(docs: DataFrame, scratch: Scratch, train: str = "train", keep: tuple[s
     uni = Unigrams(Index(hashes), counts[np.argsort(hashes)], tokens, size, discount)
     shared = spark.sparkContext.broadcast((uni, Index(of_kind(2)[0])))
     dealt = max(1, -(-tokens // (parts * bucket_tokens)))
-    sums = [scratch.table(answered(met(rows, shared, parts, dealt, part), shared, priors).groupBy("frequent", "id").agg(F.sum("more").alias("more")), f"sums{part}") for part in range(parts if tokens else 0)]
+    sums = [scratch.table(answered(met(rows, shared, parts, dealt, part), shared, priors), f"sums{part}") for part in range(parts if tokens else 0)]
     sums = reduce(DataFrame.unionByName, sums) if sums else spark.createDataFrame([], "frequent boolean, id bigint, more double")
 
     arcs = sums.where("frequent").toPandas()
