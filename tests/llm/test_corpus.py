@@ -240,6 +240,30 @@ def test_keep_one(spark, docs):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "4", "5", "6", "8", "9", "10", "11", "None"])
 
 
+def test_keep_one_judges_by_text(spark):
+    w = [f"{x}{i}" for i in range(3) for x in BASE]
+    a, b, c, own = " ".join(w), " ".join([*w, "more"]), " ".join(w[::-1]), "an own text of this id with other words in it"
+    rows = [(1, a, 0), (2, a, 0), (2, own, 1), (3, c, 2), (4, " ".join([*w[::-1], "x"]), 0), (5, b, 0), (5, c + " y", 3), (None, a, 0), (6, own, 0), (7, None, 0), (7, None, 0), (8, "", 0)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, __vx_n int").repartition(3)
+    kept = ngram_join.keep_one(data)
+    assert kept.columns == data.columns
+    got = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got == collections.Counter([(1, a), (2, own), (3, c), (None, a), (7, None), (8, "")])
+
+
+def test_chained_boilerplate_stays_apart(spark):
+    """Texts that share half their words with the next: candidates at most, and no piece holds the chain."""
+    parts = [[f"w{i}x{j}" for j in range(40)] for i in range(400)]
+    rows = [(i, " ".join(parts[i] + parts[i + 1])) for i in range(399)]
+    seen = []
+    plain, ngram_join.components = ngram_join.components, lambda edges, *how: (seen.append(edges.count()), plain(edges, *how))[1]
+    try:
+        got = ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        ngram_join.components = plain
+    assert seen == [0] and all(r.class_id == r.doc_id and r.n_links == 0 for r in got)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r.v: r.root for r in ngram_join.components(edges, common.Scratch(spark), "c").collect()}

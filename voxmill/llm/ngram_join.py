@@ -6,17 +6,20 @@
    thousands of copies cost one row each.
 2. ``band_plan`` picks bands and rows for the target recall at the threshold.
    Classes are dealt out by band hash; those that share one are candidates.
-3. Candidate classes are put into groups (connected components). A group of
-   more than ``block`` members is split by hash into blocks, and each pair of
-   blocks is one piece of work, so no task holds an unbounded group.
-4. Inside a piece, candidate pairs are verified on the full shingle sets. A
-   piece gives one row per member, not per pair: the weight of its verified
-   links, and the smallest member that it is linked with through them.
+3. Every class with candidates takes the smallest key among its bands' members as
+   its label. Classes of one label are a *block*; a large one is split by hash into
+   blocks of about ``block`` members. Two blocks whose members share a band are a
+   piece of work, and so is a block by itself: a pair of candidates falls into one
+   piece, and unrelated texts that candidates chain together do not meet.
+4. Inside a piece, pairs are verified on the full shingle sets. A piece gives one
+   row per member, not per pair: the weight of its verified links, and the smallest
+   member that it is linked with through them.
 5. Verified links give the final components.
 
 Nulls: a row with a null id, or with a null text or one without a word, is never
 linked; its class is its own id and it has no links. Repeated rows count as
-copies. Only the id and the text columns are read.
+copies; an id with several texts has a row for each, and each is judged by its own
+text. An empty table gives no rows. Only the id and the text columns are read.
 """
 
 from __future__ import annotations
@@ -26,13 +29,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from voxmill.llm.common import LOWER_BYTES, Scratch, chunks, fold, hash_words, mix, small_batches, words
 
-SEED = np.uint64(0x51ED270B0A1F39C1)
-
-
 def band_plan(threshold: float, recall: float, most: int = 256) -> tuple[int, int]:
     """(bands, rows): the most rows a band, so the fewest false candidates, that give the recall at the threshold with at most ``most`` hashes."""
     best = (most, 1)
@@ -67,7 +67,7 @@ def key_of(found: np.ndarray) -> bytes:
 
 
 def signature_rows(docs: DataFrame, k: int, bands: int, rows: int, text: str, doc_id: str) -> DataFrame:
-    """doc_id, key (of the shingle set; null: no word), bytes, bands."""
+    """doc_id, two hashes of the text, key (of the shingle set; null: no word), bytes, bands."""
     small_batches(docs.sparkSession)
     n = bands * rows
     rng = np.random.default_rng(11)
@@ -80,7 +80,7 @@ def signature_rows(docs: DataFrame, k: int, bands: int, rows: int, text: str, do
         for b in batches:
             size = b.num_rows
             keys, sizes, sigs = [None] * size, np.zeros(size, np.int64), [None] * size
-            for row, data, offs in chunks(b.column(1)):
+            for row, data, offs in chunks(b.column(3)):
                 for i, found in shingles(data, offs, k):
                     keys[row + i], sizes[row + i] = key_of(found), offs[i + 1] - offs[i]
                     low = np.full(n, np.iinfo(np.uint64).max, np.uint64)
@@ -91,12 +91,17 @@ def signature_rows(docs: DataFrame, k: int, bands: int, rows: int, text: str, do
             offsets = np.zeros(size + 1, np.int32)
             np.cumsum([0 if s is None else bands for s in sigs], out=offsets[1:])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(keys, pa.binary()), pa.array(sizes), pa.ListArray.from_arrays(offsets, np.concatenate(flat) if flat else np.zeros(0, np.int64))],
-                ["doc_id", "key", "bytes", "bands"],
+                [*b.columns[:3], pa.array(keys, pa.binary()), pa.array(sizes), pa.ListArray.from_arrays(offsets, np.concatenate(flat) if flat else np.zeros(0, np.int64))],
+                ["doc_id", "t1", "t2", "key", "bytes", "bands"],
             )
 
     id_type = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(docs[doc_id], docs[text].cast("string")).mapInArrow(run, f"doc_id {id_type}, key binary, bytes bigint, bands array<bigint>")
+    return docs.select(docs[doc_id], *text_hashes(docs[text]), docs[text].cast("string")).mapInArrow(run, f"doc_id {id_type}, t1 bigint, t2 bigint, key binary, bytes bigint, bands array<bigint>")
+
+
+def text_hashes(text: Column) -> tuple[Column, Column]:
+    """Two hashes that tell a text from all others."""
+    return F.xxhash64(text.cast("string")), F.xxhash64(text.cast("string"), F.lit(17))
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -185,58 +190,67 @@ def verify(members: list[tuple], threshold: float, row_block: int = 256):
     return [(members[i][0], int(links[i]), least[find(i)]) for i in range(n)]
 
 
-def similar(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.9995, block: int = 192, block_bytes: int = 8 << 20, text: str = "text", doc_id: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
-    """One row per document: its id, ``class_id`` (smallest id of its connected component), ``copy_of`` (smallest id with the same shingle set) and ``n_links`` (other documents at or above the threshold, copies included)."""
-    scratch = scratch or Scratch(docs.sparkSession)
+def linked(docs: DataFrame, threshold: float, k: int, recall: float, block: int, block_bytes: int, text: str, doc_id: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(signed, classes): the rows with the key of their shingle set; and (key, rep, copies, class_id, root, links) of each set, the last three null without links."""
     bands, rows = band_plan(threshold, recall)
     signed = scratch.table(signature_rows(docs, k, bands, rows, text, doc_id), "signed")
     known = signed.where("key is not null and doc_id is not null")
     classes = scratch.table(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bytes").alias("bytes"), F.first("bands").alias("bands")), "classes")
 
-    dealt = classes.select("key", F.explode("bands").alias("band"))
-    # written first, so that the join below has a plain shuffle on both sides and a band that very many classes share can be split
+    dealt = classes.select("key", "bytes", F.explode("bands").alias("band"))
+    # written first, so that the joins below have a plain shuffle on both sides and a band that very many classes share can be split
     shared = scratch.table(dealt.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("low")).where("n > 1").drop("n"), "shared")
-    near = components(dealt.join(shared, "band").select(F.col("key").alias("u"), F.col("low").alias("v")), scratch, "near")
-    near = scratch.table(near.unionByName(near.select(F.col("root").alias("v"), "root").distinct()), "groups")
+    met = scratch.table(dealt.join(shared, "band"), "met")
+    labels = scratch.table(met.groupBy("key").agg(F.min("low").alias("label"), F.first("bytes").alias("bytes")), "labels")
+    parts = labels.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("bytes") / block_bytes)).cast("int").alias("parts"))
+    members = scratch.table(labels.join(parts, "label").select("key", F.xxhash64("label", F.pmod(F.xxhash64("key"), F.col("parts"))).alias("block")), "members")
+    blocks = scratch.table(met.select("key", "band").join(members, "key").select("band", "block").distinct(), "blocks")
+    # blocks of a band by themselves and with each other; most bands have one
+    pairs = blocks.join(blocks.select("band", F.col("block").alias("other")), "band").where("block <= other").select(F.col("block").alias("a"), F.col("other").alias("b")).distinct()
+    pairs = scratch.table(pairs, "pieces")
+    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
 
-    member = near.withColumnRenamed("v", "key").join(classes.drop("bands"), "key")
-    parts = near.withColumnRenamed("v", "key").join(classes.select("key", "bytes"), "key").groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("bytes") / block_bytes)).cast("int").alias("parts"))
-    member = member.join(parts, "root").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     texts = docs.select(docs[doc_id].alias("rep"), docs[text].cast("string").alias("text")).where("text is not null")
-    work = member.join(texts, "rep").select("root", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "key", F.col("copies").alias("weight"), F.col("part").alias("side"), "text")
+    full = members.join(classes.select("key", "rep", "copies"), "key").join(texts, "rep")
+    work = full.join(sides, "block").select("a", "b", "key", F.col("copies").alias("weight"), F.col("block").alias("side"), "text")
 
     def run(batches):
-        now, members, seen = None, [], set()
+        now, found, seen = None, [], set()
 
         def flush():
             # two members at least; where two sides are due, both must be there
-            out = verify(members, threshold) if len(members) > 1 and (now[1] == now[2] or len({m[2] for m in members}) == 2) else []
+            out = verify(found, threshold) if len(found) > 1 and (now[0] == now[1] or len({m[2] for m in found}) == 2) else []
             return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())], ["key", "links", "least"])
 
         for batch in batches:
-            for root, a, b, key, weight, side, body in zip(*(batch.column(i).to_pylist() for i in range(7))):
-                if (root, a, b) != now:
-                    if members:
+            for a, b, key, weight, side, body in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if (a, b) != now:
+                    if found:
                         yield flush()
-                    now, members, seen = (root, a, b), [], set()
-                found = None if key in seen else set_of(body, k)
-                if found is not None and key_of(found) == key:  # an id may stand for two texts
+                    now, found, seen = (a, b), [], set()
+                its = None if key in seen else set_of(body, k)
+                if its is not None and key_of(its) == key:  # an id may stand for two texts
                     seen.add(key)
-                    members.append((key, weight, side, found))
-        if members:
+                    found.append((key, weight, side, its))
+        if found:
             yield flush()
 
-    piece = work.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b", "key")
+    piece = work.repartition("a", "b").sortWithinPartitions("a", "b", "key")
     found = scratch.table(piece.mapInArrow(run, "key binary, links bigint, least binary").where("links > 0"), "found")
     final = components(found.select(F.col("key").alias("u"), F.col("least").alias("v")), scratch, "final")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     final = final.unionByName(final.select(F.col("root").alias("v"), "root").distinct()).withColumnRenamed("v", "key")
     named = final.join(classes.select("key", "rep"), "key")
     lowest = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    linked = named.join(lowest, "root").join(links, "key").select("key", "class_id", "links")
-    table = scratch.table(classes.select("key", "rep", "copies").join(linked, "key", "left"), "result")
-    scratch.drop("classes", "shared", "groups", "found")
+    table = classes.select("key", "rep", "copies").join(named.join(lowest, "root").join(links, "key").select("key", "class_id", "root", "links"), "key", "left")
+    table = scratch.table(table, "result")
+    scratch.drop("classes", "shared", "met", "labels", "members", "blocks", "pieces", "found")
+    return signed, table
+
+
+def similar(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.9995, block: int = 192, block_bytes: int = 8 << 20, text: str = "text", doc_id: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
+    """One row per document: its id, ``class_id`` (smallest id of its connected component), ``copy_of`` (smallest id with the same shingle set) and ``n_links`` (other documents at or above the threshold, copies included)."""
+    signed, table = linked(docs, threshold, k, recall, block, block_bytes, text, doc_id, scratch or Scratch(docs.sparkSession))
     return signed.select("doc_id", "key").join(table, "key", "left").select(
         "doc_id",
         F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("class_id", "rep", "doc_id")).alias("class_id"),
@@ -245,11 +259,29 @@ def similar(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float =
     )
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """The documents, of each connected component the one with the smallest id; a row that occurs twice stays once. Rows without an id stay. All columns stay."""
-    scratch = Scratch(docs.sparkSession)
-    found = similar(docs, text=text, doc_id=doc_id, scratch=scratch, **how)
-    lost = found.where(F.col("doc_id").isNotNull() & (F.col("class_id") != F.col("doc_id"))).select(F.col("doc_id").alias(doc_id)).distinct()
-    rest = docs.join(lost, doc_id, "left_anti")
-    again = W.partitionBy(doc_id, F.xxhash64(text)).orderBy(F.lit(0))
-    return rest.withColumn("__vx_n", F.row_number().over(again)).where(F.col("__vx_n").eqNullSafe(1) | F.col(doc_id).isNull()).select(*(F.col(f"`{c}`") for c in docs.columns))
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, longer where the table has such a column."""
+    have = {c.lower() for c in docs.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def keep_one(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.9995, block: int = 192, block_bytes: int = 8 << 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Of the documents of each connected component the one with the smallest id (of its texts there, if several, the one with the smallest hash). All columns stay.
+
+    Rows are judged by id and text together, so an id's other texts stay. Of rows
+    with the same id and text one stays, the first by a hash of its columns. Rows
+    without an id stay, and so do those without a word.
+    """
+    signed, table = linked(docs, threshold, k, recall, block, block_bytes, text, doc_id, Scratch(docs.sparkSession))
+    place = F.struct("doc_id", "t1", "t2")
+    rows = signed.where("key is not null and doc_id is not null").join(table.select("key", F.coalesce("root", "key").alias("root")), "key").select("root", place.alias("place")).distinct()
+    best = rows.groupBy("root").agg(F.min("place").alias("best"))
+    lost = rows.join(best, "root").where("place != best").select("place.*")
+    t1, t2, n = (free_name(docs, f"__vx_{x}") for x in ("t1", "t2", "n"))
+    marked = docs.withColumns(dict(zip((t1, t2), text_hashes(docs[text]))))
+    rest = marked.join(lost.select(F.col("doc_id").alias(doc_id), F.col("t1").alias(t1), F.col("t2").alias(t2)), [doc_id, t1, t2], "left_anti")
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    again = W.partitionBy(doc_id, t1, t2).orderBy(F.xxhash64(*plain))
+    return rest.withColumn(n, F.row_number().over(again)).where((F.col(n) == 1) | F.col(doc_id).isNull()).select(*(F.col(f"`{c}`") for c in docs.columns))
