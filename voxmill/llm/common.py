@@ -37,6 +37,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, longer where the table has such a column."""
+    have = {c.lower() for c in docs.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Intermediate tables in the folder that driver and executors share.
 

@@ -8,13 +8,16 @@ either side, so that matches begin and end at words. A document is scanned once;
 each match marks its words, and marked words are mapped back to offsets of the
 original text.
 
-The automaton holds at most ``block`` windows, so that its broadcast is bounded;
-a larger benchmark is scanned in as many blocks as it needs, none is dropped.
+The automaton's patterns take at most ``block_bytes``, so that its broadcast and its
+memory are bounded; a larger benchmark is scanned in as many blocks of items as it
+needs, one after another, with the results written between them. None is dropped.
 
 Nulls: a null text has no words, and its row is returned with empty results; an
-item whose text is null or has no word has no window; an item with a null id is
-left out. Repeated rows are judged each for itself; an item id that occurs twice
-counts once. Only the id and the text columns are read.
+item whose text is null or has no word has no window; an item with a null id marks
+words, but has no id to name. Ids of any type are named as strings. Repeated rows are
+judged each for itself; an item id that occurs twice counts once. An empty table
+gives no rows, an empty benchmark no hits. Only the id and the text columns are read,
+and other columns may have any name.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from voxmill.llm.common import small_batches
+from voxmill.llm.common import Scratch, free_name, small_batches
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = re.compile(WORD)
@@ -47,7 +50,9 @@ def item_windows(items: list[tuple], width: int) -> dict[str, list]:
     for item, text in items:
         words = normalised(text)[0].split()
         for i in range(max(1, len(words) - width + 1) if words else 0):
-            out.setdefault(f" {' '.join(words[i : i + width])} ", set()).add(item)
+            ids = out.setdefault(f" {' '.join(words[i : i + width])} ", set())
+            if item is not None:
+                ids.add(item)
     return {k: sorted(v) for k, v in out.items()}
 
 
@@ -90,24 +95,23 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_N, _HIT, _RANGES, _ITEMS, _SPANS = "__vx_n_words", "__vx_n_hit", "__vx_ranges", "__vx_items", "__vx_spans"
-_ADDED = f"{_N} bigint, {_HIT} bigint, {_RANGES} array<struct<a:int,b:int>>, {_ITEMS} array<bigint>, {_SPANS} array<struct<start:bigint,end:bigint>>"
-
-
-def _passes(docs: DataFrame, items: DataFrame, text: str, width: int, block: int, item_id: str, item_text: str) -> DataFrame:
-    """``docs`` with the results added; one map over the rows for each block of windows, no shuffle."""
+def _passes(docs: DataFrame, items: DataFrame, text: str, width: int, block_bytes: int, item_id: str, item_text: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with the results added, and the names of these: words, hits, ranges, items, spans. One map over the rows for each block of items, no shuffle."""
     spark = docs.sparkSession
     small_batches(spark)
-    tests = items.select(items[item_id].cast("long").alias("item"), items[item_text].cast("string").alias("t")).where("item is not null and t is not null")
-    # a window has a word of its own at least, and a word two characters with its gap
-    size = tests.agg(F.sum((F.length("t") / 2 + 1).cast("long"))).head()[0] or 0
-    blocks = max(1, -(-size // block))
+    tests = items.select(items[item_id].cast("string").alias("item"), items[item_text].cast("string").alias("t")).where("t is not null")
+    # every byte of an item is in at most ``width`` patterns
+    size = tests.agg(F.sum(F.octet_length("t") + 1)).head()[0] or 0
+    blocks = max(1, -(-size * width // block_bytes))
+    scratch = Scratch(spark) if blocks > 1 else None
     names, out = docs.columns, docs
     at, kept = names.index(text), len(names)
     pair = lambda t, a, b: pa.list_(pa.struct([(a, t), (b, t)]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", " + _ADDED
+    added_names = [free_name(docs, f"__vx_{x}") for x in ("n_words", "n_hit", "ranges", "items", "spans")]
+    types = ("bigint", "bigint", "array<struct<a:int,b:int>>", "array<string>", "array<struct<start:bigint,end:bigint>>")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *map(" ".join, zip(added_names, types))])
     for k in range(blocks):
-        part = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
+        part = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("item", "t"), F.lit(blocks)) == k)
         shared = spark.sparkContext.broadcast(item_windows([(r[0], r[1]) for r in part.collect()], width))
 
         def run(batches, shared=shared, first=k == 0, last=k == blocks - 1):
@@ -123,31 +127,33 @@ def _passes(docs: DataFrame, items: DataFrame, text: str, width: int, block: int
                     pa.array([g[0] for g in got], pa.int64()),
                     pa.array([sum(y - x for x, y in g[1]) for g in got], pa.int64()),
                     pa.array([[{"a": x, "b": y} for x, y in g[1]] for g in got], pair(pa.int32(), "a", "b")),
-                    pa.array([g[2] for g in got], pa.list_(pa.int64())),
+                    pa.array([g[2] for g in got], pa.list_(pa.string())),
                     pa.array(spans, pair(pa.int64(), "start", "end")),
                 ]
-                yield pa.RecordBatch.from_arrays([*b.columns[:kept], *added], [*names, _N, _HIT, _RANGES, _ITEMS, _SPANS])
+                yield pa.RecordBatch.from_arrays([*b.columns[:kept], *added], [*names, *added_names])
 
         out = out.mapInArrow(run, schema)
-    return out
+        if k < blocks - 1:
+            out = scratch.table(out, f"block{k}")  # so that one automaton at a time is in memory
+    return out, added_names
 
 
-def scan(docs: DataFrame, items: DataFrame, width: int = 13, block: int = 2_000_000, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document: its id, ``n_words``, ``n_hit`` (words inside any occurrence of a window), ``items`` (ids found, ascending), ``spans`` (original offsets) and ``contaminated``.
+def scan(docs: DataFrame, items: DataFrame, width: int = 13, block_bytes: int = 8 << 20, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per document: its id, ``n_words``, ``n_hit`` (words inside any occurrence of a window), ``items`` (ids found, in the order of strings), ``spans`` (original offsets) and ``contaminated``.
 
-    The items come to the driver in blocks of at most ``block`` windows, a bound
-    on their number that Spark computes first; each block is one automaton.
+    The items come to the driver in blocks whose patterns have at most about
+    ``block_bytes``, by a size that Spark works out first.
     """
-    rows = _passes(docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("__vx_text")), items, "__vx_text", width, block, item_id, item_text)
-    return rows.select("doc_id", F.col(_N).alias("n_words"), F.col(_HIT).alias("n_hit"), F.col(_ITEMS).alias("items"), F.col(_SPANS).alias("spans"), _contaminated().alias("contaminated"))
+    rows, (n, hit, _, found, spans) = _passes(docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("__vx_text")), items, "__vx_text", width, block_bytes, item_id, item_text)
+    return rows.select("doc_id", F.col(n).alias("n_words"), F.col(hit).alias("n_hit"), F.col(found).alias("items"), F.col(spans).alias("spans"), _contaminated(n, hit).alias("contaminated"))
 
 
-def _contaminated():
+def _contaminated(n: str, hit: str):
     """One word in twenty or more lies inside a window."""
-    return (F.col(_HIT) > 0) & (F.col(_HIT) * 20 >= F.col(_N))
+    return (F.col(hit) > 0) & (F.col(hit) * 20 >= F.col(n))
 
 
-def clean(docs: DataFrame, items: DataFrame, width: int = 13, block: int = 2_000_000, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, width: int = 13, block_bytes: int = 8 << 20, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents without the contaminated ones; all their columns stay as they are."""
-    rows = _passes(docs, items, text, width, block, item_id, item_text)
-    return rows.where(~_contaminated()).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows, (n, hit, *_) = _passes(docs, items, text, width, block_bytes, item_id, item_text)
+    return rows.where(~_contaminated(n, hit)).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from voxmill.llm.common import LOWER_BYTES, Scratch, chunks, fold, hash_words, mix, small_batches, words
+from voxmill.llm.common import LOWER_BYTES, Scratch, chunks, fold, free_name, hash_words, mix, small_batches, words
 
 def band_plan(threshold: float, recall: float, most: int = 256) -> tuple[int, int]:
     """(bands, rows): the most rows a band, so the fewest false candidates, that give the recall at the threshold with at most ``most`` hashes."""
@@ -259,14 +259,6 @@ def similar(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float =
     )
 
 
-def free_name(docs: DataFrame, name: str) -> str:
-    """``name``, longer where the table has such a column."""
-    have = {c.lower() for c in docs.columns}
-    while name.lower() in have:
-        name += "_"
-    return name
-
-
 def keep_one(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.9995, block: int = 192, block_bytes: int = 8 << 20, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Of the documents of each connected component the one with the smallest id (of its texts there, if several, the one with the smallest hash). All columns stay.
 

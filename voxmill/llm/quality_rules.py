@@ -1,11 +1,13 @@
 """Quality rules with thresholds that the data set themselves.
 
-Every text gets its base counts. For each metric a KLL quantile sketch is kept per
-language and source; sketches merge, so a group that is too small takes the sketch
-of its language, or of everything. A document fails when a metric lies above its
-group's fence, the upper quartile plus ``reach`` interquartile ranges (and at least
-``slack``, as many groups have no spread at all), or fails the fixed base rules.
-Thresholds are joined to the documents by language and source.
+Every text gets its base counts. For each metric a quantile sketch is kept per
+language and source: a histogram of high dynamic range, exact to 1024 thousandths
+and to one part in 512 above, so it has a few hundred bins at most, two sketches
+merge by adding, and the same rows give the same sketch in any order. A group that is
+too small takes the sketch of its language, or of everything. A document fails when a
+metric lies above its group's fence, the upper quartile plus ``reach`` interquartile
+ranges (and at least ``slack``, as many groups have no spread at all), or fails the
+fixed base rules. Thresholds are joined to the documents by language and source.
 
 All on the DataFrame side. Sketches are aggregated partially, so a source that
 holds a third of all rows is summed up where its rows are. The counts are written
@@ -18,13 +20,13 @@ four named columns are read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from voxmill.llm import text_stats
 from voxmill.llm.common import Scratch
 
-# Metric -> smallest distance of the fence from the upper quartile.
-SLACK = {"symbols": 0.04, "capitals": 0.15, "dup_lines": 0.34, "repeats": 0.3, "word_length": 3.0, "bangs": 0.15, "stutter": 0.2}
+# Metric -> smallest distance of the fence from the upper quartile, in thousandths.
+SLACK = {"symbols": 40, "capitals": 150, "dup_lines": 340, "word_length": 3000, "bangs": 150, "stutter": 200}
 
 
 def counted(docs: DataFrame, text: str, doc_id: str, lang: str, source: str) -> DataFrame:
@@ -43,48 +45,59 @@ def counted(docs: DataFrame, text: str, doc_id: str, lang: str, source: str) ->
 
 
 def metrics() -> dict[str, Column]:
-    words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
-    return {
-        "symbols": F.col("n_symbols") / chars,
-        "capitals": F.col("upper") / chars,
-        "dup_lines": F.col("n_dup_lines") / F.col("lines"),
-        "repeats": F.col("n_repeat_words") / words,
-        "word_length": F.col("word_chars") / words,
-        "bangs": F.col("bang") / words,
-        "stutter": F.col("same_as_before") / words,
+    """Bins: thousandths of each ratio, of those above 1024 the leading ten bits."""
+    parts = {
+        "symbols": ("n_symbols", "word_chars"),
+        "capitals": ("upper", "word_chars"),
+        "dup_lines": ("n_dup_lines", "lines"),
+        "word_length": ("word_chars", "n_words"),
+        "bangs": ("bang", "n_words"),
+        "stutter": ("same_as_before", "n_words"),
     }
+    value = lambda a, b: F.expr(f"cast({a} as bigint) * 1000 div greatest({b}, 1)")
 
+    def bin_of(v: Column) -> Column:
+        low = F.pow(F.lit(2), F.greatest(F.length(F.bin(v)) - 10, F.lit(0))).cast("long")
+        return v - F.pmod(v, low)
 
-def fences(groups: DataFrame, reach: float, least_rows: int, scratch: Scratch) -> DataFrame:
-    """(lang, source, one fence a metric) from one sketch a metric for each group."""
-    names = list(SLACK)
-    quartile = lambda s, q: F.kll_sketch_get_quantile_double(s, F.lit(q))
-
-    def of(prefix: str, n: str) -> Column:
-        low, high = quartile(F.col(f"{prefix}{n}"), 0.25), quartile(F.col(f"{prefix}{n}"), 0.75)
-        return high + F.greatest(F.lit(SLACK[n]), reach * (high - low))
-
-    merged = [F.kll_merge_agg_double(n).alias(n) for n in names]
-    by_lang = groups.groupBy("lang").agg(F.sum("rows").alias("rows"), *merged).select("lang", F.col("rows").alias("lang_rows"), *(F.col(n).alias(f"lang_{n}") for n in names))
-    # one row, a few numbers: the fences of everything together
-    some = F.col("rows") > 0  # an empty sketch has no quantiles
-    whole = groups.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), *merged).select(*(F.when(some, of("", n)).alias(n) for n in names)).head()
-    rows = groups.join(by_lang, "lang").select(
-        "lang",
-        "source",
-        *(F.when(F.col("rows") >= least_rows, of("", n)).when(F.col("lang_rows") >= least_rows, of("lang_", n)).otherwise(F.lit(whole[n]).cast("double")).alias(f"max_{n}") for n in names),
-    )
-    return scratch.table(rows, "fences")
+    return {n: text_stats.let(value(*ab), bin_of) for n, ab in parts.items()}
+
+
+def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
+    """(keys, metric, rows, low, high) of histograms (keys, metric, bin, n): the bins of the nearest ranks."""
+    total = W.partitionBy(*keys, "metric")
+    so_far, all_ = F.sum("n").over(total.orderBy("bin")), F.sum("n").over(total)
+    rows = sketch.select(*keys, "metric", "bin", so_far.alias("so_far"), all_.alias("rows"))
+    at = lambda q: F.min(F.when(F.col("so_far") * 4 >= F.col("rows") * q, F.col("bin")))
+    return rows.groupBy(*keys, "metric").agg(F.max("rows").alias("rows"), at(1).alias("low"), at(3).alias("high"))
+
+
+def fences(sketches: DataFrame, reach: int, least_rows: int) -> DataFrame:
+    """(lang, source, one fence a metric), from the sketches (lang, source, metric, bin, n)."""
+    slack = F
+    for n, least in SLACK.items():
+        slack = slack.when(F.col("metric") == n, least)
+    merged = lambda *keys: sketches.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n"))
+    fence = F.col("high") + F.greatest(slack, reach * (F.col("high") - F.col("low")))
+    own = quartiles(sketches, "lang", "source").select("lang", "source", "metric", "rows", fence.alias("own"))
+    of_lang = quartiles(merged("lang"), "lang").select("lang", "metric", F.col("rows").alias("lang_rows"), fence.alias("of_lang"))
+    whole = quartiles(merged()).select("metric", fence.alias("whole"))
+    chosen = F.when(F.col("rows") >= least_rows, F.col("own")).when(F.col("lang_rows") >= least_rows, F.col("of_lang")).otherwise(F.col("whole"))
+    rows = own.join(of_lang, ["lang", "metric"]).join(F.broadcast(whole), "metric").withColumn("fence", chosen)  # a row for each metric
+    return rows.groupBy("lang", "source").agg(*(F.max(F.when(F.col("metric") == n, F.col("fence"))).alias(f"max_{n}") for n in SLACK))
 
 
-def judge(docs: DataFrame, reach: float = 3.0, least_rows: int = 100, k: int = 400, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source", scratch: Scratch | None = None) -> DataFrame:
+def judge(docs: DataFrame, reach: int = 3, least_rows: int = 100, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source", scratch: Scratch | None = None) -> DataFrame:
     """One row per document: the counts, ``base_failed``, ``failed`` (metrics above their fence) and ``kept``."""
     scratch = scratch or Scratch(docs.sparkSession)
     rows = scratch.table(counted(docs, text, doc_id, lang, source), "counts")
     key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))  # noqa: E731  nulls are a group of their own
     rows = rows.select("*", *(m.alias(f"m_{n}") for n, m in metrics().items())).withColumns({"lang": key("lang"), "source": key("source")})
-    groups = scratch.table(rows.groupBy("lang", "source").agg(F.count("*").alias("rows"), *(F.kll_sketch_agg_double(f"m_{n}", F.lit(k)).alias(n) for n in SLACK)), "sketches")
+    bins = F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(f"m_{n}").alias("bin")) for n in SLACK)))
+    sketches = scratch.table(rows.select("lang", "source", bins.alias("x")).groupBy("lang", "source", "x.metric", "x.bin").agg(F.count("*").alias("n")), "sketches")
+    limits = scratch.table(fences(sketches, reach, least_rows), "fences")
+    scratch.drop("sketches")
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     failed = F.array_compact(F.array(*(F.when(F.col(f"m_{n}") > F.col(f"max_{n}"), F.lit(n)) for n in SLACK)))
-    out = rows.join(fences(groups, reach, least_rows, scratch), ["lang", "source"])
+    out = rows.join(limits, ["lang", "source"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), failed.alias("failed"), (~base & (F.size(failed) == 0)).alias("kept"))

@@ -56,7 +56,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.scan(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    ids = F.array_join("items", ",")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
 
 
@@ -75,7 +75,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     chain = toxicity.train(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0))
     rows = toxicity.score(docs, chain)
-    return rows.select("doc_id", held_out(5), *(f"p_{c}" for c in toxicity.CATEGORIES), F.col("p_toxic").alias("score"), (F.col("p_toxic") >= 0.5).alias("toxic"))
+    return rows.select("doc_id", held_out(5), "p_quality", F.col("p_toxic").alias("score"), (F.col("p_toxic") >= 0.5).alias("toxic"))
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_lm_score, op4_quality_rules, op5_ngram_jaccard, op6_secret_scan, op7_decontamination, op8_sentence_pieces, op9_quality_classifier, op10_toxicity)}

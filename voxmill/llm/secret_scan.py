@@ -4,9 +4,10 @@ Each rule's regular expression (literals, classes, groups, ``|``, ``?``, ``*``,
 ``+``, ``{m}``, ``{m,}``) becomes an NFA over bytes; subset construction over the
 union of all NFAs, restarted at every byte, and partition refinement give one
 minimal transition array. A text is scanned once, byte by byte, whatever the
-number of rules. Only for rules whose accepting state was seen, exact spans
-(leftmost, longest, non-overlapping) come from the rule's own anchored
-automaton, followed by the lengths that the pattern leaves open.
+number of rules. That pass cuts out the stretches in which some match was under way
+from first to last, with the rules that accepted there: mostly single words. Inside
+those, exact spans (leftmost, longest, non-overlapping) come from the rule's own
+anchored automaton, followed by the lengths that the pattern leaves open.
 
 Nulls: a null text is scanned as empty. A null ``doc_id`` stays null. Repeated
 rows are scanned each for itself. Columns other than the id and the text are
@@ -15,7 +16,6 @@ not read; ``redact`` keeps them.
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -266,27 +266,37 @@ class Scanner:
             one.add(0, r)
             self.own.append(compiled_array(one, False))
 
-    def seen(self, data: bytes) -> int:
-        """Mask of the rules that match somewhere: one pass, one table step a byte."""
-        rows, masks, state, mask = self.rows, self.masks, 0, 0
-        for b in data:
+    def stretches(self, data: bytes) -> list[tuple[int, int, int]]:
+        """(mask of the rules that accept, begin, end) of the stretches between visits to the start state: one pass, one table step a byte."""
+        rows, masks, state, mask, begin, out = self.rows, self.masks, 0, 0, 0, []
+        for i, b in enumerate(data):
             state = rows[state][b]
-            if masks[state]:
-                mask |= masks[state]
-        return mask
+            if state:
+                if masks[state]:
+                    mask |= masks[state]
+            else:
+                if mask:
+                    out.append((mask, begin, i + 1))
+                    mask = 0
+                begin = i + 1
+        if mask:
+            out.append((mask, begin, len(data)))
+        return out
 
     def spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """(byte start, rule, byte end), by start, then rule."""
-        mask, out = self.seen(data), []
-        for k in range(len(self.rules)):
-            if mask >> k & 1:
-                out += [(a, k, b) for a, b in self._of(k, data)]
+        out, done = [], [0] * len(self.rules)
+        for mask, begin, end in self.stretches(data):
+            for k in range(len(self.rules)):
+                if mask >> k & 1 and done[k] < end:
+                    done[k] = self._of(k, data, max(begin, done[k]), end, out)
         return sorted(out)
 
-    def _of(self, k: int, data: bytes):
+    def _of(self, k: int, data: bytes, at: int, last: int, out: list) -> int:
+        """Appends the matches of a rule that begin in [at, last); gives the end of the last one."""
         (rows, masks), check, n = self.own[k], self.rules[k].holds, len(data)
-        first, at = rows[0], 0
-        while at < n:
+        first = rows[0]
+        while at < last:
             if first[data[at]] < 0:
                 at += 1
                 continue
@@ -301,8 +311,9 @@ class Scanner:
                 at += 1
                 continue
             if check(data[at:end].decode()):
-                yield at, end
+                out.append((at, k, end))
             at = end
+        return at
 
 
 @lru_cache(maxsize=4)
@@ -371,7 +382,3 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text",
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

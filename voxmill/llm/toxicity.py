@@ -3,19 +3,20 @@
 Categories are predicted one after another; the model of a category gets the
 probabilities of the earlier ones as features. In training those are out-of-fold
 predictions, so that a later model doesn't lean on what an earlier one has learnt by
-heart. The last category is the label itself; the ones before it are the kinds of
-abuse that the label covers, told by the word lists below in labelled documents.
+heart. The categories are columns of the label table, in the caller's order; the last
+one is what the features are chosen for.
 
 Features are presence of hashed words and word beginnings (4, 5 and 6 bytes) over
 the whole text, A-Z lower-cased; the ``most_features`` with the highest chi-square
 against the label are kept, and each linear model is logistic with an L1 penalty.
 
-Sample: at most ``most_toxic`` labelled toxic documents and ``most_clean`` others,
-those whose hashed ids come first. Nulls: labels with a null id or value are left
-out, an id with several labels is toxic if one of them says so; a null text is
-scored as empty. Rows are scored each for itself; columns other than the id and the
-text are not read. With no toxic label or none
-other, probabilities are the smoothed share of the label.
+Sample: at most ``most_toxic`` labelled documents of the last category and
+``most_clean`` others, those whose hashed ids come first. Nulls: labels with a null id
+or a null value are left out, an id with several labels has a category if one of them
+says so; a null text is scored as empty. Rows are scored each for itself; columns other
+than the id and the text are not read. Ties of chi-square go to the smaller feature
+number. With no label of the last category or none other, or an empty table,
+probabilities are the smoothed shares of the labels.
 """
 
 from __future__ import annotations
@@ -26,21 +27,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from voxmill.llm.common import LOWER_BYTES, chunks, hash_text, hash_words, small_batches, words
+from voxmill.llm.common import LOWER_BYTES, chunks, hash_words, small_batches, words
 
-# Category -> words that tell it.
-CATEGORIES = {
-    "insult": ("clown", "idiot", "loser", "moron", "stupid"),
-    "contempt": ("pathetic", "worthless"),
-    "filth": ("disgusting", "scum", "trash"),
-}
-CHAIN = (*CATEGORIES, "toxic")
+CHAIN = ("quality", "toxic")
 SIZE = 1 << 18
 _SEP = np.array([not (b >= 128 or 48 <= b <= 57 or 97 <= b <= 122) for b in range(256)])
 
 
-def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hashed feature) of every word and word beginning; (row, 64-bit hash) of every word."""
+def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hashed feature) of every word and word beginning."""
     data = LOWER_BYTES[data]
     starts, ends, first = words(data, offs, _SEP)
     row = np.repeat(np.arange(len(offs) - 1), np.diff(first))
@@ -50,7 +45,7 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
         long = ends - starts > n
         rows.append(row[long])
         made.append(hash_words(data, starts[long], starts[long] + n) + np.uint64(n))
-    return np.concatenate(rows), (np.concatenate(made) & np.uint64(SIZE - 1)).astype(np.int64), row, whole
+    return np.concatenate(rows), (np.concatenate(made) & np.uint64(SIZE - 1)).astype(np.int64)
 
 
 @dataclass
@@ -64,6 +59,7 @@ class Linear:
 class Chain:
     column: np.ndarray  # hashed feature -> kept feature or -1
     models: list[Linear]
+    names: tuple[str, ...] = CHAIN
 
     def probabilities(self, rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
         """n x categories, from distinct (row, kept feature) pairs."""
@@ -110,32 +106,30 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, folds: int = 3) -> list[Linear]
     return models
 
 
-def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean: int = 4000, most_features: int = 768, text: str = "text", doc_id: str = "doc_id", label: str = "toxic") -> Chain:
-    spark = docs.sparkSession
-    small_batches(spark)
-    known = labels.select(labels[doc_id].alias("__id"), labels[label].cast("int").alias("__y")).where("__id is not null and __y is not null").groupBy("__id").agg(F.max(F.when(F.col("__y") > 0, 1).otherwise(0)).alias("__y"))
-    pick = lambda y, n: known.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(n)
+def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean: int = 4000, most_features: int = 768, text: str = "text", doc_id: str = "doc_id", chain: tuple[str, ...] = CHAIN) -> Chain:
+    """``chain``: label columns (0 or above 0), each predicted with the probabilities of those before it."""
+    small_batches(docs.sparkSession)
+    flags = [F.max(F.when(F.col(f"__y{j}") > 0, 1).otherwise(0)).alias(f"__y{j}") for j in range(len(chain))]
+    known = labels.select(labels[doc_id].alias("__id"), *(labels[c].cast("int").alias(f"__y{j}") for j, c in enumerate(chain))).dropna()
+    known = known.groupBy("__id").agg(*flags).select("__id", F.array(*(f"__y{j}" for j in range(len(chain)))).alias("__y"))
+    pick = lambda y, n: known.where(F.element_at("__y", -1) == y).orderBy(F.xxhash64("__id"), "__id").limit(n)
     wanted = pick(1, most_toxic).unionByName(pick(0, most_clean))
-    lists = {c: np.array([hash_text(w) for w in ws], np.uint64) for c, ws in CATEGORIES.items()}
 
     def run(batches):
         for b in batches:
-            flags, sets = np.zeros((b.num_rows, len(lists)), np.int8), [b""] * b.num_rows
+            sets = [b""] * b.num_rows
             for at, data, offs in chunks(b.column(2)):
-                row, feature, word_row, word = features(data, offs)
-                for j, ws in enumerate(lists.values()):
-                    flags[at + word_row[np.isin(word, ws)], j] = 1
+                row, feature = features(data, offs)
                 order = np.argsort(row, kind="stable")
-                cut = np.searchsorted(row[order], np.arange(len(offs)))
+                begin = np.searchsorted(row[order], np.arange(len(offs)))
                 for i in range(len(offs) - 1):
-                    sets[at + i] = np.unique(feature[order][cut[i] : cut[i + 1]]).astype(np.int32).tobytes()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f.tobytes() for f in flags], pa.binary()), pa.array(sets, pa.binary())], ["o", "y", "flags", "features"])
+                    sets[at + i] = np.unique(feature[order][begin[i] : begin[i + 1]]).astype(np.int32).tobytes()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], ["o", "y", "features"])
 
     rows = docs.select(docs[doc_id].alias("__id"), docs[text].cast("string").alias("__t")).join(F.broadcast(wanted), "__id")  # bounded: most_toxic + most_clean ids
-    rows = rows.select(F.xxhash64("__id", F.lit(1)).alias("o"), "__y", "__t").mapInArrow(run, "o bigint, y int, flags binary, features binary").orderBy("o").limit(2 * (most_toxic + most_clean)).collect()
-    y = np.array([r[1] for r in rows], np.float64)
-    flags = np.array([np.frombuffer(r[2], np.int8) for r in rows], np.float64).reshape(len(rows), len(CATEGORIES)) * y[:, None]
-    sets = [np.frombuffer(r[3], np.int32) for r in rows]
+    rows = rows.select(F.xxhash64("__id", F.lit(1)).alias("o"), "__y", "__t").mapInArrow(run, "o bigint, y array<int>, features binary").orderBy("o").limit(2 * (most_toxic + most_clean)).collect()
+    labelled = np.array([r[1] for r in rows], np.float64).reshape(len(rows), len(chain))
+    y, sets = labelled[:, -1], [np.frombuffer(r[2], np.int32) for r in rows]
     with_it, toxic = np.zeros(SIZE), np.zeros(SIZE)
     for s, v in zip(sets, y):
         with_it[s] += 1
@@ -150,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = 2000, most_clean
     for i, s in enumerate(sets):
         c = column[s]
         x[i, c[c >= 0]] = 1.0
-    return Chain(column, fit_chain(x, np.hstack([flags, y[:, None]])))
+    return Chain(column, fit_chain(x, labelled), chain)
 
 
 def score(docs: DataFrame, chain: Chain, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -162,17 +156,17 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", doc_id: str = "doc_
     def run(batches):
         model = shared.value
         for b in batches:
-            parts = [np.zeros((0, len(CHAIN)))]
+            parts = [np.zeros((0, len(chain.names)))]
             for _, data, offs in chunks(b.column(1)):
                 n = len(offs) - 1
-                row, feature, _, _ = features(data, offs)
+                row, feature = features(data, offs)
                 kept = model.column[feature]
                 hit = kept >= 0
                 width = max(1, int(model.column.max()) + 1)
                 pairs = np.unique(row[hit] * width + kept[hit])
                 parts.append(model.probabilities(pairs // width, pairs % width, n))
             p = np.concatenate(parts)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(p[:, j])) for j in range(len(CHAIN)))], ["doc_id", *(f"p_{c}" for c in CHAIN)])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(p[:, j])) for j in range(len(chain.names)))], ["doc_id", *(f"p_{c}" for c in chain.names)])
 
     id_type = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(docs[doc_id], docs[text].cast("string")).mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"p_{c} double" for c in CHAIN))
+    return docs.select(docs[doc_id], docs[text].cast("string")).mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"p_{c} double" for c in chain.names))
