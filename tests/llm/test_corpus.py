@@ -473,6 +473,21 @@ def test_pieces_against_plain_viterbi(texts):
         assert mine == viterbi(enc, t) and enc.decode(mine) == t
 
 
+def test_long_units(monkeypatch):
+    enc = sentence_pieces.encoder(sentence_pieces.MODEL)
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abtheingé漢▁+/="), n)) for n in (5, 40, 300)] + ["the " * 5]
+    raw = [t.encode() for t in texts]
+    args = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in raw])])
+    short = enc.encode(*args)
+    monkeypatch.setattr(sentence_pieces, "LONG", 20)
+    long = enc.encode(*args)
+    assert all((a == b).all() for a, b in zip(short, long))
+    data = np.frombuffer("".join(rng.choice(list("漢字abcXYZ0+/"), 400_000)).encode(), np.uint8)
+    ids, _ = enc.encode(data, np.array([0, len(data)]))
+    assert enc.decode(ids.tolist()).encode() == data.tobytes()
+
+
 def test_double_array():
     entries = [(b"a", 0), (b"ab", 1), (b"abc", 2), (b"b", 3), (b"\xff\x00", 4)]
     trie = sentence_pieces.DoubleArray(entries)

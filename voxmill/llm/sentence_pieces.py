@@ -8,7 +8,8 @@ itself included: in a text it goes through the byte pieces.
 
 No piece goes on over a space after other characters, so the best segmentation of
 a text is that of its units (spaces and what follows up to the next space), and
-equal units of a chunk are segmented once, all in step.
+equal units of a chunk are segmented once, all in step; a unit of over ``LONG`` bytes
+(a text without spaces, base64) by itself, in time proportional to its length.
 
 A vocabulary whose scores are only ranks (0, -1, -2, ...: merges in order) gets log
 scores by Zipf's law, score = -log(rank + 1) - log(sum of 1/rank). Ties: of two
@@ -31,6 +32,7 @@ from voxmill.llm.common import chunks, hash_words, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 FALLBACK_PENALTY = 10.0
+LONG = 512
 
 
 class Vocabulary:
@@ -121,6 +123,7 @@ class Encoder:
         self.alone = np.array([c not in inner for c in range(256)])  # bytes that only stand as a piece of their own
         flat = np.frombuffer(b"".join(vocabulary.bytes), np.uint8)
         self.flat, self.at = flat, np.concatenate([[0], np.cumsum([len(b) for b in vocabulary.bytes])])
+        self.lists: tuple | None = None
 
     def units(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Start bytes of the units."""
@@ -169,6 +172,32 @@ class Encoder:
             ids[begin[row] + counts[row] - 1 - k] = f
         return ids, counts
 
+    def best_of_long(self, unit: bytes) -> list[int]:
+        """Piece ids of one unit."""
+        if self.lists is None:
+            self.lists = tuple(x.tolist() for x in (self.trie.base, self.trie.check, self.trie.value, self.v.scores))
+        base, check, value, scores = self.lists
+        n = len(unit)
+        score, back, piece = [-np.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        score[0] = 0.0
+        for p in range(n):
+            here, state = score[p], 0
+            if here == -np.inf:
+                continue
+            for q in range(p, n):
+                b = base[state]
+                if b < 0 or check[b + unit[q]] != state:
+                    break
+                state = b + unit[q]
+                found = value[state]
+                if found >= 0 and here + scores[found] > score[q + 1]:
+                    score[q + 1], back[q + 1], piece[q + 1] = here + scores[found], p, found
+        out = []
+        while n:
+            out.append(piece[n])
+            n = back[n]
+        return out[::-1]
+
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all rows and the offsets of each row's."""
         filled = np.flatnonzero(offs[1:] > offs[:-1])
@@ -183,8 +212,14 @@ class Encoder:
         order = np.argsort(lengths, kind="stable")
         ids_of, counts_of, lo = [], np.zeros(len(where), np.int64), 0
         while lo < len(order):  # units of like length together, so that the tables stay small
+            if lengths[order[lo]] > LONG:
+                at = order[lo]
+                ids_of.append(np.array(self.best_of_long(data[s[at] : s[at] + lengths[at]].tobytes()), np.int32))
+                counts_of[at] = len(ids_of[-1])
+                lo += 1
+                continue
             hi = int(np.searchsorted(lengths[order], max(16, 2 * lengths[order[lo]]), "right"))
-            hi = min(hi, lo + max(1, 2_000_000 // int(lengths[order[hi - 1]] + 1)))
+            hi = min(hi, int(np.searchsorted(lengths[order], LONG, "right")), lo + max(1, 2_000_000 // int(lengths[order[hi - 1]] + 1)))
             part = order[lo:hi]
             ids, counts = self.best(data, s[part], lengths[part])
             ids_of.append(ids)
