@@ -8,8 +8,9 @@ zero. A temperature fitted on examples left out of training calibrates the
 probabilities.
 
 Sample: about ``per_language`` documents of each language, by order of their hashed
-ids; with many languages fewer of each, so that they share about ``most_rows``, and at
-least one. All languages are learned. The weights are kept and sent as their nonzeros. Nulls: rows with a null language
+ids; with many languages fewer of each, so that they share about ``most_rows``, and
+with long texts fewer too, so that their n-grams take about ``most_bytes`` (by the mean
+over all training rows); at least one of each. All languages are learned. The weights are kept and sent as their nonzeros. Nulls: rows with a null language
 don't train; a null text, or one without a letter, is ``und`` with score 0. With no
 training row every text is ``und``. Repeated rows are predicted each. Prediction reads
 the id and the text only, so other columns may have any name.
@@ -149,7 +150,7 @@ def document_frequency(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     return out[:SIZE], int(out[SIZE])
 
 
-def train(docs: DataFrame, per_language: int = 1500, most_rows: int = 96_000, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", **how) -> Model:
+def train(docs: DataFrame, per_language: int = 1500, most_rows: int = 96_000, most_bytes: int = 256 << 20, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", **how) -> Model:
     """Learns from the rows given; hold out by filtering them."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -159,7 +160,8 @@ def train(docs: DataFrame, per_language: int = 1500, most_rows: int = 96_000, te
     place = F.pmod(F.xxhash64("i", F.lit(3)), F.lit(1 << 30))
     known = known.withColumn("place", place)
     sizes = [(r[0], r[1], r[2]) for r in known.groupBy("y").agg(F.count("*"), F.min("place")).collect()]
-    each = min(per_language, max(1, most_rows // max(1, len(sizes))))
+    usual = 8 * max(1.0, df.sum() / max(1, n))  # bytes of a row's n-grams and counts
+    each = min(per_language, max(1, int(min(most_rows, most_bytes / usual)) // max(1, len(sizes))))
     # a share of each language's rows by hashed id: about as many as each may have, and exactly bounded below
     below = spark.createDataFrame([(y, max(int(min(1.0, each / n) * (1 << 30)), first + 1)) for y, n, first in sizes], "y string, below long")
     sample = known.join(F.broadcast(below), "y").where("place < below")
