@@ -172,7 +172,7 @@ def plain_scores(rows, often_words, priors):
 )
 def test_language_model_against_loops(spark, docs, how):
     rows = [(i, " ".join([*np.random.default_rng(i).choice(BASE, 12), f"only{i % 30}", "once"]), i % 4 != 0) for i in range(60)] + [(99, None, False), (98, "", True), (97, "unseen words here", False), (96, "word " * 3000, True), (95, "a", False)]
-    data = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(3)
+    data = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(13)  # a batch has rows of several files
     scratch = common.Scratch(spark)
     got = {r.doc_id: r for r in lm_score.score(data, scratch, **how).collect()}
     for i, want in plain_scores(rows, how.get("often_words", 1e-6), how.get("priors", lm_score.PRIORS)).items():

@@ -49,6 +49,7 @@ from voxmill.llm.common import LOWER_BYTES, Scratch, chunks, fold, hash_words, m
 END = np.uint64(0x5EED0000E11D0001)
 PRIORS = (3000.0, 3.0)  # of one word of context and of two; by the held-out scores at sf0.01 and sf0.1
 _DEALT = np.uint64(0xA0761D6478BD642F)
+FILE = 33  # bits of a row's number within the task that gave it
 
 
 def token_hashes(col):
@@ -198,44 +199,33 @@ def starts_of(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
 
 
-MET = "bucket bigint, two array<bigint>, first array<bigint>, count array<bigint>, p array<double>, size array<int>, three array<bigint>, c array<int>, row array<bigint>, h array<bigint>"
+MET = "bucket bigint, base bigint, two array<bigint>, first array<bigint>, count array<bigint>, last array<bigint>, size array<int>, three array<bigint>, c array<int>, asked array<int>, row array<int>"
+
+
+def of_file(batch: pa.RecordBatch):
+    """Pieces of the batch whose row numbers were given by one task, so that their distances are short."""
+    cuts = np.flatnonzero(np.diff(batch.column(0).to_numpy() >> FILE)) + 1
+    for begin, end in zip([0, *cuts], [*cuts, batch.num_rows]):
+        if end > begin:
+            yield batch.slice(begin, end - begin)
+
+
+def by_bucket(bucket: np.ndarray) -> np.ndarray:
+    """A stable order by bucket; short numbers are sorted by radix."""
+    return np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
 
 
 def met(rows: DataFrame, shared, parts: int, dealt: int, part: int, most: int = 1 << 20) -> DataFrame:
     """What the pass over rows (__row, __train, __t) meets in one part, a row for each bucket and run of about ``most`` tokens.
 
-    Counts, from training texts. By pair: its hash; the first word, if rare; else
-    that word's count; the probability of the second, negative for the end; the
-    number of its triples. By triple: its hash (0: the pair begins a text), and how
-    often it occurs. Questions, from all texts: row and hash of each n-gram that isn't
-    taken for frequent.
+    By pair: its hash; the first word, if rare; else that word's count; the count of
+    the second (0: rare, its complement if it is the end); the number of its triples.
+    By triple: its hash (0: the pair begins a text), how often training texts have
+    it, and the rows of all texts that ask for it or its pair, as distances from
+    ``base``. Nobody asks where both are taken for frequent.
     """
     names = [c.split(" ")[0] for c in MET.split(", ")]
 
-    def counts(uni, h, at, two, three, bucket):
-        _, where, times = np.unique(np.where(three > 0, three, ~two), return_index=True, return_counts=True)
-        order = np.lexsort((two[where], bucket[where]))
-        where, times = where[order], times[order]
-        at, two, three, bucket = at[where], two[where], three[where], bucket[where]
-        pair = starts_of(two)
-        v, w = h[at[pair] - 1], h[at[pair]]
-        c, p = uni.of(v)[0], uni.of(w)[1]
-        begin = starts_of(bucket)
-        by_pair, by_triple = np.append(np.searchsorted(pair, begin), len(pair)), np.append(begin, len(at))
-        of_pair = cut(two[pair].view(np.int64), np.where(c > 0, np.uint64(0), v).view(np.int64), c, np.where(w == END, -p, p), np.diff(np.append(pair, len(at))).astype(np.int32), at=by_pair)
-        none = cut(np.zeros(0, np.int64), np.zeros(0, np.int64), at=np.zeros(len(begin) + 1))
-        return pa.RecordBatch.from_arrays([pa.array(bucket[begin]), *of_pair, *cut(three.view(np.int64), times.astype(np.int32), at=by_triple), *none], names)
-
-    def questions(frequent, row, two, three, bucket):
-        row, key, bucket = np.concatenate([row, row]), np.concatenate([two, three]), np.concatenate([bucket, bucket])
-        mine = (key > 0) & (frequent.find(key) < 0)
-        row, key, bucket = row[mine], key[mine], bucket[mine]
-        order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
-        row, key, bucket = row[order], key[order], bucket[order]
-        begin = starts_of(bucket)
-        none = [cut(np.zeros(0, t), at=np.zeros(len(begin) + 1))[0] for t in (np.int64, np.int64, np.int64, np.float64, np.int32, np.int64, np.int32)]
-        return pa.RecordBatch.from_arrays([pa.array(bucket[begin]), *none, *cut(row, key.view(np.int64), at=np.append(begin, len(row)))], names)
-
     def of_run(h, n, row, train):
         uni, frequent = shared.value
         offs = np.concatenate([[0], np.cumsum(n)])
@@ -243,15 +233,48 @@ def met(rows: DataFrame, shared, parts: int, dealt: int, part: int, most: int =
         its_part, bucket = placed(h, at, two, uni, parts, dealt)
         mine = its_part == part
         at, two, three, bucket = at[mine], two[mine], three[mine], bucket[mine]
+        if not len(at):
+            return
         text = np.searchsorted(offs, at, "right") - 1
-        yield questions(frequent, row[text], two, three, bucket)
-        known = train[text]
-        yield counts(uni, h, at[known], two[known], three[known], bucket[known])
+        # places in order of their triple, and where each triple begins there
+        key = np.where(three > 0, three, ~two)
+        place = np.argsort(key)
+        begin = starts_of(key[place])
+        times, asked = np.add.reduceat(train[text[place]].astype(np.int32), begin), np.diff(np.append(begin, len(place)))
+        order = np.argsort(two[place[begin]])
+        order = order[by_bucket(bucket[place[begin[order]]])]
+        one = place[begin[order]]
+        at, two, three, bucket = at[one], two[one], three[one], bucket[one]
+        begin, times, asked = begin[order], times[order], asked[order]
+        pair = starts_of(two)
+        often = np.repeat(frequent.find(two[pair]) >= 0, np.diff(np.append(pair, len(two)))) & ((three == 0) | (frequent.find(three) >= 0))
+        asked = np.where(often, 0, asked)
+        ends = np.cumsum(asked)
+        base = int(row[0])
+        who = (row[text[place[np.repeat(begin - (ends - asked), asked) + np.arange(ends[-1])]]] - base).astype(np.int32)
+        v, w = h[at[pair] - 1], h[at[pair]]
+        c, last = uni.of(v)[0], uni.of(w)[0]
+        of_bucket = starts_of(bucket)
+        by_pair, by_triple = np.append(np.searchsorted(pair, of_bucket), len(pair)), np.append(of_bucket, len(two))
+        by_row = np.concatenate([[0], ends])[by_triple]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(bucket[of_bucket]),
+                pa.array(np.full(len(of_bucket), base)),
+                *cut(two[pair].view(np.int64), np.where(c > 0, np.uint64(0), v).view(np.int64), c, np.where(w == END, ~last, last), np.diff(np.append(pair, len(two))).astype(np.int32), at=by_pair),
+                *cut(three.view(np.int64), times.astype(np.int32), asked.astype(np.int32), at=by_triple),
+                *cut(who, at=by_row),
+            ],
+            names,
+        )
 
     def run(batches):
         held, size = [], 0
-        for b in batches:
+        for b in (piece for whole in batches for piece in of_file(whole)):
             row, train = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            if held and row[0] >> FILE != held[0][2][0] >> FILE:
+                yield from of_run(*(np.concatenate(x) for x in zip(*held)))
+                held, size = [], 0
             for at, h, offs in token_hashes(b.column(2)):
                 held.append((h, np.diff(offs), row[at : at + len(offs) - 1], train[at : at + len(offs) - 1]))
                 size += len(h)
@@ -268,26 +291,29 @@ def flat(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
 
-def weights(table: pa.Table, priors: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
-    """N-grams of a bucket by hash, ascending, and their weights; a pair's has its gain and, as it is a state as well, its failure weight."""
+def weights(table: pa.Table, uni: Unigrams, priors: tuple[float, float]) -> tuple:
+    """The bucket's pairs (hashes, weights) and triples (hashes, weights), each once; and of each triple as listed the places of its pair and of itself (-1: none). A pair's weight has its gain and, as it is a state as well, its failure weight."""
     two, which = np.unique(flat(table, "two").view(np.uint64), return_inverse=True)
     pair_of, times = np.repeat(which, flat(table, "size")), flat(table, "c").astype(np.int64)
     c2 = np.bincount(pair_of, times, len(two))
-    p, given, v = np.zeros(len(two)), np.zeros(len(two)), np.zeros(len(two), np.uint64)
-    p[which], given[which], v[which] = flat(table, "p"), flat(table, "count"), flat(table, "first").view(np.uint64)
+    last, given, v = np.zeros(len(two), np.int64), np.zeros(len(two)), np.zeros(len(two), np.uint64)
+    last[which], given[which], v[which] = flat(table, "last"), flat(table, "count"), flat(table, "first").view(np.uint64)
+    ends = last < 0
+    c1 = np.where(ends, ~last, last)
+    one = np.where(c1 > 0, (c1 - uni.discount) / uni.tokens, uni.rare)
     # a rare first word occurs as often as it is followed by anything
     rare, word = np.unique(v, return_inverse=True)
     given = np.where(v > 0, np.bincount(word, c2, len(rare))[word], given)
     three = flat(table, "three").view(np.uint64)
     seen = three > 0
     keys, first, inverse = np.unique(three[seen], return_index=True, return_inverse=True)
-    c3, one = np.bincount(inverse, times[seen], len(keys)), np.abs(p)
+    triple_of = np.full(len(three), -1)
+    triple_of[seen] = inverse
+    c3 = np.bincount(inverse, times[seen], len(keys))
     after = (c2 + priors[0] * one) / (given + priors[0])
-    of_two = np.log10(1 + c2 / (priors[0] * one)) + np.where(p < 0, 0.0, np.log10(priors[1] / (c2 + priors[1])))
+    of_two = np.log10(1 + c2 / (priors[0] * one)) + np.where(ends, 0.0, np.log10(priors[1] / (c2 + priors[1])))
     of_three = np.log10(1 + c3 / (priors[1] * after[pair_of[seen][first]]))
-    h, weight = np.concatenate([two, keys]), np.concatenate([of_two, of_three])
-    order = np.argsort(h)
-    return h[order], weight[order]
+    return (two, of_two), (keys, of_three), pair_of, triple_of
 
 
 def answered(found: DataFrame, shared, priors: tuple[float, float]) -> DataFrame:
@@ -299,17 +325,19 @@ def answered(found: DataFrame, shared, priors: tuple[float, float]) -> DataFrame
     """
 
     def of(table: pa.Table) -> pa.Table:
-        keys, weight = weights(table, priors)
-        asked, row = flat(table, "h").view(np.uint64), flat(table, "row")
-        order = np.argsort(asked)
-        at, known = found_at(keys, asked[order])
-        value = np.zeros(len(asked))
-        value[order] = np.where(known, weight[at], 0.0) if len(keys) else 0.0
+        uni, frequent = shared.value
+        (two, of_two), (three, of_three), pair_of, triple_of = weights(table, uni, priors)
+        often = [frequent.find(keys) >= 0 for keys in (two, three)]
+        # a frequent n-gram is added by the reader
+        of_triple = np.append(np.where(often[1], 0.0, of_three), 0.0)[triple_of]
+        value = np.repeat(np.where(often[0], 0.0, of_two)[pair_of] + of_triple, flat(table, "asked"))
+        lengths = np.diff(table.column("row").combine_chunks().offsets.to_numpy())
+        row = np.repeat(table.column("base").to_numpy(), lengths) + flat(table, "row")
         rows, which = np.unique(row, return_inverse=True)
         sums = np.bincount(which, value, len(rows)).astype(np.float64)
-        often = shared.value[1].find(keys) >= 0
-        ids, more = np.concatenate([keys[often].view(np.int64), rows]), np.concatenate([weight[often], sums])
-        block = np.concatenate([np.full(often.sum(), -1), rows >> 8])
+        hashes, weight = (np.concatenate([x[0][often[0]], x[1][often[1]]]) for x in ((two, three), (of_two, of_three)))
+        ids, more = np.concatenate([hashes.view(np.int64), rows]), np.concatenate([weight, sums])
+        block = np.concatenate([np.full(len(hashes), -1), rows >> 8])
         begin = starts_of(block)
         return pa.table([pa.array(block[begin], pa.int64()), *cut(ids, more, at=np.append(begin, len(ids)))], names=["block", "id", "more"])
 
@@ -329,7 +357,7 @@ def score(docs: DataFrame, scratch: Scratch, train: str = "train", keep: tuple[s
     n_keep = len(keep)
 
     def number(batches):
-        row = TaskContext.get().partitionId() << 33
+        row = TaskContext.get().partitionId() << FILE
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + b.num_rows)), *b.columns], ["__row", *b.schema.names])
             row += b.num_rows
