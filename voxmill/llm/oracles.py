@@ -1,5 +1,7 @@
 """SQL of the corpus queries that SQL can express."""
 
+from voxmill.llm import oracles_more
+
 _LEVEL = """
 k_{name} AS (SELECT 1.0 / CASE WHEN room > 0 THEN least(greatest((spread - chance) / room, 1e-4), 0.5) ELSE 0.1 END - 1.0 AS k
   FROM (SELECT coalesce(sum(n * pow(bad / n::DOUBLE - prior, 2)), 0) AS spread, coalesce(sum(prior * (1 - prior)), 0) AS chance,
@@ -72,4 +74,4 @@ fence AS (SELECT o.lang, o.source, o.metric, CASE WHEN o.n_rows >= 100 THEN o.hi
 bad AS (SELECT doc_id, string_agg(m.metric, ',' ORDER BY list_position(['symbols', 'capitals', 'dup_lines', 'word_length', 'bangs', 'stutter'], m.metric)) AS failed FROM m JOIN fence f ON f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source AND f.metric = m.metric WHERE bin > most GROUP BY 1)
 SELECT *, NOT base_failed AND failed = '' AS kept FROM (SELECT c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, coalesce(failed, '') AS failed FROM c LEFT JOIN bad USING (doc_id))"""
 
-ORACLES = {"op4_quality_rules": QUALITY_RULES, "op2_url_filter": URL_FILTER, "op7_decontamination": DECONTAMINATION}
+ORACLES = {"op4_quality_rules": QUALITY_RULES, "op2_url_filter": URL_FILTER, "op7_decontamination": DECONTAMINATION} | oracles_more.ORACLES

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from voxmill.llm import decontam, lang_id, lm_score, ngram_join, quality_classifier, quality_rules, secret_scan, sentence_pieces, toxicity, url_filter
+from voxmill.llm import chosen_path, decontam, lang_id, lm_score, merkle, ngram_join, quality_classifier, quality_rules, secret_scan, sentence_pieces, spelling, toxicity, url_filter
 from voxmill.llm.common import Scratch, crc_mod, read
 from voxmill.llm.oracles import ORACLES
 
@@ -78,5 +78,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held_out(5), "p_quality", F.col("p_toxic").alias("score"), (F.col("p_toxic") >= 0.5).alias("toxic"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_lm_score, op4_quality_rules, op5_ngram_jaccard, op6_secret_scan, op7_decontamination, op8_sentence_pieces, op9_quality_classifier, op10_toxicity)}
+def op11_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One occurrence in 31, by a hash of id and word, loses a letter first."""
+    word = F.col("word")
+    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), word).cast("binary"))
+    at = F.pmod(h, F.char_length(word)).cast("int")
+    cut = F.concat(word.substr(F.lit(1), at), word.substr(at + 2, F.char_length(word)))
+    words = spelling.runs(read(spark, sf_dir, "documents"), 7).select(F.when(h % 31 == 0, cut).otherwise(word).alias("word"))
+    return spelling.variants(spelling.vocabulary(words))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 3 divides the hash of the id, the leaf in hand is of the text with A-Z lower-cased."""
+    docs = read(spark, sf_dir, "documents")
+    tampered = merkle.leaf_digest(docs["doc_id"], docs["source"], docs["lang"], docs["n_chars"], merkle.lowered(docs["text"]))
+    manifest = merkle.build(docs, changed=F.when(crc_mod(docs["doc_id"], 3) == 0, tampered))
+    return merkle.verified(manifest.rows).withColumnRenamed("key", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_url_filter, op3_lm_score, op4_quality_rules, op5_ngram_jaccard, op6_secret_scan, op7_decontamination, op8_sentence_pieces, op9_quality_classifier, op10_toxicity, op11_chosen_path, op12_spelling_variants, op13_merkle_manifest)}
 QUERIES["pipeline"] = corpus_pipeline.run
