@@ -98,9 +98,10 @@ def tuned(state, actual, predicted, late: float = 1.3, early: float = 0.7):
 
     The ratio is actual to the prediction without the factor in force. The mean of two
     ratios moves the factor, in tenths from 0.5 to 3, when it is off by more than 0.05.
+    A completion without a time or a prediction changes nothing.
     """
     before, factor, penalty, fast = state or START
-    if not predicted or predicted < 0:
+    if actual is None or not predicted or predicted < 0:
         return before, factor, penalty, fast
     share = actual / predicted
     if actual > 0:

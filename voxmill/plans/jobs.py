@@ -13,7 +13,7 @@ from voxmill.plans.scalars import FINGERPRINTS, SIMILARITY, fingerprints
 from voxmill.plans.snapshots import APPLIED, applied
 
 
-def _results(d):
+def results(d):
     """Result documents of segments: timed sentences, or for every fifth conversation plain text."""
     s = d.utterances.groupBy("task_id", "segment_index", "source_start_ms", "keep_start_ms", "keep_end_ms").agg(F.array_sort(F.collect_list(F.struct("pos", "start_ms", "end_ms", "text"))).alias("u"))
     sents = F.transform("u", lambda x: F.struct(x["text"].alias("text_seg"), F.lit("").alias("punc"), F.array(x["start_ms"], x["end_ms"]).alias("ts")))
@@ -22,17 +22,14 @@ def _results(d):
     return s.select("task_id", "segment_index", "source_start_ms", "keep_start_ms", "keep_end_ms", doc.alias("raw_result_json"))
 
 
-def _merged(d):
-    return op.merge_segments(_results(d)).select("task_id", F.md5("text").alias("text_md5"), F.size("sentences").alias("sentences"), "mode", "status")
+def digested(merged):
+    return merged.select("task_id", F.md5("text").alias("text_md5"), F.size("sentences").alias("sentences"), "mode", "status")
 
 
 _SPACED = "CASE WHEN contains(text, ' ') AND len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: length(x) > 1)) = 0 AND trim(text) <> '' THEN regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', '', 'g') ELSE text END"
-add(
-    "c01_merge_segments",
-    _merged,
-    f"""SELECT task_id, md5(coalesce(string_agg(t, '' ORDER BY segment_index, pos), '')) AS text_md5, count(*) FILTER (WHERE task_id % 5 <> 0 AND keep)::INT AS sentences, CASE WHEN task_id % 5 = 0 THEN '' ELSE 'offline' END AS mode, CASE WHEN task_id % 5 = 0 THEN 'TEXT_ONLY_FALLBACK' ELSE 'OK' END AS status
-FROM (SELECT *, CASE WHEN task_id % 5 = 0 THEN text WHEN keep THEN {_SPACED} ELSE '' END AS t FROM (SELECT *, start_ms + source_start_ms >= keep_start_ms AND start_ms + source_start_ms < keep_end_ms AS keep FROM d_utterances)) GROUP BY task_id""",
-)
+MERGED = f"""SELECT task_id, md5(coalesce(string_agg(t, '' ORDER BY segment_index, pos), '')) AS text_md5, count(*) FILTER (WHERE task_id % 5 <> 0 AND keep)::INT AS sentences, CASE WHEN task_id % 5 = 0 THEN '' ELSE 'offline' END AS mode, CASE WHEN task_id % 5 = 0 THEN 'TEXT_ONLY_FALLBACK' ELSE 'OK' END AS status
+FROM (SELECT *, CASE WHEN task_id % 5 = 0 THEN text WHEN keep THEN {_SPACED} ELSE '' END AS t FROM (SELECT *, start_ms + source_start_ms >= keep_start_ms AND start_ms + source_start_ms < keep_end_ms AS keep FROM d_utterances)) GROUP BY task_id"""
+add("c01_merge_segments", lambda d: digested(op.merge_segments(results(d))), MERGED)
 
 
 def _plan(d):

@@ -69,10 +69,7 @@ w AS (SELECT file_id, total, 0::BIGINT AS idx, 0::BIGINT AS pos FROM f
 SELECT file_id, idx AS segment_index, greatest(pos - CASE WHEN idx > 0 THEN 400 ELSE 0 END, 0) AS source_start_ms, least(coalesce(nxt + 400, total), total) AS source_end_ms, pos AS keep_start_ms, coalesce(nxt, total) AS keep_end_ms
 FROM (SELECT *, lead(pos) OVER (PARTITION BY file_id ORDER BY idx) AS nxt FROM w)""",
 )
-add(
-    "c04_calibration",
-    lambda d: op.calibrate(d.completions),
-    """
+CALIBRATION = """
 WITH RECURSIVE s AS (SELECT *, actual_cs / 100 AS a, predicted_cs / 100 AS p, row_number() OVER v AS rn, count(*) OVER o AS n, list_sort(list(actual_cs / 100 / audio_sec) OVER o) AS seen FROM d_completions
     WINDOW v AS (PARTITION BY server_id, work_kind ORDER BY ts_us, event_id), o AS (PARTITION BY server_id, work_kind ORDER BY ts_us, event_id ROWS 49 PRECEDING)),
 w AS (SELECT server_id, work_kind, 0::BIGINT AS rn, NULL::BIGINT AS event_id, NULL::DOUBLE AS before, 1.0::DOUBLE AS factor, 0.1::DOUBLE AS penalty, 0 AS fast FROM s WHERE rn = 1
@@ -82,8 +79,8 @@ w AS (SELECT server_id, work_kind, 0::BIGINT AS rn, NULL::BIGINT AS event_id, NU
     CASE WHEN a / p > 1.3 THEN penalty * 1.2::DOUBLE WHEN a / p < 0.7 AND fast = 9 THEN greatest(0.01, penalty * 0.9::DOUBLE) ELSE penalty END,
     CASE WHEN a / p < 0.7 THEN (fast + 1) % 10 ELSE fast END
   FROM w JOIN s c ON c.server_id = w.server_id AND c.work_kind = w.work_kind AND c.rn = w.rn + 1)
-SELECT server_id, work_kind, event_id, CASE WHEN n >= 3 THEN seen[(9 * n + 9) // 10] ELSE 0.3::DOUBLE END AS p90, a / p AS deviation, penalty, factor FROM w JOIN s USING (server_id, work_kind, event_id)""",
-)
+SELECT server_id, work_kind, event_id, CASE WHEN n >= 3 THEN seen[(9 * n + 9) // 10] ELSE 0.3::DOUBLE END AS p90, a / p AS deviation, penalty, factor FROM w JOIN s USING (server_id, work_kind, event_id)"""
+add("c04_calibration", lambda d: op.calibrate(d.completions), CALIBRATION)
 #: failures=2, timeout 3600 s, probes=3. Places: 0, 1 closed; 2 open; 3, 4 half open.
 BREAKER = """
 RECURSIVE s AS (SELECT task_id AS server_id, ts_us // 1000000 AS at_s, event_id, to_status <> 'FAILED' AS ok, row_number() OVER (PARTITION BY task_id ORDER BY ts_us // 1000000, event_id) AS rn FROM d_events),

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from voxmill.plans.aggregates import FAILURES
 from voxmill.plans.registry import add
-from voxmill.plans.replay import BREAKER, emitted_sql, spaced_sql
+from voxmill.plans.jobs import MERGED, digested, results
+from voxmill.plans.replay import BREAKER, CALIBRATION, emitted_sql, spaced_sql
 from voxmill.streaming import streams as op
 
 _STATUS = lambda: F.when(F.col("event_type") == "signup", "PREPROCESSING").when(F.col("event_type") == "view", "QUEUED").when(F.col("event_type") == "click", "DISPATCHED").when(F.col("event_type") == "purchase", "SUCCEEDED").otherwise("FAILED")
@@ -16,6 +17,15 @@ def _events(d):
     return e.select("event_id", ts.alias("ts"), F.col("user_id").alias("task_id"), F.unix_micros(ts).alias("ts_us"), F.unix_seconds(ts).alias("at_s"), _STATUS().alias("status"), F.round(F.col("value") * 100).cast("long").alias("value"))
 
 
+def _completions(d):
+    kind = F.when(F.col("event_id") % 3 == 0, "segment").otherwise("task")
+    return _events(d).where("value > 0").select("event_id", F.col("task_id").alias("server_id"), kind.alias("work_kind"), "ts_us", F.lit(300).cast("long").alias("audio_sec"), F.col("value").alias("actual_cs"), (4000 + (F.col("event_id") * 37) % 6000).alias("predicted_cs"))
+
+
+def _segment_ends(d):
+    return _events(d).select("ts", "at_s", "task_id", (F.col("event_id") % 3).alias("segment_index"), F.lit(3).alias("n_segments"), "status", "event_id")
+
+
 WATERMARK_S = "(SELECT floor(epoch_us(max(ts)) / 1e3) / 1e3 FROM events)"  # where the stream ends
 
 
@@ -44,6 +54,11 @@ add(
     lambda d: op.drain(op.rolling_p90(_events(d).where("value > 0").select("event_id", F.col("task_id").alias("server_id"), F.when(F.col("event_id") % 3 == 0, "segment").otherwise("task").alias("work_kind"), "ts_us", "value")), "t05"),
     "SELECT event_id, server_id, work_kind, CASE WHEN n >= 3 THEN s[(9 * n + 9) // 10] END AS p90 FROM (SELECT *, count(*) OVER w AS n, list_sort(list(actual_cs) OVER w) AS s FROM d_completions WHERE actual_cs > 0 WINDOW w AS (PARTITION BY server_id, work_kind ORDER BY ts_us, event_id ROWS 49 PRECEDING))",
 )
+add(
+    "t05_calibration",
+    lambda d: op.drain(op.calibration(_completions(d)), "t05c"),
+    CALIBRATION,
+)
 add(
     "t06_breaker",
     lambda d: op.drain(op.breaker(_events(d).select("ts", F.col("task_id").alias("server_id"), "at_s", "event_id", (F.col("status") != "FAILED").alias("ok")), failures=2, timeout_s=3600), "t06"),
@@ -56,23 +71,28 @@ add(
 )
 add(
     "t08_activity_sessions",
-    lambda d: op.drain(op.activity_sessions(_events(d).select(F.col("task_id").alias("server_id"), "ts")), "t08"),
-    # sessions that are over ten minutes before the stream's end; later ones may still grow
-    f"""SELECT server_id, min(us) // 1000000 AS start_s, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY server_id ORDER BY us, event_id) AS session FROM (
+    lambda d: op.drain_to_end(_events(d).select(F.col("task_id").alias("server_id"), "ts"), op.activity_sessions, "t08", 3600),
+    """SELECT server_id, min(us) // 1000000 AS start_s, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY server_id ORDER BY us, event_id) AS session FROM (
       SELECT user_id AS server_id, event_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) < 300000000 THEN 0 ELSE 1 END AS new FROM events))
-    GROUP BY server_id, session HAVING max(us) / 1e6 + 300 <= {WATERMARK_S} - 600""",
+    GROUP BY server_id, session""",
 )
-add(
-    "t09_completed_tasks",
-    lambda d: op.drain(op.completed_tasks(_events(d).select("ts", "at_s", "task_id", (F.col("event_id") % 3).alias("segment_index"), F.lit(3).alias("n_segments"), "status", "event_id")), "t09"),
-    """
+COMPLETED = """
 WITH r AS (SELECT *, sum(new) OVER (PARTITION BY task_id ORDER BY at_s, event_id) AS run FROM (SELECT *, CASE WHEN at_s - lag(at_s) OVER (PARTITION BY task_id ORDER BY at_s, event_id) <= 604800 THEN 0 ELSE 1 END AS new
     FROM (SELECT task_id, event_id, ts_us // 1000000 AS at_s, event_id % 3 AS seg, to_status AS status FROM d_events))),
 e AS (SELECT *, row_number() OVER (PARTITION BY task_id, run ORDER BY at_s, event_id) AS rn FROM r WHERE status IN ('SUCCEEDED', 'FAILED')),
 done AS (SELECT task_id, run, max(rn) AS rn FROM (SELECT task_id, run, seg, min(rn) AS rn FROM e GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING count(*) = 3),
 last AS (SELECT e.task_id, e.run, e.seg, max_by(status, e.rn) AS status FROM e JOIN done d ON d.task_id = e.task_id AND d.run = e.run AND e.rn <= d.rn GROUP BY 1, 2, 3)
-SELECT d.task_id, e.event_id, l.succeeded FROM done d JOIN e USING (task_id, run, rn) JOIN (SELECT task_id, run, bool_and(status = 'SUCCEEDED') AS succeeded FROM last GROUP BY 1, 2) l USING (task_id, run)""",
-)
+SELECT d.task_id, e.event_id, l.succeeded FROM done d JOIN e USING (task_id, run, rn) JOIN (SELECT task_id, run, bool_and(status = 'SUCCEEDED') AS succeeded FROM last GROUP BY 1, 2) l USING (task_id, run)"""
+add("t09_completed_tasks", lambda d: op.drain(op.completed_tasks(_segment_ends(d)), "t09"), COMPLETED)
+
+
+def _merged_once(d):
+    to = op.folder(d.spark, "t09m")
+    op.merged_once(op.completed_tasks(_segment_ends(d)), results(d), to).awaitTermination()
+    return digested(d.spark.read.parquet(f"{to}/out"))
+
+
+add("t09_merged_transcripts", _merged_once, f"SELECT * FROM ({MERGED}) WHERE task_id IN (SELECT task_id FROM ({COMPLETED}) WHERE succeeded)")
 add(
     "t10_fresh_results",
     lambda d: op.drain(op.fresh_results(_events(d).select("task_id", "event_id", (F.col("event_id") % 3).alias("generation")), d.tasks.select("task_id", (F.col("retry_count") % 3).alias("run_generation"))).select("event_id", "stale"), "t10"),
