@@ -51,7 +51,8 @@ class Scratch:
     The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a
     local master gets a temporary folder; on a cluster it is an error, as a
     machine-local folder would not be seen by other executors. A written table
-    cuts lineage and outlives lost executors.
+    cuts lineage and outlives lost executors. What is left of the tables goes when the
+    driver ends.
     """
 
     def __init__(self, spark: SparkSession):
@@ -62,6 +63,8 @@ class Scratch:
             base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark, self.base, self.paths = spark, f"{base.rstrip('/')}/voxmill-{uuid.uuid4().hex}", {}
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Writes the table; the shuffle files of the write go when it is done."""

@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxmill.llm import text_stats
+from voxmill.llm.common import free_name
 
 FEATURES = ("log_words", "word_length", "symbols", "capitals", "bangs", "pipes", "distinct", "dup_lines", "short_lines", "digits", "stops", "longest_share")
 
@@ -168,4 +169,5 @@ def scored(docs: DataFrame, model: RuleModel, text: str = "text", name: str = "s
 
 def keep_good(docs: DataFrame, model: RuleModel, least: float = 0.3, text: str = "text") -> DataFrame:
     """The documents whose score reaches ``least``; all columns stay."""
-    return scored(docs, model, text, "__vx_score").where(F.col("__vx_score") >= least).drop("__vx_score")
+    name = free_name(docs, "__vx_score")
+    return scored(docs, model, text, name).where(F.col(name) >= least).drop(name)

@@ -353,11 +353,11 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", d
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", mark: str = "<secret>") -> DataFrame:
-    """The documents with every span replaced by ``mark``; overlapping spans merge. All columns and rows stay; null texts stay null; an ``n_chars`` column is brought up to date."""
+    """The documents with every span replaced by ``mark``; overlapping spans merge. All columns and rows stay; null texts stay null; an ``n_chars`` column of whole numbers is brought up to date, one of another type is left as it is."""
     small_batches(docs.sparkSession)
     compiled = docs.sparkSession.sparkContext.broadcast(scanner_of(rules))
     names = docs.columns
-    at, chars = names.index(text), names.index("n_chars") if "n_chars" in names else None
+    at, chars = names.index(text), names.index("n_chars") if dict(docs.dtypes).get("n_chars") in ("int", "bigint") else None
 
     def cleaned(scanner: Scanner, value: str | None) -> str | None:
         if value is None:

@@ -73,16 +73,16 @@ class Vocabulary:
 
 
 class DoubleArray:
-    """Trie with a transition from state s by byte c to base[s] + c, valid where check there is s; value: piece id or -1."""
+    """Trie with a transition from state s by byte c to base[s] + c, valid where check there is s; value: piece id or -1. ``size``: states at first; the arrays double when they are full."""
 
-    def __init__(self, entries: list[tuple[bytes, int]]):
+    def __init__(self, entries: list[tuple[bytes, int]], size: int = 1 << 20):
         tree: dict = {}
         for word, value in entries:
             node = tree
             for c in word:
                 node = node.setdefault(c, {})
             node[-1] = value
-        size = 1 << 20
+        size = max(size, 512)
         base, check, value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
         used = bytearray(size)
         used[0], free, self.size = 1, 1, 1
@@ -94,11 +94,15 @@ class DoubleArray:
             if not arcs:
                 base[state] = -1
                 continue
+            if len(used) - self.size < 1024:
+                more = len(used)
+                used.extend(bytes(more))
+                base, check, value = (np.concatenate([x, np.full(more, fill, np.int32)]) for x, fill in ((base, 0), (check, -1), (value, -1)))
             while used[free]:
                 free += 1
             at = max(free, arcs[0] + 1)
             while True:
-                at = used.find(0, at)
+                at = used.find(0, at)  # at most one past the last used state, which has room for a byte above it
                 start = at - arcs[0]
                 if not any(used[start + c] for c in arcs):
                     break
