@@ -9,17 +9,17 @@
 3. Nodes are handled by size, level by level. One member: dropped. At most ``small``
    members: compared exhaustively. More: all are compared with a pivot of the node, by
    blocks, and what is linked with it is one component with it. A node whose members are
-   all in one component is done. One of which a single component is half or more does
-   not fall apart by branching: the rest of it is compared with all, in blocks. Any other
-   large node branches. On the last level a large node is compared in blocks too, so that
-   nothing is left out or capped.
+   all linked with its pivot is done. One of which half or more are does not fall apart
+   by branching: its other members are compared with all, in blocks. Any other large node
+   branches. On the last level a large node is compared in blocks too, so that nothing is
+   left out or capped.
 4. Pairs are verified on the full shingle sets, and verified links give the components.
 
 Recall: two sets of similarity s both go to a given child with probability s. A tree loses
 a pair on its way down with the probability q that solves q = (1 - s + s q)^branch, or
 less if the nodes are small at once; ``trees_for`` takes as many trees as the target needs
-at the threshold. A link inside a component that is known already is not looked for: it
-changes no component.
+at the threshold. Links between members that are both linked with a pivot are not looked
+for: they change no component.
 
 Skew: a node that very many share (a common passage, a template) is many blocks of
 ``block`` members, each with the pivot, and work then grows with its members; only what
@@ -95,7 +95,8 @@ def linked(pieces: DataFrame, classes: DataFrame, texts: DataFrame, k: int, thre
     """(u, v) verified links inside pieces of work, v the smallest key linked with u through them.
 
     pieces: piece, key, side. Members of different sides are compared, or all with each
-    other where a piece has one side. The pivot of a block is the one member of side 0.
+    other where a piece has one side. With a block's pivot, the one member of side 0 and
+    the smallest key, v is the pivot.
     """
     full = pieces.join(classes.select("key", "rep"), "key").join(texts, "rep").select("piece", "key", "side", "text")
 
@@ -127,27 +128,25 @@ def small_pieces(places: DataFrame, nodes: DataFrame, small: int, small_bytes: i
     """Nodes that are compared exhaustively; of those with the same members one is enough."""
     few = nodes.where((F.col("n") <= small) & (F.col("bytes") <= small_bytes))
     one = few.groupBy("n", "members").agg(F.min("node").alias("node")).select("node")
-    return places.join(one, "node").select(F.col("node").alias("piece"), "key", F.lit(0).alias("side"))
+    return places.join(one, "node").select(F.col("node").alias("piece"), "key", F.lit(0).cast("long").alias("side"))
 
 
 def pivot_pieces(large: DataFrame) -> DataFrame:
     """Every member of a large node with the node's pivot, in blocks. large: node, key, low, parts."""
-    members = large.where("key != low").select(F.xxhash64("node", F.pmod(F.xxhash64("key"), F.col("parts"))).alias("piece"), "key", F.lit(1).alias("side"))
+    members = large.where("key != low").select(F.xxhash64("node", F.pmod(F.xxhash64("key"), F.col("parts"))).alias("piece"), "key", F.lit(1).cast("long").alias("side"))
     pivots = large.where("key = low").select("node", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    return members.unionByName(pivots.select(F.xxhash64("node", "part").alias("piece"), "key", F.lit(0).alias("side")))
+    return members.unionByName(pivots.select(F.xxhash64("node", "part").alias("piece"), "key", F.lit(0).cast("long").alias("side")))
 
 
 def rest_pieces(rest: DataFrame, block: int, scratch: Scratch, name: str) -> DataFrame:
-    """Pairs of blocks of a large node, but for those inside its largest component. rest: node, key, root, main (the largest component's root; null if none is to be left out)."""
-    split = rest.withColumn("inside", F.col("root").eqNullSafe(F.col("main")))
-    parts = split.groupBy("node", "inside").agg(F.ceil(F.count("*") / block).alias("parts"))
-    dealt = scratch.table(split.join(parts, ["node", "inside"]).select("node", "key", "inside", F.pmod(F.xxhash64("key"), F.col("parts")).alias("part")), f"{name}dealt")
-    blocks = scratch.table(dealt.select("node", "inside", "part").distinct().withColumn("id", F.xxhash64("inside", "part")), f"{name}blocks")
+    """Pairs of blocks of a large node, but for those of members that are all linked with the pivot. rest: node, key, inside (linked with the pivot, or the pivot itself)."""
+    parts = rest.groupBy("node", "inside").agg(F.ceil(F.count("*") / block).alias("parts"))
+    dealt = scratch.table(rest.join(parts, ["node", "inside"]).select("node", "key", "inside", F.xxhash64("inside", F.pmod(F.xxhash64("key"), F.col("parts"))).alias("id")), f"{name}dealt")
+    blocks = scratch.table(dealt.select("node", "inside", "id").distinct(), f"{name}blocks")
     outside = blocks.where(~F.col("inside")).select("node", F.col("id").alias("a"))
     met = outside.join(blocks.select("node", "inside", F.col("id").alias("b")), "node").where(F.col("inside") | (F.col("a") <= F.col("b")))
-    met = scratch.table(met.select("node", "a", "b"), f"{name}met")
     sides = met.select(F.xxhash64("node", "a", "b").alias("piece"), "node", F.explode(F.array_distinct(F.array("a", "b"))).alias("id"))
-    return dealt.withColumn("id", F.xxhash64("inside", "part")).join(sides, ["node", "id"]).select("piece", "key", F.col("id").alias("side"))
+    return dealt.join(scratch.table(sides, f"{name}sides"), ["node", "id"]).select("piece", "key", F.col("id").alias("side"))
 
 
 def joined(docs: DataFrame, threshold: float, k: int, recall: float, branch: int, depth: int, small: int, block: int, block_bytes: int, text: str, doc_id: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -158,36 +157,37 @@ def joined(docs: DataFrame, threshold: float, k: int, recall: float, branch: int
     classes = scratch.table(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bytes").alias("bytes"), F.first("tokens").alias("tokens")), "classes")
     texts = docs.select(docs[doc_id].alias("rep"), docs[text].cast("string").alias("text")).where("text is not null")
     at = classes.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "key", "tokens").withColumn("node", F.xxhash64("tree"))
-    links, comps = [], None
+    links, rest = [], None  # pieces of the rest of large nodes are compared with those of the next level, so that texts are dealt out once a level
 
     for level in range(depth):
         own = at.withColumn("tokens", F.slice("tokens", level * trees * choice + 1, trees * choice))
         places = scratch.table(children(own, level, branch, choice).join(classes.select("key", "bytes"), "key"), f"places{level}")
         nodes = places.groupBy("node").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("members"), F.min("key").alias("low")).where("n > 1")
         nodes = scratch.table(nodes, f"nodes{level}")
-        big = nodes.where((F.col("n") > small) | (F.col("bytes") > block_bytes)).select("node", "n", "low", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / block_bytes)).alias("parts"))
+        big = nodes.where((F.col("n") > small) | (F.col("bytes") > block_bytes)).select("node", "low", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / block_bytes)).alias("parts"))
         large = scratch.table(places.join(big, "node"), f"large{level}")
         pieces = small_pieces(places, nodes, small, block_bytes).unionByName(pivot_pieces(large))
+        pieces, rest = pieces if rest is None else pieces.unionByName(rest), None
         links.append(scratch.table(linked(scratch.table(pieces, f"pieces{level}"), classes, texts, k, threshold), f"links{level}"))
-        comps = rooted(links, scratch, f"comp{level}_")
-        scratch.drop(f"places{level}", f"nodes{level}", f"pieces{level}")
+        scratch.drop(f"at{level - 1}", f"places{level}", f"nodes{level}", f"pieces{level}")
         if large.isEmpty():
             break
-        # what is left in large nodes: more than one component
-        marked = scratch.table(large.join(comps, "key", "left").withColumn("root", F.coalesce("root", "key")), f"marked{level}")
-        by_root = marked.groupBy("node", "root").agg(F.count("*").alias("m"))
-        state = by_root.groupBy("node").agg(F.count("*").alias("parts_of"), F.max_by("root", F.struct("m", "root")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("n")).where("parts_of > 1")
-        state = scratch.table(state.withColumn("dense", F.col("most") * 2 >= F.col("n")), f"state{level}")
+        to_pivot = links[-1].select(F.col("u").alias("key"), F.col("v").alias("low"), F.lit(True).alias("met")).distinct()
+        marked = large.join(to_pivot, ["key", "low"], "left").select("tree", "node", "key", ((F.col("key") == F.col("low")) | F.col("met").isNotNull()).alias("inside"))
+        marked = scratch.table(marked, f"marked{level}")
+        state = marked.groupBy("node").agg(F.count("*").alias("n"), F.count_if("inside").alias("m")).where("m < n")
+        state = scratch.table(state.select("node", (F.col("m") * 2 >= F.col("n")).alias("dense")), f"state{level}")
         due = state if level == depth - 1 else state.where("dense")
-        rest = marked.join(due.select("node", F.when(F.col("most") > 1, F.col("main")).alias("main")), "node").select("node", "key", "root", "main")
-        links.append(scratch.table(linked(rest_pieces(rest, block, scratch, f"rest{level}"), classes, texts, k, threshold), f"rest_links{level}"))
-        at = marked.join(state.where("not dense").select("node"), "node").join(classes.select("key", "tokens"), "key").select("tree", "node", "key", "tokens")
-        if level < depth - 1 and at.isEmpty():
-            comps = rooted(links, scratch, f"comp{level}b_")
+        rest = marked.join(due.select("node"), "node").select("node", "key", "inside")
+        rest = scratch.table(rest_pieces(rest, block, scratch, f"rest{level}"), f"rest{level}")
+        if level == depth - 1 or state.where("not dense").isEmpty():
             break
-        at = scratch.table(at, f"at{level}")
-    else:
-        comps = rooted(links, scratch, "last_")
+        sparse = marked.join(state.where("not dense").select("node"), "node")
+        at = scratch.table(sparse.join(classes.select("key", "tokens"), "key").select("tree", "node", "key", "tokens"), f"at{level}")
+        scratch.drop(f"large{level}", f"marked{level}", f"state{level}", f"rest{level}dealt", f"rest{level}blocks", f"rest{level}sides")
+    if rest is not None:
+        links.append(scratch.table(linked(rest, classes, texts, k, threshold), "rest_links"))
+    comps = rooted(links, scratch, "final")
     named = comps.join(classes.select("key", "rep"), "key")
     lowest = named.groupBy("root").agg(F.min("rep").alias("class_id"))
     table = classes.select("key", "rep").join(named.join(lowest, "root").select("key", "class_id"), "key", "left")
@@ -203,7 +203,7 @@ def rooted(links: list[DataFrame], scratch: Scratch, name: str) -> DataFrame:
     return final.unionByName(final.select(F.col("root").alias("v"), "root").distinct()).withColumnRenamed("v", "key")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 4, recall: float = 0.9995, branch: int = 2, depth: int = 4, small: int = 64, block: int = 192, block_bytes: int = 8 << 20, text: str = "text", doc_id: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 4, recall: float = 0.9995, branch: int = 2, depth: int = 3, small: int = 64, block: int = 192, block_bytes: int = 8 << 20, text: str = "text", doc_id: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
     """One row per document: its id, n_shingles, ``component_id`` (the smallest id reachable by links; null for a null id) and ``kept`` (that is its own id; a row without an id is kept)."""
     signed, table = joined(docs, threshold, k, recall, branch, depth, small, block, block_bytes, text, doc_id, scratch or Scratch(docs.sparkSession))
     lowest = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("class_id", "rep", "doc_id"))
