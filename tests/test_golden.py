@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window as W, functions as F
 
 from voxmill.functions import network, scalars as fn, signatures as sig, transcripts as tr, vectorised as vec
-from voxmill.operators import aggregates, jobs, joins, replay
+from voxmill.operators import aggregates, jobs, joins, replay, windows
 from voxmill.plans.domain import Domain
 from voxmill.sources import files as src, tables
 from voxmill.streaming import streams
@@ -63,6 +63,28 @@ def test_addresses(spark):
     assert {r.u: r.p for r in got} == urls
 
 
+def test_ipv6_in_all_spellings(spark):
+    import ipaddress
+
+    hosts = {
+        "0:0:0:0:0:0:0:1": True, "::1": True, "[::1]": True, "0000:0000::0001": True, "::": True, "0::0": True, "::ffff:7f00:1": True, "::ffff:127.0.0.1": True, "::FFFF:127.255.3.9": True, "0:0:0:0:0:ffff:7f12:3": True,
+        "fc00::": True, "fdff:ffff::1": True, "[fd12:3456::1]": True, "fe80::1": True, "febf::1": True, "fe80::1%eth0": True,
+        "::2": False, "::ffff:8.8.8.8": False, "::ffff:10.0.0.1": False, "fec0::1": False, "fe00::1": False, "2001:db8::1": False, "1:2:3:4:5:6:7:8": False, "1:2:3:4:5:6:127.0.0.1": False, "::1:2:3:4:5:6:7": False,
+    }
+    wrong = ["1:2:3", "1::2::3", "12345::1", "::g", ":1", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7::8:9", "::127.0.0.1:1", "::1.2.3", "::256.1.1.1", "", ":", ":::", "a:b"]
+    rows = spark.createDataFrame([(h,) for h in [*hosts, *wrong]] + [(None,)], "h string").select("h", network.is_private(F.col("h")).alias("p"), network.ipv6_halves(F.col("h")).alias("x")).collect()
+    for r in rows:
+        if r.h in hosts:
+            at = int(ipaddress.ip_address(r.h.strip("[]").split("%")[0]))
+            assert (r.x.high % 2**64, r.x.low % 2**64) == (at >> 64, at & 2**64 - 1), r
+        else:
+            assert r.x is None, r
+        assert r.p == hosts.get(r.h, False), r
+    urls = {"http://[::ffff:7f00:1]:80/x": "private", "https://[2001:db8::1]/": None, "http://u@[0:0:0:0:0:0:0:1]/": "private"}
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", network.callback_problem(F.col("u")).alias("p")).collect()
+    assert {r.u: r.p for r in got} == urls
+
+
 @pytest.mark.parametrize(
     "silences, cut",
     [
@@ -299,3 +321,55 @@ def test_entry_imports_without_a_session():
 
     code = "import __spark_entry__ as e; assert len(e.queries()) > 180 and len(e.oracle_sql()) > 170"
     assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1]).returncode == 0
+
+
+def test_one_busy_user_is_split_by_spans(spark):
+    """Running sums in two levels equal those of one walk, for a single user with nulls beside it."""
+    import random
+
+    rng = random.Random(5)
+    tasks = []
+    for i in range(400):
+        at = rng.randrange(0, 500)
+        tasks.append((i, 1 if i % 10 else None, at, None if i % 7 == 0 else at + rng.randrange(-40, 300)))
+    df = spark.createDataFrame(tasks, "task_id long, user_id long, created_s long, completed_s long")
+    want = []
+    for user in (1, None):
+        steps = sorted([(c, t, 1) for t, u, c, _ in tasks if u == user] + [(d, t, -1) for t, u, _, d in tasks if u == user and d is not None])
+        n = 0
+        for _, t, step in steps:
+            n = max(0, n + step)
+            want.append((user, t, step, n))
+    for span_s in (1, 37, 10_000):
+        assert sorted(map(tuple, windows.running_concurrency(df, span_s).collect()), key=repr) == sorted(want, key=repr)
+    work = df.where("completed_s > created_s").select(F.col("user_id").alias("server_id"), F.col("task_id").alias("work_id"), F.col("created_s").alias("started_s"), "completed_s")
+    peaks = {}
+    for user in (1, None):
+        own = [(c, d) for _, u, c, d in tasks if u == user and d is not None and d > c]
+        peaks[user] = max(sum(c <= t < d for c, d in own) for t in range(900))
+    for span_s in (1, 50, 10_000):
+        assert {r.server_id: r.peak for r in windows.occupancy(work, span_s).collect()} == peaks
+
+
+def test_newest_benchmark_reads_one_file(spark, tmp_path):
+    import os
+
+    from voxmill.sources import files
+
+    for i, at in enumerate((1000, 3000, 2000)):
+        (tmp_path / f"{i}.jsonl").write_text('{"type": "benchmark_complete", "server_id": "s%d"}\n' % i)
+        os.utime(tmp_path / f"{i}.jsonl", (at, at))
+    got = files.newest_benchmark(spark, str(tmp_path), 3120)
+    assert [(r.server_id, r.file, r.age_minutes) for r in got.collect()] == [("s1", "1.jsonl", 2)]
+    assert len(got.inputFiles()) == 1
+    (tmp_path / "none").mkdir()
+    assert files.newest_benchmark(spark, str(tmp_path / "none"), 0).count() == 0
+
+
+def test_a_failed_import_of_the_corpus_leaves_the_others(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 180 and 'q_a05_batch_overview' in q"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1]).returncode == 0

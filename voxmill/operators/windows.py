@@ -97,21 +97,39 @@ def running_daily(tasks: DataFrame, limit: int) -> DataFrame:
     return tasks.select("task_id", "user_id", n.alias("n"), (n > limit).alias("over"))
 
 
-def running_concurrency(tasks: DataFrame) -> DataFrame:
-    """Tasks of the user at work after each start (+1) and end (-1), never below 0: the running sum less its lowest value so far."""
+def _prefixes(steps: DataFrame, key: str, order: list[str], span_s: int) -> tuple[DataFrame, DataFrame]:
+    """A running sum of ``step`` per key in two levels: inside spans of time, and over the spans.
+
+    Gives the rows with ``span``, ``s`` (sum so far in the span) and ``low`` (its lowest
+    value so far); and for each key and span ``before`` (sum of earlier spans) and
+    ``lowest`` (lowest sum in them, null for the first), ``high`` (highest sum within).
+    No window sees more than a key's rows of one span, or one row a span.
+    """
+    w = W.partitionBy(key, "span").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    rows = steps.withColumn("span", F.expr(f"floor(at_s / {span_s})")).withColumn("s", F.sum("step").over(w)).withColumn("low", F.min("s").over(w))
+    totals = rows.groupBy(key, "span").agg(F.sum("step").alias("sum"), F.min("s").alias("low"), F.max("s").alias("top"))
+    earlier = W.partitionBy(key).orderBy("span").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.withColumn("before", F.coalesce(F.sum("sum").over(earlier), F.lit(0)))
+    return rows, totals.select(key, "span", "before", F.min(F.col("before") + F.col("low")).over(earlier).alias("lowest"), (F.col("before") + F.col("top")).alias("high"))
+
+
+def running_concurrency(tasks: DataFrame, span_s: int = 86_400) -> DataFrame:
+    """Tasks of the user at work after each start (+1) and end (-1), never below 0: the running sum less its lowest value so far. A user's rows are worked on by spans of ``span_s``."""
     up = tasks.select("user_id", "task_id", F.col("created_s").alias("at_s"), F.lit(1).alias("step"))
     down = tasks.where("completed_s is not null").select("user_id", "task_id", F.col("completed_s").alias("at_s"), F.lit(-1).alias("step"))
-    w = W.partitionBy("user_id").orderBy("at_s", "task_id", "step").rowsBetween(W.unboundedPreceding, 0)
-    rows = up.unionByName(down).withColumn("s", F.sum("step").over(w))
-    return rows.select("user_id", "task_id", "step", (F.col("s") - F.least(F.lit(0), F.min("s").over(w))).alias("running"))
+    rows, spans = _prefixes(up.unionByName(down), "user_id", ["at_s", "task_id", "step"], span_s)
+    spans = spans.select(F.col("user_id").alias("its"), F.col("span").alias("at"), "before", "lowest")
+    met = rows.join(spans, F.col("user_id").eqNullSafe(F.col("its")) & (F.col("span") == F.col("at")))
+    floor = F.least(F.lit(0), F.col("lowest"), F.col("before") + F.col("low"))  # a null lowest is left out
+    return met.select("user_id", "task_id", "step", (F.col("before") + F.col("s") - floor).alias("running"))
 
 
-def occupancy(work: DataFrame) -> DataFrame:
-    """Per server the most work at the same time; work that ends makes room for what starts in that second. work: server_id, work_id, started_s, completed_s."""
+def occupancy(work: DataFrame, span_s: int = 86_400) -> DataFrame:
+    """Per server the most work at the same time; work that ends makes room for what starts in that second. A server's work is worked on by spans of ``span_s``. work: server_id, work_id, started_s, completed_s."""
     up = work.select("server_id", "work_id", F.col("started_s").alias("at_s"), F.lit(1).alias("step"))
     down = work.select("server_id", "work_id", F.col("completed_s").alias("at_s"), F.lit(-1).alias("step"))
-    w = W.partitionBy("server_id").orderBy("at_s", "step", "work_id").rowsBetween(W.unboundedPreceding, 0)
-    return up.unionByName(down).withColumn("n", F.sum("step").over(w)).groupBy("server_id").agg(F.max("n").alias("peak"))
+    _, spans = _prefixes(up.unionByName(down), "server_id", ["at_s", "step", "work_id"], span_s)
+    return spans.groupBy("server_id").agg(F.max("high").alias("peak"))
 
 
 def slot_queues(plan: DataFrame) -> DataFrame:

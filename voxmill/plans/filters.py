@@ -113,3 +113,20 @@ def _addresses(d):
 
 
 add("f18_private_addresses", _addresses, "SELECT server_id, CASE WHEN server_id % 5 = 0 AND server_id % 40 BETWEEN 16 AND 31 THEN 'private' WHEN server_id % 5 = 1 OR server_id % 5 > 2 THEN 'private' WHEN server_id % 10 = 2 THEN 'port' END AS problem FROM d_servers")
+
+
+def _ipv6(d):
+    id_, hex_ = F.col("server_id"), F.lower(F.hex("server_id"))
+    last = F.when(id_ % 4 == 1, "1").otherwise("2")
+    forms = [F.concat(F.lit("::ffff:7f00:"), hex_), F.concat(F.lit("0:0:0:0:0:0:0:"), last), F.concat(F.lit("[FD00:0:"), hex_, F.lit("::1]")), F.concat(F.lit("2001:db8::"), hex_), F.concat(F.lit("fe80::"), hex_, F.lit("%eth0")), F.concat(F.lit("::ffff:10.0.0."), (id_ % 256).cast("string"))]
+    host = F.element_at(F.array(*forms), (id_ % 6 + 1).cast("int"))
+    return d.servers.select("server_id", host.alias("host"), net.is_private(host).alias("private"))
+
+
+add(
+    "f18_ipv6_addresses",
+    _ipv6,
+    """SELECT server_id, CASE server_id % 6 WHEN 0 THEN '::ffff:7f00:' || h WHEN 1 THEN '0:0:0:0:0:0:0:' || CASE WHEN server_id % 4 = 1 THEN '1' ELSE '2' END WHEN 2 THEN '[FD00:0:' || h || '::1]'
+  WHEN 3 THEN '2001:db8::' || h WHEN 4 THEN 'fe80::' || h || '%eth0' ELSE '::ffff:10.0.0.' || server_id % 256 END AS host,
+  server_id % 6 IN (0, 2, 4) OR server_id % 12 IN (1) AS private FROM (SELECT *, lower(format('{:x}', server_id)) AS h FROM d_servers)""",
+)

@@ -28,14 +28,16 @@ MIME = (("wav", "audio/wav"), ("mp3", "audio/mpeg"), ("flac", "audio/flac"), ("o
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder where executors and driver both write, under the session's spark.checkpoint.dir; only a local master may go without that setting."""
+    """A new folder where executors and driver both write, under the session's spark.checkpoint.dir; only a local master may go without that setting. It goes when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
 
 
 def media_inventory(spark: SparkSession, folders: list[str], chunk: int, extensions=C.MEDIA_EXTENSIONS) -> DataFrame:
@@ -118,11 +120,13 @@ def benchmark_events(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def newest_benchmark(spark: SparkSession, path: str, as_of_s: int) -> DataFrame:
-    """Rows of the newest file of an archive and its age in whole minutes."""
-    e = spark.read.schema(BENCHMARK_EVENT).json(path).select("*", F.col("_metadata.file_modification_time").alias("t"), F.col("_metadata.file_name").alias("file"))
-    top = e.agg(F.max(F.struct("t", "file")).alias("x")).head()[0]
-    rows = e.where((F.col("file") == (top["file"] if top else None)))
-    return rows.withColumn("age_minutes", F.floor((F.lit(as_of_s) - F.unix_seconds("t")) / 60)).drop("t")
+    """Rows of the newest file of an archive and its age in whole minutes. The files are listed only, and then one is read. An empty archive gives no rows."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "modificationTime")
+    top = listed.agg(F.max(F.struct("modificationTime", "path")).alias("x")).head()[0]
+    e = spark.read.schema(BENCHMARK_EVENT)
+    rows = e.json(top["path"]) if top else spark.createDataFrame([], BENCHMARK_EVENT)
+    age = F.floor((F.lit(as_of_s) - F.unix_seconds(F.lit(top["modificationTime"] if top else None).cast("timestamp"))) / 60)
+    return rows.select("*", F.lit(top["path"].rsplit("/", 1)[-1] if top else None).alias("file"), age.alias("age_minutes"))
 
 
 def probe_metadata(probe: Column) -> Column:
