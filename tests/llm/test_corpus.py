@@ -218,10 +218,42 @@ def test_quality_rules(spark, docs):
         failed = r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words
         assert r.base_failed == failed and not (failed and r.kept)
     kept = {r.doc_id: r for r in got}
-    assert kept[30].kept and not kept[502].kept and kept[502].failed == ["symbols"] and kept[500].base_failed
+    assert kept[30].kept and not kept[502].kept and "symbols" in kept[502].failed and kept[500].base_failed
     assert quality_rules.judge(empty(spark)).count() == 0
 
 
+def bins_of(t):
+    n, chars, symbols, dup, _ = base_counts(t)
+    w = tokens(t)[:-1]
+    v = [symbols * 1000 // chars, sum(c.isupper() for c in t) * 1000 // chars, dup * 1000 // (t.count("\n") + 1 + 50), chars * 1000 // n, t.count("!") * 1000 // n, sum(a == b for a, b in zip(w, w[1:])) * 1000 // n]
+    return [x - x % 2 ** max(0, x.bit_length() - 10) for x in v]
+
+
+def plain_failed(rows):
+    """Failed metrics of each (id, text, lang, source), by exact quartiles."""
+    base = {i: (c := base_counts(t))[0] < 20 or 100 * c[4] > 30 * c[0] for i, t, *_ in rows}
+    value = {i: bins_of(t) for i, t, *_ in rows if t}
+
+    def level(ids, m):
+        x = sorted(value[i][m] for i in ids)
+        return len(x), x[-(-3 * len(x) // 4) - 1], x[-(-3 * len(x) // 4) - 1] - x[-(-len(x) // 4) - 1]
+
+    good = [r for r in rows if not base[r[0]]]
+    out = {}
+    for i, t, lang, source in rows:
+        groups = [[r[0] for r in good if r[2:] == (lang, source)], [r[0] for r in good if r[2] == lang], [r[0] for r in good]]
+        out[i] = []
+        if not groups[0] or not t:
+            continue
+        for m, name in enumerate(quality_rules.METRICS):
+            levels = [level(g, m) for g in groups]
+            first = next((k for k in (0, 1) if levels[k][0] >= 100), 2)
+            spread = next((x[2] for x in levels[first:] if x[2]), 0)
+            if value[i][m] > levels[first][1] + max(50, 5 * spread):
+                out[i].append(name)
+    return out
+
+
 def test_fences_against_exact_quantiles(spark):
     rng = np.random.default_rng(4)
     rows = []
@@ -229,27 +261,42 @@ def test_fences_against_exact_quantiles(spark):
         group = ("en", "a") if i % 3 else ("de", f"s{i % 40}")
         w = ["w" * int(rng.integers(1, 12)) for _ in range(40)]
         rows.append((i, " ".join(w) + "!" * int(rng.integers(0, 20)) + "#" * int(rng.choice([0, 0, 0, 2, 30])), *group))
+    rows += [(1000, "too short", "de", "alone"), (1001, "a b c d " * 20, "fr", "alone")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(5)
+    got = {r.doc_id: r.failed for r in quality_rules.judge(docs).collect()}
+    assert got == plain_failed(rows) and any(got.values())
+    assert {r.doc_id: r.failed for r in quality_rules.judge(docs.repartition(2)).collect()} == got
+
+
+def test_every_metric_finds_its_outliers(spark):
+    """Ordinary texts of two languages stay; each metric fails the texts that are odd in it alone."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), int(rng.integers(2, 8))))
+    rows = []
+    for i in range(600):
+        words = [word() for _ in range(60)]
+        if i % 9 == 0:
+            words[7] = words[6]  # a word twice, at times
+        words[::15] = [w.capitalize() for w in words[::15]]
+        text = " ".join(words[:20]) + ".\n" + " ".join(words[20:40]) + "!\n" + " ".join(words[40:])
+        if i % 7 == 0:
+            text += "\nmenu\nmenu"  # a repeated line is nothing odd by itself
+        rows.append((i, text, "en" if i % 2 else "de", "a" if i % 5 else f"s{i % 3}"))
+    body = rows[1][1]
+    odd = {
+        "symbols": body + "#$%" * 30,
+        "capitals": body.upper(),
+        "dup_lines": body + "\nmenu" * 30,
+        "word_length": " ".join(w * 4 for w in body.split()),
+        "bangs": body.replace(" ", "! "),
+        "stutter": " ".join(f"{w} {w}" for w in body.split()),
+    }
+    rows += [(1000 + k, t, "en", "a") for k, t in enumerate(odd.values())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
-    value, names = {}, list(quality_rules.SLACK)
-    for i, t, *_ in rows:
-        n, chars, symbols, dup, _ = base_counts(t)
-        w = tokens(t)[:-1]
-        v = [symbols * 1000 // chars, sum(c.isupper() for c in t) * 1000 // chars, dup * 1000, chars * 1000 // n, t.count("!") * 1000 // n, sum(a == b for a, b in zip(w, w[1:])) * 1000 // n]
-        value[i] = [x - x % 2 ** max(0, x.bit_length() - 10) for x in v]
-    assert names == ["symbols", "capitals", "dup_lines", "word_length", "bangs", "stutter"]
-    for i, _, lang, source in rows:
-        group = [k for k, _, a, b in rows if (a, b) == (lang, source)]
-        group = group if len(group) >= 100 else [k for k, _, a, _ in rows if a == lang]
-        failed = []
-        for m, name in enumerate(names):
-            x = sorted(value[k][m] for k in group)
-            low, high = x[-(-len(x) // 4) - 1], x[-(-3 * len(x) // 4) - 1]
-            if value[i][m] > high + max(quality_rules.SLACK[name], 3 * (high - low)):
-                failed.append(name)
-        assert got[i].failed == failed
-    again = {r.doc_id: r.failed for r in quality_rules.judge(docs.repartition(2)).collect()}
-    assert again == {i: r.failed for i, r in got.items()} and any(again.values())
+    for k, name in enumerate(odd):
+        assert name in got[1000 + k].failed and not got[1000 + k].kept, name
+    assert all(got[i].kept for i in range(600))
 
 
 # ------------------------------------------------------------- n-gram join

@@ -53,7 +53,9 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN ids USING (doc_id)"""
 
-_SPACE, _SLACK = "[\\x20\\x09-\\x0D]+", "(VALUES ('symbols', 40), ('capitals', 150), ('dup_lines', 340), ('word_length', 3000), ('bangs', 150), ('stutter', 200)) s(metric, slack)"
+_SPACE = "[\\x20\\x09-\\x0D]+"
+_BASE_FAILED = "(n_words < 20 OR 100 * n_repeat_words > 30 * n_words)"
+_spread = lambda levels: "coalesce(" + ", ".join(f"nullif({x}.high - {x}.low, 0)" for x in levels) + ", 0)"
 _BIN = "v - v % power(2, greatest(length(bin(v)) - 10, 0))::BIGINT"
 _QUARTILES = """SELECT {keys} metric, max(n_rows) AS n_rows, min(bin) FILTER (WHERE so_far * 4 >= n_rows) AS low, min(bin) FILTER (WHERE so_far * 4 >= n_rows * 3) AS high FROM (
   SELECT {keys} metric, bin, sum(n) OVER (PARTITION BY {keys} metric ORDER BY bin) AS so_far, sum(n) OVER (PARTITION BY {keys} metric) AS n_rows FROM (SELECT {keys} metric, bin, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL"""
@@ -65,13 +67,13 @@ c AS (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_re
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, n_lines, length(regexp_replace(t, '\\P{{Lu}}+', '', 'g')) AS upper, length(regexp_replace(t, '[^!]+', '', 'g')) AS bang,
   len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS same
   FROM (SELECT *, len(string_split(t, chr(10))) AS n_lines, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d) d LEFT JOIN rep USING (doc_id)),
-m AS (SELECT doc_id, lang, source, metric, {_BIN} AS bin FROM (SELECT doc_id, lang, source, unnest(['symbols', 'capitals', 'dup_lines', 'word_length', 'bangs', 'stutter']) AS metric,
-  unnest([n_symbols * 1000 // greatest(word_chars, 1), upper * 1000 // greatest(word_chars, 1), n_dup_lines * 1000 // greatest(n_lines, 1), word_chars * 1000 // greatest(n_words, 1), bang * 1000 // greatest(n_words, 1), same * 1000 // greatest(n_words, 1)]) AS v FROM c)),
-sketch AS (SELECT lang, source, metric, bin, count(*) AS n FROM m GROUP BY ALL),
+m AS (SELECT doc_id, lang, source, metric, base_failed, {_BIN} AS bin FROM (SELECT doc_id, lang, source, {_BASE_FAILED} AS base_failed, unnest(['symbols', 'capitals', 'dup_lines', 'word_length', 'bangs', 'stutter']) AS metric,
+  unnest([n_symbols * 1000 // greatest(word_chars, 1), upper * 1000 // greatest(word_chars, 1), n_dup_lines * 1000 // (n_lines + 50), word_chars * 1000 // greatest(n_words, 1), bang * 1000 // greatest(n_words, 1), same * 1000 // greatest(n_words, 1)]) AS v FROM c)),
+sketch AS (SELECT lang, source, metric, bin, count(*) AS n FROM m WHERE NOT base_failed GROUP BY ALL),
 own AS ({_QUARTILES.format(keys="lang, source,")}), by_lang AS ({_QUARTILES.format(keys="lang,")}), whole AS ({_QUARTILES.format(keys="")}),
-fence AS (SELECT o.lang, o.source, o.metric, CASE WHEN o.n_rows >= 100 THEN o.high + greatest(slack, 3 * (o.high - o.low)) WHEN g.n_rows >= 100 THEN g.high + greatest(slack, 3 * (g.high - g.low)) ELSE a.high + greatest(slack, 3 * (a.high - a.low)) END AS most
-  FROM (SELECT * FROM own) o JOIN by_lang g ON g.lang IS NOT DISTINCT FROM o.lang AND g.metric = o.metric JOIN whole a ON a.metric = o.metric JOIN {_SLACK} ON s.metric = o.metric),
+fence AS (SELECT o.lang, o.source, o.metric, CASE WHEN o.n_rows >= 100 THEN o.high + greatest(50, 5 * {_spread("oga")}) WHEN g.n_rows >= 100 THEN g.high + greatest(50, 5 * {_spread("ga")}) ELSE a.high + greatest(50, 5 * {_spread("a")}) END AS most
+  FROM (SELECT * FROM own) o JOIN by_lang g ON g.lang IS NOT DISTINCT FROM o.lang AND g.metric = o.metric JOIN whole a ON a.metric = o.metric),
 bad AS (SELECT doc_id, string_agg(m.metric, ',' ORDER BY list_position(['symbols', 'capitals', 'dup_lines', 'word_length', 'bangs', 'stutter'], m.metric)) AS failed FROM m JOIN fence f ON f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source AND f.metric = m.metric WHERE bin > most GROUP BY 1)
-SELECT *, NOT base_failed AND failed = '' AS kept FROM (SELECT c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, coalesce(failed, '') AS failed FROM c LEFT JOIN bad USING (doc_id))"""
+SELECT *, NOT base_failed AND failed = '' AS kept FROM (SELECT c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {_BASE_FAILED} AS base_failed, coalesce(failed, '') AS failed FROM c LEFT JOIN bad USING (doc_id))"""
 
 ORACLES = {"op4_quality_rules": QUALITY_RULES, "op2_url_filter": URL_FILTER, "op7_decontamination": DECONTAMINATION} | oracles_more.ORACLES
