@@ -135,7 +135,7 @@ def tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)})) + ["</e>"]
 
 
-def plain_scores(rows, often_words, priors):
+def plain_scores(rows, priors):
     """rows: (id, text, train). Scores by the smoothing formula, context by context."""
     c1, c2, c3 = collections.Counter(), collections.Counter(), collections.Counter()
     for _, t, train in rows:
@@ -144,13 +144,11 @@ def plain_scores(rows, often_words, priors):
             c1.update(w), c2.update(zip(w, w[1:])), c3.update(zip(w, w[1:], w[2:]))
     n, v = sum(c1.values()), len(c1)
     d = min(max(sum(x == 1 for x in c1.values()) / v, 0.05), 0.95)
-    rare = [x for x in c1.values() if x < often_words * n]
-    shared = (sum(rare) - d * len(rare)) / (n * len(rare)) if rare else None
 
     def p(*gram):
         w, context = gram[-1], gram[:-1]
         if not context:
-            return d * v / n if w not in c1 else shared if c1[w] < often_words * n else (c1[w] - d) / n
+            return d * v / n if w not in c1 else (c1[w] - d) / n
         prior, seen, all_ = priors[len(context) - 1], (c2, c3)[len(context) - 1][gram], (c1[context[0]], c2[context])[len(context) - 1]
         return (seen + prior * p(*gram[1:])) / (all_ + prior)
 
@@ -175,7 +173,7 @@ def test_language_model_against_loops(spark, docs, how):
     data = spark.createDataFrame(rows, "doc_id long, text string, train boolean").repartition(13)  # a batch has rows of several files
     scratch = common.Scratch(spark)
     got = {r.doc_id: r for r in lm_score.score(data, scratch, **how).collect()}
-    for i, want in plain_scores(rows, how.get("often_words", 1e-6), how.get("priors", lm_score.PRIORS)).items():
+    for i, want in plain_scores(rows, how.get("priors", lm_score.PRIORS)).items():
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == want[:3], i
         assert got[i].base_score == pytest.approx(want[3]) and got[i].score == pytest.approx(want[4]), i
 
@@ -186,7 +184,7 @@ def test_language_model_odd_rows(spark, docs):
     assert len(out) == 13 and all(r.score == 0 and r.base_score == 0 and r.n_known == 0 for r in out)
     assert lm_score.score(empty(spark).withColumn("train", F.lit(True)), scratch).count() == 0
     odd = [(i, t) for i, t, *_ in odd_rows()]
-    want = plain_scores([(k, t, True) for k, (_, t) in enumerate(odd)], 1e-6, lm_score.PRIORS)
+    want = plain_scores([(k, t, True) for k, (_, t) in enumerate(odd)], lm_score.PRIORS)
     out = lm_score.score(docs.withColumn("train", F.lit(True)), scratch).collect()
     assert sorted((str(r.doc_id), r.n_tokens, round(r.score, 4)) for r in out) == sorted((str(i), want[k][0], round(want[k][4], 4)) for k, (i, _) in enumerate(odd))
 

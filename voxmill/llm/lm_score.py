@@ -24,9 +24,12 @@ order) are not asked for: a bucket only says their weights, which are broadcast,
 the pass over the texts adds them up itself. So no key is hot, whatever the sample
 missed costs time only, and what it holds is bounded at any corpus size.
 
-Words: those rarer than ``often_words`` (one in a million) share one probability, so
-that a reader needs only the others' counts; all unseen words together have the
-probability of those seen once (Good-Turing). The end of a text counts as a word.
+Words: every word has its exact count. Those of a relative frequency of ``often_words``
+(one in a million) or more are broadcast; the counts of all others are joined to the
+rows that have them, once, and stand beside the texts for the passes that follow. So
+``often_words``, ``often``, ``parts`` and ``bucket_tokens`` change what is held where,
+and no score. All unseen words together have the probability of those seen once
+(Good-Turing). The end of a text counts as a word.
 
 Nulls: a null text is read as empty (one end token). Repeated rows count and are
 scored each. Rows with a null training flag don't train. An empty training table
@@ -37,7 +40,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from math import log10
 
 import numpy as np
 import pyarrow as pa
@@ -148,7 +150,7 @@ class Index:
 
 @dataclass
 class Unigrams:
-    """Counts of the words that aren't rare, in the order of the index, and what the others have in common."""
+    """Counts of the broadcast words, in the order of the index, and what is common to all."""
 
     index: Index
     counts: np.ndarray
@@ -156,21 +158,24 @@ class Unigrams:
     words: int
     discount: float
 
-    @property
-    def rare(self) -> float:
-        """Probability of each rare word."""
-        n = self.words - len(self.counts)
-        return (self.tokens - int(self.counts.sum()) - self.discount * n) / (self.tokens * n) if n else 1.0
-
     @property
     def unseen(self) -> float:
         return self.discount * self.words / self.tokens
 
-    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count (0: rare or unseen) and probability (that of a rare word then)."""
+    def of(self, h: np.ndarray, more: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Counts of the words; those that aren't broadcast are among ``more`` (hashes and counts), or were never seen."""
         at = self.index.find(h)
         c = np.where(at >= 0, self.counts[at], 0) if len(self.counts) else np.zeros(len(h), np.int64)
-        return c, np.where(at >= 0, (c - self.discount) / self.tokens, self.rare)
+        rest = np.flatnonzero(at < 0)
+        if len(rest) and len(more[0]):
+            keys, first = np.unique(more[0], return_index=True)
+            place, there = found_at(keys, h[rest])
+            c[rest] = np.where(there, more[1][first][place], 0)
+        return c
+
+    def chance(self, c: np.ndarray) -> np.ndarray:
+        """Probability of words with these counts."""
+        return np.where(c > 0, (c - self.discount) / self.tokens, self.unseen)
 
 
 def ngrams(h: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,12 +189,19 @@ def ngrams(h: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return at, two, np.where(at - first[at] > 1, three[at], np.uint64(0))
 
 
-def placed(h: np.ndarray, at: np.ndarray, two: np.ndarray, uni: Unigrams, parts: int, dealt: int) -> tuple[np.ndarray, np.ndarray]:
-    """Part and bucket of each place, by its last two words. Where the first of them is rare, by that alone: all that follows it is in one bucket, which then knows its count."""
-    way = mix(np.where(uni.index.find(h[at - 1]) >= 0, two, h[at - 1]) ^ _DEALT) % np.uint64(parts * dealt)
+def placed(two: np.ndarray, parts: int, dealt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Part and bucket of each place, by its last two words."""
+    way = mix(two ^ _DEALT) % np.uint64(parts * dealt)
     return way % np.uint64(parts), (way // np.uint64(parts)).astype(np.int64)
 
 
+def beside(batch: pa.RecordBatch, column: int, at: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word counts that stand beside n rows from ``at`` on, in this column (hashes) and the next (counts)."""
+    part = (batch.column(column + i).slice(at, n).flatten().to_numpy(zero_copy_only=False) for i in (0, 1))
+    hashes, counts = part
+    return hashes.view(np.uint64), counts
+
+
 def cut(*columns: np.ndarray, at: np.ndarray) -> list[pa.ListArray]:
     """Each column as lists that end where the next one begins."""
     return [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(c)) for c in columns]
@@ -199,7 +211,7 @@ def starts_of(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(sorted_keys) else np.zeros(0, np.int64)
 
 
-MET = "bucket bigint, base bigint, two array<bigint>, first array<bigint>, count array<bigint>, last array<bigint>, size array<int>, three array<bigint>, c array<int>, asked array<int>, row array<int>"
+MET = "bucket bigint, base bigint, two array<bigint>, count array<bigint>, last array<bigint>, size array<int>, three array<bigint>, c array<int>, asked array<int>, row array<int>"
 
 
 def of_file(batch: pa.RecordBatch):
@@ -216,21 +228,22 @@ def by_bucket(bucket: np.ndarray) -> np.ndarray:
 
 
 def met(rows: DataFrame, shared, parts: int, dealt: int, part: int, most: int = 1 << 20) -> DataFrame:
-    """What the pass over rows (__row, __train, __t) meets in one part, a row for each bucket and run of about ``most`` tokens.
+    """What the pass over rows (__row, __train, __t, __h, __c) meets in one part, a row for each bucket and run of about ``most`` tokens.
 
-    By pair: its hash; the first word, if rare; else that word's count; the count of
-    the second (0: rare, its complement if it is the end); the number of its triples.
+    By pair: its hash; the count of the first word; the count of the second (its
+    complement if it is the end); the number of its triples.
     By triple: its hash (0: the pair begins a text), how often training texts have
     it, and the rows of all texts that ask for it or its pair, as distances from
     ``base``. Nobody asks where both are taken for frequent.
     """
     names = [c.split(" ")[0] for c in MET.split(", ")]
 
-    def of_run(h, n, row, train):
+    def of_run(h, n, row, train, hashes, counts):
         uni, frequent = shared.value
+        known = uni.of(h, (hashes, counts))
         offs = np.concatenate([[0], np.cumsum(n)])
         at, two, three = ngrams(h, offs)
-        its_part, bucket = placed(h, at, two, uni, parts, dealt)
+        its_part, bucket = placed(two, parts, dealt)
         mine = its_part == part
         at, two, three, bucket = at[mine], two[mine], three[mine], bucket[mine]
         if not len(at):
@@ -252,8 +265,7 @@ def met(rows: DataFrame, shared, parts: int, dealt: int, part: int, most: int =
         ends = np.cumsum(asked)
         base = int(row[0])
         who = (row[text[place[np.repeat(begin - (ends - asked), asked) + np.arange(ends[-1])]]] - base).astype(np.int32)
-        v, w = h[at[pair] - 1], h[at[pair]]
-        c, last = uni.of(v)[0], uni.of(w)[0]
+        c, last = known[at[pair] - 1], known[at[pair]]
         of_bucket = starts_of(bucket)
         by_pair, by_triple = np.append(np.searchsorted(pair, of_bucket), len(pair)), np.append(of_bucket, len(two))
         by_row = np.concatenate([[0], ends])[by_triple]
@@ -261,7 +273,7 @@ def met(rows: DataFrame, shared, parts: int, dealt: int, part: int, most: int =
             [
                 pa.array(bucket[of_bucket]),
                 pa.array(np.full(len(of_bucket), base)),
-                *cut(two[pair].view(np.int64), np.where(c > 0, np.uint64(0), v).view(np.int64), c, np.where(w == END, ~last, last), np.diff(np.append(pair, len(two))).astype(np.int32), at=by_pair),
+                *cut(two[pair].view(np.int64), c, np.where(h[at[pair]] == END, ~last, last), np.diff(np.append(pair, len(two))).astype(np.int32), at=by_pair),
                 *cut(three.view(np.int64), times.astype(np.int32), asked.astype(np.int32), at=by_triple),
                 *cut(who, at=by_row),
             ],
@@ -276,7 +288,8 @@ def met(rows: DataFrame, shared, parts: int, dealt: int, part: int, most: int =
                 yield from of_run(*(np.concatenate(x) for x in zip(*held)))
                 held, size = [], 0
             for at, h, offs in token_hashes(b.column(2)):
-                held.append((h, np.diff(offs), row[at : at + len(offs) - 1], train[at : at + len(offs) - 1]))
+                n = len(offs) - 1
+                held.append((h, np.diff(offs), row[at : at + n], train[at : at + n], *beside(b, 3, at, n)))
                 size += len(h)
                 if size >= most:
                     yield from of_run(*(np.concatenate(x) for x in zip(*held)))
@@ -284,7 +297,7 @@ def met(rows: DataFrame, shared, parts: int, dealt: int, part: int, most: int =
         if held:
             yield from of_run(*(np.concatenate(x) for x in zip(*held)))
 
-    return rows.select("__row", "__train", "__t").mapInArrow(run, MET)
+    return rows.select("__row", "__train", "__t", "__h", "__c").mapInArrow(run, MET)
 
 
 def flat(table: pa.Table, name: str) -> np.ndarray:
@@ -296,14 +309,11 @@ def weights(table: pa.Table, uni: Unigrams, priors: tuple[float, float]) -> tupl
     two, which = np.unique(flat(table, "two").view(np.uint64), return_inverse=True)
     pair_of, times = np.repeat(which, flat(table, "size")), flat(table, "c").astype(np.int64)
     c2 = np.bincount(pair_of, times, len(two))
-    last, given, v = np.zeros(len(two), np.int64), np.zeros(len(two)), np.zeros(len(two), np.uint64)
-    last[which], given[which], v[which] = flat(table, "last"), flat(table, "count"), flat(table, "first").view(np.uint64)
+    last, given = np.zeros(len(two), np.int64), np.zeros(len(two))
+    last[which], given[which] = flat(table, "last"), flat(table, "count")
     ends = last < 0
     c1 = np.where(ends, ~last, last)
-    one = np.where(c1 > 0, (c1 - uni.discount) / uni.tokens, uni.rare)
-    # a rare first word occurs as often as it is followed by anything
-    rare, word = np.unique(v, return_inverse=True)
-    given = np.where(v > 0, np.bincount(word, c2, len(rare))[word], given)
+    one = uni.chance(c1)
     three = flat(table, "three").view(np.uint64)
     seen = three > 0
     keys, first, inverse = np.unique(three[seen], return_index=True, return_inverse=True)
@@ -350,22 +360,50 @@ def answered(found: DataFrame, shared, priors: tuple[float, float]) -> DataFrame
     return lists.groupBy("block").applyInArrow(summed, "frequent boolean, id bigint, more double")
 
 
-def score(docs: DataFrame, scratch: Scratch, train: str = "train", keep: tuple[str, ...] = ("doc_id",), text: str = "text", often_words: float = 1e-6, often: float = 1e-5, parts: int = 4, bucket_tokens: int = 1 << 19, priors: tuple[float, float] = PRIORS) -> DataFrame:
-    """Trains on the rows whose ``train`` is true and scores all: the kept columns, ``n_tokens``, ``n_known`` (tokens seen in training), ``train_tokens``, ``base_score`` (add-0.1 unigrams) and ``score`` (the automaton) of every whole text."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    n_keep = len(keep)
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """The rows with a number before them, that of the task first."""
 
     def number(batches):
         row = TaskContext.get().partitionId() << FILE
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + b.num_rows)), *b.columns], ["__row", *b.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + b.num_rows)), *b.columns], [name, *b.schema.names])
             row += b.num_rows
 
-    rows = docs.select(*(docs[c] for c in keep), F.coalesce(docs[train], F.lit(False)).alias("__train"), docs[text].cast("string").alias("__t"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    # written, as every part goes over the same rows with the same numbers
-    rows = scratch.table(rows.mapInArrow(number, f"__row bigint, {schema}"), "rows")
+    return rows.mapInArrow(number, f"{name} bigint, {schema}")
+
+
+def with_counts(rows: DataFrame, table: DataFrame, uni: Unigrams) -> DataFrame:
+    """The rows with hashes (__h) and counts (__c) of their words that are in the table of counts (h, c) but aren't broadcast. Such words are rare, so no key of the join is hot."""
+    shared = rows.sparkSession.sparkContext.broadcast(uni)
+
+    def run(batches):
+        for b in batches:
+            row = b.column(0).to_numpy()
+            for at, h, offs in token_hashes(b.column(1)):
+                owner = np.repeat(row[at : at + len(offs) - 1], np.diff(offs))
+                rest = shared.value.index.find(h) < 0
+                owner, h = owner[rest], h[rest]
+                order = np.lexsort((h, owner))
+                owner, h = owner[order], h[order]
+                first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])])) if len(h) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(owner[first]), pa.array(h[first].view(np.int64))], ["__key", "h"])
+
+    asked = rows.select("__key", "__t").mapInArrow(run, "__key bigint, h bigint")
+    lists = asked.join(table, "h").groupBy("__key").agg(F.collect_list(F.struct("h", "c")).alias("__x"))
+    none = F.array().cast("array<bigint>")
+    kept = [c for c in rows.columns if c != "__key"]
+    return rows.join(lists, "__key", "left").select(*kept, F.coalesce(F.col("__x.h"), none).alias("__h"), F.coalesce(F.col("__x.c"), none).alias("__c"))
+
+
+def score(docs: DataFrame, scratch: Scratch, train: str = "train", keep: tuple[str, ...] = ("doc_id",), text: str = "text", often_words: float = 1e-6, often: float = 1e-5, parts: int = 4, bucket_tokens: int = 1 << 19, priors: tuple[float, float] = PRIORS) -> DataFrame:
+    """Trains on the rows whose ``train`` is true and scores all: the kept columns, ``n_tokens``, ``n_known`` (tokens seen in training), ``train_tokens``, ``base_score`` (add-0.1 unigrams) and ``score`` (the automaton) of every whole text."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    n_keep = len(keep)
+
+    rows = docs.select(*(docs[c] for c in keep), F.coalesce(docs[train], F.lit(False)).alias("__train"), docs[text].cast("string").alias("__t"))
+    rows = scratch.table(numbered(rows, "__key"), "rows")
 
     table = scratch.table(counted_words(rows.where("__train").select("__t"), often), "words")
     total, size, once, sampled = table.agg(F.coalesce(F.sum(F.when(F.col("kind") == 1, F.col("c"))), F.lit(0)), F.count_if(F.col("kind") == 1), F.count_if((F.col("kind") == 1) & (F.col("c") == 1)), F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("c"))), F.lit(0))).head()
@@ -376,6 +414,9 @@ def score(docs: DataFrame, scratch: Scratch, train: str = "train", keep: tuple[s
     (hashes, counts), table = of_kind(1), table.where("kind = 1").drop("kind")
     uni = Unigrams(Index(hashes), counts[np.argsort(hashes)], tokens, size, discount)
     shared = spark.sparkContext.broadcast((uni, Index(of_kind(2)[0])))
+    # written, as every part goes over the same rows with the same numbers; numbered anew, so that a task's follow each other
+    rows = scratch.table(numbered(with_counts(rows, table, uni), "__row"), "counted")
+    scratch.drop("rows")
     dealt = max(1, -(-tokens // (parts * bucket_tokens)))
     sums = [scratch.table(answered(met(rows, shared, parts, dealt, part), shared, priors), f"sums{part}") for part in range(parts if tokens else 0)]
     sums = reduce(DataFrame.unionByName, sums) if sums else spark.createDataFrame([], "frequent boolean, id bigint, more double")
@@ -384,54 +425,35 @@ def score(docs: DataFrame, scratch: Scratch, train: str = "train", keep: tuple[s
     keys = arcs["id"].to_numpy(np.int64).view(np.uint64)
     below, prior = tokens + 0.1 * (size + 1), priors[0]
     machine = spark.sparkContext.broadcast((uni, Index(keys), arcs["more"].to_numpy(np.float64)[np.argsort(keys)]))
+    at_text = n_keep + 2  # after the row's number, what is kept, and the flag
 
     def run(batches):
         uni, index, weight = machine.value
         for b in batches:
             n, known, base, total = (np.zeros(b.num_rows, t) for t in (np.int64, np.int64, np.float64, np.float64))
-            rare, times, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], np.zeros(b.num_rows, np.int64)
-            for at, h, offs in token_hashes(b.column(n_keep + 1)):
+            for at, h, offs in token_hashes(b.column(at_text)):
                 rows = np.arange(at, at + len(offs) - 1)
                 n[rows] = np.diff(offs)
                 if not tokens:
                     continue
-                c, p = uni.of(h)
-                seen = c > 0
-                gain = np.where(seen, np.log10(p) + np.where(h == END, 0.0, np.log10(prior / (c + prior))), 0.0)
+                c = uni.of(h, beside(b, at_text + 1, at, len(rows)))
+                gain = np.log10(uni.chance(c)) + np.where((h == END) | (c == 0), 0.0, np.log10(prior / (c + prior)))
                 places, two, three = ngrams(h, offs)
                 for key in (two, three):
                     arc = index.find(key)
                     gain[places] += np.where(arc >= 0, weight[arc], 0.0) if len(weight) else 0.0
                 by_row = lambda x: np.add.reduceat(x, offs[:-1])  # noqa: E731  every row has its end token
-                known[rows], base[rows], total[rows] = by_row(seen.astype(np.int64)), by_row(np.where(seen, np.log10((c + 0.1) / below), 0.0)), by_row(gain)
-                owner, other = np.repeat(rows, np.diff(offs))[~seen], h[~seen]
-                order = np.lexsort((other, owner))
-                owner, other = owner[order], other[order]
-                first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])])) if len(owner) else np.zeros(0, np.int64)
-                rare.append(other[first])
-                times.append(np.diff(np.append(first, len(owner))))
-                sizes += np.bincount(owner[first], minlength=b.num_rows)
-            lists = cut(np.concatenate(rare).view(np.int64), np.concatenate(times), at=np.concatenate([[0], np.cumsum(sizes)]))
-            yield pa.RecordBatch.from_arrays([*b.columns[: n_keep + 1], pa.array(n), pa.array(known), pa.array(base), pa.array(total), *lists], ["__row", *keep, "__n", "__known", "__base", "__score", "__rare", "__times"])
+                known[rows], base[rows], total[rows] = by_row((c > 0).astype(np.int64)), by_row(np.log10((c + 0.1) / below)), by_row(gain)
+            yield pa.RecordBatch.from_arrays([*b.columns[: n_keep + 1], pa.array(n), pa.array(known), pa.array(base), pa.array(total)], ["__row", *keep, "__n", "__known", "__base", "__score"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1 : n_keep + 1])
-    read = scratch.table(rows.drop("__train").mapInArrow(run, f"__row bigint, {kept + ', ' if kept else ''}__n bigint, __known bigint, __base double, __score double, __rare array<bigint>, __times array<bigint>"), "read")
-    scratch.drop("rows")
-    rare = read.select("__row", F.explode(F.arrays_zip("__rare", "__times")).alias("r")).select("__row", F.col("r.__rare").alias("h"), F.col("r.__times").alias("m"))
-    c = F.coalesce("c", F.lit(0))
-    seen_rare = F.log10(F.lit(uni.rare)) + F.when(F.col("h") == int(END.view(np.int64)), 0.0).otherwise(F.log10(prior / (c + prior)))
-    rest = rare.join(table, "h", "left").groupBy("__row").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("m")).otherwise(0)).alias("known"),
-        F.sum(F.col("m") * F.log10((c + 0.1) / below)).alias("base"),
-        F.sum(F.col("m") * F.when(F.col("c").isNotNull(), seen_rare).otherwise(log10(uni.unseen) if tokens else 0.0)).alias("words"),
-    )
+    read = rows.mapInArrow(run, f"__row bigint, {kept + ', ' if kept else ''}__n bigint, __known bigint, __base double, __score double")
     more = sums.where("not frequent").groupBy(F.col("id").alias("__row")).agg(F.sum("more").alias("more"))
-    zero = lambda x: F.coalesce(x, F.lit(0))
-    return read.drop("__rare", "__times").join(rest, "__row", "left").join(more, "__row", "left").select(
+    return read.join(more, "__row", "left").select(
         *keep,
         F.col("__n").alias("n_tokens"),
-        (F.col("__known") + zero("known")).cast("long").alias("n_known"),
+        F.col("__known").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("__base") + zero("base")).cast("double").alias("base_score"),
-        (F.col("__score") + zero("words") + zero("more")).cast("double").alias("score"),
+        F.col("__base").alias("base_score"),
+        (F.col("__score") + F.coalesce("more", F.lit(0))).alias("score"),
     )
