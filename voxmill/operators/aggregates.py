@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from voxmill import constants as C
+from voxmill.operators.ranks import numbered
 
 DAY = 86400
 
@@ -194,20 +195,12 @@ def speed() -> Column:
     return F.col("max_concurrency") / F.greatest(F.coalesce("rtf_baseline", F.lit(0.3)), F.lit(0.01))
 
 
-def capacity_ranking(servers: DataFrame, spans: int = 64) -> DataFrame:
-    """Servers by speed, relative to the fastest; ties by id.
-
-    Ranks are counted within spans of speed, bounded by approximate quantiles, and
-    what the faster spans hold is added: no task sees the whole registry.
-    """
+def capacity_ranking(servers: DataFrame) -> DataFrame:
+    """Servers by speed, relative to the fastest; ties by id. No task sees the whole registry, also if all speeds are equal."""
     s = servers.withColumn("speed", speed())
-    top, bounds = s.agg(F.max("speed"), F.percentile_approx("speed", [i / spans for i in range(1, spans)], 1000)).head()
-    s = s.withColumn("span", F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds or [])))).cast("array<double>"), lambda b: b > F.col("speed"))))
-    sizes, before, seen = sorted((r[0], r[1]) for r in s.groupBy("span").count().collect()), F.lit(0), 0
-    for span, n in sizes:
-        before, seen = F.when(F.col("span") == span, seen).otherwise(before), seen + n
-    place = F.row_number().over(W.partitionBy("span").orderBy(F.desc("speed"), "server_id"))
-    return s.select("server_id", F.round("speed", 4).alias("speed"), F.round(F.col("speed") / top, 4).alias("relative") if top else F.lit(0.0).alias("relative"), (before + place).cast("int").alias("rank"))
+    top = s.agg(F.max("speed")).head()[0]
+    ranked = numbered(s.select("server_id", "speed"), "rank", F.desc("speed"), F.asc("server_id"))
+    return ranked.select("server_id", F.round("speed", 4).alias("speed"), F.round(F.col("speed") / top, 4).alias("relative") if top else F.lit(0.0).alias("relative"), F.col("rank").cast("int"))
 
 
 def plan_load(plan: DataFrame) -> DataFrame:

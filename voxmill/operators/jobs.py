@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from voxmill import constants as C
 from voxmill.functions import transcripts as tr
 from voxmill.operators import aggregates, filters, joins
+from voxmill.operators.ranks import numbered
 
 
 def merge_segments(segments: DataFrame, raw: str = "raw_result_json") -> DataFrame:
@@ -43,23 +44,34 @@ def plan_violations(plan: DataFrame, total: Column, overlap_ms: int = 400) -> Da
     return rows.withColumn("why", why).where("why <> ''").select("file_id", "segment_index", "why")
 
 
-def quotas(batches: DataFrame, servers: DataFrame) -> DataFrame:
+def quotas(batches: DataFrame, servers: DataFrame, zeros: bool = False) -> DataFrame:
     """Items of each batch apportioned to servers by speed.
 
     Shares are rounded half to even; what is missing goes to the fastest server, what
     is too much is taken from the slowest upward, from each at most its quota.
-    batches: batch, n; servers: server_id, speed. A row for each batch and server comes out.
+    batches: batch, n; servers: server_id, speed. Servers that get nothing have no row,
+    but with ``zeros``, which gives a row for each batch and server.
+
+    A share is above a half for fewer than 2 n servers, the fastest ones. So a batch
+    asks for so many servers by their rank, an equijoin, and the rows grow with the
+    items, not with batches by servers.
     """
     fleet = servers.where("speed > 0").select("server_id", "speed")
     # what is the same for every batch is worked out once, on the registry
-    total, best = fleet.agg(F.sum("speed"), F.min_by("server_id", F.struct(-F.col("speed"), "server_id"))).head()
-    both = batches.where("n > 0").crossJoin(fleet).select("batch", "n", "server_id", "speed")
-    both = both.withColumn("quota", F.bround(F.col("n") * F.col("speed") / F.lit(total), 0).cast("long"))
+    total, many = fleet.agg(F.sum("speed"), F.count("*")).head()
+    fleet = numbered(fleet, "rank", F.desc("speed"), F.asc("server_id"))
+    asked = batches.where("n > 0").select("batch", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(many), 2 * F.col("n") + 1))).alias("rank")) if many else batches.select("batch", "n", F.lit(0).cast("long").alias("rank")).limit(0)
+    some = asked.join(fleet, "rank").withColumn("quota", F.bround(F.col("n") * F.col("speed") / F.lit(total), 0).cast("long"))
+    some = some.where("quota > 0 or rank = 1")
     by = W.partitionBy("batch").orderBy("speed", "server_id")
-    both = both.withColumn("slower", F.coalesce(F.sum("quota").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    both = both.withColumn("diff", F.col("n") - F.sum("quota").over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    some = some.withColumn("slower", F.coalesce(F.sum("quota").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    some = some.withColumn("diff", F.col("n") - F.sum("quota").over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     taken = F.least("quota", F.greatest(F.lit(0), -F.col("diff") - F.col("slower")))
-    return both.select("batch", "server_id", F.when((F.col("diff") > 0) & (F.col("server_id") == F.lit(best)), F.col("quota") + F.col("diff")).when(F.col("diff") < 0, F.col("quota") - taken).otherwise(F.col("quota")).alias("quota"))
+    quota = F.when((F.col("diff") > 0) & (F.col("rank") == 1), F.col("quota") + F.col("diff")).when(F.col("diff") < 0, F.col("quota") - taken).otherwise(F.col("quota"))
+    some = some.select("batch", "server_id", quota.alias("quota")).where("quota > 0")
+    if not zeros:
+        return some
+    return batches.where("n > 0").select("batch").crossJoin(fleet.select("server_id")).join(some, ["batch", "server_id"], "left").fillna(0, ["quota"])
 
 
 def heartbeat_states(probes: DataFrame, timeout_s: int = C.HEARTBEAT_TIMEOUT_S) -> DataFrame:

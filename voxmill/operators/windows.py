@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from voxmill import constants as C
+from voxmill.operators.ranks import numbered
 
 
 def _by_work() -> W:
@@ -146,16 +147,39 @@ def next_items(plan: DataFrame, k: int, later: bool = True) -> DataFrame:
     return rows.withColumn("rn", rn).where(F.col("rn") <= k).select("server_id", "item", "rn")
 
 
-def rebalance(plan: DataFrame, servers: DataFrame, tail: int = 3, least_s: float = 3.0, share: float = 0.05) -> DataFrame:
-    """What an idle server would gain most by: of the last items of each queue, the one whose planned finish is latest against its estimate there. plan: server_id, item, audio_s, finish_s. Idle servers of one speed gain by the same item: each speed is tried against the queue ends only."""
+def undominated(items: DataFrame, parts: int = 64) -> DataFrame:
+    """Items of which none ends later, or as late, with less audio, or as little; of equal ones the largest id. items: item, audio_s, finish_s.
+
+    Each of ``parts`` shares by hash is reduced first, and then what is left of them.
+    """
+    rows = items
+    for share in (F.pmod(F.xxhash64("item"), F.lit(parts)), F.lit(0)):
+        before = W.partitionBy(share).orderBy(F.desc("finish_s"), "audio_s", F.desc("item")).rowsBetween(W.unboundedPreceding, -1)
+        rows = rows.withColumn("__least", F.min("audio_s").over(before)).where("__least is null or audio_s < __least").drop("__least")
+    return rows
+
+
+def rebalance(plan: DataFrame, servers: DataFrame, tail: int = 3, least_s: float = 3.0, share: float = 0.05, block: int = 256) -> DataFrame:
+    """What an idle server would gain most by: of the last items of each queue, the one whose planned finish is latest against its estimate there. plan: server_id, item, audio_s, finish_s.
+
+    The gain and its threshold both rise with the finish and fall with the audio, so only
+    undominated items can win. These are few; they stand in blocks of ``block``, in one
+    row each, and every idle server's speed is tried against each block.
+    """
     w = W.partitionBy("server_id").orderBy(F.desc("finish_s"), F.desc("item"))
     ends = plan.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= tail)
     busy = plan.select("server_id").distinct()
     idle = servers.where("enabled and status = 'ONLINE' and max_concurrency > 0").join(busy, "server_id", "left_anti").select(F.col("server_id").alias("idle_id"), F.coalesce("rtf_baseline", F.lit(0.3)).alias("rtf"))
-    tried = ends.select("item", "audio_s", "finish_s").crossJoin(idle.select("rtf").distinct()).withColumn("gain", F.col("finish_s") - (F.col("audio_s") * F.col("rtf") + 5))
-    tried = tried.where(F.col("gain") >= F.greatest(F.lit(least_s), share * F.col("finish_s")))
-    best = tried.groupBy("rtf").agg(F.max_by("item", F.struct("gain", "item")).alias("item"), F.round(F.max("gain"), 3).alias("gain"))
-    return idle.join(best, "rtf").select("idle_id", "item", "gain")
+    line = numbered(undominated(ends.select("item", "audio_s", "finish_s").where("audio_s is not null and finish_s is not null")), "place", F.desc("finish_s"), F.desc("item"))
+    blocks = line.groupBy(F.expr(f"(place - 1) div {block}").alias("block")).agg(F.collect_list(F.struct("finish_s", "audio_s", "item")).alias("items"))
+    many = blocks.agg(F.max("block")).head()[0]
+    if many is None:
+        return idle.limit(0).select("idle_id", F.lit(None).cast(plan.schema["item"].dataType).alias("item"), F.lit(None).cast("double").alias("gain"))
+    speeds = idle.select("rtf").distinct().select("rtf", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many))).alias("block"))
+    gains = F.transform("items", lambda x: F.struct((x["finish_s"] - (x["audio_s"] * F.col("rtf") + 5)).alias("gain"), x["item"].alias("item"), x["finish_s"].alias("finish_s")))
+    enough = F.filter(gains, lambda g: g["gain"] >= F.greatest(F.lit(least_s), share * g["finish_s"]))
+    best = speeds.join(blocks, "block").select("rtf", F.array_max(enough).alias("g")).where("g is not null").groupBy("rtf").agg(F.max(F.struct("g.gain", "g.item")).alias("g"))
+    return idle.join(best, "rtf").select("idle_id", "g.item", F.round("g.gain", 3).alias("gain"))
 
 
 def history(samples: DataFrame, key: str, n: int = 60) -> DataFrame:

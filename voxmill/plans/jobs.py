@@ -46,19 +46,17 @@ SELECT task_id AS file_id, segment_index, keep_start_ms, keep_end_ms, source_sta
 )
 
 
-def _quotas(d):
+def _quotas(d, zeros=False):
     n = d.tasks.where("task_group_id is not null").groupBy(F.col("task_group_id").alias("batch")).agg(F.count("*").alias("n"))
-    return op.quotas(n, d.servers.where("enabled and status = 'ONLINE' and max_concurrency > 0").select("server_id", aggregates.speed().alias("speed")))
+    return op.quotas(n, d.servers.where("enabled and status = 'ONLINE' and max_concurrency > 0").select("server_id", aggregates.speed().alias("speed")), zeros)
 
 
-add(
-    "c05_quotas",
-    _quotas,
-    f"""WITH b AS (SELECT task_group_id AS batch, count(*) AS n FROM d_tasks WHERE task_group_id IS NOT NULL GROUP BY 1), s AS (SELECT server_id, {SPEED} AS speed FROM d_servers WHERE enabled AND status = 'ONLINE' AND max_concurrency > 0),
+QUOTAS = f"""WITH b AS (SELECT task_group_id AS batch, count(*) AS n FROM d_tasks WHERE task_group_id IS NOT NULL GROUP BY 1), s AS (SELECT server_id, {SPEED} AS speed FROM d_servers WHERE enabled AND status = 'ONLINE' AND max_concurrency > 0),
 q AS (SELECT *, round_even(n * speed / sum(speed) OVER (PARTITION BY batch), 0)::BIGINT AS quota FROM b, s),
 r AS (SELECT *, n - sum(quota) OVER (PARTITION BY batch) AS diff, row_number() OVER (PARTITION BY batch ORDER BY speed DESC, server_id) = 1 AS fastest, coalesce(sum(quota) OVER (PARTITION BY batch ORDER BY speed, server_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS slower FROM q)
-SELECT batch, server_id, (CASE WHEN diff > 0 AND fastest THEN quota + diff WHEN diff < 0 THEN quota - least(quota, greatest(0, -diff - slower)) ELSE quota END)::BIGINT AS quota FROM r""",
-)
+SELECT batch, server_id, (CASE WHEN diff > 0 AND fastest THEN quota + diff WHEN diff < 0 THEN quota - least(quota, greatest(0, -diff - slower)) ELSE quota END)::BIGINT AS quota FROM r"""
+add("c05_quotas", lambda d: _quotas(d, True), QUOTAS)
+add("c05_assigned_quotas", _quotas, f"SELECT * FROM ({QUOTAS}) WHERE quota > 0")
 _BATCH = "(SELECT task_group_id AS batch, min(user_id) AS user_id, count(*) AS n, min(created_s) AS created_s, count(*) FILTER (WHERE status NOT IN ('SUCCEEDED','FAILED','CANCELED')) AS active FROM d_tasks WHERE task_group_id IS NOT NULL GROUP BY 1)"
 
 
