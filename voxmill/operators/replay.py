@@ -5,23 +5,48 @@ deviations, and segment plans (a file's silences folded by ``aggregate``). The r
 is a walk: rows are dealt out by key and sorted there, and a task goes over them with
 one small state per key, so a long log needs no more memory than a short one. A null
 key is a key like any other, and values keep their exact types.
+
+A walk over a key is one task. Where a key may hold a large share of all rows, the walk
+is segmented (``segmented``): the log is cut into chunks, each is run from every state
+that it may be entered in, and the chunks' maps are composed.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from voxmill import constants as C
+from voxmill.sources.files import shared_folder
+
+_STATE = pa.struct([("place", pa.int64()), ("failed_s", pa.int64())])
+_ARROW = {
+    "bigint": pa.int64(),
+    "double": pa.float64(),
+    "string": pa.string(),
+    "boolean": pa.bool_(),
+    "array<double>": pa.list_(pa.float64()),
+    "array<struct<place:bigint;failed_s:bigint>>": pa.list_(_STATE),
+    "array<struct<until_s:bigint;place:bigint;failed_s:bigint>>": pa.list_(pa.struct([("until_s", pa.int64()), *_STATE])),
+}
+
+
+def _types(schema: str) -> list[tuple[str, str]]:
+    """Names and types of a list of columns; fields of structs are parted by a semicolon."""
+    return [tuple(c.strip().split(" ")) for c in schema.split(",")]
+
 
-_ARROW = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+def _ddl(schema: str) -> str:
+    return schema.replace(";", ",")
 
 
 def walk(rows: DataFrame, keys: list[str], order: list[str], values: list[str], schema: str, step: Callable) -> DataFrame:
     """``step(state, *values)`` gives the next state (None before the first row of a key) and a row of ``schema``, or None for no row."""
-    made = [c.strip().split(" ") for c in schema.split(",")]
+    made = _types(schema)
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
     n = len(keys)
 
@@ -40,7 +65,70 @@ def walk(rows: DataFrame, keys: list[str], order: list[str], values: list[str],
             yield pa.RecordBatch.from_arrays([*picked, *(pa.array([r[j] for r in out], _ARROW[t]) for j, (_, t) in enumerate(made))], [*keys, *(c for c, _ in made)])
 
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return dealt.select(*keys, *values).mapInArrow(run, f"{types}, {schema}")
+    return dealt.select(*keys, *values).mapInArrow(run, f"{types}, {_ddl(schema)}")
+
+
+def segmented(rows: DataFrame, keys: list[str], order: list[str], values: list[str], schema: str, step: Callable, summary: str, summarise: Callable, state: str, enter: Callable) -> DataFrame:
+    """The rows of ``walk``, with no key in one task.
+
+    1. Rows are sorted into ranges of key and order and written; a key's rows in a range
+       are a chunk. A key with a third of all rows is a third of the ranges.
+    2. ``summarise(columns)`` gives a chunk's map, a row of ``summary``: what it does to
+       every state that it may be entered in.
+    3. A walk over the chunks of a key, of which there are few, composes the maps:
+       ``enter(state, *map)`` gives the next state and the one the chunk is entered in,
+       a row of ``state``.
+    4. Each chunk is walked from there: ``step`` as in ``walk``, but that its first state
+       is the one of the row of ``state``.
+    """
+    spark, to = rows.sparkSession, shared_folder(rows.sparkSession, "chunks")
+    cut = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__chunk", F.spark_partition_id().cast("long"))
+    cut.write.parquet(to)
+    cut = spark.read.schema(cut.schema).parquet(to)
+    made, n = _types(summary), len(keys) + 1
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.select(*keys, "__chunk").schema.fields)
+
+    def maps(batches):
+        now, held = None, []
+
+        def told():
+            columns = [pa.chunked_array([h[j] for h in held]) for j in range(len(values))]
+            row = summarise(columns)
+            return pa.RecordBatch.from_arrays([*(k.slice(0, 1) for k in now[1]), *(pa.array([v], _ARROW[t]) for v, (_, t) in zip(row, made))], [*keys, "__chunk", *(c for c, _ in made)])
+
+        for b in batches:
+            heads = list(zip(*(c.to_pylist() for c in b.columns[:n])))
+            begin = 0
+            for i in range(1, len(heads) + 1):
+                if i == len(heads) or heads[i] != heads[begin]:
+                    if now is not None and now[0] != heads[begin]:
+                        yield told()
+                        held = []
+                    now = (heads[begin], [c.slice(begin, 1) for c in b.columns[:n]])
+                    held.append([c.slice(begin, i - begin) for c in b.columns[n:]])
+                    begin = i
+        if held:
+            yield told()
+
+    by_chunk = cut.repartition(*keys, "__chunk").sortWithinPartitions(*keys, "__chunk", *order)
+    known = by_chunk.select(*keys, "__chunk", *values).mapInArrow(maps, f"{types}, {_ddl(summary)}")
+    told = ["__chunk", *(c for c, _ in made)]
+
+    def entered(s, chunk, *map_):
+        s, entry = enter(s, *map_)
+        return s, (chunk, *entry)
+
+    entries = walk(known, keys, ["__chunk"], told, f"__chunk bigint, {state}", entered)
+    names = [c for c, _ in _types(state)]
+    its = entries.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__chunk").alias("__of"), *(F.col(c).alias(f"__entry_{c}") for c in names))
+    met = F.col("__chunk") == F.col("__of")
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"__{k}"))
+
+    def first(s, *v):
+        return step(tuple(v[len(values) :]) if s is None else s, *v[: len(values)])
+
+    return walk(cut.join(its, met), [*keys, "__chunk"], order, [*values, *(f"__entry_{c}" for c in names)], schema, first).drop("__chunk")
 
 
 # --------------------------------------------------------- changes of samples
@@ -118,20 +206,84 @@ def tuned(state, actual, predicted, late: float = 1.3, early: float = 0.7):
     return before, factor, penalty, fast
 
 
-def calibrate(done: DataFrame, size: int = 50, least: int = 3, default: float = 0.3) -> DataFrame:
-    """After each completion: 90th percentile of the last ``size`` ratios of work to audio time, deviation from the prediction, penalty and estimate factor. done: server_id, work_kind, ts_us, event_id, audio_sec, actual_cs, predicted_cs."""
+GRID = np.arange(5, 31) / 10  # all values of the factor
+
+
+def _tuned_all(before: np.ndarray, factor: np.ndarray, actual: float, predicted: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ratio and factor after a completion, for many states at once; see ``tuned``."""
+    ratio = actual / (predicted / factor)
+    mean = (before + ratio) / 2
+    return ratio, np.where(np.abs(mean - 1.0) > 0.05, np.minimum(3.0, np.maximum(0.5, np.rint(mean / 0.1) / 10)), factor)
+
+
+def _calibration_map(size: int, late: float = 1.3, early: float = 0.7):
+    """A chunk's map. The ratio before a completion follows from the factor before it, so that after the first completion the state is one of all pairs of factors; the penalty is scaled and has a floor, by how many fast ones came before."""
+
+    def summarise(columns):
+        a, p, recent = (c.to_numpy(zero_copy_only=False).astype(float) for c in columns[1:4])
+        valid = np.flatnonzero(~np.isnan(a) & (p > 0))
+        moves = valid[a[valid] > 0]
+        pairs = len(GRID) ** 2
+        before, factor, where = np.full(pairs, np.nan), np.repeat(GRID, len(GRID)), np.arange(pairs)
+        then = np.tile(GRID, len(GRID))
+        if len(moves):
+            # the pair: the factor in force at the first completion, and the one after it
+            before, factor = a[moves[0]] / (p[moves[0]] / factor), then
+        for k, i in enumerate(moves[1:]):
+            before, factor = _tuned_all(before, factor, a[i], p[i])
+            if k % 16 == 0 and len(factor) > 1:
+                _, first, again = np.unique(np.stack([before, factor]), axis=1, return_index=True, return_inverse=True)
+                before, factor, where = before[first], factor[first], again.ravel()[where]
+        share = a[valid] / p[valid]
+        scale, floor, fast = np.ones(10), np.zeros(10), np.arange(10)
+        for x in share:
+            if x > late:
+                scale, floor = scale * 1.2, floor * 1.2
+            elif x < early:
+                fast = (fast + 1) % 10
+                tenth = fast == 0
+                scale, floor = np.where(tenth, scale * 0.9, scale), np.where(tenth, np.maximum(0.01, floor * 0.9), floor)
+        head = (float(a[moves[0]]), float(p[moves[0]])) if len(moves) else (None, None)
+        tail = [None if np.isnan(x) else float(x) for x in recent[-size:]]
+        return (*head, before[where].tolist() if len(moves) else [], factor[where].tolist() if len(moves) else [], scale.tolist(), floor.tolist(), int(np.sum(share < early)), tail)
+
+    return summarise
+
+
+def calibrate(done: DataFrame, size: int = 50, least: int = 3, default: float = 0.3, split: bool = True) -> DataFrame:
+    """After each completion: 90th percentile of the last ``size`` ratios of work to audio time, deviation from the prediction, penalty and estimate factor. done: server_id, work_kind, ts_us, event_id, audio_sec, actual_cs, predicted_cs.
+
+    ``split``: a busy server's log is many chunks (``segmented``); penalties are then
+    those of one walk up to rounding. Else each server and kind is one walk.
+    """
     actual, predicted = F.col("actual_cs") / 100, F.col("predicted_cs") / 100
-    frame = W.partitionBy("server_id", "work_kind").orderBy("ts_us", "event_id").rowsBetween(1 - size, 0)
-    seen = F.array_sort(F.collect_list(F.when(F.col("audio_sec") > 0, actual / F.col("audio_sec")).otherwise(F.lit(default))).over(frame))
-    n = F.size(seen)
-    p90 = F.when(n >= least, F.element_at(seen, F.ceil(n * 9 / 10).cast("int"))).otherwise(F.lit(default))
-    rows = done.select("server_id", "work_kind", "ts_us", "event_id", actual.alias("a"), predicted.alias("p"), p90.alias("p90"), F.when(predicted > 0, actual / predicted).alias("deviation"))
-
-    def step(state, event_id, a, p, p90, deviation):
-        state = tuned(state, a, p)
-        return state, (event_id, p90, deviation, state[2], state[1])
-
-    return walk(rows, ["server_id", "work_kind"], ["ts_us", "event_id"], ["event_id", "a", "p", "p90", "deviation"], "event_id bigint, p90 double, deviation double, penalty double, factor double", step)
+    ratio = F.when(F.col("audio_sec") > 0, actual / F.col("audio_sec")).otherwise(F.lit(default))
+    rows = done.select("server_id", "work_kind", "ts_us", "event_id", actual.alias("a"), predicted.alias("p"), ratio.alias("r"))
+
+    def step(state, event_id, a, p, r):
+        *tune, seen = state or (*START, [])
+        seen = [*(seen or []), r][-size:]
+        tune = tuned(tune, a, p)
+        known = sorted(x for x in seen if x is not None)
+        p90 = known[(len(known) * 9 + 9) // 10 - 1] if len(known) >= least else default
+        return (*tune, seen), (event_id, p90, a / p if a is not None and p is not None and p > 0 else None, tune[2], tune[1])
+
+    keys, order, values, schema = ["server_id", "work_kind"], ["ts_us", "event_id"], ["event_id", "a", "p", "r"], "event_id bigint, p90 double, deviation double, penalty double, factor double"
+    if not split:
+        return walk(rows, keys, order, values, schema, step)
+
+    def enter(state, a, p, before, factor, scale, floor, n_fast, tail):
+        its = state or (*START, [])
+        ratio, now, penalty, fast, seen = its
+        if a is not None:
+            first = tuned((ratio, now, penalty, fast), a, p)
+            at = (round(now * 10) - 5) * len(GRID) + round(first[1] * 10) - 5
+            ratio, now = before[at], factor[at]
+        nxt = (ratio, now, max(scale[fast] * penalty, floor[fast]), (fast + n_fast) % 10, [*seen, *tail][-size:])
+        return nxt, its
+
+    summary = "a double, p double, before array<double>, factor array<double>, scale array<double>, floor array<double>, n_fast bigint, tail array<double>"
+    return segmented(rows, keys, order, values, schema, step, summary, _calibration_map(size), "before double, factor double, penalty double, fast bigint, seen array<double>", enter)
 
 
 # -------------------------------------------------------------------- breaker
@@ -154,15 +306,61 @@ def moved(state, at_s, ok, moves, timeout_s):
     return ((moves[row][1], failed_s) if ok else (moves[row][2], at_s)), True
 
 
-def breaker(calls: DataFrame, failures: int = 5, timeout_s: float = 60, probes: int = 3) -> DataFrame:
-    """Time line of each server's breaker: whether a call is let through, and the state after it. calls: server_id, at_s, event_id, ok."""
+def _breaker_map(moves, timeout_s: float):
+    """A chunk's map: the state after it for every place that it may be entered in; and for an open breaker, by the moment from which it lets calls through.
+
+    Worked out backwards: from a call the rest of the chunk goes on as from the call
+    after it, or, if the breaker opens there, from the first call after the timeout.
+    """
+    opened = next(i for i, m in enumerate(moves) if m[0] == "OPEN")
+
+    def summarise(columns):
+        at, ok = columns[0].to_pylist(), columns[2].to_pylist()
+        after: list = [(place, None) for place in range(len(moves))]  # from the next call on
+        probe: list = [None] * len(at)  # an open breaker that lets this call through
+        for i in range(len(at) - 1, -1, -1):
+            q = bisect_left(at, at[i] + timeout_s, i + 1)
+            failing = probe[q] if q < len(at) else (opened, at[i])
+            now = []
+            for place, (_, good, bad) in enumerate(moves):
+                to = good if ok[i] else bad
+                now.append(failing if to == opened else after[to])
+            probe[i] = now[opened]
+            after = now
+        waits: list = []
+        for t, state in zip(at, probe):
+            if waits and waits[-1]["place"] == state[0] and waits[-1]["failed_s"] == state[1]:
+                waits[-1]["until_s"] = t
+            else:
+                waits.append({"until_s": t, "place": state[0], "failed_s": state[1]})
+        return [{"place": a, "failed_s": b} for a, b in after], waits
+
+    return summarise
+
+
+def breaker(calls: DataFrame, failures: int = 5, timeout_s: float = 60, probes: int = 3, split: bool = True) -> DataFrame:
+    """Time line of each server's breaker: whether a call is let through, and the state after it. calls: server_id, at_s, event_id, ok. ``split``: a busy server's log is many chunks (``segmented``); else each server is one walk. A call without a moment can't be placed by ``split``."""
     moves = breaker_moves(failures, probes)
 
     def step(state, at_s, event_id, ok):
         state, through = moved(state, at_s, ok, moves, timeout_s)
         return state, (event_id, through, moves[state[0]][0])
 
-    return walk(calls, ["server_id"], ["at_s", "event_id"], ["at_s", "event_id", "ok"], "event_id bigint, let_through boolean, state string", step)
+    keys, order, values, schema = ["server_id"], ["at_s", "event_id"], ["at_s", "event_id", "ok"], "event_id bigint, let_through boolean, state string"
+    if not split:
+        return walk(calls, keys, order, values, schema, step)
+
+    def enter(state, places, waits):
+        its = state or (0, None)
+        if moves[its[0]][0] != "OPEN":
+            to = places[its[0]]
+        else:
+            q = bisect_left(waits, its[1] + timeout_s, key=lambda w: w["until_s"])
+            to = waits[q] if q < len(waits) else {"place": its[0], "failed_s": its[1]}
+        return (to["place"], to["failed_s"]), its
+
+    summary = "places array<struct<place:bigint;failed_s:bigint>>, waits array<struct<until_s:bigint;place:bigint;failed_s:bigint>>"
+    return segmented(calls, keys, order, values, schema, step, summary, _breaker_map(moves, timeout_s), "place bigint, failed_s bigint", enter)
 
 
 # ------------------------------------------------------------- segment plans
