@@ -88,11 +88,12 @@ def families():
 
 
 def test_large_nodes_branch_and_their_rest_is_compared(spark, families):
-    check_components(spark, families, small=8, block=10)
+    check_components(spark, families, small=8, medium=20, block=10, depth=3)
 
 
 def test_all_is_compared_on_the_last_level(spark, families):
-    check_components(spark, families, small=4, block=7, depth=1)
+    check_components(spark, families, small=4, medium=4, block=7, depth=1)
+    check_components(spark, families, small=4, medium=1000, block=7)
 
 
 def test_recall_at_the_threshold(spark):

@@ -10,9 +10,9 @@
    members: compared exhaustively. More: all are compared with a pivot of the node, by
    blocks, and what is linked with it is one component with it. A node whose members are
    all linked with its pivot is done. One of which half or more are does not fall apart
-   by branching: its other members are compared with all, in blocks. Any other large node
-   branches. On the last level a large node is compared in blocks too, so that nothing is
-   left out or capped.
+   by branching: its other members are compared with all, in pairs of blocks, and so is
+   one of at most ``medium`` members. Any larger node branches. On the last level it is
+   compared in blocks too, so that nothing is left out or capped.
 4. Pairs are verified on the full shingle sets, and verified links give the components.
 
 Recall: two sets of similarity s both go to a given child with probability s. A tree loses
@@ -138,9 +138,9 @@ def pivot_pieces(large: DataFrame) -> DataFrame:
     return members.unionByName(pivots.select(F.xxhash64("node", "part").alias("piece"), "key", F.lit(0).cast("long").alias("side")))
 
 
-def rest_pieces(rest: DataFrame, block: int, scratch: Scratch, name: str) -> DataFrame:
-    """Pairs of blocks of a large node, but for those of members that are all linked with the pivot. rest: node, key, inside (linked with the pivot, or the pivot itself)."""
-    parts = rest.groupBy("node", "inside").agg(F.ceil(F.count("*") / block).alias("parts"))
+def rest_pieces(rest: DataFrame, block: int, block_bytes: int, scratch: Scratch, name: str) -> DataFrame:
+    """Pairs of blocks of a large node, but for those of members that are all linked with the pivot. rest: node, key, bytes, inside (linked with the pivot, or the pivot itself)."""
+    parts = rest.groupBy("node", "inside").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("bytes") / block_bytes)).alias("parts"))
     dealt = scratch.table(rest.join(parts, ["node", "inside"]).select("node", "key", "inside", F.xxhash64("inside", F.pmod(F.xxhash64("key"), F.col("parts"))).alias("id")), f"{name}dealt")
     blocks = scratch.table(dealt.select("node", "inside", "id").distinct(), f"{name}blocks")
     outside = blocks.where(~F.col("inside")).select("node", F.col("id").alias("a"))
@@ -149,7 +149,7 @@ def rest_pieces(rest: DataFrame, block: int, scratch: Scratch, name: str) -> Dat
     return dealt.join(scratch.table(sides, f"{name}sides"), ["node", "id"]).select("piece", "key", F.col("id").alias("side"))
 
 
-def joined(docs: DataFrame, threshold: float, k: int, recall: float, branch: int, depth: int, small: int, block: int, block_bytes: int, text: str, doc_id: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def joined(docs: DataFrame, threshold: float, k: int, recall: float, branch: int, depth: int, small: int, medium: int, block: int, block_bytes: int, text: str, doc_id: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(signed, table): rows with the key and size of their shingle set; and (key, rep, class_id) of each set, class_id null without links."""
     trees, choice = trees_for(threshold, recall, branch), 2 * branch
     signed = scratch.table(signatures(docs, k, trees * depth * choice, text, doc_id), "signed")
@@ -173,16 +173,15 @@ def joined(docs: DataFrame, threshold: float, k: int, recall: float, branch: int
         if large.isEmpty():
             break
         to_pivot = links[-1].select(F.col("u").alias("key"), F.col("v").alias("low"), F.lit(True).alias("met")).distinct()
-        marked = large.join(to_pivot, ["key", "low"], "left").select("tree", "node", "key", ((F.col("key") == F.col("low")) | F.col("met").isNotNull()).alias("inside"))
+        marked = large.join(to_pivot, ["key", "low"], "left").select("tree", "node", "key", "bytes", ((F.col("key") == F.col("low")) | F.col("met").isNotNull()).alias("inside"))
         marked = scratch.table(marked, f"marked{level}")
         state = marked.groupBy("node").agg(F.count("*").alias("n"), F.count_if("inside").alias("m")).where("m < n")
-        state = scratch.table(state.select("node", (F.col("m") * 2 >= F.col("n")).alias("dense")), f"state{level}")
-        due = state if level == depth - 1 else state.where("dense")
-        rest = marked.join(due.select("node"), "node").select("node", "key", "inside")
-        rest = scratch.table(rest_pieces(rest, block, scratch, f"rest{level}"), f"rest{level}")
-        if level == depth - 1 or state.where("not dense").isEmpty():
+        state = scratch.table(state.select("node", (F.lit(level == depth - 1) | (F.col("m") * 2 >= F.col("n")) | (F.col("n") <= medium)).alias("due")), f"state{level}")
+        rest = marked.join(state.where("due").select("node"), "node").select("node", "key", "bytes", "inside")
+        rest = scratch.table(rest_pieces(rest, block, block_bytes, scratch, f"rest{level}"), f"rest{level}")
+        if state.where("not due").isEmpty():
             break
-        sparse = marked.join(state.where("not dense").select("node"), "node")
+        sparse = marked.join(state.where("not due").select("node"), "node")
         at = scratch.table(sparse.join(classes.select("key", "tokens"), "key").select("tree", "node", "key", "tokens"), f"at{level}")
         scratch.drop(f"large{level}", f"marked{level}", f"state{level}", f"rest{level}dealt", f"rest{level}blocks", f"rest{level}sides")
     if rest is not None:
@@ -203,9 +202,9 @@ def rooted(links: list[DataFrame], scratch: Scratch, name: str) -> DataFrame:
     return final.unionByName(final.select(F.col("root").alias("v"), "root").distinct()).withColumnRenamed("v", "key")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 4, recall: float = 0.9995, branch: int = 2, depth: int = 3, small: int = 64, block: int = 192, block_bytes: int = 8 << 20, text: str = "text", doc_id: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, k: int = 4, recall: float = 0.9995, branch: int = 2, depth: int = 6, small: int = 64, medium: int = 2048, block: int = 512, block_bytes: int = 8 << 20, text: str = "text", doc_id: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
     """One row per document: its id, n_shingles, ``component_id`` (the smallest id reachable by links; null for a null id) and ``kept`` (that is its own id; a row without an id is kept)."""
-    signed, table = joined(docs, threshold, k, recall, branch, depth, small, block, block_bytes, text, doc_id, scratch or Scratch(docs.sparkSession))
+    signed, table = joined(docs, threshold, k, recall, branch, depth, small, medium, block, block_bytes, text, doc_id, scratch or Scratch(docs.sparkSession))
     lowest = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("class_id", "rep", "doc_id"))
     rows = signed.select("doc_id", "key", "n_shingles").join(table, "key", "left").select("doc_id", "n_shingles", lowest.alias("component_id"))
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
