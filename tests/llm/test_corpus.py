@@ -459,7 +459,7 @@ def judged(text, items, width):
     return len(w), len(hit), sorted(map(str, found))
 
 
-@pytest.mark.parametrize("block", [8 << 20, 2000])
+@pytest.mark.parametrize("block", [1 << 24, 100])
 def test_decontamination_against_loops(spark, docs, block):
     items = [(1, " ".join(BASE)), (2, "One, TWO"), (3, None), (4, "..."), (1, "漢字 ß"), (5, "word")]
     tests = spark.createDataFrame(items, "item_id long, text string")
@@ -469,19 +469,19 @@ def test_decontamination_against_loops(spark, docs, block):
     for r in data.collect():
         texts[r.doc_id].append(r.text)
     usable = [(i, t) for i, t in items if t is not None]
-    got = decontam.scan(data, tests, width=13, block_bytes=block).collect()
+    got = decontam.scan(data, tests, width=13, most_nodes=block).collect()
     assert len(got) == data.count()
     for r in got:
         assert (r.n_words, r.n_hit, r.items) in [judged(t, usable, 13) for t in texts[r.doc_id]]
         assert r.contaminated == (r.n_hit > 0 and 20 * r.n_hit >= r.n_words)
     hit = next(r for r in got if r.doc_id == 50)
     assert [texts[50][0][x["start"] : x["end"]] for x in hit.spans] == ["-".join(BASE[3:18]) + " one two"]
-    odd = decontam.scan(data, spark.createDataFrame([(None, " ".join(BASE)), ("b-1", "one two")], "item_id string, text string"), block_bytes=block).collect()
+    odd = decontam.scan(data, spark.createDataFrame([(None, " ".join(BASE)), ("b-1", "one two")], "item_id string, text string"), most_nodes=block).collect()
     whole = next(r for r in odd if r.doc_id == 1)
     assert (whole.n_hit, whole.items, whole.contaminated) == (len(BASE), [], True) and next(r for r in odd if r.doc_id == 6).items == ["b-1"]
     clash = data.withColumn("__vx_items", F.lit(1)).withColumn("__vx_n_words", F.lit("x"))
-    assert decontam.clean(clash, tests, block_bytes=block).columns == clash.columns
-    clean = decontam.clean(data, tests, width=13, block_bytes=block)
+    assert decontam.clean(clash, tests, most_nodes=block).columns == clash.columns
+    clean = decontam.clean(data, tests, width=13, most_nodes=block)
     assert clean.columns == data.columns and clean.count() == sum(not r.contaminated for r in got)
     assert decontam.scan(empty(spark), tests).count() == 0 and decontam.clean(data, tests.limit(0)).count() == data.count()
 
