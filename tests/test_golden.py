@@ -371,5 +371,5 @@ def test_a_failed_import_of_the_corpus_leaves_the_others(tmp_path):
     import sys
     from pathlib import Path
 
-    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 180 and 'q_a05_batch_overview' in q"
+    code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 180 and 'q_a05_batch_overview' in q"
     assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1]).returncode == 0
