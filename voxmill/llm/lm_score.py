@@ -162,15 +162,12 @@ class Unigrams:
     def unseen(self) -> float:
         return self.discount * self.words / self.tokens
 
-    def of(self, h: np.ndarray, more: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        """Counts of the words; those that aren't broadcast are among ``more`` (hashes and counts), or were never seen."""
+    def of(self, h: np.ndarray, offs: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Counts of the words; ``others`` has those of each text's words that aren't broadcast, as ``others_of`` lists them."""
         at = self.index.find(h)
         c = np.where(at >= 0, self.counts[at], 0) if len(self.counts) else np.zeros(len(h), np.int64)
-        rest = np.flatnonzero(at < 0)
-        if len(rest) and len(more[0]):
-            keys, first = np.unique(more[0], return_index=True)
-            place, there = found_at(keys, h[rest])
-            c[rest] = np.where(there, more[1][first][place], 0)
+        rest, slot, _, _ = others_of(h, offs, at)
+        c[rest] = others[slot]
         return c
 
     def chance(self, c: np.ndarray) -> np.ndarray:
@@ -178,6 +175,18 @@ class Unigrams:
         return np.where(c > 0, (c - self.discount) / self.tokens, self.unseen)
 
 
+def others_of(h: np.ndarray, offs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words that aren't broadcast (``at`` below 0): their places, and for each its number in the list of all texts' distinct ones, by text and hash; the text and the hash of each in that list."""
+    rest = np.flatnonzero(at < 0)
+    owner, key = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[rest], h[rest].view(np.int64)
+    order = np.lexsort((key, owner))
+    new = np.ones(len(rest), bool)
+    new[1:] = (np.diff(owner[order]) > 0) | (key[order][1:] != key[order][:-1])
+    slot = np.empty(len(rest), np.int64)
+    slot[order] = np.cumsum(new) - 1
+    return rest, slot, owner[order[new]], key[order[new]]
+
+
 def ngrams(h: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(place, hash of the last two words, hash of the last three, 0 where there are but two) of each word but a text's first."""
     first = np.repeat(offs[:-1], np.diff(offs))
@@ -195,11 +204,9 @@ def placed(two: np.ndarray, parts: int, dealt: int) -> tuple[np.ndarray, np.ndar
     return way % np.uint64(parts), (way // np.uint64(parts)).astype(np.int64)
 
 
-def beside(batch: pa.RecordBatch, column: int, at: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The word counts that stand beside n rows from ``at`` on, in this column (hashes) and the next (counts)."""
-    part = (batch.column(column + i).slice(at, n).flatten().to_numpy(zero_copy_only=False) for i in (0, 1))
-    hashes, counts = part
-    return hashes.view(np.uint64), counts
+def beside(batch: pa.RecordBatch, column: int, at: int, n: int) -> np.ndarray:
+    """The word counts that stand beside n rows from ``at`` on."""
+    return batch.column(column).slice(at, n).flatten().to_numpy(zero_copy_only=False)
 
 
 def cut(*columns: np.ndarray, at: np.ndarray) -> list[pa.ListArray]:
@@ -228,7 +235,7 @@ def by_bucket(bucket: np.ndarray) -> np.ndarray:
 
 
 def met(rows: DataFrame, shared, parts: int, dealt: int, part: int, most: int = 1 << 20) -> DataFrame:
-    """What the pass over rows (__row, __train, __t, __h, __c) meets in one part, a row for each bucket and run of about ``most`` tokens.
+    """What the pass over rows (__row, __train, __t, __c) meets in one part, a row for each bucket and run of about ``most`` tokens.
 
     By pair: its hash; the count of the first word; the count of the second (its
     complement if it is the end); the number of its triples.
@@ -238,9 +245,8 @@ def met(rows: DataFrame, shared, parts: int, dealt: int, part: int, most: int =
     """
     names = [c.split(" ")[0] for c in MET.split(", ")]
 
-    def of_run(h, n, row, train, hashes, counts):
-        uni, frequent = shared.value
-        known = uni.of(h, (hashes, counts))
+    def of_run(h, known, n, row, train):
+        frequent = shared.value[1]
         offs = np.concatenate([[0], np.cumsum(n)])
         at, two, three = ngrams(h, offs)
         its_part, bucket = placed(two, parts, dealt)
@@ -284,12 +290,12 @@ def met(rows: DataFrame, shared, parts: int, dealt: int, part: int, most: int =
         held, size = [], 0
         for b in (piece for whole in batches for piece in of_file(whole)):
             row, train = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            if held and row[0] >> FILE != held[0][2][0] >> FILE:
+            if held and row[0] >> FILE != held[0][3][0] >> FILE:
                 yield from of_run(*(np.concatenate(x) for x in zip(*held)))
                 held, size = [], 0
             for at, h, offs in token_hashes(b.column(2)):
                 n = len(offs) - 1
-                held.append((h, np.diff(offs), row[at : at + n], train[at : at + n], *beside(b, 3, at, n)))
+                held.append((h, shared.value[0].of(h, offs, beside(b, 3, at, n)), np.diff(offs), row[at : at + n], train[at : at + n]))
                 size += len(h)
                 if size >= most:
                     yield from of_run(*(np.concatenate(x) for x in zip(*held)))
@@ -297,7 +303,7 @@ def met(rows: DataFrame, shared, parts: int, dealt: int, part: int, most: int =
         if held:
             yield from of_run(*(np.concatenate(x) for x in zip(*held)))
 
-    return rows.select("__row", "__train", "__t", "__h", "__c").mapInArrow(run, MET)
+    return rows.select("__row", "__train", "__t", "__c").mapInArrow(run, MET)
 
 
 def flat(table: pa.Table, name: str) -> np.ndarray:
@@ -373,27 +379,22 @@ def numbered(rows: DataFrame, name: str) -> DataFrame:
     return rows.mapInArrow(number, f"{name} bigint, {schema}")
 
 
-def with_counts(rows: DataFrame, table: DataFrame, uni: Unigrams) -> DataFrame:
-    """The rows with hashes (__h) and counts (__c) of their words that are in the table of counts (h, c) but aren't broadcast. Such words are rare, so no key of the join is hot."""
+def with_counts(rows: DataFrame, table: DataFrame, uni: Unigrams, scratch: Scratch) -> DataFrame:
+    """The rows with the counts (__c) of their words that aren't broadcast, in the order of ``others_of``; 0 for those that the table of counts (h, c) hasn't. Such words are rare, so no key of the join is hot."""
     shared = rows.sparkSession.sparkContext.broadcast(uni)
 
     def run(batches):
         for b in batches:
             row = b.column(0).to_numpy()
             for at, h, offs in token_hashes(b.column(1)):
-                owner = np.repeat(row[at : at + len(offs) - 1], np.diff(offs))
-                rest = shared.value.index.find(h) < 0
-                owner, h = owner[rest], h[rest]
-                order = np.lexsort((h, owner))
-                owner, h = owner[order], h[order]
-                first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])])) if len(h) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(owner[first]), pa.array(h[first].view(np.int64))], ["__key", "h"])
-
-    asked = rows.select("__key", "__t").mapInArrow(run, "__key bigint, h bigint")
-    lists = asked.join(table, "h").groupBy("__key").agg(F.collect_list(F.struct("h", "c")).alias("__x"))
-    none = F.array().cast("array<bigint>")
+                _, _, owner, key = others_of(h, offs, shared.value.index.find(h))
+                yield pa.RecordBatch.from_arrays([pa.array(row[at + owner]), pa.array(key)], ["__key", "h"])
+
+    asked = rows.select("__key", "__t").mapInArrow(run, "__key bigint, h bigint").join(table, "h", "left")
+    lists = asked.groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("h", F.coalesce("c", F.lit(0)).alias("c"))))["c"].alias("__c"))
+    lists = scratch.table(lists, "lists")  # so that what was shuffled for them is gone when the texts are
     kept = [c for c in rows.columns if c != "__key"]
-    return rows.join(lists, "__key", "left").select(*kept, F.coalesce(F.col("__x.h"), none).alias("__h"), F.coalesce(F.col("__x.c"), none).alias("__c"))
+    return rows.join(lists, "__key", "left").select(*kept, F.coalesce("__c", F.array().cast("array<bigint>")).alias("__c"))
 
 
 def score(docs: DataFrame, scratch: Scratch, train: str = "train", keep: tuple[str, ...] = ("doc_id",), text: str = "text", often_words: float = 1e-6, often: float = 1e-5, parts: int = 4, bucket_tokens: int = 1 << 19, priors: tuple[float, float] = PRIORS) -> DataFrame:
@@ -415,8 +416,8 @@ def score(docs: DataFrame, scratch: Scratch, train: str = "train", keep: tuple[s
     uni = Unigrams(Index(hashes), counts[np.argsort(hashes)], tokens, size, discount)
     shared = spark.sparkContext.broadcast((uni, Index(of_kind(2)[0])))
     # written, as every part goes over the same rows with the same numbers; numbered anew, so that a task's follow each other
-    rows = scratch.table(numbered(with_counts(rows, table, uni), "__row"), "counted")
-    scratch.drop("rows")
+    rows = scratch.table(numbered(with_counts(rows, table, uni, scratch), "__row"), "counted")
+    scratch.drop("rows", "words", "lists")
     dealt = max(1, -(-tokens // (parts * bucket_tokens)))
     sums = [scratch.table(answered(met(rows, shared, parts, dealt, part), shared, priors), f"sums{part}") for part in range(parts if tokens else 0)]
     sums = reduce(DataFrame.unionByName, sums) if sums else spark.createDataFrame([], "frequent boolean, id bigint, more double")
@@ -436,7 +437,7 @@ def score(docs: DataFrame, scratch: Scratch, train: str = "train", keep: tuple[s
                 n[rows] = np.diff(offs)
                 if not tokens:
                     continue
-                c = uni.of(h, beside(b, at_text + 1, at, len(rows)))
+                c = uni.of(h, offs, beside(b, at_text + 1, at, len(rows)))
                 gain = np.log10(uni.chance(c)) + np.where((h == END) | (c == 0), 0.0, np.log10(prior / (c + prior)))
                 places, two, three = ngrams(h, offs)
                 for key in (two, three):
