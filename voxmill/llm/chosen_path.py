@@ -188,7 +188,8 @@ def joined(docs: DataFrame, threshold: float, k: int, recall: float, branch: int
         links.append(scratch.table(linked(rest, classes, texts, k, threshold), "rest_links"))
     comps = rooted(links, scratch, "final")
     named = comps.join(classes.select("key", "rep"), "key")
-    lowest = named.groupBy("root").agg(F.min("rep").alias("class_id"))
+    # written, so that the join by root has a plain shuffle on both sides and a large component can be split
+    lowest = scratch.table(named.groupBy("root").agg(F.min("rep").alias("class_id")), "lowest")
     table = classes.select("key", "rep").join(named.join(lowest, "root").select("key", "class_id"), "key", "left")
     return signed, scratch.table(table, "result")
 

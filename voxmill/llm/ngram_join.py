@@ -241,7 +241,8 @@ def linked(docs: DataFrame, threshold: float, k: int, recall: float, block: int,
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     final = final.unionByName(final.select(F.col("root").alias("v"), "root").distinct()).withColumnRenamed("v", "key")
     named = final.join(classes.select("key", "rep"), "key")
-    lowest = named.groupBy("root").agg(F.min("rep").alias("class_id"))
+    # written, so that the join by root has a plain shuffle on both sides and a large component can be split
+    lowest = scratch.table(named.groupBy("root").agg(F.min("rep").alias("class_id")), "lowest")
     table = classes.select("key", "rep", "copies").join(named.join(lowest, "root").join(links, "key").select("key", "class_id", "root", "links"), "key", "left")
     table = scratch.table(table, "result")
     scratch.drop("classes", "shared", "met", "labels", "members", "blocks", "pieces", "found")
@@ -266,10 +267,12 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float
     with the same id and text one stays, the first by a hash of its columns. Rows
     without an id stay, and so do those without a word.
     """
-    signed, table = linked(docs, threshold, k, recall, block, block_bytes, text, doc_id, Scratch(docs.sparkSession))
+    scratch = Scratch(docs.sparkSession)
+    signed, table = linked(docs, threshold, k, recall, block, block_bytes, text, doc_id, scratch)
     place = F.struct("doc_id", "t1", "t2")
     rows = signed.where("key is not null and doc_id is not null").join(table.select("key", F.coalesce("root", "key").alias("root")), "key").select("root", place.alias("place")).distinct()
-    best = rows.groupBy("root").agg(F.min("place").alias("best"))
+    rows = scratch.table(rows, "places")
+    best = scratch.table(rows.groupBy("root").agg(F.min("place").alias("best")), "best")  # so that a large component can be split
     lost = rows.join(best, "root").where("place != best").select("place.*")
     t1, t2, n = (free_name(docs, f"__vx_{x}") for x in ("t1", "t2", "n"))
     marked = docs.withColumns(dict(zip((t1, t2), text_hashes(docs[text]))))
