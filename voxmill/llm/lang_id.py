@@ -11,7 +11,7 @@ Sample: about ``per_language`` documents of each language, by order of their has
 ids; with many languages fewer of each, so that they share about ``most_rows``, and
 with long texts fewer too, so that their n-grams take about ``most_bytes`` (by the mean
 over all training rows); at least one of each. All languages are learned. The weights are kept and sent as their nonzeros. Nulls: rows with a null language
-don't train; a null text, or one without a letter, is ``und`` with score 0. With no
+don't train; rows without an id share one place in the sample, all of them in it or none, within its bound; a null text, or one without a letter, is ``und`` with score 0. With no
 training row every text is ``und``. Repeated rows are predicted each. Prediction reads
 the id and the text only, so other columns may have any name.
 """
