@@ -172,6 +172,10 @@ def joined(docs: DataFrame, threshold: float, k: int, recall: float, branch: int
         scratch.drop(f"at{level - 1}", f"places{level}", f"nodes{level}", f"pieces{level}")
         if large.isEmpty():
             break
+        if level == 0:
+            # all that is compared from here on is in large nodes; only these texts are dealt out again
+            needed = large.select("key").distinct().join(classes.select("key", "rep"), "key").select("rep").distinct()
+            texts = scratch.table(texts.join(needed, "rep", "left_semi"), "texts")
         to_pivot = links[-1].select(F.col("u").alias("key"), F.col("v").alias("low"), F.lit(True).alias("met")).distinct()
         marked = large.join(to_pivot, ["key", "low"], "left").select("tree", "node", "key", "bytes", ((F.col("key") == F.col("low")) | F.col("met").isNotNull()).alias("inside"))
         marked = scratch.table(marked, f"marked{level}")
