@@ -1,6 +1,7 @@
 """Quotas, rebalancing and ranks against plain loops, and their plans."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +40,20 @@ def test_quotas(spark, speeds):
     assert {(r.batch, r.server_id): r.quota for r in jobs.quotas(batches, fleet, zeros=True).collect()} == want
 
 
+def test_rows_of_zeros_are_not_dealt_out(spark):
+    """Batches by servers are many: they are made where they are returned, by many tasks."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the tables were large
+    batches = spark.range(50).select(F.col("id").alias("batch"), (F.col("id") % 3 + 1).alias("n"))
+    fleet = spark.range(200).select(F.col("id").alias("server_id"), (F.col("id") % 5 + 1.0).alias("speed"))
+    got = jobs.quotas(batches, fleet, zeros=True)
+    plan = plan_of(got)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not [keys for keys in re.findall(r"hashpartitioning\(([^)]*)\)", plan) if "server_id" in keys]
+    row = got.agg(F.count("*"), F.count_distinct("batch", "server_id"), F.sum("quota")).head()
+    assert tuple(row) == (10_000, 10_000, sum(i % 3 + 1 for i in range(50)))
+
+
 def plain_rebalance(items, idle, tail=3):
     by = {}
     for s, i, audio, finish in items:

@@ -54,24 +54,29 @@ def quotas(batches: DataFrame, servers: DataFrame, zeros: bool = False) -> DataF
 
     A share is above a half for fewer than 2 n servers, the fastest ones. So a batch
     asks for so many servers by their rank, an equijoin, and the rows grow with the
-    items, not with batches by servers.
+    items, not with batches by servers. The rows of ``zeros`` beyond that rank are made
+    where they are returned, from the batch and the broadcast registry, and are never
+    dealt out or sorted. Batches are dealt out once, to a fixed number of tasks: they are
+    small, and what is made of them is large.
     """
     fleet = servers.where("speed > 0").select("server_id", "speed")
     # what is the same for every batch is worked out once, on the registry
     total, many = fleet.agg(F.sum("speed"), F.count("*")).head()
     fleet = numbered(fleet, "rank", F.desc("speed"), F.asc("server_id"))
-    asked = batches.where("n > 0").select("batch", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(many), 2 * F.col("n") + 1))).alias("rank")) if many else batches.select("batch", "n", F.lit(0).cast("long").alias("rank")).limit(0)
+    batches = batches.where("n > 0").repartition(4 * batches.sparkSession.sparkContext.defaultParallelism, "batch")
+    asked = batches.select("batch", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(many), 2 * F.col("n") + 1))).alias("rank")) if many else batches.select("batch", "n", F.lit(0).cast("long").alias("rank")).limit(0)
     some = asked.join(fleet, "rank").withColumn("quota", F.bround(F.col("n") * F.col("speed") / F.lit(total), 0).cast("long"))
-    some = some.where("quota > 0 or rank = 1")
+    some = some if zeros else some.where("quota > 0 or rank = 1")
     by = W.partitionBy("batch").orderBy("speed", "server_id")
     some = some.withColumn("slower", F.coalesce(F.sum("quota").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     some = some.withColumn("diff", F.col("n") - F.sum("quota").over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
     taken = F.least("quota", F.greatest(F.lit(0), -F.col("diff") - F.col("slower")))
     quota = F.when((F.col("diff") > 0) & (F.col("rank") == 1), F.col("quota") + F.col("diff")).when(F.col("diff") < 0, F.col("quota") - taken).otherwise(F.col("quota"))
-    some = some.select("batch", "server_id", quota.alias("quota")).where("quota > 0")
+    some = some.select("batch", "server_id", quota.alias("quota"))
     if not zeros:
-        return some
-    return batches.where("n > 0").select("batch").crossJoin(fleet.select("server_id")).join(some, ["batch", "server_id"], "left").fillna(0, ["quota"])
+        return some.where("quota > 0")
+    rest = batches.select("batch", (2 * F.col("n") + 1).alias("asked")).join(F.broadcast(fleet.select("server_id", "rank")), F.col("rank") > F.col("asked"))
+    return some.unionByName(rest.select("batch", "server_id", F.lit(0).cast("long").alias("quota")))
 
 
 def heartbeat_states(probes: DataFrame, timeout_s: int = C.HEARTBEAT_TIMEOUT_S) -> DataFrame:
