@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from voxmill import constants as C
 from voxmill.sources.files import shared_folder
 
+CHUNK_BITS = 16  # rows of a chunk, as a power of 2: what a map is made from at once
+
 _STATE = pa.struct([("place", pa.int64()), ("failed_s", pa.int64())])
 _ARROW = {
     "bigint": pa.int64(),
@@ -71,22 +73,34 @@ def walk(rows: DataFrame, keys: list[str], order: list[str], values: list[str],
 def segmented(rows: DataFrame, keys: list[str], order: list[str], values: list[str], schema: str, step: Callable, summary: str, summarise: Callable, state: str, enter: Callable) -> DataFrame:
     """The rows of ``walk``, with no key in one task.
 
-    1. Rows are sorted into ranges of key and order and written; a key's rows in a range
-       are a chunk. A key with a third of all rows is a third of the ranges.
-    2. ``summarise(columns)`` gives a chunk's map, a row of ``summary``: what it does to
-       every state that it may be entered in.
-    3. A walk over the chunks of a key, of which there are few, composes the maps:
-       ``enter(state, *map)`` gives the next state and the one the chunk is entered in,
-       a row of ``state``.
-    4. Each chunk is walked from there: ``step`` as in ``walk``, but that its first state
-       is the one of the row of ``state``.
+    1. Rows are sorted into ranges of key and order and written; of a range, each
+       ``2 ** CHUNK_BITS`` rows are a chunk. A key with a third of all rows is a third of
+       the ranges, and of the chunks.
+    2. Only the last key of a chunk can go on in the next one. ``summarise(columns)`` gives
+       the map of its rows there, a row of ``summary``: what they do to every state that
+       they may be entered in. There are no more maps than chunks, however many keys.
+    3. A walk over the maps of a key, of which there are few, composes them:
+       ``enter(state, *map)`` gives the next state, a row of ``state``, in which the next
+       chunk is entered.
+    4. Each key is walked in each chunk, from there or, where it begins, from no state:
+       ``step`` as in ``walk``, but that its first state may be a row of ``state``.
     """
     spark, to = rows.sparkSession, shared_folder(rows.sparkSession, "chunks")
-    cut = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__chunk", F.spark_partition_id().cast("long"))
+    cut = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS))
     cut.write.parquet(to)
     cut = spark.read.schema(cut.schema).parquet(to)
-    made, n = _types(summary), len(keys) + 1
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.select(*keys, "__chunk").schema.fields)
+    met = F.col("__chunk") == F.col("__of")
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    by = W.orderBy("__chunk")
+    key = F.struct(*keys)
+    ends = cut.groupBy("__chunk").agg(F.min(key).alias("first"), F.max(key).alias("last"))
+    ends = ends.withColumns({"__next": F.lead("__chunk").over(by), "after": F.lead("first").over(by)}).where(F.col("last").eqNullSafe(F.col("after")))
+    going = ends.select(F.col("__chunk").alias("__of"), "__next", *(F.col("last")[k].alias(f"__{k}") for k in keys))
+    heads_of = [*keys, "__chunk", "__next"]
+    open_ = cut.join(F.broadcast(going), met)
+    made, n = _types(summary), len(heads_of)
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in open_.select(*heads_of).schema.fields)
 
     def maps(batches):
         now, held = None, []
@@ -94,7 +108,7 @@ def segmented(rows: DataFrame, keys: list[str], order: list[str], values: list[s
         def told():
             columns = [pa.chunked_array([h[j] for h in held]) for j in range(len(values))]
             row = summarise(columns)
-            return pa.RecordBatch.from_arrays([*(k.slice(0, 1) for k in now[1]), *(pa.array([v], _ARROW[t]) for v, (_, t) in zip(row, made))], [*keys, "__chunk", *(c for c, _ in made)])
+            return pa.RecordBatch.from_arrays([*(k.slice(0, 1) for k in now[1]), *(pa.array([v], _ARROW[t]) for v, (_, t) in zip(row, made))], [*heads_of, *(c for c, _ in made)])
 
         for b in batches:
             heads = list(zip(*(c.to_pylist() for c in b.columns[:n])))
@@ -110,25 +124,24 @@ def segmented(rows: DataFrame, keys: list[str], order: list[str], values: list[s
         if held:
             yield told()
 
-    by_chunk = cut.repartition(*keys, "__chunk").sortWithinPartitions(*keys, "__chunk", *order)
-    known = by_chunk.select(*keys, "__chunk", *values).mapInArrow(maps, f"{types}, {_ddl(summary)}")
-    told = ["__chunk", *(c for c, _ in made)]
+    by_chunk = open_.repartition(*keys, "__chunk").sortWithinPartitions(*keys, "__chunk", *order)
+    known = by_chunk.select(*heads_of, *values).mapInArrow(maps, f"{types}, {_ddl(summary)}")
+    told = ["__next", *(c for c, _ in made)]
 
     def entered(s, chunk, *map_):
-        s, entry = enter(s, *map_)
-        return s, (chunk, *entry)
+        s = enter(s, *map_)
+        return s, (chunk, *s)
 
     entries = walk(known, keys, ["__chunk"], told, f"__chunk bigint, {state}", entered)
     names = [c for c, _ in _types(state)]
     its = entries.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__chunk").alias("__of"), *(F.col(c).alias(f"__entry_{c}") for c in names))
-    met = F.col("__chunk") == F.col("__of")
-    for k in keys:
-        met = met & F.col(k).eqNullSafe(F.col(f"__{k}"))
 
     def first(s, *v):
-        return step(tuple(v[len(values) :]) if s is None else s, *v[: len(values)])
+        if s is None and v[len(values)] is not None:
+            s = tuple(v[len(values) + 1 :])
+        return step(s, *v[: len(values)])
 
-    return walk(cut.join(its, met), [*keys, "__chunk"], order, [*values, *(f"__entry_{c}" for c in names)], schema, first).drop("__chunk")
+    return walk(cut.join(F.broadcast(its), met, "left"), [*keys, "__chunk"], order, [*values, "__of", *(f"__entry_{c}" for c in names)], schema, first).drop("__chunk")
 
 
 # --------------------------------------------------------- changes of samples
@@ -273,14 +286,12 @@ def calibrate(done: DataFrame, size: int = 50, least: int = 3, default: float =
         return walk(rows, keys, order, values, schema, step)
 
     def enter(state, a, p, before, factor, scale, floor, n_fast, tail):
-        its = state or (*START, [])
-        ratio, now, penalty, fast, seen = its
+        ratio, now, penalty, fast, seen = state or (*START, [])
         if a is not None:
             first = tuned((ratio, now, penalty, fast), a, p)
             at = (round(now * 10) - 5) * len(GRID) + round(first[1] * 10) - 5
             ratio, now = before[at], factor[at]
-        nxt = (ratio, now, max(scale[fast] * penalty, floor[fast]), (fast + n_fast) % 10, [*seen, *tail][-size:])
-        return nxt, its
+        return ratio, now, max(scale[fast] * penalty, floor[fast]), (fast + n_fast) % 10, [*seen, *tail][-size:]
 
     summary = "a double, p double, before array<double>, factor array<double>, scale array<double>, floor array<double>, n_fast bigint, tail array<double>"
     return segmented(rows, keys, order, values, schema, step, summary, _calibration_map(size), "before double, factor double, penalty double, fast bigint, seen array<double>", enter)
@@ -357,7 +368,7 @@ def breaker(calls: DataFrame, failures: int = 5, timeout_s: float = 60, probes:
         else:
             q = bisect_left(waits, its[1] + timeout_s, key=lambda w: w["until_s"])
             to = waits[q] if q < len(waits) else {"place": its[0], "failed_s": its[1]}
-        return (to["place"], to["failed_s"]), its
+        return to["place"], to["failed_s"]
 
     summary = "places array<struct<place:bigint;failed_s:bigint>>, waits array<struct<until_s:bigint;place:bigint;failed_s:bigint>>"
     return segmented(calls, keys, order, values, schema, step, summary, _breaker_map(moves, timeout_s), "place bigint, failed_s bigint", enter)
