@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxmill.sources.tables import read_table
+from voxmill.sources.tables import read_table, table_bytes
 
 AS_OF_US = 1706659200000000  # 2024-01-31 00:00 UTC
 
@@ -105,6 +105,9 @@ def _text(sql: str, spark: bool) -> str:
     return sql if spark else sql.replace("AS STRING", "AS VARCHAR")
 
 
+#: What a view deals out by a hint comes in pieces of so much of its stored table, so that a task's memory stays as it is while the table grows.
+PIECE_BYTES = 8 << 20
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations", "embeddings")
 
 
@@ -124,11 +127,19 @@ class Domain:
 
     def view(self, name: str) -> DataFrame:
         sql = _text(VIEWS[name], True)
+        sql = re.sub(r"/\*\+ REPARTITION\((\w+)\) \*/(.*?FROM (\w+))", lambda m: f"/*+ REPARTITION({self._dealt(m[3])}{m[1]}) */{m[2]}", sql)
         used = [t for t in BASE if re.search(rf"(FROM|JOIN|,) {t}\b", sql)]
         for t in used:
             sql = re.sub(rf"((?:FROM|JOIN|,) ){t}\b", rf"\1{{{t}}}", sql)
         return self.spark.sql(sql, **{t: read_table(self.spark, self.sf_dir, t) for t in used})
 
+    def _dealt(self, table: str) -> str:
+        """The hint's number of partitions for a large table, no fewer than other shuffles have, so that joins keep it; a small one's is Spark's choice."""
+        pieces = table_bytes(self.spark, self.sf_dir, table) // PIECE_BYTES
+        if pieces <= self.spark.sparkContext.defaultParallelism:
+            return ""
+        return f"{max(pieces, int(self.spark.conf.get('spark.sql.shuffle.partitions')))}, "
+
     @property
     def task_events(self) -> DataFrame:
         if "_ev" not in self._made:

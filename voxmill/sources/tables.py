@@ -36,6 +36,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_bytes(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Size of one given table as it is stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
 def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The six state tables under ``folder``, each a Parquet table of its own name."""
     return {name: spark.read.schema(schema).parquet(f"{folder}/{name}") for name, schema in STATE_TABLES.items()}
