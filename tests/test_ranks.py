@@ -54,6 +54,32 @@ def test_rows_of_zeros_are_not_dealt_out(spark):
     assert tuple(row) == (10_000, 10_000, sum(i % 3 + 1 for i in range(50)))
 
 
+def test_quotas_of_many_blocks_and_racks(spark):
+    """More batches than a block in each task and more servers than a rack: a batch of n items gets what n items get."""
+    servers = [(100 + i, 0.25 * (i % 9 + 1)) for i in range(130)]
+    assert len(servers) > 2 * jobs.RACK
+    many = 4 * spark.sparkContext.defaultParallelism * jobs.BLOCK + 1000
+    batches = spark.range(many).select(F.col("id").alias("batch"), (F.col("id") % 80).alias("n"))
+    got = jobs.quotas(batches, spark.createDataFrame(servers, "server_id long, speed double"), zeros=True)
+    same = got.join(batches, "batch").groupBy("n", "server_id").agg(F.min("quota"), F.max("quota"), F.count("*"), F.count_distinct("batch"))
+    times = {n: len(range(n, many, 80)) for n in range(1, 80)}
+    want = {(n, i): (q, q, times[n], times[n]) for n in times for i, q in plain_quotas(n, servers).items()}
+    assert {tuple(r[:2]): tuple(r[2:]) for r in same.collect()} == want
+
+
+def test_rows_of_zeros_are_small_where_written(spark, tmp_path):
+    """Batches by servers are written by columns in a fraction of a byte a row, and are all there."""
+    batches = spark.range(1600).select(F.col("id").alias("batch"), (F.col("id") % 3 + 1).alias("n"))
+    fleet = spark.range(3000).select(F.col("id").alias("server_id"), (F.col("id") % 5 + 1.0).alias("speed"))
+    got = jobs.quotas(batches, fleet, zeros=True)
+    assert "NestedLoop" not in plan_of(got)
+    got.write.parquet(to := str(tmp_path / "quotas"))
+    pair = F.sum(F.xxhash64("batch", "server_id").cast("decimal(20)"))
+    want = batches.select("batch").crossJoin(fleet.select("server_id")).agg(F.count("*"), pair).head()
+    assert tuple(spark.read.parquet(to).agg(F.count("*"), pair).head()) == tuple(want)
+    assert sum(p.stat().st_size for p in (tmp_path / "quotas").glob("*.parquet")) < 0.25 * want[0]
+
+
 def plain_rebalance(items, idle, tail=3):
     by = {}
     for s, i, audio, finish in items:

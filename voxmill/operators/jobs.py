@@ -9,6 +9,9 @@ from voxmill.functions import transcripts as tr
 from voxmill.operators import aggregates, filters, joins
 from voxmill.operators.ranks import numbered
 
+#: Batches whose rows of one server follow each other, and servers whose rows of such batches are made at a time.
+BLOCK, RACK = 256, 64
+
 
 def merge_segments(segments: DataFrame, raw: str = "raw_result_json") -> DataFrame:
     """Transcript of each task from the results of its segments.
@@ -55,17 +58,20 @@ def quotas(batches: DataFrame, servers: DataFrame, zeros: bool = False) -> DataF
     A share is above a half for fewer than 2 n servers, the fastest ones. So a batch
     asks for so many servers by their rank, an equijoin, and the rows grow with the
     items, not with batches by servers. The rows of ``zeros`` beyond that rank are made
-    where they are returned, from the batch and the broadcast registry, and are never
-    dealt out or sorted. Batches are dealt out once, to a fixed number of tasks: they are
-    small, and what is made of them is large.
+    where they are returned, from the batches and the broadcast registry, and are never
+    dealt out or sorted. Batches are dealt out to a fixed number of tasks: they are
+    small, and what is made of them is large. So that it stays small where it is written
+    by columns, a server's rows of a block of batches follow each other: the server is a
+    run then, and the batches repeat after a block, which is short enough for any codec.
     """
     fleet = servers.where("speed > 0").select("server_id", "speed")
     # what is the same for every batch is worked out once, on the registry
     total, many = fleet.agg(F.sum("speed"), F.count("*")).head()
     fleet = numbered(fleet, "rank", F.desc("speed"), F.asc("server_id"))
-    batches = batches.where("n > 0").repartition(4 * batches.sparkSession.sparkContext.defaultParallelism, "batch")
+    tasks = 4 * batches.sparkSession.sparkContext.defaultParallelism
+    batches = batches.where("n > 0").repartition(tasks, "batch")
     asked = batches.select("batch", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(many), 2 * F.col("n") + 1))).alias("rank")) if many else batches.select("batch", "n", F.lit(0).cast("long").alias("rank")).limit(0)
-    some = asked.join(fleet, "rank").withColumn("quota", F.bround(F.col("n") * F.col("speed") / F.lit(total), 0).cast("long"))
+    some = asked.join(F.broadcast(fleet) if zeros else fleet, "rank").withColumn("quota", F.bround(F.col("n") * F.col("speed") / F.lit(total), 0).cast("long"))
     some = some if zeros else some.where("quota > 0 or rank = 1")
     by = W.partitionBy("batch").orderBy("speed", "server_id")
     some = some.withColumn("slower", F.coalesce(F.sum("quota").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
@@ -75,7 +81,14 @@ def quotas(batches: DataFrame, servers: DataFrame, zeros: bool = False) -> DataF
     some = some.select("batch", "server_id", quota.alias("quota"))
     if not zeros:
         return some.where("quota > 0")
-    rest = batches.select("batch", (2 * F.col("n") + 1).alias("asked")).join(F.broadcast(fleet.select("server_id", "rank")), F.col("rank") > F.col("asked"))
+    # sorted, so that a task that runs again makes the same blocks
+    block = F.floor(F.monotonically_increasing_id() / BLOCK)
+    blocks = batches.select("batch", (2 * F.col("n") + 1).alias("asked")).sortWithinPartitions("batch").withColumn("block", block)
+    blocks = blocks.repartitionByRange(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("batch", "asked")).alias("own"))
+    # a task holds what it makes of one row up to a coalesce: here and below of a block and a rack, not of a block and all servers
+    blocks = blocks.select("own", F.explode(F.sequence(F.lit(0), F.lit(many // RACK))).alias("rack")).coalesce(tasks)
+    rest = blocks.join(F.broadcast(fleet.select("server_id", "rank", F.floor(F.col("rank") / RACK).cast("int").alias("rack"))), "rack")
+    rest = rest.select("server_id", "rank", F.inline("own")).where("rank > asked")
     return some.unionByName(rest.select("batch", "server_id", F.lit(0).cast("long").alias("quota")))
 
 
